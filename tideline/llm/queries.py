@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ppm, sharding, warc
+from . import bpe, decontaminate, ppm, quality, sharding, warc
 from .common import table
 
 
@@ -38,6 +38,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, tokens).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.judge(docs.select("doc_id", "text", "lang"), quality.references(docs))
+    return judged.drop("text", "lang")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -49,5 +55,5 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op9_decontaminate, op10_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
