@@ -50,3 +50,52 @@ def test_op3_against_tiktoken(spark, truth):
 def test_decode_refuses_a_clash(spark):
     with pytest.raises(ValueError):
         bpe.decode(spark.range(1).select(F.lit(b"").alias("ids"), F.lit(1).alias("decoded")), [b"a"])
+
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORDS)
+
+
+def test_prefix_counts_are_exact_at_every_prefix(library):
+    from tideline.llm import counting
+
+    p = counting.Prefixes(counting.load(WORDS))
+    for word in ["internationalisation", "thhatheresttion", "éleauxê", "zzzzzzzzzzzz", "don", "x", "ß" * 60, "!!!???...", "日本語"]:
+        got = p.counts(word)
+        assert got == [len(library.encode(word[:i], add_special_tokens=False).ids) for i in range(len(word) + 1)]
+    text = "The  quick brownish fox<|endoftext|>jumps; overs 42 unbelievables"
+    n = len(library.encode(text, add_special_tokens=False).ids)
+    assert p.table(text)[1][-1] == p.count(text) == n and p.within(text, n) == p.table(text)[0][-1]
+    for budget in range(n):
+        cut = p.within("unbelievably thhatherest words here", budget)
+        count = lambda i: len(library.encode("unbelievably thhatherest words here"[:i], add_special_tokens=False).ids)
+        assert count(cut) <= budget and (cut == 35 or budget == 0 or count(cut + 1) > budget or count(cut + 2) > budget)
+
+
+def test_token_counts_of_odd_texts(spark, library):
+    from tideline.llm import counting
+
+    texts = ODD + ["ΟΔΥΣΣΕΥΣ Σ", "é İstanbul", "a\x1cb\x85c d", "<|startoftext|>a<|endoftext|><|endoftext|> b", "<|ENDOFTEXT|>", "'s 's' don'T", "½²٣", "ﬁ ǅ"]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)] + [(0, "", 9)], "doc_id long, text string, n_tokens int")
+    got = counting.token_counts(docs, counting.load(WORDS), budget=3).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        t = texts[r.doc_id] or ""
+        assert (r.n_bytes, r.n_tokens) == (len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)), t
+        assert (r.cut_chars is not None) == (r.n_tokens > 3)
+    assert counting.token_counts(docs.limit(0), counting.load(WORDS)).count() == 0
+
+
+def test_op7_against_the_library(spark, library):
+    sf = "/root/testdata/sf0.01"
+    texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op7_prefix_counts(spark, sf).collect()
+    want = {k: len(e.ids) for k, e in zip(texts, library.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
+    assert {r.doc_id: r.n_tokens for r in got} == want
+    assert all(r.over_limit == (r.n_tokens > 2048) for r in got)

@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ppm, quality, sharding, warc
+from . import bpe, counting, decontaminate, ppm, quality, sharding, warc
 from .common import table
 
 
+TOKEN_LIMIT = 2048
+
+
 def op1_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
@@ -38,6 +41,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, tokens).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = counting.load(public_tokenizers.path("word_bpe_49k.json"))
+    counted = counting.token_counts(table(spark, sf_dir, "documents"), spec, budget=TOKEN_LIMIT)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.judge(docs.select("doc_id", "text", "lang"), quality.references(docs))
@@ -55,5 +64,5 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
