@@ -24,7 +24,7 @@ MEMORY = 250_000
 #: Prefixes of longer words are not remembered.
 LONG = 40
 #: White space of Unicode.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _loaded: dict[int, tuple] = {}
 
 
