@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counting, decontaminate, ppm, quality, sharding, warc
+from . import bpe, counting, decontaminate, ppm, quality, sharding, simhash, warc
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, tokens).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.linked_fingerprints(table(spark, sf_dir, "documents"), size=3, radius=2)
+    return linked.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = counting.load(public_tokenizers.path("word_bpe_49k.json"))
     counted = counting.token_counts(table(spark, sf_dir, "documents"), spec, budget=TOKEN_LIMIT)
@@ -64,5 +69,5 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op6_simhash, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
