@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counting, decontaminate, ppm, quality, sharding, simhash, suffix, warc
+from . import bpe, counting, decontaminate, lm, ppm, quality, sharding, simhash, suffix, warc
 from .common import table
 
 
@@ -41,6 +41,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, tokens).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    return lm.score(docs, "train").withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=200, keep=["doc_id"])
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -74,5 +80,5 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op5_suffix_repeats, op6_simhash, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op4_elias_fano_lm, op5_suffix_repeats, op6_simhash, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
