@@ -1,8 +1,8 @@
 """Exact token counts at every prefix of a text, by dynamic programming over the prefixes of its words.
 
 For byte-pair vocabularies with word ends. The encoding of a prefix ends with the one token that may stand behind the encoding
-of what is before it: two tokens may be neighbours if merging their characters gives just these two. So a word's
-prefixes are solved from left to right, each from shorter ones, and a text's from its words; truncation and
+of what is before it: two tokens may be neighbours if no merge across their border comes before the merges that made them. So a word's
+prefixes are solved each from a shorter one, and a text's from its words; truncation and
 budgets are then looked up, and nothing is encoded again.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .bpe import byte_characters
 
 #: Words, prefixes and pairs that a worker remembers of each kind; beyond it, it starts anew.
-MEMORY = 250_000
+MEMORY = 400_000
 #: Prefixes of longer words are not remembered.
 LONG = 40
 #: White space of Unicode.
@@ -44,7 +44,10 @@ class Prefixes(dict):
         self.longest = max(map(len, vocab))
         self.mapped = dict(enumerate(byte_characters()))
         self.prefix: dict[str, tuple[str, int]] = {"": ("", 0)}
-        self.pairs: dict[tuple[str, str, bool], bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.edges: dict[tuple[str, bool], list[tuple[str, int]]] = {}
+        #: The merge that makes each token; every token has one, and its rank is above those of its parts.
+        self.made = {a + b: (a, b, i) for (a, b), i in self.rank.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", WHITE))
         self.white = regex.compile(f"[{WHITE}]+")
@@ -69,52 +72,80 @@ class Prefixes(dict):
             parts = out
         return parts
 
-    def neighbours(self, a: str, b: str, ends: bool) -> bool:
-        """Whether token a may stand before token b, which ends the word or not."""
+    def _edge(self, token: str, right: bool) -> list[tuple[str, int]]:
+        """The parts that stood at a token's edge while it was made, each with the rank of the merge that ended it; the token itself never ends."""
+        known = self.edges.get((token, right))
+        if known is None:
+            known, ended = [], 1 << 60
+            while token in self.made:
+                known.append((token, ended))
+                a, b, ended = self.made[token]
+                token = b if right else a
+            known.append((token, ended))
+            self.edges[known[0][0], right] = known
+        return known
+
+    def neighbours(self, a: str, b: str) -> bool:
+        """Whether token a may stand before token b: no merge of parts at the border ranks before those that took the parts up. Of equal ranks the left one is first."""
         if not a:
             return True
-        known = self.pairs.get((a, b, ends))
+        known = self.pairs.get((a, b))
         if known is None:
-            parts = [*a, *b[:-1], b[-1] + self.end] if ends else [*a, *b]
-            known = self.merged(parts) == [a, b + self.end if ends else b]
+            rank = self.rank.get
+            known = True
+            for x, x_ends in self._edge(a, True):
+                for y, y_ends in self._edge(b, False):
+                    if (m := rank((x, y))) is not None and m < x_ends and m <= y_ends:
+                        known = False
             if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
-            self.pairs[a, b, ends] = known
+            self.pairs[a, b] = known
         return known
 
-    def _step(self, text: str, before: list[tuple[str, int]], i: int, ends: bool) -> tuple[str, int]:
-        """The last token of the first i characters and their number of tokens. before: the same of shorter prefixes, as parts of a word."""
-        tokens = self.last if ends else self.inner
-        for n in range(min(i, self.longest), 0, -1):
-            piece = text[i - n : i]
-            if piece in tokens:
-                last, count = before[i - n]
-                if self.neighbours(last, piece, ends):
-                    return piece, count + 1
-        raise ValueError(f"no encoding of {text[:i]!r}")
+    def state(self, text: str) -> tuple[str, int]:
+        """Last token and number of tokens of a prefix, taken as the beginning of a longer word. text: mapped characters."""
+        if (known := self.prefix.get(text)) is not None:
+            return known
+        if len(text) > LONG:
+            return self.parts(text)[-1]
+        for n in range(min(len(text), self.longest), 0, -1):
+            if (piece := text[-n:]) in self.inner:
+                last, count = self.state(text[:-n])
+                if self.neighbours(last, piece):
+                    if len(self.prefix) >= MEMORY:
+                        self.prefix = {"": ("", 0)}
+                    self.prefix[text] = found = (piece, count + 1)
+                    return found
+        raise ValueError(f"no encoding of {text!r}")
 
     def parts(self, text: str) -> list[tuple[str, int]]:
-        """Last token and number of tokens of each prefix, taken as the beginning of a longer word. text: mapped characters."""
-        short = len(text) <= LONG
-        n = len(text)
-        while short and n and text[:n] not in self.prefix:
-            n -= 1
-        done = [self.prefix[text[:i]] for i in range(n + 1)] if short and all(text[:i] in self.prefix for i in range(n + 1)) else [("", 0)]
-        for i in range(len(done), len(text) + 1):
-            done.append(self._step(text, done, i, False))
-        if short:
-            if len(self.prefix) >= MEMORY:
-                self.prefix = {"": ("", 0)}
-            self.prefix.update((text[:i], done[i]) for i in range(1, len(text) + 1))
+        """state() of each prefix from none to all, from left to right."""
+        done = [("", 0)]
+        for i in range(1, len(text) + 1):
+            for n in range(min(i, self.longest), 0, -1):
+                piece = text[i - n : i]
+                if piece in self.inner and self.neighbours(done[i - n][0], piece):
+                    done.append((piece, done[i - n][1] + 1))
+                    break
+            else:
+                raise ValueError(f"no encoding of {text[:i]!r}")
         return done
 
+    def whole(self, text: str, before=None) -> int:
+        """The number of tokens of a whole word. before: the states of its prefixes, if they are there."""
+        for n in range(min(len(text), self.longest), 0, -1):
+            if (piece := text[-n:]) in self.last:
+                last, count = before[len(text) - n] if before else self.state(text[:-n])
+                if self.neighbours(last, piece + self.end):
+                    return count + 1
+        raise ValueError(f"no encoding of {text!r}")
+
     def of_bytes(self, word: str) -> str:
         return word.encode().decode("latin-1").translate(self.mapped)
 
     def __missing__(self, word: str) -> int:
         text = self.of_bytes(word)
-        # only prefixes one shorter or less are needed before the last token
-        count = self._step(text, self.parts(text[:-1]), len(text), True)[1]
+        count = self.whole(text, self.parts(text) if len(text) > LONG else None)
         if len(self) >= MEMORY:
             self.clear()
         self[word] = count
@@ -126,7 +157,7 @@ class Prefixes(dict):
         done = self.parts(text)
         for c in word:
             at.append(at[-1] + len(c.encode()))
-        return [0] + [self._step(text, done, i, True)[1] for i in at[1:]]
+        return [0] + [self.whole(text[:i], done) for i in at[1:]]
 
     def normal(self, text: str) -> str:
         import unicodedata
