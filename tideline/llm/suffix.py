@@ -442,3 +442,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     both = rows.join(spans, rows["_row"] == spans["row"], "left").select(*own, "_body", "spans")
     schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
     return both.mapInArrow(_cut(len(own)), schema)
+
+
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
+    """docs with the text less its repeated strings. Of a character that a cut goes through nothing stays; a null text becomes an empty one."""
+    cut = remove_repeats(docs, key, text, length, keep=[c for c in docs.columns if c != text], **how)
+    # a cut can leave parts of characters, which the decoder marks; marks that stood in the text go with them
+    return cut.withColumn(text, F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).select(*docs.columns)
