@@ -1,0 +1 @@
+"""Operators on observations, panels, forecasts and scores; each takes and returns DataFrames."""

@@ -1,4 +1,12 @@
-"""Named queries and their SQL counterparts."""
+"""Named queries and their SQL counterparts, gathered from the modules of this package."""
 
+from __future__ import annotations
+
+from . import assemble, frames, store, text
+
+MODULES = (store, frames, assemble, text)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

@@ -1,0 +1 @@
+"""Readers of irregular inputs: spreadsheet grids, pages of links, catalogues."""
