@@ -156,7 +156,7 @@ def _answer(tokens: int, kinds: int, prior: float, frequent: dict[int, int]):
         every, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         word = np.repeat(inverse, np.concatenate(sizes))
         context = np.concatenate(read("contexts", np.uint32))
-        doc = np.concatenate([r + f for r, f in zip(read("rows", np.uint16), first.tolist(), strict=False)]).astype(np.int64)
+        doc = np.concatenate([r.astype(np.int64) + f for r, f in zip(read("rows", np.uint16), first.tolist(), strict=False)])
         learn = np.concatenate(train)[doc] > 0
         counts = np.bincount(word[learn], minlength=len(every))
         if len(hot):
