@@ -71,6 +71,38 @@ def test_odd_texts_against_brute_force(spark):
             same((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), want[-1 if r.doc_id is None else r.doc_id])
 
 
+def test_many_tiny_texts(spark):
+    """More rows in a shard than 16 bits count."""
+    docs = spark.range(70_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'a b', 'b') as text", "true as learn")
+    got = lm.score(docs, "learn", prior=20.0, least_shards=1)
+    want = brute([("a b", True), ("b", True)] * 35_000, 20.0)[:2]
+    for r in got.where("doc_id in (0, 1, 69998, 69999)").collect():
+        same((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), want[r.doc_id % 2])
+    assert got.groupBy("n_tokens", "n_known").count().count() == 2
+
+
+def test_words_in_parts_sum_to_the_same(spark, monkeypatch):
+    """One shard by hand, in this process, with tiny parts."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40))), rng.random() < 0.6) for _ in range(30)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(30)), "text": [t for t, _ in rows], "train": [k for _, k in rows]})
+    want = brute(rows, 9.0)
+    kinds = len({w for t, k in rows if k for w in t.split()} | {None})
+    asks = pa.Table.from_batches(list(lm._ask(1, np.zeros(0, np.uint64))(iter([batch]))))
+    shard = asks.filter(pa.array([x >= 0 for x in asks.column("shard").to_pylist()]))
+    for part in (1, 7, 10**6):
+        monkeypatch.setattr(lm, "PART_TOKENS", part)
+        sums = lm._answer(want[0][2], kinds, 9.0, {})(shard)
+        score = np.frombuffer(sums.column("score")[0].as_py())
+        assert len(score) == 30
+        known = np.frombuffer(sums.column("known")[0].as_py(), np.int32)
+        texts = sum(k for _, k in rows)
+        for s, k, w in zip(score, known, want):
+            assert k == w[1] and s - math.log10(texts + 9.0) == pytest.approx(w[4], abs=1e-3)
+
+
 def test_no_rows_and_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b", False)], "doc_id long, text string, learn boolean")
     assert lm.score(docs.limit(0), "learn").count() == 0

@@ -25,7 +25,9 @@ from .words import LOWER, SPACED, mix, word_hashes, word_ranges
 #: The prior's weight in tokens.
 PRIOR = 500.0
 #: Text bytes that one message is made from, tokens in a shard (about), and shards at least.
-CHUNK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 8 << 20, 16_000_000, 32
+CHUNK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 4 << 20, 16_000_000, 32
+#: Tokens of a shard that are worked on at once: a run of its words, with a trie of its own.
+PART_TOKENS = 1_000_000
 #: Hashes of the marks at a text's end and start.
 END, START = mix(np.array([0xE0F, 0x5A7], np.uint64))
 #: Words of a shard that may turn out frequent enough to be split over shards.
@@ -152,19 +154,41 @@ def _answer(tokens: int, kinds: int, prior: float, frequent: dict[int, int]):
             return pa.Table.from_arrays([pa.array([x["chunk"] for x in rows], pa.int64()), *(pa.array([None] * len(rows), pa.binary()) for _ in range(4)), pa.array(heads, pa.binary())], _SUMS.names)
         read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in group.column(name)]
         asked, sizes, docs, train = read("words", np.uint64), read("sizes", np.uint32), read("docs", np.uint16), read("train", np.int8)
+        contexts, rows = read("contexts", np.uint32), read("rows", np.uint16)
         first = np.cumsum([0, *map(len, docs)])
+        learns = np.concatenate(train) > 0
         every, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        word = np.repeat(inverse, np.concatenate(sizes))
-        context = np.concatenate(read("contexts", np.uint32))
-        doc = np.concatenate([r.astype(np.int64) + f for r, f in zip(read("rows", np.uint16), first.tolist(), strict=False)])
-        learn = np.concatenate(train)[doc] > 0
+        # words in order, cut where about PART_TOKENS tokens are full
+        weight = np.cumsum(np.bincount(inverse, np.concatenate(sizes), len(every)))
+        cuts = [*np.unique(np.searchsorted(weight, np.arange(PART_TOKENS, weight[-1], PART_TOKENS)) + 1).tolist(), len(every)]
+        numbers = np.split(inverse.astype(np.int32), np.cumsum([len(x) for x in asked])[:-1])
+        ends = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in sizes]
+        base, score, knew = np.zeros(first[-1]), np.zeros(first[-1]), np.zeros(first[-1], np.int32)
+        low = 0
+        for high in cuts:
+            if high == low:
+                continue
+            word, context, doc = [], [], []
+            for number, end, c, r, f in zip(numbers, ends, contexts, rows, first.tolist(), strict=False):
+                a, b = np.searchsorted(number, [low, high])
+                if a < b:
+                    word.append(np.repeat(number[a:b] - low, np.diff(end[a : b + 1])))
+                    context.append(c[end[a] : end[b]])
+                    doc.append(r[end[a] : end[b]].astype(np.int32) + f)
+            _sum_part(every[low:high], np.concatenate(word), np.concatenate(context), np.concatenate(doc), learns, base, knew, score)
+            low = high
+        cut = lambda x: [x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+        return pa.Table.from_arrays([group.column("chunk").combine_chunks(), *(pa.array(x, pa.binary()) for x in ([d.tobytes() for d in docs], cut(base), cut(knew), cut(score))), pa.array([None] * len(docs), pa.binary())], _SUMS.names)
+
+    def _sum_part(every, word, context, doc, learns, base, knew, score) -> None:
+        """Learns the pairs of some words and adds what they give to the documents' sums."""
+        learn = learns[doc]
         counts = np.bincount(word[learn], minlength=len(every))
         if len(hot):
             at = np.minimum(np.searchsorted(hot, every), len(hot) - 1)
             counts = np.where(hot[at] == every, hot_n[at], counts)
-        # pairs of this shard, each once
-        pair = (word.astype(np.uint64) << np.uint64(32)) | context
-        pairs, of = np.unique(pair, return_inverse=True)
+        # pairs, each once
+        pairs, of = np.unique((word.astype(np.uint64) << np.uint64(32)) | context, return_inverse=True)
         seen = np.bincount(of[learn], minlength=len(pairs))
         owner = (pairs >> np.uint64(32)).astype(np.int64)
         alone = np.log10(prior * (counts + 1) / (tokens + kinds + 1))
@@ -182,12 +206,9 @@ def _answer(tokens: int, kinds: int, prior: float, frequent: dict[int, int]):
             del trie
         # a word is also the context of what follows it; the end is of nothing
         below = np.where(every == END, 0.0, np.log10(n + prior))
-        total = int(first[-1])
-        base = np.bincount(doc, np.log10(n + 1.0)[word], total)
-        score = np.bincount(doc, tops[of] - below[word], total)
-        knew = np.bincount(doc, (n > 0)[word], total).astype(np.int32)
-        cut = lambda x: [x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
-        return pa.Table.from_arrays([group.column("chunk").combine_chunks(), *(pa.array(x, pa.binary()) for x in ([d.tobytes() for d in docs], cut(base), cut(knew), cut(score))), pa.array([None] * len(docs), pa.binary())], _SUMS.names)
+        base += np.bincount(doc, np.log10(n + 1.0)[word], len(base))
+        score += np.bincount(doc, tops[of] - below[word], len(base))
+        knew += np.bincount(doc, (n > 0)[word], len(base)).astype(np.int32)
 
     return run
 
