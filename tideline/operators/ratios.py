@@ -71,8 +71,13 @@ def headline(by_category: DataFrame) -> DataFrame:
 
 def lognormal_headline(forecasts: DataFrame, level: str = "nom_level", se_log: str = "nom_se_log") -> DataFrame:
     """period, nom_mean, nom_se and intervals from a log-normal forecast; lower ends stop at 0."""
+    return lognormal_headline_rows(forecasts, [], level, se_log)
+
+
+def lognormal_headline_rows(forecasts: DataFrame, keys: list[str], level: str = "mean_level", se_log: str = "se_log") -> DataFrame:
+    """lognormal_headline by keys and period."""
     mean, s = F.col(level), F.col(se_log)
-    rows = with_intervals(forecasts.select("period", mean.alias("nom_mean"), (mean * F.sqrt(F.exp(s * s) - 1)).alias("nom_se")))
+    rows = with_intervals(forecasts.select(*keys, "period", mean.alias("nom_mean"), (mean * F.sqrt(F.exp(s * s) - 1)).alias("nom_se")))
     return rows.withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in ("lower_80", "lower_95")})
 
 
