@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Pre-tokens that a worker remembers; beyond it, it starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 _loaded: dict[int, tuple] = {}
 
 
@@ -65,7 +67,6 @@ class Encoder(dict):
         import regex
         import sentencepiece
 
-        self.tokens = tokens
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(pattern).findall
@@ -83,8 +84,10 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.split(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def text_of(ids: bytes, tokens: list[bytes]) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def _encoder(shipped, pattern: str) -> Encoder:
@@ -103,7 +106,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_i
     A null text is an empty one: no tokens, no bytes. Strings of special tokens are ordinary text. Rows stand for themselves, so
     repeated rows give repeated rows. Other columns are not read.
     """
-    shipped = _ship(docs, tokens)
+    shipped = docs.sparkSession.sparkContext.broadcast((tokens, piece_model(tokens)))  # about 2 MB for 50,000 tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(shipped, pattern)
@@ -112,29 +115,24 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [key, "n_tokens", "ids"])
 
     frame = docs.select(F.col(key), F.col(text))
-    return frame.mapInArrow(run, f"`{key}` {frame.schema[0].dataType.simpleString()}, n_tokens long, ids binary")
+    return frame.mapInArrow(tidy(run), f"`{key}` {frame.schema[0].dataType.simpleString()}, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, tokens: list[bytes], pattern: str = "", ids: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, tokens: list[bytes], ids: str = "ids") -> DataFrame:
     """encoded, with a binary column decoded: the bytes of the ids by the inverse mapping. Null ids decode to no bytes.
 
     Ids that are no rank raise IndexError.
     """
-    shipped = _ship(encoded, tokens)
+    shipped = encoded.sparkSession.sparkContext.broadcast(tokens)  # under a MB for 50,000 tokens
     schema = encoded.schema
     at = schema.fieldNames().index(ids)
     if "decoded" in schema.fieldNames():
         raise ValueError("there is a column decoded already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(shipped, pattern)
+        known = shipped.value
         for batch in batches:
-            out = [coder.decode(x) if x else b"" for x in batch.column(at).to_pylist()]
+            out = [text_of(x, known) if x else b"" for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType())]))
-
-
-def _ship(df: DataFrame, tokens: list[bytes]):
-    """Tokens and model, about 2 MB for 50,000 tokens, sent to each executor once."""
-    return df.sparkSession.sparkContext.broadcast((tokens, piece_model(tokens)))
+    return encoded.mapInArrow(tidy(run), T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
+from .common import tidy
 
 #: Words, prefixes and pairs that a worker remembers of each kind; beyond it, it starts anew.
 MEMORY = 400_000
@@ -237,4 +238,4 @@ def token_counts(docs: DataFrame, spec: dict, budget: int | None = None, key: st
             yield pa.RecordBatch.from_arrays(columns, [key, "n_bytes", "n_tokens", "cut_chars"][: len(columns)])
 
     frame = docs.select(F.col(key), F.col(text))
-    return frame.mapInArrow(run, f"`{key}` {frame.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long" + (", cut_chars long" if budget is not None else ""))
+    return frame.mapInArrow(tidy(run), f"`{key}` {frame.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long" + (", cut_chars long" if budget is not None else ""))

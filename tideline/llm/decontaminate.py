@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import views
+from .common import tidy, views
 from .words import ALNUM, FACTOR, LOWER, mix, word_hashes, word_ranges
 
 #: Item bytes in one automaton; a larger benchmark is streamed through several, one after the other.
@@ -247,7 +247,7 @@ def _attach(docs: DataFrame, own: list[str], index: Index, text: str, kind: T.Da
             new = [pa.array(np.concatenate(words) if words else [], pa.int64()), pa.array(hit, pa.int64()), pa.array(rows, arrow.field("spans").type), pa.array(ids, arrow.field("items").type)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *new], schema.names)
 
-    return docs.select(*own, *(["spans", "items"] if again else [])).mapInArrow(run, schema)
+    return docs.select(*own, *(["spans", "items"] if again else [])).mapInArrow(tidy(run), schema)
 
 
 def _union(spans: list[tuple]) -> list[tuple]:

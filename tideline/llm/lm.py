@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import views
+from .common import tidy, views
 from .eliasfano import Trie
 from .words import LOWER, SPACED, mix, word_hashes, word_ranges
 
@@ -95,7 +95,7 @@ def corpus_counts(docs: DataFrame, key: str, text: str, train: str, shards: int)
         return pa.table({"n": [int(n.sum())], "kinds": [len(n)], "top": pa.array([token[at[top]].view(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([n[top].tolist()], pa.list_(pa.int64()))})
 
     frame = _frame(docs, key, text, train)
-    found = frame.mapInArrow(count, "shard int, tokens binary, n binary").groupBy("shard").applyInArrow(total, "n long, kinds long, top array<long>, top_n array<long>").collect()
+    found = frame.mapInArrow(tidy(count), "shard int, tokens binary, n binary").groupBy("shard").applyInArrow(total, "n long, kinds long, top array<long>, top_n array<long>").collect()
     frequent = {k: v for r in found for k, v in zip(r["top"], r["top_n"], strict=True)}
     return sum(r["n"] for r in found), sum(r["kinds"] for r in found), docs.where(train).count(), frequent
 
@@ -241,7 +241,7 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text",
     shards = max(least_shards, int(size // 6 // shard_tokens) + 1)
     tokens, kinds, texts, top = corpus_counts(docs, key, text, train, shards)
     frequent = {k % 2**64: n for k, n in top.items() if 2 * shards * n > tokens}
-    asks = _frame(docs, key, text, train).mapInArrow(_ask(shards, np.array(sorted(frequent), np.uint64)), _ddl(_ASK))
+    asks = _frame(docs, key, text, train).mapInArrow(tidy(_ask(shards, np.array(sorted(frequent), np.uint64))), _ddl(_ASK))
     sums = asks.groupBy("shard").applyInArrow(_answer(tokens, kinds, prior, frequent), _ddl(_SUMS))
     rows = sums.groupBy("chunk").applyInArrow(_sum_up, "key long, train boolean, n_tokens long, n_known long, base double, score double")
     return rows.select(

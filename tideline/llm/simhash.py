@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, views
+from .common import materialise, tidy, views
 from .components import components
 from .hamming import Forest, TopTree, link
 from .words import mix
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, size: int = 3, wide: int = 1, bands: bool = Fa
     """
     frame = docs.select(F.col(key).alias("key"), F.col(text))
     schema = T.StructType([frame.schema[0], *(T.StructField(f"f{w}", T.LongType()) for w in range(wide)), *([T.StructField("bands", T.ArrayType(T.LongType()))] if bands else [])])
-    return frame.mapInArrow(_kernel(size, wide, bands), schema)
+    return frame.mapInArrow(tidy(_kernel(size, wide, bands)), schema)
 
 
 def _stars(points: np.ndarray, names: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def tree_links(prints: DataFrame, radius: int, sample: int = SAMPLE, leaf: int =
         a, b = _stars(f.view(np.uint64)[:, None], f, group.column("own").to_numpy(), radius)
         return pa.table({"a": a, "b": b})
 
-    return prints.select("f0").mapInArrow(deal, "leaf long, f0 long, own boolean").groupBy("leaf").applyInArrow(join, "a long, b long")
+    return prints.select("f0").mapInArrow(tidy(deal), "leaf long, f0 long, own boolean").groupBy("leaf").applyInArrow(join, "a long, b long")
 
 
 def linked_fingerprints(docs: DataFrame, size: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,7 +225,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = NEAR_WORDS, wide: int = N
     dealt = meet.join(met, "band").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", *f)
-    links = dealt.repartition("band", "low", "high").mapInArrow(_meet(wide, int(share * 64 * wide)), "a long, b long")
+    links = dealt.repartition("band", "low", "high").mapInArrow(tidy(_meet(wide, int(share * 64 * wide))), "a long, b long")
     roots = components(links)
     return rows.select("key", "node").join(roots, "node", "left").select(F.col("key").alias(key), "node", F.coalesce("root", "node").alias("root"))
 

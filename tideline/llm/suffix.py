@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, views
+from .common import materialise, tidy, views
 from .words import BYTE_VALUES, FACTOR, mix
 
 #: Bytes of a repeated string, and of a piece within it.
@@ -251,7 +251,7 @@ def _runs(docs: DataFrame, text: str, length: int, piece: int) -> DataFrame:
             if whole.any():
                 yield _batch(_RUN, r[whole], h[whole], d[whole], r[whole], s[whole], w[whole], np.zeros(whole.sum(), np.int8))
 
-    return docs.select("row", text).mapInArrow(run, _RUN_DDL)
+    return docs.select("row", text).mapInArrow(tidy(run), _RUN_DDL)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,14 +375,14 @@ def _bodies(length: int, text_at: int, runs_at: int):
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, piece: int = PIECE, shard_runs: int = SHARD_RUNS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """row, a, b: byte ranges that repeated strings of `length` bytes cover; row is xxhash64(key, text). Ranges may overlap."""
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
-    runs = materialise(_runs(rows, "text", length, piece).repartition("dest").mapInArrow(_settle, _RUN_DDL).drop("dest", "digest"), "runs")
+    runs = materialise(_runs(rows, "text", length, piece).repartition("dest").mapInArrow(tidy(_settle), _RUN_DDL).drop("dest", "digest"), "runs")
     whole = runs.where(F.col("kind") == WHOLE).select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
     differ = runs.where(F.col("kind") != WHOLE)
     n_bytes = differ.agg(F.sum(F.col("windows") + length)).first()[0] or 0
     shards = max(1, n_bytes // shard_bytes)
     by_row = differ.groupBy("row").agg(F.collect_list(F.struct("piece", "start", "windows", "kind")).alias("runs"))
     fetch, ddl = _bodies(length, 1, 2)
-    bodies = rows.join(by_row, "row").select("row", "text", "runs").mapInArrow(fetch, ddl)
+    bodies = rows.join(by_row, "row").select("row", "text", "runs").mapInArrow(tidy(fetch), ddl)
     large = differ.groupBy("piece").count().where(F.col("count") > shard_runs).select("piece", F.ceil(F.col("count") / shard_runs).cast("long").alias("parts"))
     dealt = bodies.join(large, "piece", "left").select(
         "piece", "row", "start", "windows", "kind", "body",
@@ -441,7 +441,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = docs.select(F.xxhash64(key, text).alias("_row"), *own, F.col(text).cast("binary").alias("_body"))
     both = rows.join(spans, rows["_row"] == spans["row"], "left").select(*own, "_body", "spans")
     schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
-    return both.mapInArrow(_cut(len(own)), schema)
+    return both.mapInArrow(tidy(_cut(len(own))), schema)
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, hash_share, materialise
+from .common import fresh_dir, hash_share, materialise, tidy
 
 #: Magic number of the skippable frame for dictionaries in WARC files.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -148,7 +148,7 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
         if out is not None:
             yield closed()
 
-    return materialise(marked(pages, page_id, url, html, revisit_bytes).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return materialise(marked(pages, page_id, url, html, revisit_bytes).mapInArrow(tidy(run), "path string, records long, bytes long"), "warc-manifest")
 
 
 def records(stream) -> Iterator[bytes]:
@@ -195,4 +195,4 @@ def read(manifest: DataFrame, payloads: bool = True, rows: int = 2000) -> DataFr
 
     names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     parts = max(1, min(manifest.count(), 10_000))
-    return manifest.select("path").repartition(parts, "path").mapInArrow(run, ", ".join(f"{k} {names[v]}" for k, v in fields.items()))
+    return manifest.select("path").repartition(parts, "path").mapInArrow(tidy(run), ", ".join(f"{k} {names[v]}" for k, v in fields.items()))
