@@ -64,12 +64,12 @@ def _ratio(spark, sf_dir):
 
 @query()
 def bayes_kalman(spark, sf_dir):
-    return fits.bayes_headline(fits.bayes_draws(_total_panel(spark, sf_dir), sampling={"chains": 2, "warmup": 150, "draws": 100, "seed": 20260520}))
+    return fits.bayes_headline(fits.bayes_draws(_total_panel(spark, sf_dir)))
 
 
 @query()
 def bayes_kalman_seasonal(spark, sf_dir):
-    return fits.bayes_headline(fits.bayes_draws(_total_panel(spark, sf_dir), seasonal_=True, sampling={"chains": 2, "warmup": 150, "draws": 100, "seed": 20260520}))
+    return fits.bayes_headline(fits.bayes_draws(_total_panel(spark, sf_dir), seasonal_=True))
 
 
 @query()

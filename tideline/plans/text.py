@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
 from ..functions import labels
-from ..sources import grids, web
+from ..sources import grids, tables, web
 from .registry import registry
 from .sources import read
 
@@ -153,3 +153,19 @@ def catalogue_resources(spark, sf_dir):
 @query("SELECT page_id, 'raw/web/2026-01-01/' || left(sha1(url), 10) || '.html' AS path FROM pages")
 def cache_paths(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.cache_path("web", "2026-01-01", "url", ".html").alias("path"))
+
+
+@query("""SELECT event_type AS label, date_trunc('month', o)::DATE AS period, count(*)::DOUBLE AS value FROM (SELECT event_type, DATE '2023-01-15' + to_months((user_id % 6)::INT) AS o FROM events) GROUP BY 1, 2""")
+def wide_table(spark, sf_dir):
+    """A column for each month, read back as rows."""
+    month = F.date_format(F.add_months(F.lit("2023-01-15").cast("date"), (F.col("user_id") % 6).cast("int")), "MMM yyyy")
+    rows = read(spark, sf_dir, "events").select("event_type", month.alias("m"))
+    wide = rows.groupBy("event_type").pivot("m", [f"{m} 2023" for m in ("Jan", "Feb", "Mar", "Apr", "May", "Jun")]).count()
+    return tables.wide_to_long(wide, "event_type").select("label", "period", "value")
+
+
+@query("""SELECT period, direction, sum(value) AS value FROM (SELECT date_trunc('month', o_orderdate)::DATE AS period, 'arrival' AS direction, o_custkey::DOUBLE AS value FROM orders
+UNION ALL SELECT date_trunc('month', o_orderdate)::DATE, 'departure', o_orderkey::DOUBLE FROM orders) GROUP BY 1, 2""")
+def directed_flows(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderdate", F.col("o_custkey").alias("inbound"), F.col("o_orderkey").alias("outbound"))
+    return tables.directed_flows(o).groupBy("period", "direction").agg(F.sum("value").alias("value"))
