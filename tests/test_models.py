@@ -89,6 +89,13 @@ def test_bayes_headline_orders_its_intervals(spark):
     assert sorted(got) == sorted(fits.bayes_headline(draws).collect())
 
 
+def test_lags_that_lead_or_are_learned(spark):
+    p = made_up_panel(spark, 20)
+    for how in ({"lead": 1}, {"learned": True}):
+        draws = fits.bayes_draws(p, sampling={"chains": 1, "warmup": 60, "draws": 20, "seed": 3}, **how)
+        assert {r.status for r in draws.select("status").distinct().collect()} == {"ok"} and fits.bayes_headline(draws).count() == 24
+
+
 def test_smoothed_ratios_keep_their_rows(spark):
     rows = [(p, "student", 0.5 + 0.01 * k if k % 7 else None) for k, p in enumerate(quarters(30))]
     r = spark.createDataFrame(rows, "period date, category string, pi_hat double")

@@ -273,10 +273,26 @@ def _bayes_filter(model: ss.Model, first: np.ndarray, y: np.ndarray, steps: int)
     return loglik, np.array(mean), np.array(sd)
 
 
-def _bayes_density(y: np.ndarray, weights: list[float], seasonal_: bool):
+#: Bounds of a learned lag shape, and the spread of its logarithms around the given one.
+LAG_BOUNDS, LAG_SD = ((0.3, 10.0), (0.1, 5.0)), 0.5
+
+
+def _bayes_density(y: np.ndarray, weights: list[float], seasonal_: bool, shape: tuple[float, float] | None = None):
+    """The log posterior; with shape, the last two parameters are the logs of the lag's shape and rate, around it."""
     p = PRIORS
 
     def density(x: np.ndarray) -> float:
+        lag = 0.0
+        used = weights
+        if shape:
+            ab, x = np.exp(x[-2:]), x[:-2]
+            if any(not low <= v <= high for v, (low, high) in zip(ab, LAG_BOUNDS, strict=True)):
+                return -np.inf
+            lag = -0.5 * ((np.log(ab / np.array(shape)) / LAG_SD) ** 2).sum()
+            used = gamma_weights(float(ab[0]), float(ab[1]), len(weights) - 1)
+        return lag + plain(x, used)
+
+    def plain(x: np.ndarray, weights: list[float]) -> float:
         if np.abs(x[2:8]).max() > 12 or seasonal_ and np.abs(x[10:]).max() > 12:
             return -np.inf
         model, first, v, n = _bayes_model(x, weights, seasonal_)
@@ -294,9 +310,13 @@ def _bayes_density(y: np.ndarray, weights: list[float], seasonal_: bool):
     return density
 
 
-def bayes_draws(panel: DataFrame, seasonal_: bool = False, alpha: float = 2.0, beta: float = 1.0, lag: int = 4, steps: int = STEPS, warm_quarters: int = 8, sampling: dict = SAMPLING) -> DataFrame:
-    """chain, draw, period, signal, sd, shift, obs_sd: what each draw says of the published figure's logarithm. A chain is a task."""
-    weights = gamma_weights(alpha, beta, lag)
+def bayes_draws(panel: DataFrame, seasonal_: bool = False, alpha: float = 2.0, beta: float = 1.0, lag: int = 4, steps: int = STEPS, warm_quarters: int = 8, sampling: dict = SAMPLING, lead: int | None = None, learned: bool = False) -> DataFrame:
+    """chain, draw, period, signal, sd, shift, obs_sd: what each draw says of the published figure's logarithm. A chain is a task.
+
+    lead: grants stand for the level so many quarters later, instead of a spread over lags; learned: the spread's shape is sampled too.
+    """
+    weights = [1.0] if lead is not None else gamma_weights(alpha, beta, lag)
+    first_grants, shape = (lead if lead is not None else lag), (alpha, beta) if learned and lead is None else None
     spark = panel.sparkSession
     chains = spark.createDataFrame([(k,) for k in range(sampling["chains"])], "chain int").repartition(sampling["chains"])
     rows = chains.crossJoin(_joint_series(panel))
@@ -308,15 +328,18 @@ def bayes_draws(panel: DataFrame, seasonal_: bool = False, alpha: float = 2.0, b
         with np.errstate(divide="ignore", invalid="ignore"):
             y = np.log(group[["arrivals", "target", "grants"]].to_numpy(float))
         y[~np.isfinite(y)] = np.nan
-        y[:lag, 2] = np.nan
+        if lead:
+            y[lead:, 2] = y[:-lead, 2].copy()
+        y[:first_grants, 2] = np.nan
         chain = int(group["chain"].iloc[0])
         level = np.nanmean(y[:4, 0]) if np.isfinite(y[:4, 0]).any() else PRIORS["mu0"]
         gap = lambda k: np.nan_to_num(np.nanmean(y[:, k] - y[:, 0]) if np.isfinite(y[:, k] - y[:, 0]).any() else 0.0)
-        start = np.array([gap(2), gap(1), -2, -2, -2, -3, -4, 1.5, level, 0.0, *([-3.5] * 2 if seasonal_ else [])])
-        draws, _ = ss.adaptive_metropolis(_bayes_density(y, weights, seasonal_), start, sampling["draws"], sampling["warmup"], sampling["seed"] + chain)
+        start = np.array([gap(2), gap(1), -2, -2, -2, -3, -4, 1.5, level, 0.0, *([-3.5] * 2 if seasonal_ else []), *(np.log(shape) if shape else [])])
+        draws, _ = ss.adaptive_metropolis(_bayes_density(y, weights, seasonal_, shape), start, sampling["draws"], sampling["warmup"], sampling["seed"] + chain)
         periods, out = _future(group["period"], steps), []
         for d, x in enumerate(draws):
-            model, first, v, n = _bayes_model(x, weights, seasonal_)
+            used = gamma_weights(*np.exp(x[-2:]).tolist(), lag) if shape else weights
+            model, first, v, n = _bayes_model(x[: len(x) - 2 * bool(shape)], used, seasonal_)
             _, mean, sd = _bayes_filter(model, first, y - np.array([0.0, n, v]), steps)
             out.append(pd.DataFrame({"draw": d, "period": periods, "signal": mean, "sd": sd, "shift": n, "obs_sd": np.exp(x[4]), "status": "ok"}))
         return pd.concat(out, ignore_index=True)

@@ -72,6 +72,16 @@ def bayes_kalman_seasonal(spark, sf_dir):
     return fits.bayes_headline(fits.bayes_draws(_total_panel(spark, sf_dir), seasonal_=True))
 
 
+@query()
+def bayes_single_lead(spark, sf_dir):
+    return fits.bayes_headline(fits.bayes_draws(_total_panel(spark, sf_dir), lead=1))
+
+
+@query()
+def bayes_learned_lag(spark, sf_dir):
+    return fits.bayes_headline(fits.bayes_draws(_total_panel(spark, sf_dir), learned=True))
+
+
 @query()
 def backtest_replay(spark, sf_dir):
     """Three origins, one of them before any recorded vintage."""
