@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import small_batches, tidy
 
 #: Pre-tokens that a worker remembers; beyond it, it starts anew.
 MEMORY = 200_000
@@ -114,7 +114,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_i
             ids = [coder.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [key, "n_tokens", "ids"])
 
-    frame = docs.select(F.col(key), F.col(text))
+    frame = small_batches(docs.select(F.col(key), F.col(text)))
     return frame.mapInArrow(tidy(run), f"`{key}` {frame.schema[0].dataType.simpleString()}, n_tokens long, ids binary")
 
 
@@ -135,4 +135,4 @@ def decode(encoded: DataFrame, tokens: list[bytes], ids: str = "ids") -> DataFra
             out = [text_of(x, known) if x else b"" for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(tidy(run), T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return small_batches(encoded).mapInArrow(tidy(run), T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -73,6 +73,18 @@ def fitted_sample(docs: DataFrame, label: str, key: str, per_label: int) -> tupl
     return docs.where(keep), sorted(counts)
 
 
+#: Rows that Spark hands to Python at once: with texts of some KB, a batch of 10 MB or so on either side.
+BATCH_ROWS = 2500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands no more than BATCH_ROWS rows to Python at once: whole texts make the default of 10,000 heavy."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def tidy(run):
     """A mapInArrow function that gives its freed memory back when its partition is done: Python workers live on, idle, beside what runs next."""
 

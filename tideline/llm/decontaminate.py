@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy, views
+from .common import small_batches, tidy, views
 from .words import ALNUM, FACTOR, LOWER, mix, word_hashes, word_ranges
 
 #: Item bytes in one automaton; a larger benchmark is streamed through several, one after the other.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 
 
 class SuffixAutomaton:
@@ -212,7 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key:
     judged each by itself. If docs already has one of the new columns, it is replaced.
     """
     new = ["n_words", "n_hit", "spans", "items"]
-    docs = docs.drop(*new)
+    docs = small_batches(docs.drop(*new))
     kind = benchmark.schema[item].dataType
     found = None
     for index in _indexes(benchmark, item, text, window):

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, views
+from .common import small_batches, tidy, views
 from .eliasfano import Trie
 from .words import LOWER, SPACED, mix, word_hashes, word_ranges
 
@@ -101,7 +101,7 @@ def corpus_counts(docs: DataFrame, key: str, text: str, train: str, shards: int)
 
 
 def _frame(docs: DataFrame, key: str, text: str, train: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    return small_batches(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
 
 
 _ASK = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("contexts", pa.binary()), ("rows", pa.binary()), ("docs", pa.binary()), ("train", pa.binary())])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted_sample, tidy, views
+from .common import fitted_sample, small_batches, tidy, views
 from .words import LOWER
 
 #: Longest context in bytes.
@@ -60,7 +60,7 @@ def context_counts(sample: DataFrame, label: str, text: str, order: int) -> Data
                     key, n = np.unique(keys[real & (names[a:b] == name)[owner]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key), pa.array(n.astype(np.int64))], ["label", "key", "n"])
 
-    counts = sample.select(F.col(label).cast("string"), F.col(text)).mapInArrow(tidy(run), "label string, key long, n long")
+    counts = small_batches(sample).select(F.col(label).cast("string"), F.col(text)).mapInArrow(tidy(run), "label string, key long, n long")
     return counts.groupBy("label", "key").agg(F.sum("n").alias("n"))
 
 
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFr
                 scores.append(np.where(known, share, 0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*own, "lang_pred", "score"])
 
-    marked = docs.withColumn(mark, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    marked = small_batches(docs).withColumn(mark, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     from pyspark.sql import types as T
 
     return marked.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, tidy, views
+from .common import materialise, small_batches, tidy, views
 from .components import components
 from .hamming import Forest, TopTree, link
 from .words import mix
 
 SEED = 42
+#: Text bytes whose shingles are looked at together.
+SLICE = 1 << 20
 #: Fingerprints that the top tree is grown from, and that a leaf holds, about. The sample is a fixed bound; beyond it leaves grow.
 SAMPLE, LEAF = 16_384, 4096
 #: Minima that a sketch keeps, and how many in a row make a key under which documents meet.
@@ -81,7 +83,7 @@ def _kernel(size: int, wide: int, bands: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, keys = [], []
-            for a, b, raw, offsets in views(batch.column(1)):
+            for a, b, raw, offsets in views(batch.column(1), SLICE):
                 body, at = raw.tobytes().lower(), offsets.tolist()
                 each = [shingle_hashes(body[x:y], size) for x, y in zip(at, at[1:], strict=False)]
                 counts = np.array([len(x) for x in each], np.int64)
@@ -108,7 +110,7 @@ def fingerprints(docs: DataFrame, size: int = 3, wide: int = 1, bands: bool = Fa
     A-Z is lower-cased; words are parted by ASCII white space. A text with fewer words than a shingle is one shingle; a null text, or one
     without words, has fingerprint zero (and the meeting keys of all such texts). f0 is the plain SimHash of XXH64 with seed 42; further words take other mixes of the same hashes.
     """
-    frame = docs.select(F.col(key).alias("key"), F.col(text))
+    frame = small_batches(docs).select(F.col(key).alias("key"), F.col(text))
     schema = T.StructType([frame.schema[0], *(T.StructField(f"f{w}", T.LongType()) for w in range(wide)), *([T.StructField("bands", T.ArrayType(T.LongType()))] if bands else [])])
     return frame.mapInArrow(tidy(_kernel(size, wide, bands)), schema)
 

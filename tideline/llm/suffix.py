@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, tidy, views
+from .common import materialise, small_batches, tidy, views
 from .words import BYTE_VALUES, FACTOR, mix
 
 #: Bytes of a repeated string, and of a piece within it.
 LENGTH, PIECE = 200, 48
 #: Runs of one piece in a shard at most, and bytes whose suffixes are sorted at once, about.
 SHARD_RUNS, SHARD_BYTES = 4096, 1 << 20
+#: Split pieces that are sent to every task.
+FEW = 20_000
 #: Window starts that are looked at together; longer texts go in overlapping parts.
 PART = 2 << 20
 _powers: list[np.ndarray] = []
@@ -374,7 +376,7 @@ def _bodies(length: int, text_at: int, runs_at: int):
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, piece: int = PIECE, shard_runs: int = SHARD_RUNS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """row, a, b: byte ranges that repeated strings of `length` bytes cover; row is xxhash64(key, text). Ranges may overlap."""
-    rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
+    rows = small_batches(docs).select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
     runs = materialise(_runs(rows, "text", length, piece).repartition("dest").mapInArrow(tidy(_settle), _RUN_DDL).drop("dest", "digest"), "runs")
     whole = runs.where(F.col("kind") == WHOLE).select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
     differ = runs.where(F.col("kind") != WHOLE)
@@ -384,6 +386,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     fetch, ddl = _bodies(length, 1, 2)
     bodies = rows.join(by_row, "row").select("row", "text", "runs").mapInArrow(tidy(fetch), ddl)
     large = differ.groupBy("piece").count().where(F.col("count") > shard_runs).select("piece", F.ceil(F.col("count") / shard_runs).cast("long").alias("parts"))
+    few = large.limit(FEW + 1).collect()
+    if len(few) <= FEW:  # a checked size; with more of them Spark joins as it likes
+        large = F.broadcast(docs.sparkSession.createDataFrame(few, "piece long, parts long"))
     dealt = bodies.join(large, "piece", "left").select(
         "piece", "row", "start", "windows", "kind", "body",
         F.col("parts").isNotNull().alias("split"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, hash_share, materialise, tidy
+from .common import fresh_dir, hash_share, materialise, small_batches, tidy
 
 #: Magic number of the skippable frame for dictionaries in WARC files.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -98,7 +98,7 @@ def marked(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     Only digests that occur twice or more are joined back, so most payloads match nothing; a frequent digest is split by the skew join.
     """
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("digest"))
+    rows = small_batches(pages).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("digest"))
     large = F.octet_length("html") >= revisit_bytes
     firsts = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     other = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
