@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.calendar import first_observable, quarter_start
 from ..functions.nulls import sum_or_zero
+from .staging import staged
 
 CELL = ["quarter", "category", "direction"]
 
@@ -38,6 +39,8 @@ def monthly_to_quarterly(monthly: DataFrame, partial: str = "scale", share_years
     if partial not in ("raw", "drop", "scale"):
         raise ValueError(partial)
     rows = monthly.where(F.col("period").isNotNull()).withColumn("quarter", quarter_start("period"))
+    if partial == "scale":  # read by four branches
+        rows = staged(rows.select("period", "category", "direction", "value", "quarter"), "monthly")
     cells = rows.groupBy(*CELL).agg(sum_or_zero("value").alias("value"), F.count_distinct("period").cast("int").alias("n_months"))
     if partial == "raw":
         return cells
@@ -112,9 +115,9 @@ def dense_grid(frames: list[DataFrame], categories: list[str]) -> DataFrame:
 
 def build_panel(flows: DataFrame, published: DataFrame, grants: DataFrame, categories: list[str], partial: str = "scale", share_years: int = 5, proportional: bool = True) -> DataFrame:
     """The dense panel of quarters and categories (and total); what is missing stays null."""
-    moved = by_direction(monthly_to_quarterly(flows, partial, share_years))
-    known = by_status(published)
-    granted = grants_by_quarter(grants, moved.select("period", "category", F.col("oad_lt_arrivals").alias("weight")), proportional)
+    moved = staged(by_direction(monthly_to_quarterly(flows, partial, share_years)), "moved")
+    known = staged(by_status(published), "known")
+    granted = staged(grants_by_quarter(grants, moved.select("period", "category", F.col("oad_lt_arrivals").alias("weight")), proportional), "granted")
     grid = dense_grid([moved, known, granted], [*categories, "total"])
     keys = ["period", "category"]
     return grid.join(moved, keys, "left").join(known, keys, "left").join(granted, keys, "left").select(*PANEL)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import panel, ratios, scoring
 from ..operators.ratios import Z80, Z95
+from ..operators.staging import staged
 from .frames import FLOWS, RATIO_SQL, SCALED, WIDE, _panel
 from .registry import registry, rounded
 from .sources import FLOW_SQL, flow, read
@@ -31,7 +32,7 @@ def _forecasts(spark, sf_dir):
 
 
 def _nowcast(spark, sf_dir):
-    pi = ratios.empirical_ratio(_panel(spark, sf_dir), ceiling=12000.0).select("period", "category", F.col("pi_hat").alias("pi_smoothed"), F.lit(0.02).alias("pi_se"))
+    pi = staged(ratios.empirical_ratio(_panel(spark, sf_dir), ceiling=12000.0).select("period", "category", F.col("pi_hat").alias("pi_smoothed"), F.lit(0.02).alias("pi_se")), "ratio")
     return ratios.nowcast_by_category(_forecasts(spark, sf_dir), pi, ratios.last_value(pi, ["category"], "pi_smoothed"))
 
 

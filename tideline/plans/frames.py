@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.calendar import fy_start
 from ..functions.nulls import sum_strict
 from ..operators import panel, ratios, scoring
+from ..operators.staging import staged
 from .registry import registry, rounded
 from .sources import ANNUAL_SQL, FLOW_SQL, PUBLISHED_SQL, annual, flow, published, read
 
@@ -133,10 +135,8 @@ FROM periods CROSS JOIN levels LEFT JOIN wide USING (period, category) LEFT JOIN
 
 def _panel(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    from ..functions.calendar import fy_start
-
     grants = o.groupBy(fy_start(F.col("o_orderdate").cast("date")).alias("period"), F.col("o_orderpriority").alias("category")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("period_unit", F.lit("year"))
-    return panel.build_panel(flow(spark, sf_dir), _statuses(spark, sf_dir), grants, LEVELS)
+    return staged(panel.build_panel(flow(spark, sf_dir), _statuses(spark, sf_dir), grants, LEVELS), "panel")
 
 
 @query(f"{PANEL_SQL} SELECT period, category, {WIDE_OUT}, round(visa_grants, 4) AS visa_grants, {KNOWN_OUT} FROM panel")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import quarter_start
 from ..operators import fits, panel, replay
+from ..operators.staging import staged
 from ..streaming.capture import windowed_counts
 from .registry import registry, rounded
 from .sources import flow, published, read
@@ -15,10 +16,10 @@ QUERIES, ORACLES, query = registry()
 
 def _total_panel(spark, sf_dir):
     """A panel whose total has arrivals and figures, and whose categories have grants."""
-    q = panel.by_direction(panel.monthly_to_quarterly(flow(spark, sf_dir)))
+    q = staged(panel.by_direction(panel.monthly_to_quarterly(flow(spark, sf_dir))), "quarterly")
     total = q.groupBy("period").agg(F.sum("oad_lt_arrivals").alias("oad_lt_arrivals"), F.sum("oad_lt_net").alias("oad_lt_net"), (F.sum("oad_lt_departures") * 0.6).alias("nom_final")).withColumn("category", F.lit("total"))
     each = q.select("period", "category", "oad_lt_arrivals", "oad_lt_net", F.col("oad_lt_departures").alias("visa_grants"))
-    return each.unionByName(total, allowMissingColumns=True)
+    return staged(each.unionByName(total, allowMissingColumns=True), "panel")
 
 
 @query()
@@ -91,7 +92,7 @@ def backtest_replay(spark, sf_dir):
     recorded = figures.withColumn("vintage_date", F.add_months("period", 6)).where("period >= date '1999-10-01'")
     at = flows.crossJoin(F.broadcast(origins)).where(F.add_months("period", 1) <= F.col("asof_date"))
     known = replay.known_at(origins, recorded, figures, ["period", "category"], 183)
-    runs = replay.replay(replay.panels_at(at, known))
+    runs = staged(replay.replay(staged(replay.panels_at(at, known), "panels")), "runs")
     truth = figures.select(quarter_start("period").alias("period"), "category", F.col("value").alias("nom_truth"))
     return replay.scored(runs, truth)
 
