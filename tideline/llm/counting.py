@@ -9,7 +9,6 @@ budgets are then looked up, and nothing is encoded again.
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import tidy
+from .common import small_batches, tidy
 
 #: Words, prefixes and pairs that a worker remembers of each kind; beyond it, it starts anew.
 MEMORY = 400_000
@@ -160,13 +159,18 @@ class Prefixes(dict):
             at.append(at[-1] + len(c.encode()))
         return [0] + [self.whole(text[:i], done) for i in at[1:]]
 
-    def normal(self, text: str) -> str:
+    def folded(self, text: str) -> str:
+        """text composed and in lower case."""
         import unicodedata
 
-        text = self.white.sub(" ", unicodedata.normalize("NFC", text))
+        text = unicodedata.normalize("NFC", text)
         # each character by itself: a final sigma is as any other
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
+    def normal(self, text: str) -> str:
+        """The normalised text: white space is one blank, composed, in lower case."""
+        return self.white.sub(" ", self.folded(text))
+
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text's parts and whether each is a special token."""
         if self.special is None or not any(s in text for s in self.special_strings):
@@ -176,7 +180,7 @@ class Prefixes(dict):
             yield part, k % 2 == 1
 
     def count(self, text: str) -> int:
-        return sum(1 if special else sum(map(self.__getitem__, self.words.findall(self.normal(part)))) for part, special in self.pieces(text))
+        return sum(1 if special else sum(map(self.__getitem__, self.words.findall(self.folded(part)))) for part, special in self.pieces(text))
 
     def table(self, text: str) -> tuple[list[int], list[int], list[str]]:
         """(ends, counts, words): characters of the normalised text up to the end of each word, and the exact number of tokens up to there.
@@ -195,14 +199,18 @@ class Prefixes(dict):
         return ends, counts, words
 
     def within(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of the normalised text, to the end of a word or within one, of at most budget tokens."""
-        ends, counts, words = self.table(text)
-        k = bisect_right(counts, budget)
-        at, left = (ends[k - 1], budget - counts[k - 1]) if k else (0, budget)
-        if k < len(words) and left > 0 and words[k] not in self.special_strings:
-            inside = self.counts(words[k])
-            best = max(i for i, n in enumerate(inside) if n <= left)
-            at = ends[k] - len(words[k]) + best if best else at
+        """Characters of the longest prefix of the normalised text, to the end of a word or within one, of at most budget tokens. The text is read as far as the budget goes."""
+        at = base = total = 0
+        for part, special in self.pieces(text):
+            shown = part if special else self.normal(part)
+            words = [(0, len(part), 1)] if special else ((m.start(), m.end(), self[m[0]]) for m in self.words.finditer(shown))
+            for a, b, n in words:
+                if total + n > budget:
+                    inside = [0] if special else self.counts(shown[a:b])
+                    best = max(i for i, k in enumerate(inside) if total + k <= budget)
+                    return base + a + best if best else at
+                at, total = base + b, total + n
+            base += len(shown)
         return at
 
 
@@ -237,5 +245,5 @@ def token_counts(docs: DataFrame, spec: dict, budget: int | None = None, key: st
                 columns.append(pa.array([prefixes.within(t, budget) if k > budget else None for t, k in zip(texts, n, strict=True)], pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, [key, "n_bytes", "n_tokens", "cut_chars"][: len(columns)])
 
-    frame = docs.select(F.col(key), F.col(text))
+    frame = small_batches(docs.select(F.col(key), F.col(text)))
     return frame.mapInArrow(tidy(run), f"`{key}` {frame.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long" + (", cut_chars long" if budget is not None else ""))
