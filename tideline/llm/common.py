@@ -56,9 +56,9 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 
 def hash_share(column: str, share: float):
-    """True for about that share of the rows, by a hash of column alone: the same rows on every run and machine."""
+    """True for about that share of the rows, by a hash of column alone: the same rows on every run and machine. False where column is null: nulls would be in or out together."""
     limit = int(min(1.0, max(0.0, share)) * 2**31)
-    return F.xxhash64(F.lit("share"), F.col(column)).bitwiseAND(F.lit(2**31 - 1)) < F.lit(limit)
+    return F.col(column).isNotNull() & (F.xxhash64(F.lit("share"), F.col(column)).bitwiseAND(F.lit(2**31 - 1)) < F.lit(limit))
 
 
 def fitted_sample(docs: DataFrame, label: str, key: str, per_label: int) -> tuple[DataFrame, list]:
