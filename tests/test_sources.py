@@ -36,6 +36,12 @@ def test_header_row(spark):
     assert grids.header_row(spark.createDataFrame(rows, "sheet string, row int, col int, text string"), ["sheet"]).first().header == 4
 
 
+def test_labelled_series(spark):
+    rows = [("s", 1, 2, "Net overseas migration ;"), ("s", 1, 3, "Births"), ("s", 2, 2, "'000"), ("s", 11, 1, "Mar-2020"), ("s", 11, 2, "12.3455"), ("s", 11, 3, "9"), ("s", 12, 1, "Jun-2020"), ("s", 12, 2, "n/a"), ("s", 4, 2, "55")]
+    got = grids.labelled_series(spark.createDataFrame(rows, "sheet string, row int, col int, text string"), ["sheet"], "(?i)net overseas").collect()
+    assert [(str(r.period), r.value) for r in got] == [("2020-03-01", 12346.0)]
+
+
 def test_workbook(spark, tmp_path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

@@ -65,3 +65,22 @@ def offset(pairs: DataFrame, keys: list[str], target: str, reference: str, least
     both = F.col(target).isNotNull() & F.col(reference).isNotNull()
     n = F.count(F.when(both, 1))
     return pairs.groupBy(*keys).agg(n.alias("n"), F.when(n >= least, F.avg(F.when(both, F.col(target) - F.col(reference)))).otherwise(F.lit(0.0)).alias("shift"))
+
+
+def preliminary(panel: DataFrame) -> DataFrame:
+    """period, category, nom_mean: the first published figures as a forecast of the final ones."""
+    return panel.where(F.col("nom_preliminary").isNotNull()).select("period", "category", F.col("nom_preliminary").alias("nom_mean"))
+
+
+def latest_truth(observations: DataFrame, keys: list[str], by: list[str], vintage: str = "vintage_date") -> DataFrame:
+    """by, nom_truth: the latest vintage of each key, summed by the columns in by (nothing sums to 0)."""
+    last = observations.groupBy(*keys).agg(F.max_by(F.struct("value"), vintage).alias("_l")).select(*keys, "_l.value")
+    return last.groupBy(*by).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("nom_truth"))
+
+
+def with_preliminary(truth: DataFrame, first: DataFrame, origins: DataFrame, keys: list[str], day: str = "asof_date") -> DataFrame:
+    """day, keys, nom_truth, nom_prelim and prelim_is_truth: figures as first published at each origin; where an origin has none at all, the truth stands in for them, and is flagged."""
+    has = first.select(day).distinct().withColumn("_has", F.lit(True))
+    rows = truth.crossJoin(F.broadcast(origins.select(day).distinct())).join(F.broadcast(has), day, "left").join(first, [day, *keys], "left")
+    stand_in = F.col("_has").isNull()
+    return rows.select(day, *keys, "nom_truth", F.when(stand_in, F.col("nom_truth")).otherwise(F.col("nom_prelim")).alias("nom_prelim"), stand_in.alias("prelim_is_truth"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import panel, ratios, scoring
 from ..operators.ratios import Z80, Z95
 from ..operators.staging import staged
-from .frames import FLOWS, RATIO_SQL, SCALED, WIDE, _panel
+from .frames import PANEL_SQL, RATIO_SQL, SCALED, WIDE, _panel
 from .registry import registry, rounded
 from .sources import FLOW_SQL, flow, read
 
@@ -165,3 +165,27 @@ def kalman_local_level(spark, sf_dir):
 
     end = F.aggregate(F.slice("ys", F.lit(2), F.size("ys") - 1), first, step)
     return series.select("category", F.size("ys").cast("long").alias("n"), F.round(end["level"], 6).alias("level"), F.round(end["p"], 6).alias("variance"))
+
+
+@query("""SELECT series_id, round(coalesce(sum(value), 0), 4) AS nom_truth FROM (SELECT event_type AS series_id, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC) AS r FROM events) WHERE r = 1 GROUP BY 1""")
+def latest_truth(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "user_id", "ts", "value")
+    return rounded(scoring.latest_truth(rows, ["series_id", "user_id"], ["series_id"], "ts"), "nom_truth", places=4)
+
+
+@query(f"{PANEL_SQL} SELECT period, category, round(nom_preliminary, 6) AS nom_mean FROM panel WHERE nom_preliminary IS NOT NULL")
+def preliminary_forecast(spark, sf_dir):
+    return rounded(scoring.preliminary(_panel(spark, sf_dir)), "nom_mean")
+
+
+@query("""WITH t AS (SELECT event_type AS series_id, sum(value) AS nom_truth FROM events GROUP BY 1), o(asof_date) AS (VALUES (DATE '2023-12-31'), (DATE '2024-01-15')),
+f AS (SELECT asof_date, event_type AS series_id, sum(value) AS nom_prelim FROM events JOIN o ON ts::DATE <= asof_date WHERE event_type <> 'click' GROUP BY 1, 2)
+SELECT asof_date, series_id, round(nom_truth, 4) AS nom_truth, round(CASE WHEN asof_date IN (SELECT asof_date FROM f) THEN nom_prelim ELSE nom_truth END, 4) AS nom_prelim, asof_date NOT IN (SELECT asof_date FROM f) AS prelim_is_truth
+FROM t CROSS JOIN o LEFT JOIN f USING (asof_date, series_id)""")
+def truth_and_preliminary(spark, sf_dir):
+    """Figures known at two origins, one before there were any."""
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "value")
+    origins = spark.createDataFrame([("2023-12-31",), ("2024-01-15",)], "d string").select(F.col("d").cast("date").alias("asof_date"))
+    first = e.where("series_id <> 'click'").join(F.broadcast(origins), F.col("ts").cast("date") <= F.col("asof_date")).groupBy("asof_date", "series_id").agg(F.sum("value").alias("nom_prelim"))
+    truth = e.groupBy("series_id").agg(F.sum("value").alias("nom_truth"))
+    return rounded(scoring.with_preliminary(truth, first, origins, ["series_id"]), "nom_truth", "nom_prelim", places=4)

@@ -110,3 +110,14 @@ def reconciled(values: DataFrame, totals: DataFrame, limit: float = 0.01) -> Dat
 def visa_columns(cells: DataFrame, header: int) -> DataFrame:
     """col, label, category of the columns of a movement table; unnamed ones and totals have none."""
     return cells.where((F.col("row") == header) & (F.col("col") > 1)).select("col", F.col("text").alias("label"), labels.visa_group("text").alias("category")).where("category is not null")
+
+
+def labelled_series(cells: DataFrame, keys: list[str], pattern: str, label_row: int = 1, unit_row: int = 2, first_row: int = 11) -> DataFrame:
+    """keys, label, period, value: the columns whose label matches, by the months in column 1. Columns in thousands ('000) are scaled and rounded half to even."""
+    heads = cells.where((F.col("row") == label_row) & F.col("text").rlike(pattern)).select(*keys, "col", F.col("text").alias("label"))
+    units = cells.where((F.col("row") == unit_row) & F.trim("text").contains("000")).select(*keys, "col", F.lit(1000.0).alias("_scale"))
+    columns = heads.join(F.broadcast(units), [*keys, "col"], "left")
+    dates = cells.where((F.col("col") == 1) & (F.col("row") >= first_row)).select(*keys, "row", month_label("text").alias("period"))
+    body = cells.where(F.col("row") >= first_row).select(*keys, "row", "col", F.col("text").try_cast("double").alias("value"))
+    value = F.when(F.col("_scale").isNotNull(), F.bround(F.col("value") * F.col("_scale"))).otherwise(F.col("value"))
+    return body.join(F.broadcast(columns), [*keys, "col"]).join(dates, [*keys, "row"]).where("period is not null and value is not null").select(*keys, "label", "period", value.alias("value"))
