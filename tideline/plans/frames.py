@@ -25,10 +25,11 @@ def clean_grants_exclude(spark, sf_dir):
 
 
 @query("""SELECT date_trunc('quarter', l_shipdate)::DATE AS period, l_returnflag AS category, CASE WHEN count(v) = count(*) THEN round(sum(v), 4) END AS strict, round(coalesce(sum(v), 0), 4) AS loose
-FROM (SELECT *, nullif(l_quantity, 50) AS v FROM lineitem WHERE l_linenumber = 7) GROUP BY 1, 2""")
+FROM (SELECT *, CASE WHEN l_quantity = 50 AND day(l_shipdate) = 1 THEN NULL ELSE l_quantity END AS v FROM lineitem) GROUP BY 1, 2""")
 def clean_target(spark, sf_dir):
     """Sums with and without nulls."""
-    rows = read(spark, sf_dir, "lineitem").where("l_linenumber = 7").withColumn("v", F.expr("nullif(l_quantity, 50)"))
+    unknown = (F.col("l_quantity") == 50) & (F.dayofmonth("l_shipdate") == 1)
+    rows = read(spark, sf_dir, "lineitem").withColumn("v", F.when(~unknown, F.col("l_quantity")))
     return rows.groupBy(F.trunc("l_shipdate", "quarter").alias("period"), F.col("l_returnflag").alias("category")).agg(F.round(sum_strict("v"), 4).alias("strict"), F.round(F.coalesce(F.sum("v"), F.lit(0.0)), 4).alias("loose"))
 
 
@@ -63,15 +64,16 @@ def fy_spread_equal(spark, sf_dir):
     return rounded(panel.annual_to_quarterly(annual(spark, sf_dir), keys=["category"]), "value")
 
 
-WEIGHTS = "w AS (SELECT l_returnflag AS category, date_trunc('quarter', l_shipdate)::DATE AS period, sum(l_extendedprice) - 1000000 AS weight FROM lineitem WHERE month(l_shipdate) <> 11 AND l_linenumber < 4 GROUP BY 1, 2)"
+WEIGHTS = "w AS (SELECT l_returnflag AS category, date_trunc('quarter', l_shipdate)::DATE AS period, round(sum(l_extendedprice * (l_discount - 0.05::DOUBLE)), 2) AS weight FROM lineitem GROUP BY 1, 2)"
 
 
 @query(f"""WITH {ANNUAL_SQL}, {WEIGHTS}, qq AS ({QUARTERS}), j AS (SELECT qq.*, sum(weight) OVER p AS raw, greatest(coalesce(weight, 0), 0) AS own, sum(greatest(coalesce(weight, 0), 0)) OVER p AS total
 FROM qq LEFT JOIN w USING (category, period) WINDOW p AS (PARTITION BY category, yr))
 SELECT category, period, round(value * CASE WHEN raw > 0 THEN own / total ELSE 0.25::DOUBLE END, 4) AS value FROM j""")
 def fy_spread_proportional(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where((F.month("l_shipdate") != 11) & (F.col("l_linenumber") < 4))
-    w = rows.groupBy(F.col("l_returnflag").alias("category"), F.trunc("l_shipdate", "quarter").alias("period")).agg((F.sum("l_extendedprice") - 1000000).alias("weight"))
+    """Weights of either sign."""
+    rows = read(spark, sf_dir, "lineitem")
+    w = rows.groupBy(F.col("l_returnflag").alias("category"), F.trunc("l_shipdate", "quarter").alias("period")).agg(F.round(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)), 2).alias("weight"))
     return rounded(panel.annual_to_quarterly(annual(spark, sf_dir), w, ["category"]), "value", places=4)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
 from ..functions import labels
@@ -22,10 +21,10 @@ def case(column: str, rules: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {hit(p)} THEN '{v}'" for p, v in rules) + " END"
 
 
-@query(f"SELECT doc_id, {case('left(text, 400)', labels.VISA_GROUP_RULES[1:])} AS category FROM documents")
+@query(f"SELECT doc_id, {case('text', labels.VISA_GROUP_RULES[1:])} AS category FROM documents")
 def classify_ordered_regex(spark, sf_dir):
-    """Movement-table rules on the beginnings of texts: a label is short by its nature."""
-    return read(spark, sf_dir, "documents").select("doc_id", labels.by_rules(F.substring("text", 1, 400), labels.VISA_GROUP_RULES[1:]).alias("category"))
+    """Movement-table rules on whole texts."""
+    return read(spark, sf_dir, "documents").select("doc_id", labels.by_rules("text", labels.VISA_GROUP_RULES[1:]).alias("category"))
 
 
 TITLES = "CASE o_orderpriority WHEN '1-URGENT' THEN 'Student visas granted' WHEN '2-HIGH' THEN 'Temporary Work (Skilled)' WHEN '3-MEDIUM' THEN 'Visitor visa' WHEN '4-NOT SPECIFIED' THEN 'Partner and family' ELSE 'Something else' END"
@@ -36,16 +35,12 @@ def classify_title(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", labels.dataset(F.expr(TITLES)).alias("category"))
 
 
-
-
-@query("""SELECT p_partkey, CASE WHEN c IN ('500', '570') THEN 'student' WHEN c IN ('190', '482') THEN 'skilled' WHEN c IN ('100', '300') THEN 'family' WHEN c IN ('010', '020', '040', '060', '070') THEN 'bridging' WHEN c IN ('400') THEN 'other_temp' ELSE 'other' END AS category
-FROM (SELECT p_partkey, lpad((p_size * 10)::VARCHAR, 3, '0') AS c FROM part) WHERE c NOT IN ('310', '050', '030')""")
+@query("""SELECT p_partkey, CASE WHEN c IN ('500', '570') THEN 'student' WHEN c IN ('190', '482') THEN 'skilled' WHEN c IN ('100', '300', '310') THEN 'family' WHEN c IN ('010', '020', '030', '040', '050', '060', '070') THEN 'bridging' WHEN c IN ('400') THEN 'other_temp' ELSE 'other' END AS category
+FROM (SELECT p_partkey, lpad((p_size * 10)::VARCHAR, 3, '0') AS c FROM part)""")
 def classify_subclass(spark, sf_dir):
     """Part sizes as subclass numbers."""
     p = read(spark, sf_dir, "part").select("p_partkey", F.lpad((F.col("p_size") * 10).cast("string"), 3, "0").alias("c"))
-    return p.where("c not in ('310', '050', '030')").select("p_partkey", labels.subclass("c").alias("category"))
-
-
+    return p.select("p_partkey", labels.subclass("c").alias("category"))
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN make_date(y::INT, 7, 1) WHEN 2 THEN make_date(y::INT, 1, 1) WHEN 3 THEN (make_date(y::INT, 7, 1) + to_months((3 * (q::INT - 1))::INT))::DATE END AS period, CASE WHEN l_linenumber = 3 THEN 'quarter' ELSE 'year' END AS unit
