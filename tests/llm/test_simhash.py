@@ -96,3 +96,45 @@ def test_op6_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = {k: (f"{f:016x}", c) for k, f, c in brute_components([(k, brute_print(t)) for k, t in rows], 2)}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op6_simhash(spark, sf).collect()} == want
+
+
+def brute_groups(texts, least=0.8, size=5):
+    """For each text the number of its group: chains of pairs whose shingle sets have a Jaccard similarity of least or more."""
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if (w := t.lower().split()) else set() for t in texts]
+    of = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b) - 1e-9:
+                x, y = of[i], of[j]
+                of = [min(x, y) if o in (x, y) else o for o in of]
+    return of
+
+
+def test_near_duplicates_are_exact_at_the_similarity(spark):
+    """Pairs at 0.8 hang together, pairs just below and far below do not; a repeated line does not hide a pair."""
+    rng = random.Random(4)
+    made, texts = iter(range(10**6)), []
+
+    def words(n):
+        return [f"w{next(made)}" for _ in range(n)]
+
+    for n in (40, 96, 300):
+        for similarity in (0.60, 0.70, 0.75, 0.79, 0.8, 0.81, 0.9):
+            for _ in range(4):
+                # a common start of c shingles and an end of its own for each: c / (c + 2 x) is the similarity
+                c = n * 4 // 5
+                x = round((c / similarity - c) / 2)
+                start = words(c + 4)
+                texts += [" ".join(start + words(x)), " ".join(start + words(x))]
+    line, start = words(12), words(300)
+    texts += [" ".join(start + line * 60), " ".join(start + line), " ".join(words(30)), " ".join(words(30))]
+    chain = words(260)
+    texts += [" ".join(chain[k : k + 120]) for k in range(0, 60, 10)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    want = brute_groups(texts)
+    for how in ({}, {"held": 500}, {"held": 500, "meeting": 3}):
+        groups = {r.doc_id: r.root for r in simhash.near_duplicate_groups(docs, **how).collect()}
+        first = {}
+        assert [first.setdefault(groups[i], i) for i in range(len(texts))] == want, how

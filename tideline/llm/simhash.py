@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialise, small_batches, tidy, views
 from .components import components
-from .hamming import Forest, TopTree, link
+from .hamming import PAIRS, Forest, TopTree, link
 from .words import mix
 
 SEED = 42
@@ -78,16 +78,22 @@ def minima(hashes: np.ndarray, counts: np.ndarray, n: int = MINIMA) -> np.ndarra
 
 
 def _kernel(size: int, wide: int, bands: bool):
-    """From key and text to fingerprint words and, with bands, the keys under which a document meets others."""
+    """From key and text to fingerprint words. With bands the shingles count as a set, and its meeting keys, its hash (node) and its size follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            prints, keys = [], []
+            prints, keys, nodes, sizes = [], [], [], []
             for a, b, raw, offsets in views(batch.column(1), SLICE):
                 body, at = raw.tobytes().lower(), offsets.tolist()
                 each = [shingle_hashes(body[x:y], size) for x, y in zip(at, at[1:], strict=False)]
+                if bands:
+                    each = [np.unique(np.array(x, np.uint64)) for x in each]
+                    nodes += [xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in each]
+                    sizes += [len(x) for x in each]
                 counts = np.array([len(x) for x in each], np.int64)
-                hashes = np.array([h for x in each for h in x], np.uint64)
+                hashes = np.concatenate(each) if bands else np.array([h for x in each for h in x], np.uint64)
                 words = [majority(hashes if w == 0 else mix(hashes + np.uint64(w)), counts) for w in range(wide)]
                 prints.append(np.stack(words, 1).view(np.int64))
                 if bands:
@@ -98,20 +104,29 @@ def _kernel(size: int, wide: int, bands: bool):
             if bands:
                 keys = np.concatenate(keys) if keys else np.zeros((0, MINIMA // BAND), np.int64)
                 offs = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-                columns.append(pa.ListArray.from_arrays(offs, pa.array(keys.ravel())))
-            yield pa.RecordBatch.from_arrays(columns, ["key", *(f"f{w}" for w in range(wide)), *(["bands"] if bands else [])])
+                columns += [pa.ListArray.from_arrays(offs, pa.array(keys.ravel())), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64))]
+            columns += batch.columns[2:]
+            names = ["key", *(f"f{w}" for w in range(wide)), *(["bands", "node", "size"] if bands else []), *batch.schema.names[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
+def _digest(text: str) -> Column:
+    """Names a text; a null is an empty one."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def fingerprints(docs: DataFrame, size: int = 3, wide: int = 1, bands: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, f0 .. (64 bits each, as signed), and with bands an array of meeting keys, of every whole text.
+    """key, f0 .. (64 bits each, as signed), and with bands an array of meeting keys, node (a hash of the set of shingles), size (of that set) and digest (of the text), of every whole text.
 
     A-Z is lower-cased; words are parted by ASCII white space. A text with fewer words than a shingle is one shingle; a null text, or one
     without words, has fingerprint zero (and the meeting keys of all such texts). f0 is the plain SimHash of XXH64 with seed 42; further words take other mixes of the same hashes.
+    With bands a shingle that is repeated counts once.
     """
-    frame = small_batches(docs).select(F.col(key).alias("key"), F.col(text))
-    schema = T.StructType([frame.schema[0], *(T.StructField(f"f{w}", T.LongType()) for w in range(wide)), *([T.StructField("bands", T.ArrayType(T.LongType()))] if bands else [])])
+    frame = small_batches(docs).select(F.col(key).alias("key"), F.col(text), *([_digest(text).alias("digest")] if bands else []))
+    more = [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("digest", T.StringType())]
+    schema = T.StructType([frame.schema[0], *(T.StructField(f"f{w}", T.LongType()) for w in range(wide)), *(more if bands else [])])
     return frame.mapInArrow(tidy(_kernel(size, wide, bands)), schema)
 
 
@@ -165,10 +180,13 @@ def linked_fingerprints(docs: DataFrame, size: int = 3, radius: int = 2, key: st
     return rows.join(by_print, "f0").select(F.col("key").alias(key), "f0", "component_id")
 
 
-#: Near-duplicates: words of a shingle, fingerprint words of 64 bits, and the share of bits that may differ at a similarity of 0.8.
-NEAR_WORDS, NEAR_WIDE, NEAR_SHARE = 5, 4, 0.2
+#: Near-duplicates: words of a shingle, the similarity (Jaccard, of sets of shingles) from which texts are linked, fingerprint words of 64 bits, and the
+#: share of bits that may differ before a pair is out unmeasured: at the similarity 15 % are expected, 19 % of the smallest sets', and 35 % is six deviations off.
+NEAR_WORDS, NEAR_LEAST, NEAR_WIDE, NEAR_SHARE = 5, 0.8, 4, 0.35
 #: Texts under one meeting key that are compared in one task; a key with more is split into pairs of parts.
 MEETING = 20_000
+#: Shingles that a task holds of each part of a group; a group with more is met by meeting key, and that in pairs of parts.
+HELD = 2_000_000
 #: Groups up to this size are compared all at once, over a whole partition.
 SMALL = 12
 
@@ -211,25 +229,105 @@ def _meet(wide: int, radius: int):
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, size: int = NEAR_WORDS, wide: int = NEAR_WIDE, share: float = NEAR_SHARE, meeting: int = MEETING, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, node, root for every row: rows with one root are near-duplicates of each other, directly or over others.
+def _sets(size: int):
+    """From text, the first column, to the sorted hashes of its shingles; other columns stay."""
 
-    Two texts are linked if their SimHash fingerprints of 64 * wide bits differ in at most `share` of the bits and they share a meeting key, which
-    is made of three of 63 minima of their shingles: at a similarity of 0.8, one key of 21 fails to be shared with all others less than once in a
-    million. At that similarity an angle of 27 degrees, 15 % of the bits, is expected, so 20 % finds 98 of 100 such pairs and nearly all closer ones. Equal texts are one node.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for _, _, raw, offsets in views(batch.column(0), SLICE):
+                body, at = raw.tobytes().lower(), offsets.tolist()
+                sets += [np.unique(np.array(shingle_hashes(body[x:y], size), np.uint64)).tobytes() for x, y in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *batch.columns[1:]], ["shingles", *batch.schema.names[1:]])
+
+    return run
+
+
+def link_similar(sets: list[np.ndarray], points: np.ndarray, part: np.ndarray, radius: int, least: float) -> Forest:
+    """Joins all pairs of sorted sets with a Jaccard similarity of `least` or more whose points are within radius; of parts that differ, if there are any.
+
+    Sets that hang together already are not measured again.
     """
-    prints = materialise(fingerprints(docs, size, wide, True, key, text), "sketches")
-    f = [f"f{w}" for w in range(wide)]
-    rows = prints.select("key", F.xxhash64(*f, "bands").alias("node"), *f, "bands")
-    points = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in f), F.first("bands").alias("bands"))
+    n = len(sets)
+    forest, size, across = Forest(n), np.array([len(x) for x in sets]), bool((part != part[0]).any())
+    for i in range(n - 1):
+        rest = np.arange(i + 1, n)
+        fits = (forest.of[rest] != forest.of[i]) & (np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]) - 1e-9)
+        if across:
+            fits &= part[rest] != part[i]
+        rest = rest[fits]
+        rest = rest[np.bitwise_count(points[rest] ^ points[i]).sum(1, dtype=np.int32) <= radius]
+        if not len(rest) or not size[i]:
+            continue
+        for at in np.split(rest, np.flatnonzero(np.diff(np.cumsum(size[rest]) // PAIRS)) + 1):
+            theirs = np.concatenate([sets[j] for j in at])
+            where = np.minimum(np.searchsorted(sets[i], theirs), size[i] - 1)
+            both = np.add.reduceat((sets[i][where] == theirs).astype(np.int64), np.cumsum(size[at]) - size[at])
+            near = at[both >= least * (size[i] + size[at] - both) - 1e-9]
+            forest.join(near, np.full(len(near), i))
+    return forest
+
+
+def _measure(wide: int, radius: int, least: float):
+    """Links among the sets of each group of a partition: a star for each set that hangs together, not its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if kept is None or not len(kept):
+            return
+        root, band, low, high, part, node, *words = (kept.column(k).to_numpy() for k in ("root", "band", "low", "high", "part", "node", *(f"f{w}" for w in range(wide))))
+        sets = [np.frombuffer(x, np.uint64) for x in kept.column("shingles").to_pylist()]
+        order = np.lexsort((node, high, low, band, root))
+        new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (root, band, low, high)], axis=0))
+        points = np.stack(words, 1).view(np.uint64)
+        for rows in np.split(order, np.flatnonzero(new)[1:]):
+            forest = link_similar([sets[k] for k in rows], points[rows], part[rows], radius, least)
+            at = np.flatnonzero(forest.of != np.arange(len(rows)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows[at]]), pa.array(node[rows[forest.of[at]]])], ["a", "b"])
+
+    return run
+
+
+def _proposed(points: DataFrame, f: list[str], radius: int, meeting: int) -> DataFrame:
+    """node, root: what hangs together over pairs that share a meeting key and differ in radius bits or fewer. A similar pair has one root."""
     meet = points.select("node", *f, F.explode(F.array_distinct("bands")).alias("band"))
     met = meet.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / meeting).cast("int").alias("parts"))
     dealt = meet.join(met, "band").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", *f)
-    links = dealt.repartition("band", "low", "high").mapInArrow(tidy(_meet(wide, int(share * 64 * wide))), "a long, b long")
+    links = dealt.repartition("band", "low", "high").mapInArrow(tidy(_meet(len(f), radius)), "a long, b long")
+    return components(links)
+
+
+def near_duplicate_groups(docs: DataFrame, size: int = NEAR_WORDS, wide: int = NEAR_WIDE, share: float = NEAR_SHARE, meeting: int = MEETING, key: str = "doc_id", text: str = "text", least: float = NEAR_LEAST, held: int = HELD) -> DataFrame:
+    """key, digest (of the text), node, root for every row: rows with one root are near-duplicates of each other, directly or over others.
+
+    Two texts are linked if the Jaccard similarity of their sets of shingles is `least` or more, measured on the sets. Pairs are proposed by a meeting key,
+    which is made of three of 63 minima of the shingles, and by SimHash fingerprints of 64 * wide bits that differ in at most `share` of the bits: at a similarity
+    of 0.8, one key of 21 fails to be shared with all others less than once in a million for sets of some hundred shingles. Texts with the same shingles are one node.
+    What proposals join is measured all against all, each set sent once; groups of more than `held` shingles are measured by meeting key.
+    """
+    prints = materialise(fingerprints(docs, size, wide, True, key, text), "sketches")
+    f, radius = [f"f{w}" for w in range(wide)], int(share * 64 * wide)
+    points = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in f), F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("digest").alias("digest"))
+    points = points.join(_proposed(points, f, radius, meeting), "node")
+    total = (F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    whole = points.groupBy("root").agg(*total).select("root", ((F.col("n") <= meeting) & (F.col("total") <= held)).alias("whole"))
+    keyed = points.join(whole, "root").withColumn("band", F.explode(F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct("bands"))))
+    parts = F.greatest(F.ceil(F.col("n") / meeting), F.ceil(F.col("total") / held)).cast("int")
+    met = keyed.groupBy("root", "band").agg(*total).where("n > 1").select("root", "band", parts.alias("parts"))
+    places = keyed.join(met, ["root", "band"]).groupBy("node", "digest", "root", *f).agg(F.collect_list(F.struct("band", "parts")).alias("places"))
+    # one text for each digest before the join: copies of one text never meet in a task
+    texts = small_batches(docs).select(F.coalesce(F.col(text), F.lit("")).alias("body"), _digest(text).alias("digest")).groupBy("digest").agg(F.first("body").alias("body"))
+    chosen = texts.join(places, "digest").select("body", "node", "root", *f, "places")
+    schema = T.StructType([T.StructField("shingles", T.BinaryType()), *chosen.schema[1:]])
+    dealt = chosen.mapInArrow(tidy(_sets(size)), schema).select("*", F.inline("places")).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("root", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", *f, "shingles")
+    links = dealt.repartition("root", "band", "low", "high").mapInArrow(tidy(_measure(wide, radius, least)), "a long, b long")
     roots = components(links)
-    return rows.select("key", "node").join(roots, "node", "left").select(F.col("key").alias(key), "node", F.coalesce("root", "node").alias("root"))
+    return prints.select("key", "digest", "node").join(roots, "node", "left").select(F.col("key").alias(key), "digest", "node", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
