@@ -83,3 +83,32 @@ def test_op8_keeps_clean_documents_and_drops_junk(spark):
     good = [i for i, q in labels.items() if q == 1 and not got[i].base_failed]
     bad = [i for i, q in labels.items() if q == 0]
     assert all(got[i].kept for i in good) and sum(not got[i].kept for i in bad) >= 0.8 * len(bad)
+
+
+def test_references_are_of_all_texts_each_weighed_once(spark):
+    """More texts than any sample, one of them long, some without an id: brute force over all of them."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(1500):
+        lang = ("en", "en", "de", None)[i % 4]
+        rows.append((i if i % 5 else None, " ".join(rng.choice("The of and House x1 é.".split()) for _ in range(rng.randrange(1, 40))), lang))
+    rows += [(5000, "log 12345 |# " * 50_000, "en"), (5001, " \n ", "de"), (5002, "", "en"), (5003, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {k[0]: k[1:] for k in quality.references(docs)}
+    assert set(known) == {"en", "de", quality.POOLED}
+    for name, (common, shares, classes) in known.items():
+        texts = [t for _, t, lang in rows if t and (lang == name or name == quality.POOLED and lang)]
+        words, chars, n = Counter(), [0.0] * 7, 0
+        for t in texts:
+            found = WORD.findall(t.lower())
+            n += bool(found)
+            for x, c in Counter(found).items():
+                words[x] += c / len(found)
+            rest = t
+            for i, pattern in enumerate(quality.CLASSES.values()):
+                less = re.sub(pattern, "", rest)
+                chars[i] += (len(rest) - len(less)) / len(t)
+                rest = less
+            chars[6] += len(rest) / len(t)
+        assert set(common) == set(words) and shares[:-1] == pytest.approx([words[x] / n for x in common], abs=1e-6)
+        assert classes == pytest.approx([c / len(texts) for c in chars], abs=1e-6)

@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fitted_sample, materialise
+from .common import materialise
 
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Classes of characters, each counted among what the ones before it left; the last class is the rest (letters beyond ASCII above all).
 CLASSES = {"lower": "[a-z]+", "space": r"[\x20\x09-\x0D]+", "upper": "[A-Z]+", "stop": r"[.,;:!?'\"()-]+", "digit": "[0-9]+", "symbol": r"[\x00-\x7F]+"}
-#: Reference texts of each language, about: a fixed bound at any input size. Common words of a language.
-REFERENCE_DOCS, COMMON_WORDS = 500, 24
+#: Common words of a language. A text's weight in its language's references, in whole numbers: two thousand million texts fit a long.
+COMMON_WORDS, UNIT = 24, 1 << 32
 #: Parts in which a label's words are ranked.
 TOP_PARTS = 64
 #: Words in a window that is looked for a second time.
@@ -105,28 +105,31 @@ def counts(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFra
     return _repeated(_classes(docs, "_body").drop("_body"), window)
 
 
-def references(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", per_label: int = REFERENCE_DOCS, common: int = COMMON_WORDS) -> list[tuple]:
+def references(docs: DataFrame, label: str = "lang", text: str = "text", common: int = COMMON_WORDS) -> list[tuple]:
     """(label, words, shares of the words and of all others, shares of the character classes) for each label, and pooled ones.
 
-    From about per_label texts a label, chosen by a hash of key. No labels: an empty list.
+    From all texts with a label. Each text adds its shares, so a long one weighs no more than a short one; the pooled ones have the labels as the texts do. No labels: an empty list.
     """
-    sample, labels = fitted_sample(docs.where(F.length(text) > 0), label, key, per_label)
-    if not labels:
-        return []
-    # small and read three times: one pass over the whole table is enough
-    base = materialise(sample.select(F.col(label).cast("string").alias("label"), F.col(text).alias("_body")), "references")
-    both = F.explode(F.array(F.col("label"), F.lit(POOLED))).alias("label")
+    base = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).cast("string").alias("label"), F.col(text).alias("_body"))
+    whole = lambda share: F.round(share * F.lit(float(UNIT))).cast("long")  # noqa: E731  sums of whole numbers are the same in any order
     width = len(CLASSES) + 1
-    classes = {r[0]: r[1:] for r in _classes(base, "_body").select("label", "_classes").select(both, "_classes").groupBy("label").agg(*(F.sum(F.col("_classes")[i]) for i in range(width))).collect()}
-    words = base.select(both, F.explode(_words(F.lower("_body"))).alias("word")).groupBy("label", "word").count()
-    total_of = {r[0]: r[1] for r in words.groupBy("label").agg(F.sum("count")).collect()}
+    shares = _classes(base, "_body").select("label", _shares(F.col("_classes")).alias("_shares"))
+    classes = {r[0]: list(r[1:]) for r in shares.groupBy("label").agg(*(F.sum(whole(F.col("_shares")[i])) for i in range(width))).collect()}
+    if not classes:
+        return []
+    each = base.select("label", _words(F.lower("_body")).alias("_words")).select("label", F.explode("_words").alias("word"), whole(1 / F.size("_words")).alias("share"))
+    # one row for each word of a label: read three times, and one pass over the whole table is enough
+    words = materialise(each.groupBy("label", "word").agg(F.sum("share").alias("share")), "references")
+    words = words.unionByName(words.groupBy("word").agg(F.sum("share").alias("share")).withColumn("label", F.lit(POOLED)))
+    classes[POOLED] = [sum(x) for x in zip(*classes.values(), strict=True)]
+    total_of = {r[0]: r[1] for r in words.groupBy("label").agg(F.sum("share")).collect()}
     # the most common of each part of a label's words, then of these: no label's words meet in one task
-    w = Window.partitionBy("label", F.pmod(F.xxhash64("word"), F.lit(TOP_PARTS))).orderBy(F.desc("count"), "word")
+    w = Window.partitionBy("label", F.pmod(F.xxhash64("word"), F.lit(TOP_PARTS))).orderBy(F.desc("share"), "word")
     top = words.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= common).collect()
     found = []
     for name in sorted(classes):
-        mine = sorted((r for r in top if r["label"] == name), key=lambda r: (-r["count"], r["word"]))[:common]
-        shares = [r["count"] / total_of[name] for r in mine]
+        mine = sorted((r for r in top if r["label"] == name), key=lambda r: (-r["share"], r["word"]))[:common]
+        shares = [r["share"] / total_of[name] for r in mine]
         total = sum(classes[name])
         found.append((name, [r["word"] for r in mine], [*shares, max(0.0, 1 - sum(shares))], [c / total for c in classes[name]]))
     return found
