@@ -82,6 +82,12 @@ def test_joint_bridge_and_grid(spark):
     assert grid.count() == 2 and fits.best_lag(grid).first().loglik == max(r.loglik for r in grid.collect())
 
 
+def test_grid_search_covers_the_whole_grid(spark):
+    grid = fits.lag_grid(made_up_panel(spark, 16)).collect()
+    assert {(r.alpha, r.beta) for r in grid} == {(a, b) for a in (1.0, 1.5, 2.0, 2.5, 3.0, 4.0) for b in (0.5, 1.0, 1.5, 2.0)}
+    assert {r.status for r in grid} == {"ok"}
+
+
 def test_bayes_headline_orders_its_intervals(spark):
     draws = fits.bayes_draws(made_up_panel(spark, 24), sampling={"chains": 2, "warmup": 150, "draws": 60, "seed": 7})
     got = fits.bayes_headline(draws).collect()

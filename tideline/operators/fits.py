@@ -5,6 +5,8 @@ A fit that fails returns rows with a status instead of raising, so that one bad
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -135,7 +137,11 @@ def joint_forecasts(panel: DataFrame, keys: list[str] | None = None, alpha: floa
     return _grouped(series, by, fit, JOINT).drop("_one")
 
 
-def lag_grid(panel: DataFrame, alphas: list[float], betas: list[float], lag: int = 4, target: bool = True, phi: float = 0.85, period: int = 4) -> DataFrame:
+#: Shapes and rates of the lag that are searched.
+ALPHAS, BETAS = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0), (0.5, 1.0, 1.5, 2.0)
+
+
+def lag_grid(panel: DataFrame, alphas: Sequence[float] = ALPHAS, betas: Sequence[float] = BETAS, lag: int = 4, target: bool = True, phi: float = 0.85, period: int = 4) -> DataFrame:
     """alpha, beta, loglik, status: the joint model's likelihood at each point of a grid of lag shapes, a task for each. The panel's total is one short series, joined to every point."""
     spark = panel.sparkSession
     grid = spark.createDataFrame([(a, b) for a in alphas for b in betas], "alpha double, beta double").repartition(len(alphas) * len(betas))

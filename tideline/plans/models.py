@@ -35,7 +35,7 @@ def ssm_multi(spark, sf_dir):
 
 @query()
 def grid_search(spark, sf_dir):
-    return fits.best_lag(fits.lag_grid(_total_panel(spark, sf_dir), [1.0, 2.0, 3.0], [0.5, 1.0]))
+    return fits.best_lag(fits.lag_grid(_total_panel(spark, sf_dir)))
 
 
 @query()
