@@ -138,3 +138,12 @@ def test_near_duplicates_are_exact_at_the_similarity(spark):
         groups = {r.doc_id: r.root for r in simhash.near_duplicate_groups(docs, **how).collect()}
         first = {}
         assert [first.setdefault(groups[i], i) for i in range(len(texts))] == want, how
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    """Null ids with near copies, and one id on texts of two groups."""
+    text = lambda name, edit="": " ".join([*(f"{name}{i}" for i in range(120)), edit])
+    rows = [(None, text("a"), 1), (None, text("a", "x"), 2), (None, text("a", "y"), 3), (None, text("b"), 4), (None, text("b"), 5)]
+    rows += [(7, text("c"), 6), (7, text("d", "z"), 7), (3, text("d"), 8), (9, text("e"), 9), (9, text("f"), 10)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()
+    assert sorted(r.text[0] for r in kept) == list("abcdef") and {(r.doc_id, r.text[0]) for r in kept} == {(None, "a"), (None, "b"), (7, "c"), (3, "d"), (9, "e"), (9, "f")}

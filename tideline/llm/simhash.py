@@ -333,11 +333,13 @@ def near_duplicate_groups(docs: DataFrame, size: int = NEAR_WORDS, wide: int = N
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest key, a null key being smaller than all.
 
-    The key names a text: of rows with the same key and text one stays. Texts without words are near-duplicates of each other. Columns are those of docs.
+    Of each group exactly one row stays, whatever the keys: of equal keys the one with the smallest digest of its text. Texts without words are near-duplicates of each other. Columns are those of docs.
     """
     groups = near_duplicate_groups(docs, key=key, text=text, **how)
-    least = F.min(F.struct(F.col(key).isNotNull().alias("has"), F.col(key).alias("key")))
-    keepers = groups.groupBy("root").agg(least.alias("k")).select(F.col("k.key").alias("_keeper")).distinct()
-    kept = docs.join(keepers, docs[key].eqNullSafe(keepers["_keeper"]), "left_semi")
+    least = F.min(F.struct(F.col(key).isNotNull().alias("has"), F.col(key).alias("key"), "digest"))
+    keepers = groups.groupBy("root").agg(least.alias("k")).select(F.col("k.key").alias("_keeper"), F.col("k.digest").alias("_digest"))
+    named = docs.withColumn("_same", _digest(text))
+    # a text has one root, so a key and a text are those of one group
+    kept = named.join(keepers, named[key].eqNullSafe(keepers["_keeper"]) & (named["_same"] == keepers["_digest"]), "left_semi")
     again = Window.partitionBy(key, "_same").orderBy(key)
-    return kept.withColumn("_same", F.xxhash64(text)).withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns)
+    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns)
