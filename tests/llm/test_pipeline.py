@@ -60,6 +60,14 @@ def test_drop_repeats_keeps_text_valid(spark):
     assert got == {1: "ab", 2: "xy", 3: "", 4: "alone"}
 
 
+def test_drop_repeats_leaves_marks_that_stood_in_the_text(spark):
+    """U+FFFD stays, cut or not; halves of two characters do not make a third."""
+    passage = "\u00fc".encode()[1:] + b"p" * 250 + "\u00e9".encode()[:1]
+    cut = [(b"\xef\xbf\xbda\xc3" + passage + b"\xa9b\xef\xbf\xbd").decode(), (b"1\xc4" + passage + b"\xa82").decode()]
+    docs = spark.createDataFrame([(1, cut[0]), (2, cut[1]), (3, "clean \ufffd text"), (4, "\ufffd")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in suffix.drop_repeats(docs).collect()} == {1: "\ufffdab\ufffd", 2: "12", 3: "clean \ufffd text", 4: "\ufffd"}
+
+
 def test_stages_in_turn(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5

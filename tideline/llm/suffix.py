@@ -401,8 +401,16 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return whole.unionByName(inner).unionByName(across)
 
 
-def _cut(width: int):
-    """Cuts the bytes under the spans (the last column) out of the texts (the one before it); a null list cuts nothing."""
+def _edge(body: bytes, at: int, step: int) -> int:
+    """The next border of a character of UTF-8 from at on, back or ahead."""
+    for k in range(at, at + 4 * step, step):
+        if not 0 < k < len(body) or body[k] & 0xC0 != 0x80:
+            return k
+    return at
+
+
+def _cut(width: int, whole: bool = False):
+    """Cuts the bytes under the spans (the last column) out of the texts (the one before it); a null list cuts nothing. With whole, characters that a cut goes through go too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -425,6 +433,9 @@ def _cut(width: int):
                 new = np.ones(len(x), bool)
                 new[1:] = x[1:] > y[:-1]  # ranges that touch are one
                 begin, end = x[new].tolist(), np.append(y[:-1][new[1:]], y[-1]).tolist()
+                if whole:
+                    begin = [_edge(body, i, -1) for i in begin]
+                    end = [_edge(body, i, 1) for i in end]
                 kept.append(b"".join(body[i:j] for i, j in zip([0, *end], [*begin, len(body)], strict=True)))
                 removed.append(len(body) - len(kept[-1]))
                 count.append(len(begin))
@@ -433,12 +444,12 @@ def _cut(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: list[str] | None = None, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: list[str] | None = None, whole: bool = False, **how) -> DataFrame:
     """docs (or its columns in keep) with n_bytes, n_removed, n_spans (removed runs) and kept (binary: what is left of the text).
 
     Each byte is removed that lies in a string of `length` bytes which begins at another place too, of this text or any other.
     A null text is an empty one; texts below `length` bytes lose nothing. Rows with the same key and text are two texts that
-    repeat each other, a null key makes no difference. An empty table gives an empty result. Columns with the new names are replaced.
+    repeat each other, a null key makes no difference. With whole, what is left of a character of UTF-8 that a cut goes through is removed too. An empty table gives an empty result. Columns with the new names are replaced.
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept"]
     own = [c for c in (docs.columns if keep is None else keep) if c not in new]
@@ -446,11 +457,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = docs.select(F.xxhash64(key, text).alias("_row"), *own, F.col(text).cast("binary").alias("_body"))
     both = rows.join(spans, rows["_row"] == spans["row"], "left").select(*own, "_body", "spans")
     schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
-    return both.mapInArrow(tidy(_cut(len(own))), schema)
+    return both.mapInArrow(tidy(_cut(len(own), whole)), schema)
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
     """docs with the text less its repeated strings. Of a character that a cut goes through nothing stays; a null text becomes an empty one."""
-    cut = remove_repeats(docs, key, text, length, keep=[c for c in docs.columns if c != text], **how)
-    # a cut can leave parts of characters, which the decoder marks; marks that stood in the text go with them
-    return cut.withColumn(text, F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).select(*docs.columns)
+    cut = remove_repeats(docs, key, text, length, keep=[c for c in docs.columns if c != text], whole=True, **how)
+    return cut.withColumn(text, F.col("kept").cast("string")).select(*docs.columns)
