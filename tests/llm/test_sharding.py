@@ -16,6 +16,44 @@ def test_differencing_is_near_the_best(spark=None):
     assert sharding.differencing([], 4) == [] and sharding.differencing([8, 7, 6, 5, 4], 2).count(0) in (2, 3)
 
 
+def plain_differencing(sizes, shards):
+    """The sums of all shards, each partition a full list."""
+    parts = [(size, i, [size] + [0] * (shards - 1)) for i, size in enumerate(sizes)]
+    n = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-p[0], p[1]))
+        (_, _, a), (_, _, b), *parts = parts
+        sums = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+        n += 1
+        parts.append((sums[0] - sums[-1], n, sums))
+    return parts[0][2]
+
+
+def test_differencing_equals_the_plain_one():
+    rng = random.Random(6)
+    for shards, n in ((2, 9), (3, 40), (7, 5), (7, 60), (40, 300), (5, 1)):
+        for _ in range(4):
+            sizes = [rng.choice([rng.randrange(1, 50), rng.randrange(1, 10**6)]) for _ in range(n)]
+            got = sharding.differencing(sizes, shards)
+            assert sorted((sum(s for s, g in zip(sizes, got) if g == k) for k in range(shards)), reverse=True) == plain_differencing(sizes, shards)
+
+
+def test_many_shards_take_memory_by_items():
+    """60,000 items for 1000 shards: full lists would be 480 MB."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    sizes = sorted((rng.randrange(10**5, 10**6) for _ in range(60_000)), reverse=True)
+    tracemalloc.start()
+    got = sharding.differencing(sizes, 1000)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    sums = [0] * 1000
+    for s, g in zip(sizes, got):
+        sums[g] += s
+    assert max(sums) - min(sums) < 0.001 * max(sums)
+
+
 def check(rows, texts, shards):
     assert len(rows) == len(texts)
     by = {}
@@ -38,6 +76,16 @@ def test_op10_balances_and_keeps_groups(spark):
     rows = queries.op10_karmarkar_karp(spark, sf).collect()
     sums = check(rows, texts, 40)
     assert max(sums) <= 1.02 * sum(sums) / 40
+    # the query's shards are those of a plain differencing of the same groups and bundles
+    sizes, total = {}, sum(sums)
+    frame = spark.createDataFrame([(k, t or "") for k, t in texts.items()], "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS h").collect()
+    size_of = {}
+    for r in frame:
+        size_of[r.h] = size_of.get(r.h, 0) + len((texts[r.doc_id] or "").encode()) + 16
+    for h, n in size_of.items():
+        item = ("own", h) if n > total // (40 * sharding.OWN_PART) else ("bundle", h % (40 * sharding.BUNDLES))
+        sizes[item] = sizes.get(item, 0) + n
+    assert sorted(sums, reverse=True) == plain_differencing(sorted(sizes.values(), reverse=True), 40)
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
 
 

@@ -30,35 +30,41 @@ def differencing(sizes: Sequence[int], shards: int) -> list[int]:
 
     Each item begins as a partition with one filled shard. The two partitions with the largest spread
     (largest less smallest sum) are joined again and again, the largest sums of one meeting the smallest of the other.
-    No items: an empty list. Ties break by the order of items.
+    A partition holds its filled shards only, largest first, each with one item that stands for all in it; so memory grows with the items, not with
+    items times shards. No items: an empty list. Ties break by the order of items.
     """
     if shards == 1 or not len(sizes):
         return [0] * len(sizes)
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(shards, np.int64)
-        sums[0] = size
-        heap.append((-int(size), i, sums, [[i]] + [[] for _ in range(shards - 1)]))
+    of = list(range(len(sizes)))  # of two items that meet the second is put under the first
+    heap = [(-int(size), i, np.array([size], np.int64), np.array([i])) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     n = len(heap)
     while len(heap) > 1:
         _, _, a, in_a = heapq.heappop(heap)
         _, _, b, in_b = heapq.heappop(heap)
-        sums, joined = a + b[::-1], []
-        for x, y in zip(in_a, reversed(in_b), strict=True):
-            if len(x) < len(y):
-                x, y = y, x
-            x.extend(y)
-            joined.append(x)
+        # b back to front ends at the last shard: what is beyond the free ones lies on a's smallest
+        over = max(0, len(a) + len(b) - shards)
+        apart = len(a) - over
+        for x, y in zip(in_a[apart:].tolist(), in_b[::-1][:over].tolist(), strict=True):
+            of[y] = x
+        sums = np.concatenate([a[:apart], a[apart:] + b[::-1][:over], b[::-1][over:]])
+        names = np.concatenate([in_a, in_b[::-1][over:]])
         order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
+        sums, names = sums[order], names[order]
         n += 1
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), n, sums, [joined[k] for k in order]))
-    shard = [0] * len(sizes)
-    for k, members in enumerate(heap[0][3]):
-        for i in members:
-            shard[i] = k
-    return shard
+        least = int(sums[-1]) if len(sums) == shards else 0
+        heapq.heappush(heap, (least - int(sums[0]), n, sums, names))
+    shard_of = {name: k for k, name in enumerate(heap[0][3].tolist())}
+    out = []
+    for i in range(len(sizes)):
+        path = []
+        while of[i] != i:
+            path.append(i)
+            i = of[i]
+        for x in path:
+            of[x] = i
+        out.append(shard_of[i])
+    return out
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", row_bytes: int = ROW_BYTES) -> DataFrame:
@@ -97,9 +103,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
         .join(F.broadcast(by_bundle), "bundle", "left")
         .select("key", "size", "crc", F.coalesce("s1", "s2").alias("shard"), F.pmod(F.xxhash64("key", F.lit("slice")), F.lit(slices)).alias("slice"))
     )
-    # shards * slices small rows: the slots that come before each slice
+    # shards * slices small rows: the slots that come before each slice; both sides are dealt by shard and slice, so rows do not move for this join
     before = at.groupBy("shard", "slice").count().withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("slice")) - F.col("count")).drop("count")
     within = Window.partitionBy("shard", "slice").orderBy("key", "crc", "size")
-    return at.withColumn("rank", F.row_number().over(within)).join(F.broadcast(before), ["shard", "slice"]).select(
+    return at.withColumn("rank", F.row_number().over(within)).join(before, ["shard", "slice"]).select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("rank") - 1 + F.col("before")).cast("long").alias("slot")
     )
