@@ -71,11 +71,17 @@ def test_prefix_counts_are_exact_at_every_prefix(library):
         assert got == [len(library.encode(word[:i], add_special_tokens=False).ids) for i in range(len(word) + 1)]
     text = "The  quick brownish fox<|endoftext|>jumps; overs 42 unbelievables"
     n = len(library.encode(text, add_special_tokens=False).ids)
-    assert p.table(text)[1][-1] == p.count(text) == n and p.within(text, n) == p.table(text)[0][-1]
-    for budget in range(n):
-        cut = p.within("unbelievably thhatherest words here", budget)
-        count = lambda i: len(library.encode("unbelievably thhatherest words here"[:i], add_special_tokens=False).ids)
-        assert count(cut) <= budget and (cut == 35 or budget == 0 or count(cut + 1) > budget or count(cut + 2) > budget)
+    tokens = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for text in [text, "unbelievably thhatherest words here", "<|endoftext|><|endoftext|>ab", "one\u2003 TWO\n\nthree 4", "éleauxê   étés"]:
+        table, shown = p.table(text), "".join(x if special else p.normal(x) for x, special in p.pieces(text))
+        n = tokens(text)
+        assert table[-1] == n and table == sorted(table) and p.cut(text, table, n) is None
+        # the table has the exact count at the end of every word
+        ends = [sum(map(len, p.place(text, k)[1:])) + p.place(text, k)[0] for k in range(len(table) - 1)]
+        assert table == [0] + [tokens(shown[:e]) for e in ends]
+        borders = {i for i in range(len(shown) + 1) if not any(p.place(text, k)[0] < i < e and p.place(text, k)[1] in p.special_strings for k, e in enumerate(ends))}
+        for budget in range(n):
+            assert p.cut(text, table, budget) == max((i for i in borders if tokens(shown[:i]) <= budget and (i in ends or i == 0 or any(p.place(text, k)[0] < i < e for k, e in enumerate(ends)))), default=0), (text, budget)
 
 
 def test_token_counts_of_odd_texts(spark, library):

@@ -2,14 +2,16 @@
 
 For byte-pair vocabularies with word ends. The encoding of a prefix ends with the one token that may stand behind the encoding
 of what is before it: two tokens may be neighbours if no merge across their border comes before the merges that made them. So a word's
-prefixes are solved each from a shorter one, and a text's from its words; truncation and
-budgets are then looked up, and nothing is encoded again.
+prefixes are solved each from a shorter one, and a text's table of counts at every word's end is summed up from its words'. The whole count,
+truncation and budgets are then looked up in the tables, by binary search, and nothing is encoded again.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -179,39 +181,47 @@ class Prefixes(dict):
         for k, part in enumerate(self.special.split(text)):
             yield part, k % 2 == 1
 
-    def count(self, text: str) -> int:
-        return sum(1 if special else sum(map(self.__getitem__, self.words.findall(self.folded(part)))) for part, special in self.pieces(text))
-
-    def table(self, text: str) -> tuple[list[int], list[int], list[str]]:
-        """(ends, counts, words): characters of the normalised text up to the end of each word, and the exact number of tokens up to there.
-
-        Special tokens are words of their own and stand in the normalised text as they are.
-        """
-        ends, counts, words, base, total = [], [], [], 0, 0
+    def table(self, text: str) -> list[int]:
+        """The exact number of tokens of the text up to the end of each word, after a 0 for none. Special tokens are words of their own."""
+        found: list[int] = []
         for part, special in self.pieces(text):
-            shown = part if special else self.normal(part)
-            for a, b, n in [(0, len(part), 1)] if special else ((m.start(), m.end(), self[m[0]]) for m in self.words.finditer(shown)):
-                total += n
-                ends.append(base + b)
-                counts.append(total)
-                words.append(shown[a:b])
-            base += len(shown)
-        return ends, counts, words
+            found += [1] if special else map(self.__getitem__, self.words.findall(self.folded(part)))
+        return list(accumulate(found, initial=0))
 
-    def within(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of the normalised text, to the end of a word or within one, of at most budget tokens. The text is read as far as the budget goes."""
-        at = base = total = 0
+    def place(self, text: str, word: int) -> tuple[int, str]:
+        """Where word number `word` begins in the normalised text, and the word; special tokens stand in the normalised text as they are."""
+        base = 0
         for part, special in self.pieces(text):
             shown = part if special else self.normal(part)
-            words = [(0, len(part), 1)] if special else ((m.start(), m.end(), self[m[0]]) for m in self.words.finditer(shown))
-            for a, b, n in words:
-                if total + n > budget:
-                    inside = [0] if special else self.counts(shown[a:b])
-                    best = max(i for i, k in enumerate(inside) if total + k <= budget)
-                    return base + a + best if best else at
-                at, total = base + b, total + n
+            if special:
+                if not word:
+                    return base, part
+                word -= 1
+            else:
+                for m in self.words.finditer(shown):
+                    if not word:
+                        return base + m.start(), m[0]
+                    word -= 1
             base += len(shown)
-        return at
+        raise IndexError("no such word")
+
+    def cut(self, text: str, table: list[int], budget: int) -> int | None:
+        """Characters of the longest prefix of the normalised text, to the end of a word or within one, of at most budget tokens; None if all of it is within. Looked up in the text's table and in the word's."""
+        k = bisect_right(table, budget) - 1
+        if k == len(table) - 1:
+            return None
+        start, word = self.place(text, k)
+        special = self.special is not None and word in self.special_strings
+        inside = last_within(self.counts(word), budget - table[k]) if not special else 0
+        if inside or not k:
+            return start + inside if inside else 0
+        before, last = self.place(text, k - 1)
+        return before + len(last)
+
+
+def last_within(counts: list[int], budget: int) -> int:
+    """The last place whose count is within the budget; counts of a word's prefixes may fall as well as rise."""
+    return max(i for i, k in enumerate(counts) if k <= budget)
 
 
 def load(path: str) -> dict:
@@ -228,7 +238,7 @@ def _prefixes(shipped) -> Prefixes:
 
 
 def token_counts(docs: DataFrame, spec: dict, budget: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_tokens of every whole text, and with a budget cut_chars: the longest prefix (characters of the normalised text) within it, null if all fits.
+    """key, n_bytes, n_tokens of every whole text, and with a budget cut_chars: the longest prefix (characters of the normalised text) within it, null if all fits. Both are read off one table a text.
 
     spec: a tokenizer's .json. A null text is an empty one: no bytes, no tokens. Strings of special tokens in a text are one token each,
     as the tokenizers library has it by default. Rows stand for themselves; other columns are not read.
@@ -238,11 +248,15 @@ def token_counts(docs: DataFrame, spec: dict, budget: int | None = None, key: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = _prefixes(shipped)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [prefixes.count(t) for t in texts]
+            n, cuts = [], []
+            for text in batch.column(1):
+                counts = prefixes.table(body := text.as_py() or "")
+                n.append(counts[-1])
+                if budget is not None:
+                    cuts.append(prefixes.cut(body, counts, budget))
             columns = [batch.column(0), pc.cast(pc.fill_null(pc.binary_length(batch.column(1)), 0), pa.int64()), pa.array(n, pa.int64())]
             if budget is not None:
-                columns.append(pa.array([prefixes.within(t, budget) if k > budget else None for t, k in zip(texts, n, strict=True)], pa.int64()))
+                columns.append(pa.array(cuts, pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, [key, "n_bytes", "n_tokens", "cut_chars"][: len(columns)])
 
     frame = small_batches(docs.select(F.col(key), F.col(text)))
