@@ -139,7 +139,7 @@ class Trie:
         low, high = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
         step = max((high - low) / 65535, 1e-12)
         starts = np.searchsorted(owner, np.arange(len(words) + 1))
-        return cls(EliasFano.of(words), EliasFano.of(starts.astype(U)), EliasFano.of((owner.astype(U) << U(32)) | contexts.astype(U)), counts.astype(np.uint32), np.rint((logs - low) / step).astype(np.uint16), np.array([low, step]))
+        return cls(EliasFano.of(words), EliasFano.of(starts.astype(U)), EliasFano.of((owner.astype(U) << U(32)) | contexts.astype(U)), counts.astype(np.uint64), np.rint((logs - low) / step).astype(np.uint16), np.array([low, step]))
 
     def write(self, path: str) -> list[tuple]:
         """One file with all arrays; their type, length and place."""

@@ -28,6 +28,8 @@ PRIOR = 500.0
 CHUNK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 4 << 20, 16_000_000, 32
 #: Tokens of a shard that are worked on at once: a run of its words, with a trie of its own.
 PART_TOKENS = 1_000_000
+#: Rows in a message at most: their numbers take 16 bits.
+ROWS = 1 << 16
 #: Hashes of the marks at a text's end and start.
 END, START = mix(np.array([0xE0F, 0x5A7], np.uint64))
 #: Words of a shard that may turn out frequent enough to be split over shards.
@@ -52,11 +54,17 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return token, before, row
 
 
+def _views(column: pa.Array, first: int, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """views() of the ROWS rows from first on."""
+    for a, b, raw, offsets in views(column.slice(first, ROWS), limit):
+        yield first + a, first + b, raw, offsets
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple]:
     """(keys, null keys, train, tokens, contexts, rows) for about limit bytes of text each."""
     for batch in batches:
         keys, train = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        for a, b, raw, offsets in views(batch.column(1), limit):
+        for a, b, raw, offsets in (v for k in range(0, batch.num_rows, ROWS) for v in _views(batch.column(1), k, limit)):
             part = keys.slice(a, b - a)
             yield part.fill_null(0).to_numpy(zero_copy_only=False), part.is_null().to_numpy(zero_copy_only=False), train[a:b], *_tokens(raw, offsets)
 
