@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import drop_folder as drop_dir
+from ..operators.staging import fresh_folder as fresh_dir
+from ..operators.staging import staged as materialise
+
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "SPACES", "drop_dir", "fitted_sample", "fresh_dir", "hash_share", "materialise", "numbered", "small_batches", "table", "tidy", "views"]
+
 #: Bytes of text that a kernel handles at once; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
 #: Python calls the ASCII white space of these contracts just this: [\x20\x09-\x0D].
@@ -25,34 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        own = tempfile.mkdtemp(prefix="tideline-")
-        atexit.register(shutil.rmtree, own, True)
-        found = f"file://{own}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def numbered(docs: DataFrame, without: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, .. by place, and these names by the old ones: no column of a caller can then clash with an operator's own.
 
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to shared storage and reads it back: cuts the lineage, and outlives lost executors."""
-    path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of shared storage through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    toDF() with the old names, which are the keys of the dict in order, gives them back. Columns named in without, in any case, are left out.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = {c: n for c, n in zip(docs.columns, names, strict=True) if c.lower() not in (without or [])}
+    return docs.toDF(*names).select(*kept.values()), kept
 
 
 def hash_share(column: str, share: float):

@@ -5,7 +5,8 @@ windows that share their piece are candidates for each other and no others are.
 piece form a run; pieces that occur once leave the search at once, and runs of equal bytes stand for each other. What is left, runs that
 share a piece and differ, is dealt to shards by piece. Each shard sorts its suffixes; a window is repeated if a
 neighbour in the array shares `length` bytes with it. A piece with very many runs is split over shards, whose sorted windows are
-merged by binary search. So every repeat is found, and no shard outgrows its bound.
+merged by binary search, in groups whose number grows with the shards. Pieces that a bounded sample shows to be heavy are dealt by their runs' bytes from the start, so
+their runs do not meet in one task. So every repeat is found, and no shard outgrows its bound.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small_batches, tidy, views
+from .common import materialise, numbered, small_batches, tidy, views
 from .words import BYTE_VALUES, FACTOR, mix
 
 #: Bytes of a repeated string, and of a piece within it.
@@ -27,6 +28,10 @@ LENGTH, PIECE = 200, 48
 SHARD_RUNS, SHARD_BYTES = 4096, 1 << 20
 #: Split pieces that are sent to every task.
 FEW = 20_000
+#: Texts that are looked at for heavy pieces, and the runs among them from which a piece is dealt by its runs' bytes. What is found only spreads the work: results do not depend on it.
+HEAVY_TEXTS, HEAVY_RUNS = 4096, 8
+#: Groups in which the windows of a split piece are merged, for each of its shards.
+MERGES = 16
 #: Window starts that are looked at together; longer texts go in overlapping parts.
 PART = 2 << 20
 _powers: list[np.ndarray] = []
@@ -229,8 +234,31 @@ def _same(piece: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, fresh
 
 
-def _runs(docs: DataFrame, text: str, length: int, piece: int) -> DataFrame:
-    """The runs of all texts. Equal runs of one batch are settled here, and one of them goes on for all; dest deals those that go on by piece and the settled by row."""
+def _heavy(rows: DataFrame, n: int, length: int, piece: int) -> np.ndarray:
+    """Pieces with many runs in a bounded sample of rows, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, offsets in views(batch.column(0), PART):
+                for _, _, body, offs in _parts(raw, offsets, length):
+                    h, d, *_ = piece_runs(body, offs, length, piece)
+                    found, count = np.unique(np.unique(np.stack([h, d], 1), axis=0)[:, 0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count.astype(np.int64))], ["piece", "n"])
+
+    share = F.lit(int(min(1.0, HEAVY_TEXTS / max(1, n)) * (2**31 - 1)))
+    some = rows.where(F.xxhash64(F.lit("heavy"), "row").bitwiseAND(F.lit(2**31 - 1)) <= share).select("text")
+    found = some.mapInArrow(tidy(run), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_RUNS).select("piece").toArrow()
+    return np.sort(found.column("piece").to_numpy())
+
+
+def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _runs(docs: DataFrame, text: str, length: int, piece: int, heavy: np.ndarray) -> DataFrame:
+    """The runs of all texts. Equal runs of one batch are settled here, and one of them goes on for all; dest deals those that go on by piece, those of heavy pieces by piece and bytes, and the settled by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +276,9 @@ def _runs(docs: DataFrame, text: str, length: int, piece: int) -> DataFrame:
             h, d, r, s, w = h[order], d[order], r[order], s[order], w[order]
             count = np.diff(np.append(np.flatnonzero(fresh), len(h)))
             kind = np.where(count > 1, MANY, ALONE).astype(np.int8)
-            yield _batch(_RUN, h[fresh], h[fresh], d[fresh], r[fresh], s[fresh], w[fresh], kind)
+            p = h[fresh]
+            dest = np.where(_in(p, heavy), mix((p ^ d[fresh]).view(np.uint64)).view(np.int64), p)
+            yield _batch(_RUN, dest, p, d[fresh], r[fresh], s[fresh], w[fresh], kind)
             whole = np.repeat(count > 1, count)
             if whole.any():
                 yield _batch(_RUN, r[whole], h[whole], d[whole], r[whole], s[whole], w[whole], np.zeros(whole.sum(), np.int8))
@@ -256,36 +286,40 @@ def _runs(docs: DataFrame, text: str, length: int, piece: int) -> DataFrame:
     return docs.select("row", text).mapInArrow(tidy(run), _RUN_DDL)
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the runs of a partition's pieces: lone pieces go; equal runs are repeated as wholes; of pieces with different runs one of each stays for the suffix arrays."""
-    kept = [[] for _ in _RUN.names]
-    for batch in batches:
-        settled = batch.column("kind").to_numpy() == WHOLE
-        if settled.any():
-            yield batch.filter(pa.array(settled))
-        for k, c in enumerate(batch.columns):
-            kept[k].append(c.to_numpy()[~settled])
-    if not kept[0]:
-        return
-    _, piece, digest, row, start, windows, kind = (np.concatenate(x) for x in kept)
-    order, fresh = _same(piece, digest)
-    piece, digest, row, start, windows, kind = (x[order] for x in (piece, digest, row, start, windows, kind))
-    at = np.flatnonzero(fresh)
-    if not len(at):
-        return
-    count = np.diff(np.append(at, len(piece)))
-    many = (count > 1) | (kind[at] == MANY)
-    whole = np.repeat(count > 1, count)  # several batches had it
-    new = np.ones(len(at), bool)
-    new[1:] = piece[at][1:] != piece[at][:-1]
-    kinds = np.diff(np.append(np.flatnonzero(new), len(at)))
-    mixed = np.repeat(kinds > 1, kinds)
-    some = at[mixed]
-    out = [(piece[whole], digest[whole], row[whole], start[whole], windows[whole], np.zeros(whole.sum(), np.int8)), (piece[some], digest[some], row[some], start[some], windows[some], np.where(many[mixed], MANY, ALONE).astype(np.int8))]
-    for part in out:
-        for i in range(0, len(part[0]), 100_000):
-            p = [x[i : i + 100_000] for x in part]
-            yield _batch(_RUN, p[0], *p)
+def _settle(heavy: np.ndarray):
+    """Of the runs of a partition's pieces: lone pieces go; equal runs are repeated as wholes; of pieces with different runs one of each stays for the suffix arrays, as all of heavy pieces do, which no partition sees whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [[] for _ in _RUN.names]
+        for batch in batches:
+            settled = batch.column("kind").to_numpy() == WHOLE
+            if settled.any():
+                yield batch.filter(pa.array(settled))
+            for k, c in enumerate(batch.columns):
+                kept[k].append(c.to_numpy()[~settled])
+        if not kept[0]:
+            return
+        _, piece, digest, row, start, windows, kind = (np.concatenate(x) for x in kept)
+        order, fresh = _same(piece, digest)
+        piece, digest, row, start, windows, kind = (x[order] for x in (piece, digest, row, start, windows, kind))
+        at = np.flatnonzero(fresh)
+        if not len(at):
+            return
+        count = np.diff(np.append(at, len(piece)))
+        many = (count > 1) | (kind[at] == MANY)
+        whole = np.repeat(count > 1, count)  # several batches had it
+        new = np.ones(len(at), bool)
+        new[1:] = piece[at][1:] != piece[at][:-1]
+        kinds = np.diff(np.append(np.flatnonzero(new), len(at)))
+        mixed = np.repeat((kinds > 1) | _in(piece[at][new], heavy), kinds)
+        some = at[mixed]
+        out = [(piece[whole], digest[whole], row[whole], start[whole], windows[whole], np.zeros(whole.sum(), np.int8)), (piece[some], digest[some], row[some], start[some], windows[some], np.where(many[mixed], MANY, ALONE).astype(np.int8))]
+        for part in out:
+            for i in range(0, len(part[0]), 100_000):
+                p = [x[i : i + 100_000] for x in part]
+                yield _batch(_RUN, p[0], *p)
+
+    return run
 
 
 _SPAN_DDL = "row long, a long, b long"
@@ -310,7 +344,7 @@ def _spans(rows: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarra
     return rows[at], places[at], places[last] + length
 
 
-def _shard(length: int, buckets: int):
+def _shard(length: int):
     """Suffix array of one shard: spans of its repeated windows; of a piece that is split over shards also its sorted windows, by bucket."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -328,7 +362,8 @@ def _shard(length: int, buckets: int):
         r, a, b = _spans(r.astype(np.int64), p.astype(np.int64), length)
         none = [None] * len(r)
         out = [pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b), *(pa.array(none, t) for t in _SHARD.types[3:])], _SHARD.names)]
-        if group.column("split")[0].as_py():
+        if (parts := group.column("parts")[0].as_py()) is not None:
+            buckets = parts * MERGES
             kinds = np.frombuffer(b"".join(hashlib.blake2b(bodies[k][x : x + length], digest_size=16).digest() for k, x in zip(run_of.tolist(), at.tolist(), strict=True)), PAIR)
             # where a window of this kind would be flagged: -1 where it is already
             open_ = np.array([alone[k] and not flags[k][x] for k, x in zip(run_of, at, strict=True)], bool)
@@ -377,12 +412,14 @@ def _bodies(length: int, text_at: int, runs_at: int):
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, piece: int = PIECE, shard_runs: int = SHARD_RUNS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """row, a, b: byte ranges that repeated strings of `length` bytes cover; row is xxhash64(key, text). Ranges may overlap."""
     rows = small_batches(docs).select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
-    runs = materialise(_runs(rows, "text", length, piece).repartition("dest").mapInArrow(tidy(_settle), _RUN_DDL).drop("dest", "digest"), "runs")
+    heavy = _heavy(rows, docs.count(), length, piece)
+    runs = materialise(_runs(rows, "text", length, piece, heavy).repartition("dest").mapInArrow(tidy(_settle(heavy)), _RUN_DDL).drop("dest", "digest"), "runs")
     whole = runs.where(F.col("kind") == WHOLE).select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
     differ = runs.where(F.col("kind") != WHOLE)
     n_bytes = differ.agg(F.sum(F.col("windows") + length)).first()[0] or 0
     shards = max(1, n_bytes // shard_bytes)
-    by_row = differ.groupBy("row").agg(F.collect_list(F.struct("piece", "start", "windows", "kind")).alias("runs"))
+    # a set: rows alike share a name, and each of them looks its runs up once
+    by_row = differ.groupBy("row").agg(F.collect_set(F.struct("piece", "start", "windows", "kind")).alias("runs"))
     fetch, ddl = _bodies(length, 1, 2)
     bodies = rows.join(by_row, "row").select("row", "text", "runs").mapInArrow(tidy(fetch), ddl)
     large = differ.groupBy("piece").count().where(F.col("count") > shard_runs).select("piece", F.ceil(F.col("count") / shard_runs).cast("long").alias("parts"))
@@ -391,11 +428,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         large = F.broadcast(docs.sparkSession.createDataFrame(few, "piece long, parts long"))
     dealt = bodies.join(large, "piece", "left").select(
         "piece", "row", "start", "windows", "kind", "body",
-        F.col("parts").isNotNull().alias("split"),
+        "parts",
         F.coalesce(F.when(F.col("parts").isNotNull(), F.col("piece")), F.pmod("piece", F.lit(shards))).alias("shard"),
         F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(F.lit(-1)).alias("salt"),
     )
-    sorted_ = materialise(dealt.groupBy("shard", "salt").applyInArrow(_shard(length, 64), _SHARD_DDL), "shards")
+    sorted_ = materialise(dealt.groupBy("shard", "salt").applyInArrow(_shard(length), _SHARD_DDL), "shards")
     inner = sorted_.where("piece is null").select("row", "a", "b")
     across = sorted_.where("piece is not null").groupBy("piece", "bucket").applyInArrow(_merge(length), _SPAN_DDL)
     return whole.unionByName(inner).unionByName(across)
@@ -410,7 +447,7 @@ def _edge(body: bytes, at: int, step: int) -> int:
 
 
 def _cut(width: int, whole: bool = False):
-    """Cuts the bytes under the spans (the last column) out of the texts (the one before it); a null list cuts nothing. With whole, characters that a cut goes through go too."""
+    """Cuts the bytes under the spans (the last column) out of the texts (the one before it); a null list cuts nothing. With whole, characters that a cut goes through go too, and a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,12 +457,11 @@ def _cut(width: int, whole: bool = False):
             full = spans.is_valid().to_numpy(zero_copy_only=False)
             sizes, removed, count, kept = [], [], [], []
             for k, body in enumerate(texts):
-                body = body or b""
-                sizes.append(len(body))
-                if not full[k] or offs[k] == offs[k + 1]:
+                sizes.append(len(body or b""))
+                if not body or not full[k] or offs[k] == offs[k + 1]:
                     removed.append(0)
                     count.append(0)
-                    kept.append(body)
+                    kept.append(body if body or whole else b"")
                     continue
                 x, y = a[offs[k] : offs[k + 1]], b[offs[k] : offs[k + 1]]
                 order = np.argsort(x)
@@ -444,23 +480,37 @@ def _cut(width: int, whole: bool = False):
     return run
 
 
+NEW = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
+
+
+def _without(docs: DataFrame, key: str, text: str, length: int, keep: list[str], whole: bool, how: dict) -> DataFrame:
+    """The columns in keep as c0, c1, .., by place, then n_bytes, n_removed, n_spans and kept."""
+    frame, at = numbered(docs)
+    spans = repeated_spans(frame, at[key], at[text], length, **how).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    own = [F.col(at[c]).alias(f"c{k}") for k, c in enumerate(keep)]
+    rows = frame.select(F.xxhash64(at[key], at[text]).alias("row"), *own, F.col(at[text]).cast("binary").alias("body"))
+    both = rows.join(spans, "row", "left").select(*(f"c{k}" for k in range(len(keep))), "body", "spans")
+    return both.mapInArrow(tidy(_cut(len(keep), whole)), T.StructType([*both.schema[: len(keep)], *NEW]))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: list[str] | None = None, whole: bool = False, **how) -> DataFrame:
     """docs (or its columns in keep) with n_bytes, n_removed, n_spans (removed runs) and kept (binary: what is left of the text).
 
     Each byte is removed that lies in a string of `length` bytes which begins at another place too, of this text or any other.
     A null text is an empty one; texts below `length` bytes lose nothing. Rows with the same key and text are two texts that
-    repeat each other, a null key makes no difference. With whole, what is left of a character of UTF-8 that a cut goes through is removed too. An empty table gives an empty result. Columns with the new names are replaced.
+    repeat each other, a null key makes no difference. With whole, what is left of a character of UTF-8 that a cut goes through is removed too, and kept is null for a null text. An empty table gives an empty result.
+    Columns with the new names are replaced; columns of any other name stay as they are.
     """
-    new = ["n_bytes", "n_removed", "n_spans", "kept"]
-    own = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    spans = repeated_spans(docs, key, text, length, **how).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(F.xxhash64(key, text).alias("_row"), *own, F.col(text).cast("binary").alias("_body"))
-    both = rows.join(spans, rows["_row"] == spans["row"], "left").select(*own, "_body", "spans")
-    schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
-    return both.mapInArrow(tidy(_cut(len(own), whole)), schema)
+    own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {f.name for f in NEW}]
+    return _without(docs, key, text, length, own, whole, how).toDF(*own, *(f.name for f in NEW))
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **how) -> DataFrame:
-    """docs with the text less its repeated strings. Of a character that a cut goes through nothing stays; a null text becomes an empty one."""
-    cut = remove_repeats(docs, key, text, length, keep=[c for c in docs.columns if c != text], whole=True, **how)
-    return cut.withColumn(text, F.col("kept").cast("string")).select(*docs.columns)
+    """docs with the text less its repeated strings; columns of any name stay as they are.
+
+    Of a character that a cut goes through nothing stays. A text without repeats stays as it is; a null text stays null.
+    """
+    others = [c for c in docs.columns if c != text]
+    cut = _without(docs, key, text, length, others, True, how)
+    place = {c: f"c{k}" for k, c in enumerate(others)}
+    return cut.select(*(F.col("kept").cast("string") if c == text else F.col(place[c]) for c in docs.columns)).toDF(*docs.columns)
