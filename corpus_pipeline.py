@@ -20,23 +20,27 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs, quality.references(docs)).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep; those with a null or empty text go, since they have no words. Columns stay, whatever their names; rows are judged each by itself."""
+    return quality.keep(docs, quality.references(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id, a null one first. Texts without words are one group; repeated rows leave one."""
     return simhash.drop_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less the strings of 200 bytes that stand in two places; all copies go. A null text stays null, n_chars follows the text."""
     return _sized(suffix.drop_repeats(docs))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the passages of benchmark; those covered beyond 80 % go whole. A null text stays null, n_chars follows the text."""
     return _sized(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), and the bytes that the ids decode to."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), and the number of bytes that the ids decode to. A null text has no tokens; each row stands for itself."""
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     decoded = bpe.decode(bpe.encode(docs, tokens, public_tokenizers.PATTERN), tokens)
     return decoded.select("doc_id", "n_tokens", "ids", F.octet_length("decoded").cast("long").alias("n_bytes"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, tidy, views
+from .common import numbered, small_batches, tidy, views
 from .words import ALNUM, FACTOR, LOWER, mix, word_hashes, word_ranges
 
 #: Item bytes in one automaton; a larger benchmark is streamed through several, one after the other.
@@ -204,7 +204,7 @@ def _indexes(benchmark: DataFrame, item: str, text: str, window: int) -> list[In
         yield Index([(r[0], r[1]) for r in part.select(item, text).where(F.col(text).isNotNull()).collect()], window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, n_hit, spans (word numbers and bytes of each run of hit words) and items (ids, null left out).
 
     Words are lower-cased [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+; a window is `window` item words in a row, or a whole shorter item.
@@ -212,12 +212,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, key:
     judged each by itself. If docs already has one of the new columns, it is replaced.
     """
     new = ["n_words", "n_hit", "spans", "items"]
-    docs = small_batches(docs.drop(*new))
+    frame, names = numbered(small_batches(docs), without=new)
     kind = benchmark.schema[item].dataType
     found = None
-    for index in _indexes(benchmark, item, text, window):
-        found = _attach(docs if found is None else found, docs.columns, index, text, kind)
-    return found
+    for index in _indexes(benchmark, item, item_text, window):
+        found = _attach(frame if found is None else found, frame.columns, index, names[text], kind)
+    return found.toDF(*names, *new)
 
 
 def _attach(docs: DataFrame, own: list[str], index: Index, text: str, kind: T.DataType) -> DataFrame:
@@ -262,18 +262,20 @@ def _union(spans: list[tuple]) -> list[tuple]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.8, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.8, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the spans that windows of benchmark items cover; documents covered beyond `coverage` go whole.
 
-    The columns are those of docs. Texts without a hit, nulls and empty texts among them, stay as they are.
+    The columns are those of docs, whatever their names. Texts without a hit, nulls and empty texts among them, stay as they are.
     A removed span takes the bytes from its first to its last word; what stands around it stays.
     """
-    own = docs.columns
-    found = contamination(docs, benchmark, window, key, text, item)
-    raw = F.col(text).cast("binary")
+    frame, at = numbered(docs)
+    body = at[text]
+    found = contamination(frame, benchmark, window, at[key], body, item, item_text)
+    raw = F.col(body).cast("binary")
     # the bytes before each span and those after the last: cut by bytes, joined again
     starts = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.last_byte"))
-    ends = F.concat(F.col("spans.first_byte"), F.array(F.octet_length(text).cast("long")))
+    ends = F.concat(F.col("spans.first_byte"), F.array(F.octet_length(body).cast("long")))
     parts = F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
-    kept = F.when(F.col("n_hit") > 0, F.array_join(parts, "")).otherwise(F.col(text))
-    return found.where(F.col("n_hit") <= F.lit(coverage) * F.col("n_words")).select(*[kept.alias(c) if c == text else F.col(c) for c in own])
+    kept = F.when(F.col("n_hit") > 0, F.array_join(parts, "")).otherwise(F.col(body))
+    clean = found.where(F.col("n_hit") <= F.lit(coverage) * F.col("n_words"))
+    return clean.select(*(kept.alias(c) if c == body else F.col(c) for c in frame.columns)).toDF(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, numbered
 
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -111,13 +111,15 @@ def references(docs: DataFrame, label: str = "lang", text: str = "text", common:
     From all texts with a label. Each text adds its shares, so a long one weighs no more than a short one; the pooled ones have the labels as the texts do. No labels: an empty list.
     """
     base = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).cast("string").alias("label"), F.col(text).alias("_body"))
-    whole = lambda share: F.round(share * F.lit(float(UNIT))).cast("long")  # noqa: E731  sums of whole numbers are the same in any order
+    whole = lambda share: (share * F.lit(float(UNIT)) + 0.5).cast("long")  # noqa: E731  sums of whole numbers are the same in any order
     width = len(CLASSES) + 1
     shares = _classes(base, "_body").select("label", _shares(F.col("_classes")).alias("_shares"))
     classes = {r[0]: list(r[1:]) for r in shares.groupBy("label").agg(*(F.sum(whole(F.col("_shares")[i])) for i in range(width))).collect()}
     if not classes:
         return []
-    each = base.select("label", _words(F.lower("_body")).alias("_words")).select("label", F.explode("_words").alias("word"), whole(1 / F.size("_words")).alias("share"))
+    # a text's share once, before its words part; words in lower case each by itself, since most are ASCII and most texts are not
+    split = base.select("label", _words(F.col("_body")).alias("_words")).withColumn("share", whole(1 / F.size("_words")))
+    each = split.select("label", F.explode("_words").alias("word"), "share").withColumn("word", F.lower("word"))
     # one row for each word of a label: read three times, and one pass over the whole table is enough
     words = materialise(each.groupBy("label", "word").agg(F.sum("share").alias("share")), "references")
     words = words.unionByName(words.groupBy("word").agg(F.sum("share").alias("share")).withColumn("label", F.lit(POOLED)))
@@ -135,24 +137,39 @@ def references(docs: DataFrame, label: str = "lang", text: str = "text", common:
     return found
 
 
+JUDGED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", "kept"]
+
+
 def judge(docs: DataFrame, known: list[tuple], label: str = "lang", text: str = "text", limits: dict = LIMITS, least: dict = LEAST_WORDS, window: int = WINDOW) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, chars_distance, words_distance and kept.
 
     A text fails the base rules with fewer than 20 words (so a null or empty one does) or more than 30 % of its words in repeated windows. The
     others are kept unless a distance exceeds its limit; a text with fewer words than the least has none (null) and is kept.
-    A missing or unknown label is held against the references of all labels together; without references nothing is. Rows are judged each by itself; columns of these names are replaced.
+    A missing or unknown label is held against the references of all labels together; without references nothing is. Rows are judged each by itself;
+    columns of these names are replaced, columns of any other name stay as they are. An empty table gives an empty result.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", "kept"]
-    own = [c for c in docs.columns if c not in new]
-    out = counts(docs.select(*own), text, window)
+    frame, at = numbered(docs, without=JUDGED)
+    return _judged(frame, known, at.get(label), at[text], limits, least, window).toDF(*at, *JUDGED)
+
+
+def keep(docs: DataFrame, known: list[tuple], label: str = "lang", text: str = "text", **how) -> DataFrame:
+    """The rows of docs that judge() keeps, with the columns of docs, whatever their names."""
+    frame, at = numbered(docs)
+    rules = {"limits": LIMITS, "least": LEAST_WORDS, "window": WINDOW} | how
+    return _judged(frame, known, at.get(label), at[text], **rules).where("kept").select(*frame.columns).toDF(*docs.columns)
+
+
+def _judged(frame: DataFrame, known: list[tuple], label: str | None, text: str, limits: dict, least: dict, window: int) -> DataFrame:
+    """frame, whose columns are c0, c1, .., with the columns of JUDGED."""
+    out = counts(frame, text, window)
     out = out.withColumn("base_failed", (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > 100 * BASE_REPEATED * F.col("n_words")))
     if known:
-        spark = docs.sparkSession
+        spark = frame.sparkSession
         names = [k[0] for k in known]
         # a row for each language, a few hundred bytes each
         refs = F.broadcast(spark.createDataFrame(known, "_label string, _common array<string>, _word_shares array<double>, _class_shares array<double>"))
         all_words = sorted({w for k in known for w in k[1]})
-        named = F.col(label).cast("string") if label in own else F.lit(None).cast("string")
+        named = F.col(label).cast("string") if label else F.lit(None).cast("string")
         out = out.withColumn("_label", F.when(named.isin(names), named).otherwise(F.lit(POOLED))).join(refs, "_label", "left")
         some = F.filter("_words", lambda x: F.lower(x).isin(all_words))
         out = out.withColumn("_some", F.when(F.col("n_words") >= least["words"], F.transform(some, lambda x: F.lower(x))))
@@ -169,4 +186,4 @@ def judge(docs: DataFrame, known: list[tuple], label: str = "lang", text: str =
     # an id is never negative; it keeps a filter on the verdict above this projection, where each step is computed once. Pushed down,
     # the filter would repeat the whole chain of expressions inside itself
     once = F.monotonically_increasing_id() >= 0
-    return out.withColumn("kept", ~F.col("base_failed") & ~far & once).select(*own, *new)
+    return out.withColumn("kept", ~F.col("base_failed") & ~far & once).select(*frame.columns, *JUDGED)

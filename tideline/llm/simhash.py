@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, small_batches, tidy, views
+from .common import materialise, numbered, small_batches, tidy, views
 from .components import components
 from .hamming import PAIRS, Forest, TopTree, link
 from .words import mix
@@ -333,13 +333,15 @@ def near_duplicate_groups(docs: DataFrame, size: int = NEAR_WORDS, wide: int = N
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest key, a null key being smaller than all.
 
-    Of each group exactly one row stays, whatever the keys: of equal keys the one with the smallest digest of its text. Texts without words are near-duplicates of each other. Columns are those of docs.
+    Of each group exactly one row stays, whatever the keys: of equal keys the one with the smallest digest of its text. Texts without words, nulls among them, are near-duplicates of each other.
+    Columns are those of docs, whatever their names. An empty table gives an empty result.
     """
-    groups = near_duplicate_groups(docs, key=key, text=text, **how)
-    least = F.min(F.struct(F.col(key).isNotNull().alias("has"), F.col(key).alias("key"), "digest"))
-    keepers = groups.groupBy("root").agg(least.alias("k")).select(F.col("k.key").alias("_keeper"), F.col("k.digest").alias("_digest"))
-    named = docs.withColumn("_same", _digest(text))
+    frame, at = numbered(docs)
+    groups = near_duplicate_groups(frame, key=at[key], text=at[text], **how)
+    least = F.min(F.struct(F.col(at[key]).isNotNull().alias("has"), F.col(at[key]).alias("key"), "digest"))
+    keepers = groups.groupBy("root").agg(least.alias("k")).select(F.col("k.key").alias("keeper"), F.col("k.digest").alias("keeper_digest"))
+    named = frame.withColumn("same", _digest(at[text]))
     # a text has one root, so a key and a text are those of one group
-    kept = named.join(keepers, named[key].eqNullSafe(keepers["_keeper"]) & (named["_same"] == keepers["_digest"]), "left_semi")
-    again = Window.partitionBy(key, "_same").orderBy(key)
-    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns)
+    kept = named.join(keepers, F.col(at[key]).eqNullSafe(F.col("keeper")) & (F.col("same") == F.col("keeper_digest")), "left_semi")
+    again = Window.partitionBy(at[key], "same").orderBy(at[key])
+    return kept.withColumn("nth", F.row_number().over(again)).where("nth = 1").select(*frame.columns).toDF(*docs.columns)
