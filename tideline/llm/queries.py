@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from . import bpe, counting, decontaminate, lm, ppm, quality, sharding, simhash, suffix, warc
 from .common import table
+from .oracles import ORACLES  # noqa: F401  SQL by name of the query
 
 
 TOKEN_LIMIT = 2048
+#: Digits of a distance that are shown; verdicts are made on all of them.
+DISTANCE_PLACES = 6
 
 
 def op1_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,16 +28,6 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OP2_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
-     q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS first_id FROM p)
-SELECT page_id, n::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
-       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
-FROM q
-"""
-
-
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoded = bpe.encode(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
@@ -66,7 +59,7 @@ def op7_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.judge(docs.select("doc_id", "text", "lang"), quality.references(docs))
-    return judged.drop("text", "lang")
+    return judged.drop("text", "lang").withColumns({c: F.round(c, DISTANCE_PLACES) for c in ("chars_distance", "words_distance")})
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +74,3 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op4_elias_fano_lm, op5_suffix_repeats, op6_simhash, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp)}
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
