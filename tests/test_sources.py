@@ -1,9 +1,11 @@
 import datetime as dt
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from tideline.sources import grids, web
+from tideline.operators import vintages
+from tideline.sources import grids, parsers, web
 from tideline.streaming import capture
 
 D = dt.date.fromisoformat
@@ -97,3 +99,55 @@ def test_windows_of_a_stream(spark, tmp_path):
     q = capture.windowed_counts(stream, "ts", "event_type").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.sql("select n from windows").collect()) == [1, 2]
+
+
+def test_first_filled_and_together(spark, tmp_path):
+    full, none = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([], "a int")
+    broken = lambda: spark.read.parquet(str(tmp_path / "missing"))
+    assert parsers.first_filled(broken, lambda: none, lambda: full).count() == 1
+    with pytest.raises(ValueError, match="no source has rows"):
+        parsers.first_filled(broken, lambda: none)
+    assert parsers.together(lambda: full, broken, lambda: full.withColumnRenamed("a", "b")).columns == ["a", "b"]
+    assert parsers.together(broken, lambda: none, otherwise=lambda: full).count() == 1
+    with pytest.raises(ValueError):
+        parsers.together(broken, otherwise=lambda: none)
+
+
+def test_granted_resources_and_sub_pages(spark):
+    rows = spark.createDataFrame([("XLSX", "Granted report", "u1"), ("xlsx", None, "http://a/granted-1.xlsx"), ("csv", "granted", "u3"), ("xlsx", "lodged", "u4"), (None, "granted", "u5")], "format string, name string, url string")
+    assert {r.url for r in web.granted(rows).collect()} == {"u1", "http://a/granted-1.xlsx"}
+    found = spark.createDataFrame([("u", "http://a/study/"), ("u", "http://a/study"), ("u", "http://a/studying"), ("u", "http://a/work/x")], "url string, link string")
+    assert {r.link for r in web.sub_pages(found, ["study", "work"]).collect()} == {"http://a/study/", "http://a/study", "http://a/work/x"}
+    assert web.sub_pages(found, []).count() == 0
+
+
+def test_parsers_of_odd_sheets(spark):
+    cells = lambda rows: spark.createDataFrame([("/x/f.xlsx", *r) for r in rows], "path string, sheet string, row int, col int, text string")
+    empty = cells([])
+    files = spark.createDataFrame([("/x/f.xlsx", "Student", None)], "path string, title string, lock date")
+    for out in (parsers.movement_cubes(empty, "arrival"), parsers.annual_cubes(empty, "2024-01-01"), parsers.pivot_tables(empty, files), parsers.aggregate_tables(empty, [("arrival", "A", "x")])):
+        assert out.count() == 0
+    # one label column, quarters as heads, a secondary header, no lock day
+    pivot = cells([("Lodged", 3, 1, "Citizenship"), ("Lodged", 3, 2, "2023-24 Q2"), ("Lodged", 3, 3, "note"), ("Lodged", 4, 1, "A"), ("Lodged", 4, 2, "5"), ("Lodged", 5, 1, "Sub Total"), ("Lodged", 5, 2, "5"), ("Lodged", 6, 1, "B"), ("Lodged", 6, 2, "x")])
+    got = parsers.pivot_tables(pivot, files).collect()
+    assert [(r.series_id, str(r.period), r.period_unit, r.value) for r in got] == [("dha_grants:student:A", "2023-10-01", "quarter", 5.0)]
+    assert {r.sheet for r in parsers.pivot_sheets(cells([("Overview", 1, 1, "a"), ("Data", 1, 1, "b")])).collect()} == {"Data"}
+    assert parsers.stock_table(spark.createDataFrame([(1,)], "nothing int")).count() == 0
+    stock = parsers.stock_table(spark.createDataFrame([("2024-05", "7"), ("2024-07-15", "x"), ("bad", "1"), ("2024-10", "2")], "period string, count string"), "f.csv").collect()
+    assert sorted((str(r.period), r.period_unit, r.value, r.series_id) for r in stock) == [("2024-05-01", "month", 7.0, "twh:total"), ("2024-10-01", "quarter", 2.0, "twh:total")]
+
+
+def test_history_from_csv_in_one_write(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("source,series_id,period,period_unit,vintage_date,value\nnom,nom:total,2024-01-01,quarter,2024-05-01,5\nnom,nom:total,2024-01-01,quarter,2024-06-01,6\noad,oad:student:arrival,2024-01-01,month,2024-06-01,7\nnom,nom:total,2023-01-01,quarter,2019-06-01,1\n")
+    store = vintages.VintageStore(spark, str(tmp_path / "store"))
+    assert store.load_history(vintages.read_history(spark, str(tmp_path / "h.csv"), "2020-01-01")) == 3
+    assert [(r.value, r.metadata) for r in store.read_as_of("nom", "2024-05-15").collect()] == [(5.0, None)] and [r.value for r in store.read_as_of("nom").collect()] == [6.0]
+    assert store.write("nom", spark.createDataFrame([("nom:total", "2024-01-01", "quarter", 9.0)], "series_id string, period string, period_unit string, value double"), "2024-06-01") == 1
+    assert [r.value for r in store.read_as_of("nom").collect()] == [9.0] and [r.value for r in store.read_as_of("oad").collect()] == [7.0]
+    with pytest.raises(ValueError):
+        store.load_history(spark.createDataFrame([(1,)], "value int"))
+    flows = vintages.reenriched_flows(store.read_as_of("oad")).collect()
+    assert [(r.category, r.direction) for r in flows] == [("student", "arrival")]
+    assert [r.category for r in vintages.reenriched_figures(store.read_as_of("nom")).collect()] == ["total"]
+    grants = spark.createDataFrame([("dha:500 x", None, 1.0), ("dha:", None, 2.0)], "series_id string, metadata string, value double")
+    assert [r.category for r in vintages.reenriched_grants(grants).orderBy("value").collect()] == ["student", None]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import labels
+
 
 def coverage(low: str, high: str, y: str) -> Column:
     """The share of y within [low, high], of rows where all three are known; null if there are none."""
@@ -74,10 +76,17 @@ def preliminary(panel: DataFrame) -> DataFrame:
 
 def latest_truth(observations: DataFrame, keys: list[str], by: list[str], vintage: str = "vintage_date") -> DataFrame:
     """by, nom_truth: the latest vintage of each key, summed by the columns in by (nothing sums to 0)."""
-    last = observations.groupBy(*keys).agg(F.max_by(F.struct("value"), vintage).alias("_l")).select(*keys, "_l.value")
+    last = observations.groupBy(*keys).agg(F.max_by("value", vintage).alias("value"))
     return last.groupBy(*by).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("nom_truth"))
 
 
+def latest_figures(observations: DataFrame, vintage: str = "vintage_date") -> DataFrame:
+    """period, category, nom_truth of stored figures: the latest vintage of each series and period, by the category of the series that its metadata name, total where they name none."""
+    last = observations.groupBy("series_id", "period").agg(F.max_by("value", vintage).alias("value"), F.max_by("metadata", vintage).alias("metadata"))
+    category = F.coalesce(labels.visa_group(F.get_json_object("metadata", "$.series")), F.lit("total"))
+    return last.groupBy("period", category.alias("category")).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("nom_truth"))
+
+
 def with_preliminary(truth: DataFrame, first: DataFrame, origins: DataFrame, keys: list[str], day: str = "asof_date") -> DataFrame:
     """day, keys, nom_truth, nom_prelim and prelim_is_truth: figures as first published at each origin; where an origin has none at all, the truth stands in for them, and is flagged."""
     has = first.select(day).distinct().withColumn("_has", F.lit(True))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import labels
+from .staging import staged
+
 STORE = T.StructType(
     [
         T.StructField("source", T.StringType(), False),
@@ -26,19 +29,29 @@ REQUIRED = ("series_id", "period", "period_unit", "value")
 
 
 def as_of(observations: DataFrame, day, keys: list[str], vintage: str = "vintage_date") -> DataFrame:
-    """The latest vintage not after day of each key; a null value stays if it is the latest. One aggregation; the day reaches the scan."""
-    rest = [c for c in observations.columns if c not in keys]
+    """The latest vintage not after day of each key; a null value stays if it is the latest. One aggregation; the day reaches the scan.
+
+    Each column is aggregated by itself, so that numbers and dates stay in a hash aggregate. Of equal vintages of a key one row stays, whole.
+    """
     known = observations.where(F.col(vintage) <= F.lit(day).cast(observations.schema[vintage].dataType))
-    last = known.groupBy(*keys).agg(F.max_by(F.struct(*rest), vintage).alias("_last"))
-    return last.select(*keys, "_last.*").select(*observations.columns)
+    return _latest(known, keys, vintage).select(*observations.columns)
+
+
+def _latest(rows: DataFrame, keys: list[str], vintage: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys and c != vintage]
+    return rows.groupBy(*keys).agg(F.max(vintage).alias(vintage), *(F.max_by(c, vintage).alias(c) for c in rest))
 
 
 def as_of_many(observations: DataFrame, days: DataFrame, keys: list[str], vintage: str = "vintage_date", day: str = "asof_date") -> DataFrame:
-    """as_of for each row of days, in one job: with the column `day` in front. days is small: a list of backtest origins."""
-    rest = [c for c in observations.columns if c not in keys]
-    both = observations.join(F.broadcast(days.select(day).distinct()), F.col(vintage) <= F.col(day))
-    last = both.groupBy(day, *keys).agg(F.max_by(F.struct(*rest), vintage).alias("_last"))
-    return last.select(day, *keys, "_last.*").select(day, *observations.columns)
+    """as_of for each row of days, in one job: with the column `day` in front.
+
+    A vintage is known from its day to the day before the next one of its key: one window over the observations, dealt by key. An observation
+    then meets only the origins within that span, so the result is never larger than what it has to hold.
+    """
+    following = F.lead(vintage).over(Window.partitionBy(*keys).orderBy(vintage))
+    spans = observations.where(F.col(vintage).isNotNull()).withColumn("_until", following)
+    at = F.col(day)
+    return spans.join(days.select(day).distinct(), (F.col(vintage) <= at) & (F.col("_until").isNull() | (F.col("_until") > at))).select(day, *observations.columns)
 
 
 def history(observations: DataFrame, vintage: str = "vintage_date", period: str = "period") -> DataFrame:
@@ -58,6 +71,47 @@ def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return existing.join(once, keys, "left_anti").unionByName(once, allowMissingColumns=True)
 
 
+def read_history(spark: SparkSession, path: str, first: str | None = None) -> DataFrame:
+    """A history from .csv files with a header: source, series_id, period, period_unit, vintage_date, value, unit, metadata, those that are there; rows of vintages before `first` are left out."""
+    text = spark.read.option("header", True).csv(path)
+    known = [f for f in STORE if f.name in text.columns]
+    rows = text.select(*(F.col(f.name).try_cast(f.dataType) for f in known))
+    return rows.where(F.col("vintage_date") >= F.lit(first).cast("date")) if first else rows
+
+
+def reenriched(rows: DataFrame, parts: list[str], rules: dict, metadata: str = "metadata", series_id: str = "series_id") -> DataFrame:
+    """rows with the columns that the store does not keep: what rules say of the series named in the metadata, else a part of the series id.
+
+    parts: what the id holds, split by colons, its first part being the source; an empty name skips one. rules: by name a function of the series' description.
+    Columns that are there already stay. Metadata that is no JSON counts as none.
+    """
+    series, at = F.get_json_object(metadata, "$.series"), F.split(series_id, ":")
+    new = {}
+    for k, name in enumerate(parts):
+        if name and name not in rows.columns:
+            own = F.nullif(F.get(at, k), F.lit(""))
+            new[name] = F.coalesce(rules[name](series), own) if name in rules else own
+    return rows.withColumns(new) if new else rows
+
+
+def reenriched_flows(rows: DataFrame) -> DataFrame:
+    """category and direction of movements: ids are source:category:direction."""
+    return reenriched(rows, ["", "category", "direction"], {"category": labels.visa_group, "direction": labels.direction})
+
+
+def reenriched_figures(rows: DataFrame) -> DataFrame:
+    """category of published figures, total where nothing says which."""
+    out = reenriched(rows, ["", "category"], {"category": labels.visa_group})
+    return out if "category" in rows.columns else out.withColumn("category", F.coalesce("category", F.lit("total")))
+
+
+def reenriched_grants(rows: DataFrame) -> DataFrame:
+    """category of grants from the visa in the id."""
+    if "category" in rows.columns:
+        return rows
+    return reenriched(rows, ["", "category"], {}).withColumn("category", labels.subclass("category"))
+
+
 class VintageStore:
     """The store at a path of shared storage."""
 
@@ -80,6 +134,20 @@ class VintageStore:
             (once.select(*STORE.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "vintage_date").parquet(self.path))
         return count
 
+    def load_history(self, rows: DataFrame) -> int:
+        """Writes a history of many sources and days (all columns of the store but unit and metadata, which may lack) in one job, and returns its rows; what is there of the same sources and days is replaced."""
+        missing = [c for c in (*REQUIRED, "source", "vintage_date") if c not in rows.columns]
+        if missing:
+            raise ValueError(f"missing columns: {', '.join(missing)}")
+        full = rows.withColumns({c: F.lit(None).cast("string") for c in ("unit", "metadata") if c not in rows.columns})
+        typed = full.select(*(F.col(f.name).cast(f.dataType) for f in STORE)).where("source is not null and series_id is not null and period is not null and vintage_date is not null")
+        once = staged(typed.groupBy("source", "series_id", "period", "vintage_date").agg(F.max(F.struct("value", "period_unit", "unit", "metadata")).alias("r")).select("source", "series_id", "period", "r.*", "vintage_date"), "history")
+        count = once.count()
+        if count:
+            days = once.repartition("source", "vintage_date").select(*STORE.fieldNames())
+            days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "vintage_date").parquet(self.path)
+        return count
+
     def read(self) -> DataFrame:
         return self.spark.read.schema(STORE).parquet(self.path)
 

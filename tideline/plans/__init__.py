@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assemble, frames, models, store, text
+from . import assemble, frames, ingest, models, store, text
 
-MODULES = (store, frames, assemble, text, models)
+MODULES = (store, frames, assemble, text, ingest, models)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import labels
 from ..functions.calendar import label_unit, month_label, period_label
+from ..operators.staging import staged
 
 CELLS = "path string, sheet string, row int, col int, text string"
 
@@ -52,7 +52,7 @@ def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of all workbooks under a path, a task for each few files."""
+    """The cells of all workbooks under a path, a task for each few files. They are written once, since parsers read them in several branches and unpacking is the dear part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +61,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["path", "sheet", "row", "col", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CELLS)
+    return staged(spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CELLS), "cells")
 
 
 def header_row(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,7 +84,7 @@ def melted(cells: DataFrame, keys: list[str], header: int, label_columns: list[i
     heads = cells.where((F.col("row") == header) & ~F.col("col").isin(label_columns)).select(*keys, "col", F.trim("text").alias("head"))
     body = cells.where((F.col("row") > header) & ~F.col("col").isin(label_columns)).select(*keys, "row", "col", "text")
     names = filled_down(cells.where(F.col("row") > header), keys, label_columns)
-    return body.join(F.broadcast(heads), [*keys, "col"]).join(names, [*keys, "row"]).drop("col")
+    return body.join(heads, [*keys, "col"]).join(names, [*keys, "row"]).drop("col")
 
 
 def pivot_values(rows: DataFrame, label_columns: list[str], lock=None) -> DataFrame:
@@ -107,17 +107,12 @@ def reconciled(values: DataFrame, totals: DataFrame, limit: float = 0.01) -> Dat
     return totals.join(parts, "period").where(F.abs(F.col("parts") - F.col("total")) > limit * F.abs("total")).select("period", "total", "parts")
 
 
-def visa_columns(cells: DataFrame, header: int) -> DataFrame:
-    """col, label, category of the columns of a movement table; unnamed ones and totals have none."""
-    return cells.where((F.col("row") == header) & (F.col("col") > 1)).select("col", F.col("text").alias("label"), labels.visa_group("text").alias("category")).where("category is not null")
-
-
 def labelled_series(cells: DataFrame, keys: list[str], pattern: str, label_row: int = 1, unit_row: int = 2, first_row: int = 11) -> DataFrame:
     """keys, label, period, value: the columns whose label matches, by the months in column 1. Columns in thousands ('000) are scaled and rounded half to even."""
     heads = cells.where((F.col("row") == label_row) & F.col("text").rlike(pattern)).select(*keys, "col", F.col("text").alias("label"))
     units = cells.where((F.col("row") == unit_row) & F.trim("text").contains("000")).select(*keys, "col", F.lit(1000.0).alias("_scale"))
-    columns = heads.join(F.broadcast(units), [*keys, "col"], "left")
+    columns = heads.join(units, [*keys, "col"], "left")
     dates = cells.where((F.col("col") == 1) & (F.col("row") >= first_row)).select(*keys, "row", month_label("text").alias("period"))
     body = cells.where(F.col("row") >= first_row).select(*keys, "row", "col", F.col("text").try_cast("double").alias("value"))
     value = F.when(F.col("_scale").isNotNull(), F.bround(F.col("value") * F.col("_scale"))).otherwise(F.col("value"))
-    return body.join(F.broadcast(columns), [*keys, "col"]).join(dates, [*keys, "row"]).where("period is not null and value is not null").select(*keys, "label", "period", value.alias("value"))
+    return body.join(columns, [*keys, "col"]).join(dates, [*keys, "row"]).where("period is not null and value is not null").select(*keys, "label", "period", value.alias("value"))

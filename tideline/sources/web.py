@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ def catalogue(answers: DataFrame, body: str = "body") -> DataFrame:
     return packages.select(F.col("p.title").alias("dataset_title"), F.explode("p.resources").alias("r")).select("dataset_title", "r.*")
 
 
+def granted(resources: DataFrame, format: str = "format", name: str = "name", url: str = "url") -> DataFrame:
+    """The .xlsx resources whose name or address says that they are about grants."""
+    says = lambda c: F.coalesce(F.col(c).rlike("(?i)granted"), F.lit(False))
+    return resources.where((F.lower(format) == "xlsx") & (says(name) | says(url)))
+
+
+def sub_pages(found: DataFrame, keywords: list[str], link: str = "link") -> DataFrame:
+    """The distinct links, as link, that have one of the keywords as a part of their path: the pages to look at next."""
+    words = "|".join(re.escape(k) for k in keywords)
+    return found.where(F.col(link).rlike(f"(?i)({words})(/|$)") if keywords else F.lit(False)).select(link).distinct()
+
+
 def lock_date(text) -> Column:
     """The first ISO day within a text, null if there is none."""
     t = text if isinstance(text, Column) else F.col(text)
