@@ -55,9 +55,45 @@ def test_smoothers():
 
 
 def test_metropolis_finds_a_normal():
-    draws, rate = ss.adaptive_metropolis(lambda x: -0.5 * ((x - 5) ** 2 / [1.0, 4.0]).sum(), np.zeros(2), 4000, 1500, 3, 0.5)
-    assert draws.mean(0) == pytest.approx([5, 5], abs=0.4) and draws.std(0) == pytest.approx([1, 2], rel=0.25) and 0.1 < rate < 0.6
-    assert (ss.split_rhat([draws, draws]) < 1.2).all()
+    """Means, spreads and correlation of a known density; chains agree, and the effective draws are near those of an autoregression whose worth is known."""
+    cov = np.array([[1.0, 1.2], [1.2, 4.0]])
+    solve = np.linalg.inv(cov)
+    chains, rate = ss.adaptive_metropolis(lambda x: -0.5 * np.einsum("ci,ij,cj->c", x - 5, solve, x - 5), np.array([[0.0, 0.0], [9.0, 1.0], [5.0, 5.0], [2.0, 9.0]]), 4000, 1500, 3, 0.5)
+    flat = chains.reshape(-1, 2)
+    assert chains.shape == (4, 4000, 2) and flat.mean(0) == pytest.approx([5, 5], abs=0.25) and np.cov(flat.T) == pytest.approx(cov, rel=0.2) and ((0.1 < rate) & (rate < 0.6)).all()
+    assert (ss.split_rhat(list(chains)) < 1.03).all() and 500 < ss.effective_draws(chains).min() < 8000
+    rng = np.random.default_rng(1)
+    noise, path = rng.standard_normal((4, 5000, 1)), np.zeros((4, 5000, 1))
+    for t in range(1, 5000):
+        path[:, t] = 0.8 * path[:, t - 1] + noise[:, t]
+    assert ss.effective_draws(path)[0] == pytest.approx(20000 * (1 - 0.8) / (1 + 0.8), rel=0.2) and ss.effective_draws(noise)[0] == pytest.approx(20000, rel=0.1)
+
+
+def test_filters_of_many_models_are_those_of_each():
+    """The batched filter gives each model's Gaussian log likelihood, from the joint covariance of the observations."""
+    rng = np.random.default_rng(0)
+    y = rng.normal(10, 0.3, (9, 3))
+    y[2, 1] = y[:4, 2] = np.nan
+    points = rng.normal(0, 0.3, (4, 12)) + np.array([0, 0, -1, -1, -1, -1, -1, 1.0, 10, 0, -2, -2])
+    for seasonal_ in (False, True):
+        models = [fits._bayes_model(x[: 12 if seasonal_ else 10], [0.5, 0.3, 0.2], seasonal_) for x in points]
+        got = fits._bayes_filter(models, y)
+        for (m, first, v, n), value in zip(models, got, strict=True):
+            mean, cross, a, P, powers = [], [], first, np.diag(m.p1), []
+            for _ in range(9):
+                a, P = m.T @ a, m.T @ P @ m.T.T + np.diag(m.q)
+                mean.append(m.Z @ a + [0, n, v])
+                powers.append(P)
+            full = np.zeros((27, 27))
+            for i in range(9):
+                for j in range(i + 1):
+                    c = m.Z @ np.linalg.matrix_power(m.T, i - j) @ powers[j] @ m.Z.T
+                    full[3 * i : 3 * i + 3, 3 * j : 3 * j + 3] = c
+                    full[3 * j : 3 * j + 3, 3 * i : 3 * i + 3] = c.T
+                full[3 * i : 3 * i + 3, 3 * i : 3 * i + 3] += np.diag(m.h)
+            ok = np.isfinite(y.ravel())
+            r, S = (y.ravel() - np.concatenate(mean))[ok], full[np.ix_(ok, ok)]
+            assert value == pytest.approx(-0.5 * (len(r) * np.log(2 * np.pi) + np.linalg.slogdet(S)[1] + r @ np.linalg.solve(S, r)), rel=1e-9)
 
 
 def test_forecasts_from_groups(spark):
@@ -93,6 +129,7 @@ def test_bayes_headline_orders_its_intervals(spark):
     got = fits.bayes_headline(draws).collect()
     assert len(got) == 28 and all(r.lower_95 <= r.lower_80 <= r.upper_80 <= r.upper_95 for r in got)
     assert sorted(got) == sorted(fits.bayes_headline(draws).collect())
+    assert {r.chains for r in got} == {2} and all(r.rhat >= 0.9 and 1 <= r.ess <= 120 and 0 < r.acceptance < 1 for r in got)
 
 
 def test_lags_that_lead_or_are_learned(spark):
@@ -117,6 +154,28 @@ def test_known_at_takes_real_vintages_first(spark):
     assert got == [("2020-06-01", "pseudo", 2.0), ("2021-06-01", "real", 9.0)]
 
 
+def test_replay_has_every_stream_at_every_origin(spark):
+    p = made_up_panel(spark, 36)
+    days = spark.createDataFrame([("2021-07-01",), ("2022-01-01",)], "d string").select(F.col("d").cast("date").alias("asof_date"))
+    each = p.where("category = 'total'").select("period", F.lit("student").alias("category"), "oad_lt_arrivals", (F.col("oad_lt_arrivals") * 0.6).alias("oad_lt_departures"), (F.col("oad_lt_arrivals") * 0.4).alias("oad_lt_net"), (F.col("nom_final") * 0.9).alias("nom_final"))
+    whole = p.where("category = 'total'").withColumns({"oad_lt_departures": F.col("oad_lt_arrivals") * 0.6, "oad_lt_net": F.col("oad_lt_arrivals") * 0.4})
+    grants = p.where("category <> 'total'").withColumn("category", F.lit("student")).select("period", "category", "visa_grants")
+    base = each.unionByName(whole.select("period", "category", *[c for c in each.columns[2:]])).join(grants, ["period", "category"], "left").withColumn("nom_preliminary", F.col("nom_final") * 1.01)
+    panels = base.crossJoin(days).where("period < asof_date")
+    quick = {"chains": 2, "warmup": 60, "draws": 30, "seed": 1}
+    runs = replay.replay(panels, sampling=quick, bayes_window=1, ceiling=50.0).cache()
+    seen = {(r.model, str(r.asof_date)) for r in runs.collect()}
+    for m in (*replay.PLAIN, *replay.BAYES):
+        assert (m, "2022-01-01") in seen, m
+        assert ((m, "2021-07-01") in seen) == (m not in replay.BAYES), m
+    assert {r.horizon for r in runs.collect()} <= {-2, -1, 0, 1}
+    truth = base.select("period", "category", F.col("nom_final").alias("nom_truth"))
+    first = base.crossJoin(days.where("asof_date = date '2022-01-01'")).select("asof_date", "period", "category", F.col("nom_preliminary").alias("nom_prelim"))
+    scores = replay.scored(runs, truth, first, [("a", "2000-01-01", "2021-06-30"), ("b", "2021-07-01", "2030-01-01")]).collect()
+    assert {r.regime for r in scores} == {"a", "b"}
+    assert all(r.rmse_vs_prelim == pytest.approx(0, abs=1e-6) for r in scores if r.model == "abs_preliminary" and r.regime == "b" and r.horizon in (0, 1))
+
+
 def test_config(tmp_path):
     f = tmp_path / "c.yml"
     f.write_text("smoother: hp\nhorizons: [0, 1]\n")

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -73,11 +73,13 @@ def structural_forecasts(series: DataFrame, keys: list[str], value: str = "value
     return _grouped(series.select(*keys, "period", value), keys, fit, FORECAST)
 
 
-def _joint_series(panel: DataFrame) -> DataFrame:
-    """period, arrivals, grants, target of the total: grants summed over categories, unknown where they come to nothing."""
-    w = Window.partitionBy("period")
-    rows = panel.withColumn("_g", F.sum(F.when(F.col("category") != "total", F.col("visa_grants"))).over(w)).where("category = 'total'")
-    return rows.select("period", F.col("oad_lt_arrivals").alias("arrivals"), F.when(F.col("_g") > 0, F.col("_g")).alias("grants"), F.col("nom_final").alias("target"))
+def _joint_series(panel: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, period, arrivals, grants, target of the total: grants summed over categories, unknown where they come to nothing. One row a period; periods without the total are left out."""
+    total = F.col("category") == "total"
+    of_total = lambda c: F.max(F.when(total, F.col(c)))
+    grants = F.sum(F.when(~total, F.col("visa_grants")))
+    rows = panel.groupBy(*(keys or []), "period").agg(of_total("oad_lt_arrivals").alias("arrivals"), F.when(grants > 0, grants).alias("grants"), of_total("nom_final").alias("target"), F.bool_or(total).alias("_total"))
+    return rows.where("_total").drop("_total")
 
 
 def _offset(target: np.ndarray, reference: np.ndarray, least: int = 8) -> float:
@@ -115,9 +117,9 @@ def joint_forecasts(panel: DataFrame, keys: list[str] | None = None, alpha: floa
     """
     keys = keys or []
     weights = gamma_weights(alpha, beta, lag) if gamma_lag else None
-    series = _joint_series(panel).withColumn("_one", F.lit(1)) if not keys else panel.groupBy(*keys, "period").agg(
-        F.max(F.when(F.col("category") == "total", F.col("oad_lt_arrivals"))).alias("arrivals"), F.sum(F.when((F.col("category") != "total") & (F.col("visa_grants") > 0), F.col("visa_grants"))).alias("grants"), F.max(F.when(F.col("category") == "total", F.col("nom_final"))).alias("target")
-    )
+    series = _joint_series(panel, keys)
+    if not keys:
+        series = series.withColumn("_one", F.lit(1))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("period", ignore_index=True)
@@ -161,11 +163,12 @@ def best_lag(grid: DataFrame) -> DataFrame:
     return ok.agg(F.max_by(F.struct("alpha", "beta", "loglik"), "loglik").alias("b")).select("b.*")
 
 
-def smoothed_ratios(ratios: DataFrame, smoother: str = "loess", span: float = 0.5, weight: float = 1600.0, breaks: list[str] | None = None) -> DataFrame:
+def smoothed_ratios(ratios: DataFrame, smoother: str = "loess", span: float = 0.5, weight: float = 1600.0, breaks: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
     """category, regime, period, pi_smoothed, pi_se, status of each category and regime: loess, hp, locallinear or none. Below five known points the ratio itself."""
     if smoother not in ("loess", "hp", "locallinear", "none"):
         raise ValueError(smoother)
-    rows = ratios.withColumn("regime", regime_by_breaks("period", breaks or [])).select("category", "regime", "period", "pi_hat")
+    keys = keys or []
+    rows = ratios.withColumn("regime", regime_by_breaks("period", breaks or [])).select(*keys, "category", "regime", "period", "pi_hat")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("period", ignore_index=True)
@@ -190,7 +193,7 @@ def smoothed_ratios(ratios: DataFrame, smoother: str = "loess", span: float = 0.
                 mean, se = ss.forecast(model, filled[:, None], 0, 0)
         return pd.DataFrame({"period": group["period"], "pi_smoothed": mean, "pi_se": se, "status": "ok"})
 
-    return _grouped(rows, ["category", "regime"], fit, "period date, pi_smoothed double, pi_se double, status string")
+    return _grouped(rows, [*keys, "category", "regime"], fit, "period date, pi_smoothed double, pi_se double, status string")
 
 
 def bridge_forecasts(panel: DataFrame, last: int = 4, keys: list[str] | None = None) -> DataFrame:
@@ -222,7 +225,8 @@ def bridge_forecasts(panel: DataFrame, last: int = 4, keys: list[str] | None = N
 
 #: Priors of the Bayesian model on log figures, and how it is sampled.
 PRIORS = {"mu0": 11.0, "mu0_sd": 1.5, "slope0_sd": 0.1, "obs_sd": 0.3, "state_sd": 0.1, "alpha_sd": 1.0, "phi": 0.85, "phi_conc": 10.0, "seas0_sd": 0.5, "seas_sd": 0.05}
-SAMPLING = {"chains": 2, "warmup": 500, "draws": 500, "seed": 20260520}
+#: Chains walk side by side at little more than the cost of one; every `thin`-th draw is used.
+SAMPLING = {"chains": 24, "warmup": 500, "draws": 500, "thin": 10, "seed": 20260520}
 SIMULATIONS = 20
 
 
@@ -260,72 +264,93 @@ def _bayes_model(x: np.ndarray, weights: list[float], seasonal_: bool) -> tuple[
     return ss.Model(T_, Z, q, sd[[0, 2, 1]] ** 2, p1), first, x[0], x[1]
 
 
-def _bayes_filter(model: ss.Model, first: np.ndarray, y: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, and the figure's signal with its standard deviation: filtered, then ahead. Each step moves before it observes."""
-    a, P, Q = first.copy(), np.diag(model.p1), np.diag(model.q)
-    loglik, mean, sd = 0.0, [], []
-    for t in range(len(y) + steps):
-        a, P = model.T @ a, model.T @ P @ model.T.T + Q
+def _bayes_filter(models: list[tuple[ss.Model, np.ndarray, float, float]], y: np.ndarray, steps: int | None = None):
+    """Log likelihoods of y under many models at once; with steps also the figure's signals with their standard deviations: filtered, then ahead. Each step moves before it observes."""
+    stack = lambda f: np.stack([f(m) for m in models])
+    T_, Z, Q, h = stack(lambda m: m[0].T), stack(lambda m: m[0].Z), stack(lambda m: np.diag(m[0].q)), stack(lambda m: m[0].h)
+    a, P = stack(lambda m: m[1]), stack(lambda m: np.diag(m[0].p1))
+    back = T_.transpose(0, 2, 1).copy()
+    shift = np.array([[0.0, m[3], m[2]] for m in models])
+    known, loglik, mean, sd = np.isfinite(y), np.zeros(len(models)), [], []
+    for t in range(len(y) + (steps or 0)):
+        a, P = (T_ @ a[:, :, None])[:, :, 0], T_ @ P @ back + Q
         if t < len(y):
-            for i in range(3):
-                if np.isfinite(y[t, i]):
-                    z = model.Z[i]
-                    Pz = P @ z
-                    f, v = z @ Pz + model.h[i], y[t, i] - z @ a
-                    a, P = a + Pz * (v / f), P - np.outer(Pz, Pz) / f
-                    loglik -= 0.5 * (np.log(2 * np.pi * f) + v * v / f)
-        mean.append(model.Z[1] @ a)
-        sd.append(np.sqrt(max(model.Z[1] @ P @ model.Z[1], 0)))
-    return loglik, np.array(mean), np.array(sd)
+            for i in np.flatnonzero(known[t]):
+                z = Z[:, i]
+                Pz = (P @ z[:, :, None])[:, :, 0]
+                f = (z * Pz).sum(1) + h[:, i]
+                v = y[t, i] - shift[:, i] - (z * a).sum(1)
+                gain = Pz / f[:, None]
+                a = a + gain * v[:, None]
+                P = P - gain[:, :, None] * Pz[:, None, :]
+                loglik -= 0.5 * (np.log(2 * np.pi * f) + v * v / f)
+        if steps is not None:
+            z = Z[:, 1]
+            mean.append((z * a).sum(1))
+            sd.append(np.sqrt(np.maximum((z * (P @ z[:, :, None])[:, :, 0]).sum(1), 0)))
+    return loglik if steps is None else (loglik, np.stack(mean, 1), np.stack(sd, 1))
 
 
 #: Bounds of a learned lag shape, and the spread of its logarithms around the given one.
 LAG_BOUNDS, LAG_SD = ((0.3, 10.0), (0.1, 5.0)), 0.5
 
 
-def _bayes_density(y: np.ndarray, weights: list[float], seasonal_: bool, shape: tuple[float, float] | None = None):
-    """The log posterior; with shape, the last two parameters are the logs of the lag's shape and rate, around it."""
-    p = PRIORS
+def _bayes_prior(x: np.ndarray, seasonal_: bool) -> float:
+    """Normal and half-normal priors; logs and the logit bring their own Jacobians."""
+    p, sd = PRIORS, np.exp(x[2:7])
+    value = -0.5 * (x[:2] ** 2).sum() / p["alpha_sd"] ** 2 - 0.5 * (sd[:3] ** 2).sum() / p["obs_sd"] ** 2 - 0.5 * (sd[3:] ** 2).sum() / p["state_sd"] ** 2 + x[2:7].sum()
+    a, b = p["phi"] * p["phi_conc"], (1 - p["phi"]) * p["phi_conc"]
+    value += -a * np.log1p(np.exp(-x[7])) - b * np.log1p(np.exp(x[7]))
+    value += -0.5 * ((x[8] - p["mu0"]) / p["mu0_sd"]) ** 2 - 0.5 * (x[9] / p["slope0_sd"]) ** 2
+    if seasonal_:
+        value += (-0.5 * np.exp(2 * x[10:]) / p["seas_sd"] ** 2 + x[10:]).sum()
+    return float(value)
+
+
+class _Posterior:
+    """The log posterior at many points; with shape, the last two parameters are the logs of the lag's shape and rate, around it."""
+
+    def __init__(self, y: np.ndarray, weights: list[float], seasonal_: bool, shape: tuple[float, float] | None = None):
+        self.y, self.weights, self.seasonal, self.shape = y, weights, seasonal_, shape
 
-    def density(x: np.ndarray) -> float:
-        lag = 0.0
-        used = weights
-        if shape:
+    def split(self, x: np.ndarray) -> tuple[np.ndarray, list[float], float] | None:
+        """The other parameters, the lag's weights and the lag's log prior; None out of bounds."""
+        used, lag = self.weights, 0.0
+        if self.shape:
             ab, x = np.exp(x[-2:]), x[:-2]
             if any(not low <= v <= high for v, (low, high) in zip(ab, LAG_BOUNDS, strict=True)):
-                return -np.inf
-            lag = -0.5 * ((np.log(ab / np.array(shape)) / LAG_SD) ** 2).sum()
-            used = gamma_weights(float(ab[0]), float(ab[1]), len(weights) - 1)
-        return lag + plain(x, used)
-
-    def plain(x: np.ndarray, weights: list[float]) -> float:
-        if np.abs(x[2:8]).max() > 12 or seasonal_ and np.abs(x[10:]).max() > 12:
-            return -np.inf
-        model, first, v, n = _bayes_model(x, weights, seasonal_)
-        sd = np.exp(x[2:7])
-        # normal and half-normal priors; logs and logit bring their own Jacobians
-        value = -0.5 * (v**2 + n**2) / p["alpha_sd"] ** 2 - 0.5 * (sd[:3] ** 2).sum() / p["obs_sd"] ** 2 - 0.5 * (sd[3:] ** 2).sum() / p["state_sd"] ** 2 + x[2:7].sum()
-        a, b = p["phi"] * p["phi_conc"], (1 - p["phi"]) * p["phi_conc"]
-        value += -a * np.log1p(np.exp(-x[7])) - b * np.log1p(np.exp(x[7]))
-        value += -0.5 * ((x[8] - p["mu0"]) / p["mu0_sd"]) ** 2 - 0.5 * (x[9] / p["slope0_sd"]) ** 2
-        if seasonal_:
-            value += (-0.5 * np.exp(2 * x[10:]) / p["seas_sd"] ** 2 + x[10:]).sum()
-        shifted = y - np.array([0.0, n, v])
-        return value + _bayes_filter(model, first, shifted, 0)[0]
-
-    return density
-
-
-def bayes_draws(panel: DataFrame, seasonal_: bool = False, alpha: float = 2.0, beta: float = 1.0, lag: int = 4, steps: int = STEPS, warm_quarters: int = 8, sampling: dict = SAMPLING, lead: int | None = None, learned: bool = False) -> DataFrame:
-    """chain, draw, period, signal, sd, shift, obs_sd: what each draw says of the published figure's logarithm. A chain is a task.
-
-    lead: grants stand for the level so many quarters later, instead of a spread over lags; learned: the spread's shape is sampled too.
+                return None
+            lag = -0.5 * float(((np.log(ab / np.array(self.shape)) / LAG_SD) ** 2).sum())
+            used = gamma_weights(float(ab[0]), float(ab[1]), len(self.weights) - 1)
+        if np.abs(x[2:8]).max() > 12 or self.seasonal and np.abs(x[10:]).max() > 12:
+            return None
+        return x, used, lag
+
+    def models(self, points: np.ndarray) -> list:
+        return [_bayes_model(x, used, self.seasonal) for x, used, _ in map(self.split, points)]
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        out, parts = np.full(len(points), -np.inf), [self.split(x) for x in points]
+        inside = [k for k, part in enumerate(parts) if part is not None]
+        if inside:
+            fit = _bayes_filter([_bayes_model(parts[k][0], parts[k][1], self.seasonal) for k in inside], self.y)
+            out[inside] = [fit[j] + parts[k][2] + _bayes_prior(parts[k][0], self.seasonal) for j, k in enumerate(inside)]
+        return np.where(np.isnan(out), -np.inf, out)
+
+
+DRAWS = "chain int, draw int, period date, signal double, sd double, shift double, obs_sd double, rhat double, ess double, acceptance double, status string"
+
+
+def bayes_draws(panel: DataFrame, seasonal_: bool = False, alpha: float = 2.0, beta: float = 1.0, lag: int = 4, steps: int = STEPS, warm_quarters: int = 8, sampling: dict = SAMPLING, lead: int | None = None, learned: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """keys, chain, draw, period, signal, sd, shift, obs_sd: what each draw says of the published figure's logarithm; rhat (the worst of all parameters), ess (the least effective number of draws) and acceptance of the chains.
+
+    A group of keys (a backtest origin) is a task, whose chains walk side by side. lead: grants stand for the level so many quarters later, instead of a spread over lags; learned: the spread's shape is sampled too.
     """
     weights = [1.0] if lead is not None else gamma_weights(alpha, beta, lag)
     first_grants, shape = (lead if lead is not None else lag), (alpha, beta) if learned and lead is None else None
-    spark = panel.sparkSession
-    chains = spark.createDataFrame([(k,) for k in range(sampling["chains"])], "chain int").repartition(sampling["chains"])
-    rows = chains.crossJoin(_joint_series(panel))
+    series = _joint_series(panel, keys)
+    if not keys:
+        series = series.withColumn("_one", F.lit(1))
 
     def sample(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("period", ignore_index=True)
@@ -334,39 +359,50 @@ def bayes_draws(panel: DataFrame, seasonal_: bool = False, alpha: float = 2.0, b
         with np.errstate(divide="ignore", invalid="ignore"):
             y = np.log(group[["arrivals", "target", "grants"]].to_numpy(float))
         y[~np.isfinite(y)] = np.nan
+        if np.isfinite(y[:, 0]).sum() < LEAST:
+            raise ValueError("too few observations")
         if lead:
             y[lead:, 2] = y[:-lead, 2].copy()
         y[:first_grants, 2] = np.nan
-        chain = int(group["chain"].iloc[0])
         level = np.nanmean(y[:4, 0]) if np.isfinite(y[:4, 0]).any() else PRIORS["mu0"]
         gap = lambda k: np.nan_to_num(np.nanmean(y[:, k] - y[:, 0]) if np.isfinite(y[:, k] - y[:, 0]).any() else 0.0)
         start = np.array([gap(2), gap(1), -2, -2, -2, -3, -4, 1.5, level, 0.0, *([-3.5] * 2 if seasonal_ else []), *(np.log(shape) if shape else [])])
-        draws, _ = ss.adaptive_metropolis(_bayes_density(y, weights, seasonal_, shape), start, sampling["draws"], sampling["warmup"], sampling["seed"] + chain)
-        periods, out = _future(group["period"], steps), []
-        for d, x in enumerate(draws):
-            used = gamma_weights(*np.exp(x[-2:]).tolist(), lag) if shape else weights
-            model, first, v, n = _bayes_model(x[: len(x) - 2 * bool(shape)], used, seasonal_)
-            _, mean, sd = _bayes_filter(model, first, y - np.array([0.0, n, v]), steps)
-            out.append(pd.DataFrame({"draw": d, "period": periods, "signal": mean, "sd": sd, "shift": n, "obs_sd": np.exp(x[4]), "status": "ok"}))
-        return pd.concat(out, ignore_index=True)
-
-    return _grouped(rows, ["chain"], sample, "draw int, period date, signal double, sd double, shift double, obs_sd double, status string")
-
-
-def bayes_headline(draws: DataFrame, seed: int = SAMPLING["seed"]) -> DataFrame:
-    """period, nom_mean, nom_se, intervals and the spread of chain means: the mean from the signal, the intervals from simulated figures."""
+        posterior = _Posterior(y, weights, seasonal_, shape)
+        starts = start + 0.1 * np.random.default_rng(sampling["seed"]).standard_normal((sampling["chains"], len(start)))
+        chains, accepted = ss.adaptive_metropolis(posterior, starts, sampling["draws"], sampling["warmup"], sampling["seed"])
+        used = chains[:, :: sampling.get("thin", 1)]
+        points = used.reshape(-1, used.shape[-1])
+        models = posterior.models(points)
+        _, mean, sd = _bayes_filter(models, y, steps)
+        periods, n = _future(group["period"], steps), mean.shape[1]
+        which = np.repeat(np.arange(len(points)), n)
+        rhat, ess = float(ss.split_rhat(list(chains)).max()), float(ss.effective_draws(chains).min())
+        return pd.DataFrame({
+            "chain": which // used.shape[1], "draw": which % used.shape[1], "period": list(periods) * len(points), "signal": mean.ravel(), "sd": sd.ravel(), "shift": np.array([m[3] for m in models])[which], "obs_sd": np.exp(points[:, 4])[which],
+            "rhat": rhat, "ess": ess, "acceptance": float(accepted.mean()), "status": "ok",
+        })
+
+    return _grouped(series, keys or ["_one"], sample, DRAWS).drop("_one")
+
+
+def bayes_headline(draws: DataFrame, seed: int = SAMPLING["seed"], keys: list[str] | None = None) -> DataFrame:
+    """keys, period, nom_mean, nom_se, intervals, and of the chains behind them their number, rhat, ess and acceptance: the mean from the signal, the intervals from simulated figures.
+
+    Groups whose fit failed have no rows; draws.where("status <> 'ok'") has them with the reason.
+    """
+    keys = keys or []
     center = F.exp(F.col("signal") + F.col("shift") + F.col("sd") * F.col("sd") / 2)
     total = F.sqrt(F.col("sd") * F.col("sd") + F.col("obs_sd") * F.col("obs_sd"))
     rows = draws.where("status = 'ok'").withColumn("mean", center)
     normal = F.expr(f"sequence(1, {SIMULATIONS})")
-    sims = rows.select("period", "mean", F.explode(normal).alias("k"), (F.col("signal") + F.col("shift")).alias("m"), total.alias("s"), "chain", "draw")
+    chain = ["rhat", "ess", "acceptance"]
+    sims = rows.select(*keys, "period", "mean", F.explode(normal).alias("k"), (F.col("signal") + F.col("shift")).alias("m"), total.alias("s"), "chain", "draw", *chain)
     # a normal from two uniforms of a hash, so that a repeated task gives the same figures
     u = lambda tag: (F.pmod(F.xxhash64("chain", "draw", "period", "k", F.lit(seed), F.lit(tag)), F.lit(10**12)) + 0.5) / 1e12
     z = F.sqrt(-2 * F.ln(u("r"))) * F.cos(2 * F.pi() * u("a"))
     sims = sims.withColumn("figure", F.exp(F.col("m") + F.col("s") * z))
     p = lambda q: F.percentile("figure", F.lit(q))
-    return sims.groupBy("period").agg(F.avg("mean").alias("nom_mean"), F.stddev_samp("mean").alias("nom_se"), p(0.10).alias("lower_80"), p(0.90).alias("upper_80"), p(0.025).alias("lower_95"), p(0.975).alias("upper_95"))
-
-
-def empty(spark: SparkSession, ddl: str = FORECAST) -> DataFrame:
-    return spark.createDataFrame([], ddl)
+    return sims.groupBy(*keys, "period").agg(
+        F.avg("mean").alias("nom_mean"), F.stddev_samp("mean").alias("nom_se"), p(0.10).alias("lower_80"), p(0.90).alias("upper_80"), p(0.025).alias("lower_95"), p(0.975).alias("upper_95"),
+        (F.max("chain") + 1).alias("chains"), *(F.max(c).alias(c) for c in chain),
+    )

@@ -29,34 +29,37 @@ def cleaned(df: DataFrame, keys: list[str], value: str = "value", exclude: list[
     return rows.groupBy(*keys).agg(sum_or_zero(value).alias(value))
 
 
-def monthly_to_quarterly(monthly: DataFrame, partial: str = "scale", share_years: int = 5) -> DataFrame:
+def monthly_to_quarterly(monthly: DataFrame, partial: str = "scale", share_years: int = 5, keys: list[str] | None = None) -> DataFrame:
     """quarter, category, direction, value, n_months. Quarters with fewer than three months are kept (raw), null (drop) or grossed up (scale).
 
     Grossing up divides by the share that the months there have in complete quarters: the median of each month's share in its category and
     direction, over quarters not more than share_years before the latest complete one of all. Where a month has no
-    share, the number of months over three stands for it.
+    share, the number of months over three stands for it. keys: columns by which all of this is done separately (backtest origins), in front of the others.
     """
+    keys = keys or []
+    cell = [*keys, *CELL]
     if partial not in ("raw", "drop", "scale"):
         raise ValueError(partial)
     rows = monthly.where(F.col("period").isNotNull()).withColumn("quarter", quarter_start("period"))
     if partial == "scale":  # read by four branches
-        rows = staged(rows.select("period", "category", "direction", "value", "quarter"), "monthly")
-    cells = rows.groupBy(*CELL).agg(sum_or_zero("value").alias("value"), F.count_distinct("period").cast("int").alias("n_months"))
+        rows = staged(rows.select(*keys, "period", "category", "direction", "value", "quarter"), "monthly")
+    cells = rows.groupBy(*cell).agg(sum_or_zero("value").alias("value"), F.count_distinct("period").cast("int").alias("n_months"))
     if partial == "raw":
         return cells
     short = F.col("n_months") < 3
     if partial == "drop":
         return cells.withColumn("value", F.when(~short, F.col("value")))
     # totals stand beside the months they are made of, so that shares need no join
-    w = Window.partitionBy(*CELL)
+    w = Window.partitionBy(*cell)
     seen = rows.withColumns({"total": F.coalesce(F.sum("value").over(w), F.lit(0.0)), "n_months": F.size(F.collect_set("period").over(w)), "n_rows": F.count(F.lit(1)).over(w), "month": F.month("period")})
     complete = seen.where((F.col("n_months") == 3) & (F.col("total") > 0))
-    latest = complete.agg(F.max("quarter").alias("latest"))
-    shares = complete.crossJoin(F.broadcast(latest)).where(F.col("quarter") >= F.add_months("latest", -12 * share_years)).groupBy("category", "direction", "month").agg(F.median(F.col("value") / F.col("total")).alias("share"))
-    open_ = seen.where(short).join(shares, ["category", "direction", "month"], "left")
-    known = open_.groupBy(*CELL).agg(F.when(F.count("share") == F.count(F.lit(1)), F.sum("share")).alias("share"), F.count(F.lit(1)).alias("n"))
-    part = known.select(*CELL, F.when(F.col("share") > 0, F.col("share")).otherwise(F.col("n") / 3).alias("part"))
-    return cells.join(part, CELL, "left").select(*CELL, F.when(short & F.col("part").isNotNull(), F.col("value") / F.col("part")).otherwise(F.col("value")).alias("value"), "n_months")
+    latest = complete.groupBy(*keys).agg(F.max("quarter").alias("latest"))
+    with_latest = complete.join(latest, keys) if keys else complete.crossJoin(F.broadcast(latest))  # one row
+    shares = with_latest.where(F.col("quarter") >= F.add_months("latest", -12 * share_years)).groupBy(*keys, "category", "direction", "month").agg(F.median(F.col("value") / F.col("total")).alias("share"))
+    open_ = seen.where(short).join(shares, [*keys, "category", "direction", "month"], "left")
+    known = open_.groupBy(*cell).agg(F.when(F.count("share") == F.count(F.lit(1)), F.sum("share")).alias("share"), F.count(F.lit(1)).alias("n"))
+    part = known.select(*cell, F.when(F.col("share") > 0, F.col("share")).otherwise(F.col("n") / 3).alias("part"))
+    return cells.join(part, cell, "left").select(*cell, F.when(short & F.col("part").isNotNull(), F.col("value") / F.col("part")).otherwise(F.col("value")).alias("value"), "n_months")
 
 
 def annual_to_quarterly(annual: DataFrame, weights: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -86,16 +89,18 @@ def without_incomplete_years(annual: DataFrame) -> DataFrame:
 PANEL = ["period", "category", "oad_lt_arrivals", "oad_lt_departures", "oad_lt_net", "oad_months", "visa_grants", "nom_preliminary", "nom_revised", "nom_final"]
 
 
-def by_direction(quarterly: DataFrame) -> DataFrame:
+def by_direction(quarterly: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """period, category, arrivals, departures, net, months: net is null if either side is, months is the lesser of the known ones."""
-    wide = quarterly.groupBy(F.col("quarter").alias("period"), "category").pivot("direction", ["arrival", "departure"]).agg(F.first("value").alias("value"), F.first("n_months").alias("n"))
-    return wide.select("period", "category", F.col("arrival_value").alias("oad_lt_arrivals"), F.col("departure_value").alias("oad_lt_departures"), (F.col("arrival_value") - F.col("departure_value")).alias("oad_lt_net"), F.least("arrival_n", "departure_n").alias("oad_months"))
+    keys = keys or []
+    wide = quarterly.groupBy(*keys, F.col("quarter").alias("period"), "category").pivot("direction", ["arrival", "departure"]).agg(F.first("value").alias("value"), F.first("n_months").alias("n"))
+    return wide.select(*keys, "period", "category", F.col("arrival_value").alias("oad_lt_arrivals"), F.col("departure_value").alias("oad_lt_departures"), (F.col("arrival_value") - F.col("departure_value")).alias("oad_lt_net"), F.least("arrival_n", "departure_n").alias("oad_months"))
 
 
-def by_status(published: DataFrame) -> DataFrame:
+def by_status(published: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """period, category, nom_preliminary, nom_revised, nom_final: means by status; the final one falls back to revised, then preliminary."""
-    wide = published.groupBy(quarter_start("period").alias("period"), "category").pivot("vintage_status", ["preliminary", "revised", "final"]).agg(F.avg("value"))
-    return wide.select("period", "category", F.col("preliminary").alias("nom_preliminary"), F.col("revised").alias("nom_revised"), F.coalesce("final", "revised", "preliminary").alias("nom_final"))
+    keys = keys or []
+    wide = published.groupBy(*keys, quarter_start("period").alias("period"), "category").pivot("vintage_status", ["preliminary", "revised", "final"]).agg(F.avg("value"))
+    return wide.select(*keys, "period", "category", F.col("preliminary").alias("nom_preliminary"), F.col("revised").alias("nom_revised"), F.coalesce("final", "revised", "preliminary").alias("nom_final"))
 
 
 def grants_by_quarter(grants: DataFrame, flows: DataFrame | None = None, proportional: bool = True) -> DataFrame:

@@ -14,19 +14,24 @@ from ..functions.nulls import clip
 Z80, Z95 = NormalDist().inv_cdf(0.90), NormalDist().inv_cdf(0.975)
 
 
-def empirical_ratio(panel: DataFrame, completion_quarters: int = 6, floor: float = 0.0, ceiling: float = 1.2) -> DataFrame:
+def empirical_ratio(panel: DataFrame, completion_quarters: int = 6, floor: float = 0.0, ceiling: float = 1.2, keys: list[str] | None = None) -> DataFrame:
     """period, category, n_arrivals, nom_final, pi_hat of quarters that are complete: published over arrivals, clipped.
 
-    Where no category has a figure of its own, the total's ratio of published to net flow stands for all of them.
+    Where no category has a figure of its own, the total's ratio of published to net flow stands for all of them. keys: columns by which it is done separately, in front of the others.
     """
-    cut = panel.agg(F.add_months(F.max("period"), -3 * completion_quarters).alias("_cut"))
-    ripe = panel.crossJoin(F.broadcast(cut)).where(F.col("period") <= F.col("_cut")).drop("_cut")
+    keys = keys or []
+    cut = panel.groupBy(*keys).agg(F.add_months(F.max("period"), -3 * completion_quarters).alias("_cut"))
+    ripe = (panel.join(cut, keys) if keys else panel.crossJoin(F.broadcast(cut))).where(F.col("period") <= F.col("_cut")).drop("_cut")
     own = ripe.where((F.col("category") != "total") & (F.col("oad_lt_arrivals") > 0) & F.col("nom_final").isNotNull())
-    own = own.select("period", "category", F.col("oad_lt_arrivals").alias("n_arrivals"), "nom_final", clip(F.col("nom_final") / F.col("oad_lt_arrivals"), floor, ceiling).alias("pi_hat"))
+    own = own.select(*keys, "period", "category", F.col("oad_lt_arrivals").alias("n_arrivals"), "nom_final", clip(F.col("nom_final") / F.col("oad_lt_arrivals"), floor, ceiling).alias("pi_hat"))
     total = ripe.where((F.col("category") == "total") & (F.col("oad_lt_net") > 0) & F.col("nom_final").isNotNull())
-    shared = total.select("period", F.col("oad_lt_net").alias("n_arrivals"), "nom_final", clip(F.col("nom_final") / F.col("oad_lt_net"), floor, ceiling).alias("pi_hat"))
+    shared = total.select(*keys, "period", F.col("oad_lt_net").alias("n_arrivals"), "nom_final", clip(F.col("nom_final") / F.col("oad_lt_net"), floor, ceiling).alias("pi_hat"))
     levels = panel.where("category <> 'total'").select("category").distinct()
-    spread = shared.crossJoin(F.broadcast(levels)).crossJoin(F.broadcast(own.agg(F.count(F.lit(1)).alias("_own")))).where("_own = 0")
+    spread = shared.crossJoin(F.broadcast(levels))
+    if keys:
+        spread = spread.join(own.select(*keys).distinct(), keys, "left_anti")
+    else:
+        spread = spread.crossJoin(F.broadcast(own.agg(F.count(F.lit(1)).alias("_own")))).where("_own = 0")
     return own.unionByName(spread.select(*own.columns))
 
 
@@ -43,30 +48,32 @@ def with_intervals(df: DataFrame, mean: str = "nom_mean", se: str = "nom_se") ->
     return df.withColumns({"lower_80": m - Z80 * s, "upper_80": m + Z80 * s, "lower_95": m - Z95 * s, "upper_95": m + Z95 * s})
 
 
-def nowcast_by_category(forecasts: DataFrame, smoothed: DataFrame, projected: DataFrame) -> DataFrame:
+def nowcast_by_category(forecasts: DataFrame, smoothed: DataFrame, projected: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """period, category, nom_mean, nom_se and intervals: ratio times net flow, its variance by the delta method (unknown parts count as 0).
 
-    forecasts: period, category, direction, mean_level, se_log; smoothed: period, category, pi_smoothed, pi_se; projected: category, pi_smoothed.
+    forecasts: period, category, direction, mean_level, se_log; smoothed: period, category, pi_smoothed, pi_se; projected: category, pi_smoothed; all with keys in front, if there are any.
     """
-    wide = forecasts.where("category <> 'total'").groupBy("period", "category").pivot("direction", ["arrival", "departure"]).agg(F.first("mean_level").alias("level"), F.first("se_log").alias("se"))
-    later = projected.select("category", F.col("pi_smoothed").alias("_later"))
-    rows = wide.join(smoothed.select("period", "category", "pi_smoothed", "pi_se"), ["period", "category"], "left").join(F.broadcast(later), "category", "left")
+    keys = keys or []
+    wide = forecasts.where("category <> 'total'").groupBy(*keys, "period", "category").pivot("direction", ["arrival", "departure"]).agg(F.first("mean_level").alias("level"), F.first("se_log").alias("se"))
+    later = projected.select(*keys, "category", F.col("pi_smoothed").alias("_later"))
+    rows = wide.join(smoothed.select(*keys, "period", "category", "pi_smoothed", "pi_se"), [*keys, "period", "category"], "left").join(later, [*keys, "category"], "left")
     ratio = F.coalesce("pi_smoothed", "_later")
     net = F.coalesce("arrival_level", F.lit(0.0)) - F.coalesce("departure_level", F.lit(0.0))
     square = lambda x: F.coalesce(x * x, F.lit(0.0))
     spread = square(F.col("arrival_level") * F.col("arrival_se")) + square(F.col("departure_level") * F.col("departure_se"))
-    rows = rows.select("period", "category", (ratio * net).alias("nom_mean"), F.sqrt(ratio * ratio * spread + square(net * F.col("pi_se"))).alias("nom_se"))
+    rows = rows.select(*keys, "period", "category", (ratio * net).alias("nom_mean"), F.sqrt(ratio * ratio * spread + square(net * F.col("pi_se"))).alias("nom_se"))
     return with_intervals(rows.withColumn("nom_se", F.coalesce("nom_se", F.lit(0.0))))
 
 
-def headline(by_category: DataFrame) -> DataFrame:
+def headline(by_category: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """period, nom_mean, nom_se and intervals: the row of the total where there is one, else the sum of the categories with independent errors."""
+    keys = keys or []
     total = F.col("category") == "total"
-    rows = by_category.groupBy("period").agg(
+    rows = by_category.groupBy(*keys, "period").agg(
         F.max(F.when(total, F.col("nom_mean"))).alias("_m"), F.max(F.when(total, F.col("nom_se"))).alias("_s"),
         F.sum(F.when(~total, F.col("nom_mean"))).alias("_sum"), F.sqrt(F.coalesce(F.sum(F.when(~total, F.col("nom_se") * F.col("nom_se"))), F.lit(0.0))).alias("_root"),
     )
-    return with_intervals(rows.select("period", F.coalesce("_m", "_sum").alias("nom_mean"), F.when(F.col("_m").isNotNull(), F.col("_s")).otherwise(F.col("_root")).alias("nom_se")))
+    return with_intervals(rows.select(*keys, "period", F.coalesce("_m", "_sum").alias("nom_mean"), F.when(F.col("_m").isNotNull(), F.col("_s")).otherwise(F.col("_root")).alias("nom_se")))
 
 
 def lognormal_headline(forecasts: DataFrame, level: str = "nom_level", se_log: str = "nom_se_log") -> DataFrame:

@@ -10,11 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.calendar import first_observable, horizon, quarter_start
-from . import fits, ratios, scoring
+from ..functions.calendar import first_observable, horizon, quarter_start, vintage_status
+from ..functions.labels import regime_by_ranges
+from . import fits, panel, ratios, scoring
+from .staging import staged
 from .vintages import as_of_many
 
 DAY = "asof_date"
+# Names of the model streams, regimes that scores are split by, and how the Bayesian variants differ.
+HORIZONS = (-2, -1, 0, 1)
+REGIMES = [("pre_covid", "1900-01-01", "2019-12-31"), ("covid", "2020-01-01", "2021-12-31"), ("post_covid", "2022-01-01", "2099-12-31")]
+BAYES = {"bayes_headline": {"lead": 1}, "bayes_gamma": {}, "bayes_gamma_learned": {"learned": True}, "bayes_kalman": {}, "bayes_kalman_seasonal": {"seasonal_": True}}
+PLAIN = ("kalman_multi_v2", "kalman_multi_pi", "kalman_v1", "bridge", "ar1", "random_walk", "abs_preliminary")
+#: Latest origins that the Bayesian variants are fitted at.
+BAYES_WINDOW = 12
+#: Their walks are half as long as a single fit's.
+SAMPLING = fits.SAMPLING | {"warmup": 250, "draws": 250, "thin": 5}
+COLUMNS = [DAY, "model", "category", "period", "horizon", "nom_mean", "nom_se", "lower_80", "upper_80", "lower_95", "upper_95"]
 
 
 def known_at(origins: DataFrame, recorded: DataFrame, current: DataFrame, keys: list[str], lag_days: int, unit: str = "period_unit") -> DataFrame:
@@ -30,37 +42,86 @@ def known_at(origins: DataFrame, recorded: DataFrame, current: DataFrame, keys:
     return real.unionByName(pseudo.select(DAY, *current.columns, F.lit("pseudo").alias("nom_vintage")))
 
 
-def panels_at(flows: DataFrame, published: DataFrame) -> DataFrame:
-    """asof_date, period, category, arrivals, departures, net, figure, and grants (none): complete quarters of each origin.
+def panels_at(flows: DataFrame, published: DataFrame, grants: DataFrame | None = None, partial: str = "scale", share_years: int = 5) -> DataFrame:
+    """asof_date, period, category (and total), oad_lt_arrivals, oad_lt_departures, oad_lt_net, visa_grants, nom_preliminary, nom_final: the panel of each origin.
 
-    flows: asof_date, period, category, direction, value by month; published: asof_date, period, category, value by quarter.
+    flows: asof_date, period, category, direction, value by month; published: asof_date, period, category, value (and vintage_status, else by age) by quarter;
+    grants: asof_date, period, category, value (and period_unit). A total that is not given is the sum of the categories.
     """
-    cells = flows.withColumn("quarter", quarter_start("period")).groupBy(DAY, "quarter", "category", "direction").agg(F.sum("value").alias("value"), F.count_distinct("period").alias("n"))
-    whole = cells.where("n = 3").groupBy(DAY, F.col("quarter").alias("period"), "category").pivot("direction", ["arrival", "departure"]).agg(F.first("value"))
-    wide = whole.select(DAY, "period", "category", F.col("arrival").alias("oad_lt_arrivals"), F.col("departure").alias("oad_lt_departures"), (F.col("arrival") - F.col("departure")).alias("oad_lt_net"))
-    figures = published.groupBy(DAY, "period", "category").agg(F.sum("value").alias("nom_final"))
-    return wide.join(figures, [DAY, "period", "category"], "full").withColumn("visa_grants", F.lit(None).cast("double"))
+    cell = [DAY, "period", "category"]
+    moved = panel.by_direction(panel.monthly_to_quarterly(flows, partial, share_years, [DAY]), [DAY]).drop("oad_months")
+    moved = _with_total(moved, ["oad_lt_arrivals", "oad_lt_departures", "oad_lt_net"])
+    status = published if "vintage_status" in published.columns else published.withColumn("vintage_status", vintage_status("period", DAY))
+    figures = _with_total(panel.by_status(status, [DAY]).drop("nom_revised"), ["nom_preliminary", "nom_final"])
+    out = moved.join(figures, cell, "full")
+    if grants is None:
+        return out.withColumn("visa_grants", F.lit(None).cast("double"))
+    finer = grants.groupBy(DAY, quarter_start("period").alias("period"), "category").agg(F.sum("value").alias("visa_grants"))
+    return out.join(finer, cell, "full")
 
 
-def replay(panels: DataFrame, horizons: tuple[int, ...] = (-2, -1, 0, 1), models: tuple[str, ...] = ("structural", "bridge", "random_walk")) -> DataFrame:
+def _with_total(df: DataFrame, values: list[str]) -> DataFrame:
+    """df and, at origins that have no category total, the sum of the others by period."""
+    given = df.where("category = 'total'").select(DAY).distinct()
+    total = df.join(given, DAY, "left_anti").groupBy(DAY, "period").agg(*(F.sum(c).alias(c) for c in values)).withColumn("category", F.lit("total"))
+    return df.unionByName(total, allowMissingColumns=True)
+
+
+def _ratio_nowcasts(panels: DataFrame, forecasts: DataFrame, smoother: str, ceiling: float, breaks: list[str]) -> DataFrame:
+    """Nowcasts by category of each origin: ratio times net flow."""
+    empirical = ratios.empirical_ratio(panels, ceiling=ceiling, keys=[DAY])
+    smoothed = staged(fits.smoothed_ratios(empirical, smoother, breaks=breaks, keys=[DAY]).where("status = 'ok'"), "ratios")
+    return ratios.nowcast_by_category(forecasts, smoothed, ratios.last_value(smoothed, [DAY, "category"], "pi_smoothed"), [DAY])
+
+
+def replay(panels: DataFrame, horizons: tuple[int, ...] = HORIZONS, models: tuple[str, ...] = (*PLAIN, *BAYES), bayes_window: int = BAYES_WINDOW, smoother: str = "loess", ceiling: float = 1.2, breaks: list[str] | None = None, lags: int = 4, sampling: dict = SAMPLING) -> DataFrame:
     """asof_date, model, category, period, horizon, nom_mean, nom_se and intervals of each origin's models at the evaluated horizons.
 
-    Horizon 0 is the quarter that was just complete on the origin's day. Each model is one grouped map over all origins together.
+    Horizon 0 is the quarter that was just complete on the origin's day. Each model is one grouped map over all origins together, so a backtest is a plan whose tasks are fits.
+    The Bayesian variants are fitted at the last bayes_window origins. A fit that fails at an origin leaves no rows there. panels is read many times: hand it over written.
     """
-    streams = []
+    streams: list[DataFrame] = []
+    add = lambda df, name: streams.append(df.withColumn("model", F.lit(name)))
+    total = lambda df: df.withColumn("category", F.lit("total"))
+    flows = panels.select(DAY, "period", "category", F.inline(F.array(*(F.struct(F.lit(d).alias("direction"), F.col(f"oad_lt_{d}s").alias("value")) for d in ("arrival", "departure"))))).where("value is not null")
+    by_ratio = {"kalman_v1", "kalman_multi_pi", "kalman_multi_v2"} & set(models)
+    joint = single = None
+    if by_ratio:
+        single = staged(fits.structural_forecasts(flows, [DAY, "category", "direction"]).where("status = 'ok'").select(DAY, "period", "category", "direction", "mean_level", "se_log"), "forecasts")
+    if by_ratio & {"kalman_multi_pi", "kalman_multi_v2"}:
+        joint = staged(fits.joint_forecasts(panels, [DAY]).where("status = 'ok'"), "joint")
+        arrivals = joint.select(DAY, "period", F.lit("total").alias("category"), F.lit("arrival").alias("direction"), "mean_level", "se_log")
+        # the joint forecast takes the place of the total's arrivals at origins where it was made
+        kept = single.join(joint.select(DAY).distinct().withColumns({"category": F.lit("total"), "direction": F.lit("arrival")}), [DAY, "category", "direction"], "left_anti")
+        by_category = staged(_ratio_nowcasts(panels, kept.unionByName(arrivals), smoother, ceiling, breaks or []), "nowcasts")
+    if "kalman_multi_v2" in models:
+        add(total(ratios.lognormal_headline_rows(joint, [DAY], "nom_level", "nom_se_log")), "kalman_multi_v2")
+        add(by_category.where("category <> 'total'"), "kalman_multi_v2")
+    if "kalman_multi_pi" in models:
+        add(total(ratios.headline(by_category, [DAY])), "kalman_multi_pi")
+    if "kalman_v1" in models:
+        add(total(ratios.headline(_ratio_nowcasts(panels, single, smoother, ceiling, breaks or []), [DAY])), "kalman_v1")
     figures = panels.select(DAY, "category", "period", "nom_final")
     if "structural" in models:
-        f = fits.structural_forecasts(figures, [DAY, "category"], "nom_final").where("status = 'ok'")
-        f = ratios.lognormal_headline_rows(f, [DAY, "category"])
-        streams.append(f.withColumn("model", F.lit("structural")))
+        add(ratios.lognormal_headline_rows(fits.structural_forecasts(figures, [DAY, "category"], "nom_final").where("status = 'ok'"), [DAY, "category"]), "structural")
     if "bridge" in models:
-        f = fits.bridge_forecasts(panels, 1, [DAY]).where("status = 'ok' and nom_mean is not null")
-        streams.append(f.select(DAY, "category", "period", "nom_mean").withColumn("model", F.lit("bridge")))
+        add(fits.bridge_forecasts(panels, lags, [DAY]).where("status = 'ok' and nom_mean is not null").select(DAY, "category", "period", "nom_mean"), "bridge")
+    known = figures.where("nom_final is not null")
+    w = Window.partitionBy(DAY, "category")
     if "random_walk" in models:
-        w = Window.partitionBy(DAY, "category").orderBy("period")
-        known = figures.where("nom_final is not null").withColumn("_last", F.row_number().over(w.orderBy(F.desc("period"))) == 1)
-        step = known.where("_last").select(DAY, "category", F.add_months("period", 3).alias("period"), F.col("nom_final").alias("nom_mean"))
-        streams.append(scoring.random_walk(known, [DAY, "category"], "nom_final").unionByName(step).withColumn("model", F.lit("random_walk")))
+        last = known.withColumn("_last", F.max("period").over(w)).where(F.col("period") == F.col("_last"))
+        step = last.select(DAY, "category", F.add_months("period", 3).alias("period"), F.col("nom_final").alias("nom_mean"))
+        add(scoring.random_walk(known, [DAY, "category"], "nom_final").unionByName(step), "random_walk")
+    if "ar1" in models:
+        add(scoring.autoregression(known.where("category = 'total'"), [DAY, "category"], "nom_final"), "ar1")
+    if "abs_preliminary" in models:
+        add(panels.where("nom_preliminary is not null").select(DAY, "category", "period", F.col("nom_preliminary").alias("nom_mean")), "abs_preliminary")
+    if variants := [m for m in BAYES if m in models]:
+        nth = F.dense_rank().over(Window.orderBy(F.desc(DAY)))  # a row for each origin
+        recent = staged(panels.join(panels.select(DAY).distinct().withColumn("_n", nth).where(F.col("_n") <= bayes_window).select(DAY), DAY, "left_semi"), "recent")
+        for name in variants:
+            draws = fits.bayes_draws(recent, **BAYES[name], keys=[DAY], sampling=sampling)
+            add(total(fits.bayes_headline(draws, keys=[DAY])), name)
     out = streams[0]
     for s in streams[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
@@ -68,9 +129,17 @@ def replay(panels: DataFrame, horizons: tuple[int, ...] = (-2, -1, 0, 1), models
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("double"))
     out = out.withColumn("horizon", horizon("period", quarter_start(F.date_sub(DAY, 1))))
-    return out.where(F.col("horizon").isin(list(horizons)) & F.col("nom_mean").isNotNull()).select(DAY, "model", "category", "period", "horizon", "nom_mean", "nom_se", "lower_80", "upper_80", "lower_95", "upper_95")
+    return out.where(F.col("horizon").isin(list(horizons)) & F.col("nom_mean").isNotNull()).select(*COLUMNS)
+
 
+def scored(runs: DataFrame, truth: DataFrame, first: DataFrame | None = None, regimes: list[tuple[str, str, str]] | None = REGIMES) -> DataFrame:
+    """Scores by model, horizon, regime and category; truth: period, category, nom_truth.
 
-def scored(runs: DataFrame, truth: DataFrame) -> DataFrame:
-    """Scores by model, horizon and category; truth: period, category, nom_truth."""
-    return scoring.score(runs.join(truth, ["period", "category"], "left"), ["model", "horizon", "category"])
+    first: asof_date, period, category, nom_prelim as known at each origin; without any the truth stands in. Without regimes all periods are `all`; a period in none has a null regime.
+    """
+    origins = runs.select(DAY).distinct()
+    none = truth.sparkSession.createDataFrame([], f"{DAY} date, period date, category string, nom_prelim double")
+    both = scoring.with_preliminary(truth, none if first is None else first, origins, ["period", "category"], DAY)
+    rows = runs.join(both, [DAY, "period", "category"], "left")
+    regime = regime_by_ranges("period", regimes) if regimes else F.lit("all")
+    return scoring.score(rows.withColumn("regime", regime), ["model", "horizon", "regime", "category"], prelim="nom_prelim")

@@ -206,29 +206,51 @@ def local_regression(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float =
     return rows @ y, sigma * np.sqrt((rows**2).sum(1))
 
 
-def adaptive_metropolis(log_density, start: np.ndarray, draws: int, warmup: int, seed: int, scale: float = 0.1) -> tuple[np.ndarray, float]:
-    """(draws, acceptance rate) of a random walk whose proposal learns the covariance during warm-up and then stays."""
-    rng = np.random.default_rng(seed)
-    x, d = np.asarray(start, float), len(start)
+def adaptive_metropolis(log_density, starts: np.ndarray, draws: int, warmup: int, seed: int, scale: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """(chains x draws x parameters, acceptance rates) of random walks whose proposals learn the covariance of all of them during warm-up and then stay.
+
+    log_density takes a point of each chain, one a row, and gives their log densities: chains move together, one call a step. Each chain has a generator of its own.
+    """
+    x = np.array(starts, float)
+    c, d = x.shape
+    rngs = [np.random.default_rng(seed + k) for k in range(c)]
     value = log_density(x)
-    cov, factor, history, kept, accepted = np.eye(d) * scale**2, 1.0, [], [], 0
-    root = np.linalg.cholesky(cov)
+    factor, history, kept, accepted = np.ones(c), [], [], np.zeros(c)
+    root = np.repeat((np.eye(d) * scale)[None], c, 0)
     for t in range(warmup + draws):
-        new = x + factor * (root @ rng.standard_normal(d))
+        step = np.stack([r.standard_normal(d) for r in rngs])
+        new = x + factor[:, None] * (root @ step[:, :, None])[:, :, 0]
         there = log_density(new)
-        ok = np.log(rng.random()) < there - value
-        if ok:
-            x, value = new, there
+        ok = np.log([r.random() for r in rngs]) < there - value
+        x, value = np.where(ok[:, None], new, x), np.where(ok, there, value)
         if t < warmup:
             history.append(x)
-            factor *= np.exp((float(ok) - 0.28) / np.sqrt(t + 1))
-            if t >= 100 and t % 50 == 0:
-                seen = np.array(history[len(history) // 2 :])
-                root = np.linalg.cholesky(np.cov(seen.T) * 2.38**2 / d + 1e-8 * np.eye(d))
+            factor *= np.exp((ok - 0.28) / np.sqrt(t + 1))
+            if (t + 1) * c >= 20 * d and t % 25 == 24:
+                seen = np.array(history[len(history) // 2 :]).reshape(-1, d)
+                root = np.repeat(np.linalg.cholesky(np.cov(seen.T).reshape(d, d) * 2.38**2 / d + 1e-8 * np.eye(d))[None], c, 0)
         else:
             accepted += ok
             kept.append(x)
-    return np.array(kept), accepted / max(1, draws)
+    return np.array(kept).reshape(-1, c, d).transpose(1, 0, 2), accepted / max(1, draws)
+
+
+def effective_draws(chains: np.ndarray) -> np.ndarray:
+    """How many independent draws each parameter's draws are worth: all of them over one plus twice the autocorrelations, up to the first pair that sums below zero. chains: chains x draws x parameters."""
+    c, n, d = chains.shape
+    centred = chains - chains.mean(1, keepdims=True)
+    spectrum = np.fft.rfft(centred, 2 * n, axis=1)
+    cov = np.fft.irfft(spectrum * spectrum.conj(), axis=1)[:, :n].mean(0) / n
+    within = cov[0] * n / max(1, n - 1)
+    between = chains.mean(1).var(0, ddof=1) if c > 1 else np.zeros(d)
+    whole = np.maximum(within * (n - 1) / n + between, 1e-300)
+    rho = 1 - (within - cov) / whole
+    out = np.empty(d)
+    for k in range(d):
+        pairs = rho[1 : 1 + 2 * ((n - 1) // 2), k].reshape(-1, 2).sum(1)
+        stop = np.flatnonzero(pairs < 0)
+        out[k] = c * n / max(1e-12, 1 + 2 * pairs[: stop[0] if len(stop) else None].sum())
+    return np.minimum(out, c * n)
 
 
 def split_rhat(chains: list[np.ndarray]) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.calendar import quarter_start
+from ..functions.calendar import first_observable, quarters
 from ..operators import fits, panel, replay
 from ..operators.staging import staged
 from ..streaming.capture import windowed_counts
@@ -83,18 +83,38 @@ def bayes_learned_lag(spark, sf_dir):
     return fits.bayes_headline(fits.bayes_draws(_total_panel(spark, sf_dir), learned=True))
 
 
+#: Regimes of the example's years.
+PERIODS = [("early", "1992-01-01", "1995-12-31"), ("late", "1996-01-01", "2099-12-31")]
+
+
+def _backtest_panels(spark, sf_dir):
+    """(panels, figures known at each origin, figures of today): a quarterly grid of origins over all years; figures were recorded from 1996 on and are today's less what was not out before it."""
+    flows = flow(spark, sf_dir)
+    ends = flows.agg(F.min("period").alias("a"), F.max("period").alias("b"))
+    origins = staged(ends.select(F.explode(quarters(F.add_months("a", 24), F.add_months("b", 3))).alias("asof_date")), "origins")
+    monthly = staged(flows.withColumn("period_unit", F.lit("month")), "monthly")
+    figures = staged(published(spark, sf_dir).withColumn("period_unit", F.lit("quarter")), "figures")
+    recorded = figures.withColumn("vintage_date", F.add_months("period", 9)).where("period >= date '1995-07-01'")
+    # cells by month are few; each origin takes those that were out by then
+    at = monthly.join(origins, first_observable("period", "period_unit", 35) <= F.col("asof_date"))
+    known = staged(replay.known_at(origins, recorded, figures, ["period", "category"], 183), "known")
+    grants = at.where("direction = 'departure' and category <> '5-LOW'").select("asof_date", "period", "category", "value")
+    panels = staged(replay.panels_at(at.select("asof_date", "period", "category", "direction", "value"), known, grants), "panels")
+    return panels, known, figures
+
+
+def _summed(df, keys, value, name):
+    """By category, and all of them as total."""
+    rows = df.select(*keys, "period", "category", F.col(value).alias(name))
+    return rows.unionByName(rows.groupBy(*keys, "period").agg(F.sum(name).alias(name)).withColumn("category", F.lit("total")))
+
+
 @query()
 def backtest_replay(spark, sf_dir):
-    """Three origins, one of them before any recorded vintage."""
-    origins = spark.createDataFrame([("1999-07-01",), ("2000-07-01",), ("2001-07-01",)], "d string").select(F.col("d").cast("date").alias("asof_date"))
-    flows = flow(spark, sf_dir)
-    figures = published(spark, sf_dir).withColumn("period_unit", F.lit("quarter"))
-    recorded = figures.withColumn("vintage_date", F.add_months("period", 6)).where("period >= date '1999-10-01'")
-    at = flows.crossJoin(F.broadcast(origins)).where(F.add_months("period", 1) <= F.col("asof_date"))
-    known = replay.known_at(origins, recorded, figures, ["period", "category"], 183)
-    runs = staged(replay.replay(staged(replay.panels_at(at, known), "panels")), "runs")
-    truth = figures.select(quarter_start("period").alias("period"), "category", F.col("value").alias("nom_truth"))
-    return replay.scored(runs, truth)
+    """Every model stream at every origin of the quarterly grid, the Bayesian ones at the last twelve, scored by horizon, regime and category."""
+    panels, known, figures = _backtest_panels(spark, sf_dir)
+    runs = staged(replay.replay(panels, ceiling=12000.0), "runs")
+    return replay.scored(runs, _summed(figures, [], "value", "nom_truth"), _summed(known, ["asof_date"], "value", "nom_prelim"), PERIODS)
 
 
 @query("""SELECT date_trunc('day', ts) AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
