@@ -147,3 +147,12 @@ def gamma_weights(alpha: float, beta: float, last: int) -> list[float]:
 
     mass = [below(k + 0.5) - below(max(k - 0.5, 0)) for k in range(last + 1)]
     return [m / sum(mass) for m in mass]
+
+
+def distributed_lag(series: DataFrame, keys: list[str], value: str, weights: list[float], period: str = "period") -> DataFrame:
+    """series with lagged: the weighted sum of each key's value and those before it, weights[k] for k rows before; null until all of them are there."""
+    w = Window.partitionBy(*keys).orderBy(period)
+    total = F.lit(weights[0]) * F.col(value)
+    for k, x in enumerate(weights[1:], 1):
+        total = total + F.lit(x) * F.lag(value, k).over(w)
+    return series.withColumn("lagged", total)

@@ -149,6 +149,17 @@ def gamma_weights(spark, sf_dir):
     return spark.createDataFrame([(k, round(w, 10)) for k, w in enumerate(ratios.gamma_weights(2.0, 1.0, 6))], "lag int, weight double")
 
 
+@query(f"""WITH {FLOW_SQL}, k AS (SELECT unnest(range(5))::INT AS lag), m AS (SELECT lag, greatest(lag - 0.5, 0)::DOUBLE AS a, (lag + 0.5)::DOUBLE AS b FROM k), w AS (SELECT lag, (1 - exp(-b) * (1 + b)) - (1 - exp(-a) * (1 + a)) AS w FROM m),
+v AS (SELECT lag, w / sum(w) OVER () AS w FROM w), r AS (SELECT category, period, value, row_number() OVER (PARTITION BY category ORDER BY period) AS n FROM flow WHERE direction = 'arrival')
+SELECT r.category, r.period, round(CASE WHEN count(b.value) = 5 THEN sum(v.w * b.value) END, 6) AS lagged FROM r CROSS JOIN v LEFT JOIN (SELECT category, n, value FROM r) AS b ON b.category = r.category AND b.n = r.n - v.lag GROUP BY r.category, r.period""")
+def distributed_lag(spark, sf_dir):
+    """Arrivals spread over later months by the weights of the lag."""
+    arrivals = flow(spark, sf_dir).where("direction = 'arrival'")
+    out = ratios.distributed_lag(arrivals, ["category"], "value", ratios.gamma_weights(2.0, 1.0, 4))
+    return rounded(out.select("category", "period", "lagged"), "lagged")
+
+
+
 @query(f"""WITH RECURSIVE {FLOW_SQL}, s AS (SELECT category, value AS y, row_number() OVER (PARTITION BY category ORDER BY period) AS t FROM flow WHERE direction = 'arrival'),
 kf AS (SELECT category, t, y AS level, 2.0::DOUBLE AS p FROM s WHERE t = 1
 UNION ALL SELECT s.category, s.t, kf.level + (kf.p + 0.5) / (kf.p + 0.5 + 2.0) * (s.y - kf.level), (kf.p + 0.5) * (1 - (kf.p + 0.5) / (kf.p + 0.5 + 2.0)) FROM kf JOIN s ON s.category = kf.category AND s.t = kf.t + 1)
