@@ -147,3 +147,18 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     rows += [(7, text("c"), 6), (7, text("d", "z"), 7), (3, text("d"), 8), (9, text("e"), 9), (9, text("f"), 10)]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()
     assert sorted(r.text[0] for r in kept) == list("abcdef") and {(r.doc_id, r.text[0]) for r in kept} == {(None, "a"), (None, "b"), (7, "c"), (3, "d"), (9, "e"), (9, "f")}
+
+
+def test_similar_sets_of_any_size_share_a_meeting_key():
+    """Pairs at a similarity of 0.8 or just above, of few shingles and many: none may be left without a key in common."""
+    rng = np.random.default_rng(5)
+    for n in (5, 6, 9, 10, 15, 25, 60, 200):
+        pairs = 3000 if n < 100 else 600
+        both = -(-4 * n // 5)
+        union, left = rng.integers(0, 2**64, (pairs, n), dtype=np.uint64), rng.random((pairs, n - both)) < 0.5
+        keys = []
+        for side in (left, ~left):
+            sets = [np.concatenate([u[:both], u[both:][x]]) for u, x in zip(union, side)]
+            least = simhash.minima(np.concatenate(sets), np.array([len(x) for x in sets])).reshape(pairs, -1, simhash.BAND)
+            keys.append(least)
+        assert (keys[0] == keys[1]).all(2).any(1).all(), n
