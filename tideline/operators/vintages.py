@@ -51,7 +51,17 @@ def as_of_many(observations: DataFrame, days: DataFrame, keys: list[str], vintag
     following = F.lead(vintage).over(Window.partitionBy(*keys).orderBy(vintage))
     spans = observations.where(F.col(vintage).isNotNull()).withColumn("_until", following)
     at = F.col(day)
-    return spans.join(days.select(day).distinct(), (F.col(vintage) <= at) & (F.col("_until").isNull() | (F.col("_until") > at))).select(day, *observations.columns)
+    return spans.join(_few(days.select(day).distinct()), (F.col(vintage) <= at) & (F.col("_until").isNull() | (F.col("_until") > at))).select(day, *observations.columns)
+
+
+#: Origins that are sent to every task; with more of them Spark joins as it likes.
+MOST_ORIGINS = 10_000
+
+
+def _few(days: DataFrame) -> DataFrame:
+    """days, to be broadcast if they are few: a checked size."""
+    found = days.limit(MOST_ORIGINS + 1).collect()
+    return F.broadcast(days.sparkSession.createDataFrame(found, days.schema)) if len(found) <= MOST_ORIGINS else days
 
 
 def history(observations: DataFrame, vintage: str = "vintage_date", period: str = "period") -> DataFrame:
