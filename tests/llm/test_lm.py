@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from tideline.llm import lm, queries
-from tideline.llm.eliasfano import EliasFano, Trie
+from tideline.llm.eliasfano import EliasFano, Level, Trie
+from tideline.llm.words import word_hashes
 
 
 def test_elias_fano_against_a_sorted_array(tmp_path):
@@ -21,33 +22,77 @@ def test_elias_fano_against_a_sorted_array(tmp_path):
         assert ((e.find(ask) >= 0) == np.isin(ask, v)).all()
 
 
+def test_successors_between_bounds():
+    rng = np.random.default_rng(8)
+    v = np.sort(rng.integers(0, 500, 300)).astype(np.uint64)
+    e, ask = EliasFano.of(v), np.arange(520, dtype=np.uint64)
+    for a, b in ((0, 300), (0, 0), (40, 41), (100, 250), (299, 300), (300, 300)):
+        want = a + np.searchsorted(v[a:b], ask)
+        assert (e.successor(ask, np.full(520, a), np.full(520, b)) == want).all()
+
+
 def test_trie_over_a_memory_map(tmp_path):
-    words, counts = np.array([3, 90, 2**60], np.uint64), np.array([5, 1, 2])
-    owner, contexts, logs = np.array([0, 0, 2]), np.array([7, 9, 0], np.uint64), np.array([-1.0, -2.0, -3.5])
-    path = str(tmp_path / "t")
-    t = Trie.open(path, Trie.build(words, counts, owner, contexts, logs).write(path))
+    words, counts = np.array([3, 90, 2**60], np.uint64), np.array([5, 1, 2**40])
+    owner, contexts, tops, downs = np.array([0, 0, 2]), np.array([7, 2**32 - 1, 0], np.uint32), np.array([-1.0, -2.0, -3.5]), np.array([0.0, 0.5, 9.0])
+    under, second, thirds = np.array([0, 2, 2]), np.array([2**32 - 1, 0, 1], np.uint32), np.array([-0.25, -0.5, -8.0])
+    with open(tmp_path / "t", "wb") as f:
+        layout = Trie.build(words, counts, (owner, contexts), tops, downs, (under, second), thirds).write(f)
+    t = Trie.open(np.memmap(tmp_path / "t", np.uint8, "r"), layout)
     at, n = t.lookup(np.array([3, 4, 2**60, 2**63], np.uint64))
-    assert at.tolist() == [0, -1, 2, -1] and n.tolist() == [5, 0, 2, 0]
-    got = t.log(np.array([0, 0, 0, 2, 1, -1]), np.array([7, 8, 9, 0, 7, 7], np.uint64), np.full(6, -9.0))
-    assert got == pytest.approx([-1, -9, -2, -3.5, -9, -9], abs=1e-4)
+    assert at.tolist() == [0, -1, 2, -1] and n.tolist() == [5, 0, 2**40, 0]
+    pair = t.pairs.find(np.array([0, 0, 0, 2, 1, -1, 2]), np.array([7, 8, 2**32 - 1, 0, 7, 7, 7], np.uint32))
+    assert pair.tolist() == [0, -1, 1, 2, -1, -1, -1]
+    assert t.tops.get(pair, np.full(7, -9.0)) == pytest.approx([-1, -9, -2, -3.5, -9, -9, -9], abs=1e-4)
+    assert t.downs.get(pair, np.full(7, -9.0)) == pytest.approx([0, -9, 0.5, 9, -9, -9, -9], abs=1e-4)
+    triple = t.triples.find(np.array([0, 0, 1, 2, 2, 2, -1]), np.array([2**32 - 1, 0, 0, 0, 1, 2, 0], np.uint32))
+    assert triple.tolist() == [0, -1, -1, 1, 2, -1, -1]
+    assert t.thirds.get(triple, np.zeros(7)) == pytest.approx([-0.25, 0, 0, -0.5, -8, 0, 0], abs=1e-4)
+
+
+def test_a_level_against_a_set():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 50, 2000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 90, 2000).astype(np.uint64))
+    level = Level.of(60, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    above, context = (x.ravel() for x in np.meshgrid(np.arange(-1, 60), np.arange(100)))
+    where = {int(k): i for i, k in enumerate(keys)}
+    assert level.find(above, context.astype(np.uint32)).tolist() == [where.get((a << 32) | c, -1) if a >= 0 else -1 for a, c in zip(above.tolist(), context.tolist())]
+
+
+def test_tokens_that_share_their_upper_half_keep_their_order():
+    token, context = np.array([5, 4, 5, 4, 2**40], np.uint64), np.array([1, 2, 0, 3, 9], np.uint32)
+    order = lm._in_order(token, context)
+    assert list(zip(token[order].tolist(), context[order].tolist())) == sorted(zip(token.tolist(), context.tolist()))
 
 
-def brute(rows, prior):
+def hashed(word):
+    """The hash that stands for a word where it is a context: a word that shares it with a frequent one has that one's weight."""
+    raw = np.frombuffer(word or b"", np.uint8)
+    return int(lm._context(word_hashes(raw, np.array([0]), np.array([len(raw)])) if word else np.array([lm.END]))[0])
+
+
+def brute(rows, prior, pair_prior=lm.PAIR_PRIOR, share=lm.FREQUENT):
     """rows: (text, train). By row: (tokens, known, N, base, score)."""
     split = [("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split() + [None]) for t, _ in rows]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for w, (_, train) in zip(split, rows):
         if train:
             one.update(w)
             two.update(zip(["<s>", *w], w))
+            three.update(zip(["<s>", "<s>", *w], ["<s>", *w], w))
     total, kinds, texts = sum(one.values()), len(one), sum(bool(t) for _, t in rows)
+    first = {**one, "<s>": texts}
+    frequent = {hashed(x): n for x, n in sorted(one.items(), key=lambda i: i[1]) if n * share > total}
+    number = {x: hashed(x) for w in split for x in w}
+    second = {**two, ("<s>", "<s>"): texts}
     out = []
     for w in split:
         base = sum(math.log10((one[x] + 1) / (total + kinds + 1)) for x in w)
         score = 0.0
-        for u, x in zip(["<s>", *w], w):
-            above = two[u, x] + prior * (one[x] + 1) / (total + kinds + 1)
-            score += math.log10(above / ((texts if u == "<s>" else one[u]) + prior))
+        for v, u, x in zip(["<s>", "<s>", *w], ["<s>", *w], w):
+            n = first.get(u, 0)
+            g = pair_prior / ((texts if u == "<s>" else frequent.get(number[u], prior)) + prior)
+            above = three[v, u, x] + g * (two[u, x] + prior * (one[x] + 1) / (total + kinds + 1))
+            score += math.log10(above / (second.get((v, u), 0) + g * (n + prior)))
         out.append((len(w), sum(one[x] > 0 for x in w), total, base, score))
     return out
 
@@ -81,26 +126,26 @@ def test_many_tiny_texts(spark):
     assert got.groupBy("n_tokens", "n_known").count().count() == 2
 
 
-def test_words_in_parts_sum_to_the_same(spark, monkeypatch):
+def test_words_in_parts_sum_to_the_same(spark, monkeypatch, tmp_path):
     """One shard by hand, in this process, with tiny parts."""
     import pyarrow as pa
 
     rng = random.Random(4)
     rows = [(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40))), rng.random() < 0.6) for _ in range(30)]
     batch = pa.RecordBatch.from_pydict({"key": list(range(30)), "text": [t for t, _ in rows], "train": [k for _, k in rows]})
-    want = brute(rows, 9.0)
+    want = brute(rows, 9.0, 4.0, share=0)
+    texts = sum(k for _, k in rows)
     kinds = len({w for t, k in rows if k for w in t.split()} | {None})
     asks = pa.Table.from_batches(list(lm._ask(1, np.zeros(0, np.uint64))(iter([batch]))))
     shard = asks.filter(pa.array([x >= 0 for x in asks.column("shard").to_pylist()]))
     for part in (1, 7, 10**6):
         monkeypatch.setattr(lm, "PART_TOKENS", part)
-        sums = lm._answer(want[0][2], kinds, 9.0, {})(shard)
+        sums = lm._answer(want[0][2], kinds, texts, 9.0, 4.0, {}, np.zeros(0, np.uint64), f"file://{tmp_path}")(shard)
         score = np.frombuffer(sums.column("score")[0].as_py())
         assert len(score) == 30
         known = np.frombuffer(sums.column("known")[0].as_py(), np.int32)
-        texts = sum(k for _, k in rows)
         for s, k, w in zip(score, known, want):
-            assert k == w[1] and s - math.log10(texts + 9.0) == pytest.approx(w[4], abs=1e-3)
+            assert k == w[1] and s - math.log10(texts + 4.0) == pytest.approx(w[4], abs=1e-3)
 
 
 def test_no_rows_and_nothing_to_learn(spark):
@@ -122,4 +167,28 @@ def test_op4_against_brute_force_and_held_out_likelihood(spark):
         assert r.held_out == h
         same((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), w)
     out = [r for r in got if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    # beyond the base by more than half a digit a token
+    assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.5 * sum(r.n_tokens for r in out)
+
+
+def test_rare_and_frequent_contexts(spark, monkeypatch):
+    """A list of frequent words that leaves most out, and two words split over shards."""
+    monkeypatch.setattr(lm, "FREQUENT", 30)
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice("aaaabbbcc" + "defghijklmnopqrstuvwxyz" * 2) for _ in range(rng.randrange(60))), rng.random() < 0.8) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, learn boolean")
+    want = brute(rows, 20.0, 3.0, 30)
+    got = lm.score(docs, "learn", prior=20.0, pair_prior=3.0, least_shards=12).collect()
+    assert len(got) == len(want)
+    for r in got:
+        same((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), want[r.doc_id])
+
+
+def test_short_texts_after_known_and_unknown_beginnings(spark):
+    texts, words = ["a b c", "a b d", "b c a b", "d a"], ["a", "b", "c", "d", "zz"]
+    heads = ["a b", "b c", "d", "q q"]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(100 * (k + 1) + j, f"{h} {w}" if w else h, False) for k, h in enumerate(heads) for j, w in enumerate([*words, ""])]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), "learn", prior=2.0, pair_prior=1.0, least_shards=1).collect()}
+    want = brute([(t, k) for _, t, k in rows], 2.0, 1.0)
+    for (i, *_), w in zip(rows, want, strict=True):
+        assert got[i] == pytest.approx(w[4], abs=1e-3)

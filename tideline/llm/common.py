@@ -15,7 +15,7 @@ from ..operators.staging import drop_folder as drop_dir
 from ..operators.staging import fresh_folder as fresh_dir
 from ..operators.staging import staged as materialise
 
-__all__ = ["BATCH_ROWS", "SLICE_BYTES", "SPACES", "drop_dir", "fitted_sample", "fresh_dir", "hash_share", "materialise", "numbered", "small_batches", "table", "tidy", "views"]
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "SPACES", "drop_dir", "filesystem", "fitted_sample", "fresh_dir", "hash_share", "materialise", "numbered", "small_batches", "table", "tidy", "views"]
 
 #: Bytes of text that a kernel handles at once; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filesystem(uri: str):
+    """(pyarrow's file system, path) of a URI or an absolute path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def numbered(docs: DataFrame, without: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """docs with its columns named c0, c1, .. by place, and these names by the old ones: no column of a caller can then clash with an operator's own.
 

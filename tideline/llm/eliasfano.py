@@ -1,4 +1,4 @@
-"""Monotone integers in Elias-Fano code, and an n-gram trie of two levels made of them, in flat arrays that can be memory-mapped.
+"""Monotone integers in Elias-Fano code, and an n-gram trie of three levels made of them, in flat arrays that can be memory-mapped.
 
 A value's low bits are stored as they are; its high bits in unary, a one for each value and a zero for each step of the high part. All
 queries are answered for many values at once, in numpy, on the packed arrays.
@@ -94,23 +94,25 @@ class EliasFano:
         out[some] = self._select(self.zeros, upper[some] - 1, True) - (upper[some] - 1)
         return out
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The index of the first stored value that is not smaller; n if there is none."""
+    def successor(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """The index of the first stored value from begin on, and before end, that is not smaller; end if there is none. By default all n are searched."""
+        begin = np.zeros(len(values), np.int64) if begin is None else begin
+        end = np.full(len(values), self.n, np.int64) if end is None else end
+        out = end.copy()
         if not self.n:
-            return np.zeros(len(values), np.int64)
+            return out
         last = int(self.get(np.array([self.n - 1]))[0])
-        out = np.full(len(values), self.n, np.int64)
-        some = np.flatnonzero(values <= U(last))
+        some = np.flatnonzero((values <= U(last)) & (begin < end))
         want = values[some]
         upper = (want >> U(self.width)).astype(np.int64)
-        a, b = self.below(upper), self.below(upper + 1)
+        a, b = np.maximum(self.below(upper), begin[some]), np.minimum(self.below(upper + 1), end[some])
         rest = want & U((1 << self.width) - 1)
         while len(open_ := np.flatnonzero(a < b)):
             middle = (a[open_] + b[open_]) >> 1
             less = unpack(self.low, self.width, middle) < rest[open_]
             a[open_[less]] = middle[less] + 1
             b[open_[~less]] = middle[~less]
-        out[some] = a
+        out[some] = np.minimum(a, end[some])
         return out
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -121,57 +123,101 @@ class EliasFano:
         return np.where(ok, at, -1)
 
 
-class Trie:
-    """Words with their counts, and under each word the contexts before it with quantised log probabilities.
+class Level:
+    """The contexts under each entry of the level above: pointers say where an entry's contexts begin, and both are monotone.
 
-    words: sorted hashes. pointers: where each word's contexts begin (monotone). contexts: 32-bit hashes of the preceding words, relative to the
-    word: its number stands above them, so that the level is monotone as a whole. codes: 16 bits, linear between low and high.
+    A context is stored relative to its entry: on top of the last value of the entry before that has any. So the level rises as a whole, and a context
+    is looked for only between its entry's pointers.
     """
 
-    SECTIONS = 5 * 3 + 3
+    def __init__(self, pointers: EliasFano, contexts: EliasFano):
+        self.pointers, self.contexts = pointers, contexts
+
+    @classmethod
+    def of(cls, above: int, owner: np.ndarray, contexts: np.ndarray) -> Level:
+        """owner: the number, of `above`, of each context's entry; contexts rise within an entry and stay below 2^32."""
+        starts = np.searchsorted(owner, np.arange(above + 1))
+        some = np.flatnonzero(starts[1:] > starts[:-1])
+        span = np.zeros(above, U)
+        span[some] = contexts[starts[some + 1] - 1].astype(U) + U(1)
+        return cls(EliasFano.of(starts.astype(U)), EliasFano.of((np.cumsum(span, dtype=U) - span)[owner] + contexts.astype(U)))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [*self.pointers.arrays(), *self.contexts.arrays()]
+
+    def find(self, above: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The index of each context under its entry; -1 where it is not stored, or the entry is -1."""
+        out = np.full(len(above), -1, np.int64)
+        known = np.flatnonzero(above >= 0)
+        begin, end = (self.pointers.get(above[known] + k).astype(np.int64) for k in (0, 1))
+        filled = begin < end
+        known, begin, end = known[filled], begin[filled], end[filled]
+        want = contexts[known].astype(U)
+        later = np.flatnonzero(begin)
+        want[later] += self.contexts.get(begin[later] - 1) + U(1)
+        at = self.contexts.successor(want, begin, end)
+        near = np.flatnonzero(at < end)
+        hit = near[self.contexts.get(at[near]) == want[near]]
+        out[known[hit]] = at[hit]
+        return out
+
 
-    def __init__(self, words: EliasFano, pointers: EliasFano, contexts: EliasFano, counts: np.ndarray, codes: np.ndarray, scale: np.ndarray):
-        self.words, self.pointers, self.contexts, self.counts, self.codes, self.scale = words, pointers, contexts, counts, codes, scale
+class Codes:
+    """Logarithms in 16 bits, linear between the least and the greatest."""
+
+    def __init__(self, scale: np.ndarray, codes: np.ndarray):
+        self.scale, self.codes = scale, codes
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, owner: np.ndarray, contexts: np.ndarray, logs: np.ndarray) -> Trie:
-        """owner, contexts, logs: for each pair the number of its word, its context and log probability, in order."""
+    def of(cls, logs: np.ndarray) -> Codes:
         low, high = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
         step = max((high - low) / 65535, 1e-12)
-        starts = np.searchsorted(owner, np.arange(len(words) + 1))
-        return cls(EliasFano.of(words), EliasFano.of(starts.astype(U)), EliasFano.of((owner.astype(U) << U(32)) | contexts.astype(U)), counts.astype(np.uint64), np.rint((logs - low) / step).astype(np.uint16), np.array([low, step]))
-
-    def write(self, path: str) -> list[tuple]:
-        """One file with all arrays; their type, length and place."""
-        arrays, layout, at = [*self.words.arrays(), *self.pointers.arrays(), *self.contexts.arrays(), self.counts, self.codes, self.scale], [], 0
-        with open(path, "wb") as f:
-            for x in arrays:
-                layout.append((x.dtype.str, len(x), at))
-                at += f.write(x.tobytes()) + f.write(b"\0" * (-x.nbytes % 8))
+        return cls(np.array([low, step]), np.rint((logs - low) / step).astype(np.uint16))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.scale, self.codes]
+
+    def get(self, index: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        """The logarithm at each index, `otherwise` at -1."""
+        out = otherwise.copy()
+        some = np.flatnonzero(index >= 0)
+        out[some] = self.scale[0] + self.scale[1] * self.codes[index[some]]
+        return out
+
+
+class Trie:
+    """Words with their counts, under each word the words before it, and under each such pair the words before that.
+
+    words: sorted hashes. pairs, triples: levels of 32-bit hashes of preceding words. tops: for each pair the log of what it gives to a probability
+    whose triple is not stored; downs: the log that is taken off where the pair itself is the context; thirds: the log of each triple.
+    """
+
+    def __init__(self, words: EliasFano, counts: np.ndarray, pairs: Level, tops: Codes, downs: Codes, triples: Level, thirds: Codes):
+        self.words, self.counts, self.pairs, self.tops, self.downs, self.triples, self.thirds = words, counts, pairs, tops, downs, triples, thirds
+
+    @classmethod
+    def build(cls, words: np.ndarray, counts: np.ndarray, pairs: tuple, tops: np.ndarray, downs: np.ndarray, triples: tuple, thirds: np.ndarray) -> Trie:
+        """pairs, triples: the number of the entry above and the context of each, in order; then what belongs to them."""
+        return cls(EliasFano.of(words), counts.astype(np.uint64), Level.of(len(words), *pairs), Codes.of(tops), Codes.of(downs), Level.of(len(tops), *triples), Codes.of(thirds))
+
+    def write(self, stream) -> list[tuple]:
+        """All arrays one after the other; their type, length and place."""
+        layout, at = [], 0
+        for x in [a for part in (self.words, self.pairs, self.triples, self.tops, self.downs, self.thirds) for a in part.arrays()] + [self.counts]:
+            layout.append((x.dtype.str, len(x), at))
+            stream.write(x.tobytes() + b"\0" * (-x.nbytes % 8))
+            at += x.nbytes + -x.nbytes % 8
         return layout
 
     @classmethod
-    def open(cls, path: str, layout: list[tuple]) -> Trie:
-        """The trie over a memory map of its file."""
-        body = np.memmap(path, np.uint8, "r")
+    def open(cls, body: np.ndarray, layout: list[tuple]) -> Trie:
+        """The trie over the bytes that write() wrote, such as a memory map of its file."""
         a = [np.frombuffer(body, kind, n, at) for kind, n, at in layout]
-        return cls(EliasFano.from_arrays(*a[0:5]), EliasFano.from_arrays(*a[5:10]), EliasFano.from_arrays(*a[10:15]), *a[15:])
+        words, *rest = (EliasFano.from_arrays(*a[k : k + 5]) for k in range(0, 25, 5))
+        tops, downs, thirds = (Codes(*a[k : k + 2]) for k in (25, 27, 29))
+        return cls(words, a[31], Level(*rest[:2]), tops, downs, Level(*rest[2:]), thirds)
 
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and count of each word; -1 and 0 for an unknown one."""
         at = self.words.find(words)
         return at, np.where(at >= 0, self.counts[np.maximum(at, 0)] if len(self.counts) else 0, 0).astype(np.int64)
-
-    def log(self, word: np.ndarray, context: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
-        """The stored log probability of each pair of a word's number and a context; `otherwise` where there is none."""
-        out = otherwise.copy()
-        known = np.flatnonzero(word >= 0)
-        if not len(known) or not self.contexts.n:
-            return out
-        number = word[known].astype(U)
-        at = self.contexts.successor((number << U(32)) | context[known].astype(U))
-        end = self.pointers.get(word[known] + 1).astype(np.int64)
-        near = np.flatnonzero(at < end)
-        hit = near[(self.contexts.get(at[near]) & U(0xFFFFFFFF)) == context[known[near]].astype(U)]
-        out[known[hit]] = self.scale[0] + self.scale[1] * self.codes[at[hit]]
-        return out

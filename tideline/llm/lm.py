@@ -1,15 +1,19 @@
-"""Language-model scores from a bigram trie in Elias-Fano code, learnt and queried in shards.
+"""Language-model scores from a trigram trie in Elias-Fano code, learnt and queried in shards.
 
-p(w | u) = (c(u, w) + B p0(w)) / (c(u) + B) with p0(w) = (c(w) + 1) / (N + V + 1): a Dirichlet prior around smoothed single words. The logarithm of a text
-falls into parts that each need the counts of one word only: numerators of w, and denominators of u, which is a word of the same
-text. So a shard that owns some words learns their contexts, writes its trie, maps it to memory, answers all that documents ask
-about these words, and returns sums by document. No model has to fit on a machine, and no token is sent twice.
+p(w | v u) = (c(v u w) + g(u) (c(u w) + B p0(w))) / (c(v u) + g(u) (c(u) + B)), p0(w) = (c(w) + 1) / (N + V + 1), g(u) = T / (f(u) + B)
+
+interpolates triples, pairs and smoothed single words; over all w it sums up to what p0 does. f(u) is the exact count of a frequent word, so that g(u) (c(u) + B)
+is T there (a prior of T tokens from pairs, itself with a prior of B tokens from single words), and B for all others, which lets pairs weigh more.
+The list of frequent words is bounded and known to all tasks. So the logarithm of a text falls into parts that each need the counts of one word only:
+numerators of w, and denominators of u with the word before it, which is a pair of the same text. A shard that owns some words learns their contexts,
+writes its trie, maps it to memory, answers all that documents ask about these words, and returns sums by document. No model has to fit on a
+machine, and no token is sent twice.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,22 +22,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, views
+from .common import filesystem, fresh_dir, materialise, small_batches, tidy, views
 from .eliasfano import Trie
 from .words import LOWER, SPACED, mix, word_hashes, word_ranges
 
-#: The prior's weight in tokens.
-PRIOR = 500.0
+#: The weights in tokens of single words in pairs, and of pairs in triples.
+PRIOR, PAIR_PRIOR = 500.0, 5.0
 #: Text bytes that one message is made from, tokens in a shard (about), and shards at least.
-CHUNK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 4 << 20, 16_000_000, 32
+CHUNK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 4 << 20, 8_000_000, 32
 #: Tokens of a shard that are worked on at once: a run of its words, with a trie of its own.
 PART_TOKENS = 1_000_000
 #: Rows in a message at most: their numbers take 16 bits.
 ROWS = 1 << 16
 #: Hashes of the marks at a text's end and start.
 END, START = mix(np.array([0xE0F, 0x5A7], np.uint64))
-#: Words of a shard that may turn out frequent enough to be split over shards.
-FREQUENT = 8
+#: Words are frequent if they are more than one token in so many, or in twice as many as there are shards: 16 bytes for each go to all tasks.
+FREQUENT = 100_000
 
 
 def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +88,8 @@ def _by_shard(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 
 
 def corpus_counts(docs: DataFrame, key: str, text: str, train: str, shards: int) -> tuple[int, int, int, dict[int, int]]:
-    """(tokens, distinct tokens, texts, counts of the most frequent tokens) of the training texts. Exact; only these few numbers come to the driver."""
+    """(tokens, distinct tokens, texts, counts of the frequent tokens) of the training texts. Exact; only these numbers come to the driver, FREQUENT counts or twice the shards at most."""
+    share = max(FREQUENT, 2 * shards)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, known, token, _, row in _chunks(batches, CHUNK_BYTES):
@@ -99,20 +104,21 @@ def corpus_counts(docs: DataFrame, key: str, text: str, train: str, shards: int)
         token, n = token[order], n[order]
         at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         n = np.add.reduceat(n, at)
-        top = np.argsort(-n, kind="stable")[:FREQUENT]
+        top = np.flatnonzero(n * share > n.sum())  # what is frequent among all tokens is so in its shard
         return pa.table({"n": [int(n.sum())], "kinds": [len(n)], "top": pa.array([token[at[top]].view(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([n[top].tolist()], pa.list_(pa.int64()))})
 
     frame = _frame(docs, key, text, train)
-    found = frame.mapInArrow(tidy(count), "shard int, tokens binary, n binary").groupBy("shard").applyInArrow(total, "n long, kinds long, top array<long>, top_n array<long>").collect()
-    frequent = {k: v for r in found for k, v in zip(r["top"], r["top_n"], strict=True)}
-    return sum(r["n"] for r in found), sum(r["kinds"] for r in found), docs.where(train).count(), frequent
+    found = materialise(frame.mapInArrow(tidy(count), "shard int, tokens binary, n binary").groupBy("shard").applyInArrow(total, "n long, kinds long, top array<long>, top_n array<long>"), "lm-counts")
+    sums = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    tops = found.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).select("x.top", "x.top_n").where(F.col("top_n") * share > F.lit(sums[0])).toArrow()
+    return sums[0], sums[1], docs.where(train).count(), dict(zip(tops.column(0).to_pylist(), tops.column(1).to_pylist(), strict=True))
 
 
 def _frame(docs: DataFrame, key: str, text: str, train: str) -> DataFrame:
     return small_batches(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
 
 
-_ASK = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("contexts", pa.binary()), ("rows", pa.binary()), ("docs", pa.binary()), ("train", pa.binary())])
+_ASK = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("firsts", pa.binary()), ("contexts", pa.binary()), ("befores", pa.binary()), ("rows", pa.binary()), ("docs", pa.binary()), ("train", pa.binary())])
 _SUMS = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("score", pa.binary()), ("heads", pa.binary())])
 
 
@@ -120,55 +126,99 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'long', pa.binary(): 'binary'})[f.type]}" for f in schema)
 
 
+def _context(token: np.ndarray) -> np.ndarray:
+    """The 32-bit hash that stands for a word where it is a context."""
+    return (mix(token) >> np.uint64(32)).astype(np.uint32)
+
+
+def _in_order(token: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The order by token and context: by the halves that matter at once, or by both in full where two tokens share their upper half."""
+    order = np.argsort((token & np.uint64(0xFFFFFFFF00000000)) | context)
+    t = token[order]
+    return np.lexsort((context, token)) if (t[1:] < t[:-1]).any() else order
+
+
 def _ask(shards: int, frequent: np.ndarray):
-    """For each chunk and shard: its words, and of each token the context's hash and the row. One more message has the chunk's keys."""
+    """For each chunk and shard: its words, their pairs, and of each token the word before the pair and the row. One more message has the chunk's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
         for chunk, (keys, nulls, train, token, before, row) in enumerate(_chunks(batches, CHUNK_BYTES), base):
             counts = np.bincount(row, minlength=len(keys))
             head = [np.asarray(keys, np.int64), nulls.astype(np.int8), counts.astype(np.int64), train.astype(np.int8)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([-1 - chunk % shards, chunk, head[0].tobytes(), head[1].tobytes(), head[2].tobytes(), head[3].tobytes(), None, None], _ASK.types, strict=True)], _ASK.names)
-            context = (mix(before) >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([-1 - chunk % shards, chunk, *(x.tobytes() for x in head), *[None] * 4], _ASK.types, strict=True)], _ASK.names)
+            context = _context(before)
+            # the word before the context is the context of the token before; a text's first token has the start there, as its context is
+            second = np.append(context[:1], context[:-1])
+            second = np.where(before == START, context, second)
             route = token
             if len(frequent):
                 hot = frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token
                 route = np.where(hot, mix(token ^ mix(before)), token)
             to = _shard_of(route, shards)
-            order = np.argsort(token)
+            order = _in_order(token, context)
             order = order[np.argsort(to[order].astype(np.uint16) if shards < 65536 else to[order], kind="stable")]
-            token, context, row, to = token[order], context[order], row[order], to[order]
+            token, context, second, row, to = token[order], context[order], second[order], row[order], to[order]
             cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))  # each text has its end at least
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
-                t = token[a:b]
-                new = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                t, c = token[a:b], context[a:b]
+                starts = np.append(True, t[1:] != t[:-1])
+                new, pair = np.flatnonzero(starts), starts | np.append(True, c[1:] != c[:-1])
                 docs, at = np.unique(row[a:b], return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], k) for x, k in zip([int(to[a]), chunk, t[new].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint32).tobytes(), context[a:b].tobytes(), at.astype(np.uint16).tobytes(), docs.astype(np.uint16).tobytes(), train[docs].astype(np.int8).tobytes()], _ASK.types, strict=True)], _ASK.names
-                )
+                parts = [t[new], np.diff(np.append(new, b - a)).astype(np.uint32), np.packbits(pair), c[pair], second[a:b], at.astype(np.uint16), docs.astype(np.uint16), train[docs].astype(np.int8)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([int(to[a]), chunk, *(x.tobytes() for x in parts)], _ASK.types, strict=True)], _ASK.names)
 
     return run
 
 
-def _answer(tokens: int, kinds: int, prior: float, frequent: dict[int, int]):
-    """A shard: counts its training pairs, writes and maps the trie, and sums up what each document asked."""
-    hot = np.array(sorted(frequent), np.uint64)
-    hot_n = np.array([frequent[k] for k in hot.tolist()], np.int64)
+@contextlib.contextmanager
+def _mapped(trie: Trie, folder: str) -> Iterator[list[Trie]]:
+    """The trie, written to the shared folder and opened there: mapped where the folder is a mounted one, else read into a buffer. The file goes when it is done with."""
+    from pyarrow import fs
+
+    files, path = filesystem(f"{folder}/{uuid.uuid4().hex}.trie")
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(path) as f:
+        layout = trie.write(f)
+    try:
+        if isinstance(files, fs.LocalFileSystem):
+            yield Trie.open(np.memmap(path, np.uint8, "r"), layout)
+        else:
+            with files.open_input_file(path) as f:
+                yield Trie.open(np.frombuffer(f.read(), np.uint8), layout)
+    finally:
+        files.delete_file(path)
+
+
+def _answer(tokens: int, kinds: int, texts: int, prior: float, pair_prior: float, frequent: dict[int, int], split: np.ndarray, folder: str):
+    """A shard: counts its training pairs and triples, writes and maps the trie, and sums up what each document asked. frequent: counts by unsigned hash; split: those of its words that several shards have."""
+    hot_n = np.array([frequent[k] for k in split.tolist()], np.int64)
+    hashes = np.append(_context(np.fromiter(frequent, np.uint64, len(frequent))), _context(np.array([START])))
+    counted = np.append(np.fromiter(frequent.values(), np.int64, len(frequent)), texts)
+    order = np.lexsort((-counted, hashes))
+    order = order[np.append(True, np.diff(hashes[order]) != 0)]
+    hashes, counted = hashes[order], counted[order]
+
+    def weight(context: np.ndarray) -> np.ndarray:
+        """g: the weight of pairs by the hash of their context."""
+        at = np.minimum(np.searchsorted(hashes, context), len(hashes) - 1)
+        return pair_prior / (np.where(hashes[at] == context, counted[at], prior) + prior)
 
     def run(group: pa.Table) -> pa.Table:
         if group.column("shard")[0].as_py() < 0:
             rows = group.to_pylist()
-            heads = [b"".join(x[k] for k in ("words", "sizes", "contexts", "rows")) for x in rows]
+            heads = [b"".join(x[k] for k in ("words", "sizes", "firsts", "contexts")) for x in rows]
             return pa.Table.from_arrays([pa.array([x["chunk"] for x in rows], pa.int64()), *(pa.array([None] * len(rows), pa.binary()) for _ in range(4)), pa.array(heads, pa.binary())], _SUMS.names)
         read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in group.column(name)]
         asked, sizes, docs, train = read("words", np.uint64), read("sizes", np.uint32), read("docs", np.uint16), read("train", np.int8)
-        contexts, rows = read("contexts", np.uint32), read("rows", np.uint16)
+        befores, rows = read("befores", np.uint32), read("rows", np.uint16)
+        contexts = [c[np.cumsum(np.unpackbits(f, count=len(r))) - 1] for c, f, r in zip(read("contexts", np.uint32), read("firsts", np.uint8), rows, strict=True)]
         first = np.cumsum([0, *map(len, docs)])
         learns = np.concatenate(train) > 0
         every, inverse = np.unique(np.concatenate(asked), return_inverse=True)
         # words in order, cut where about PART_TOKENS tokens are full
-        weight = np.cumsum(np.bincount(inverse, np.concatenate(sizes), len(every)))
-        cuts = [*np.unique(np.searchsorted(weight, np.arange(PART_TOKENS, weight[-1], PART_TOKENS)) + 1).tolist(), len(every)]
+        weights = np.cumsum(np.bincount(inverse, np.concatenate(sizes), len(every)))
+        cuts = [*np.unique(np.searchsorted(weights, np.arange(PART_TOKENS, weights[-1], PART_TOKENS)) + 1).tolist(), len(every)]
         numbers = np.split(inverse.astype(np.int32), np.cumsum([len(x) for x in asked])[:-1])
         ends = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in sizes]
         base, score, knew = np.zeros(first[-1]), np.zeros(first[-1]), np.zeros(first[-1], np.int32)
@@ -176,46 +226,55 @@ def _answer(tokens: int, kinds: int, prior: float, frequent: dict[int, int]):
         for high in cuts:
             if high == low:
                 continue
-            word, context, doc = [], [], []
-            for number, end, c, r, f in zip(numbers, ends, contexts, rows, first.tolist(), strict=False):
+            word, context, before, doc = [], [], [], []
+            for number, end, c, v, r, f in zip(numbers, ends, contexts, befores, rows, first.tolist(), strict=False):
                 a, b = np.searchsorted(number, [low, high])
                 if a < b:
                     word.append(np.repeat(number[a:b] - low, np.diff(end[a : b + 1])))
                     context.append(c[end[a] : end[b]])
+                    before.append(v[end[a] : end[b]])
                     doc.append(r[end[a] : end[b]].astype(np.int32) + f)
-            _sum_part(every[low:high], np.concatenate(word), np.concatenate(context), np.concatenate(doc), learns, base, knew, score)
+            _sum_part(every[low:high], *map(np.concatenate, (word, context, before, doc)), learns, base, knew, score)
             low = high
         cut = lambda x: [x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
         return pa.Table.from_arrays([group.column("chunk").combine_chunks(), *(pa.array(x, pa.binary()) for x in ([d.tobytes() for d in docs], cut(base), cut(knew), cut(score))), pa.array([None] * len(docs), pa.binary())], _SUMS.names)
 
-    def _sum_part(every, word, context, doc, learns, base, knew, score) -> None:
-        """Learns the pairs of some words and adds what they give to the documents' sums."""
+    def _sum_part(every, word, context, before, doc, learns, base, knew, score) -> None:
+        """Learns the pairs and triples of some words and adds what they give to the documents' sums."""
         learn = learns[doc]
         counts = np.bincount(word[learn], minlength=len(every))
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, every), len(hot) - 1)
-            counts = np.where(hot[at] == every, hot_n[at], counts)
-        # pairs, each once
-        pairs, of = np.unique((word.astype(np.uint64) << np.uint64(32)) | context, return_inverse=True)
+        if len(split):
+            at = np.minimum(np.searchsorted(split, every), len(split) - 1)
+            counts = np.where(split[at] == every, hot_n[at], counts)
+        # pairs and triples, each once
+        half, mask = np.uint64(32), np.uint64(0xFFFFFFFF)
+        pairs, of = np.unique((word.astype(np.uint64) << half) | context, return_inverse=True)
+        triples, of3 = np.unique((of.astype(np.uint64) << half) | before, return_inverse=True)
+        owner, left = (pairs >> half).astype(np.int64), (pairs & mask).astype(np.uint32)
+        under, left3 = (triples >> half).astype(np.int64), (triples & mask).astype(np.uint32)
         seen = np.bincount(of[learn], minlength=len(pairs))
-        owner = (pairs >> np.uint64(32)).astype(np.int64)
-        alone = np.log10(prior * (counts + 1) / (tokens + kinds + 1))
-        known = np.flatnonzero(counts)
-        number = np.cumsum(counts > 0) - 1
-        some = np.flatnonzero(seen)
-        logs = np.log10(seen[some] + prior * (counts[owner[some]] + 1) / (tokens + kinds + 1))
-        built = Trie.build(every[known], counts[known], number[owner[some]], (pairs[some] & np.uint64(0xFFFFFFFF)), logs)
-        with tempfile.TemporaryDirectory() as folder:
-            layout = built.write(path := os.path.join(folder, "trie"))
+        seen3 = np.bincount(of3[learn], minlength=len(triples))
+        g, own = weight(left), weight(_context(every))
+        single = lambda n: prior * (n + 1) / (tokens + kinds + 1)
+        both = g * (seen + single(counts)[owner])
+        some, some3 = np.flatnonzero(seen), np.flatnonzero(seen3)
+        built = Trie.build(
+            every[counts > 0], counts[counts > 0],
+            ((np.cumsum(counts > 0) - 1)[owner[some]], left[some]), np.log10(both[some]), np.log10(seen[some] + (own * (counts + prior))[owner[some]]),
+            ((np.cumsum(seen > 0) - 1)[under[some3]], left3[some3]), np.log10(seen3[some3] + both[under[some3]]),
+        )
+        with _mapped(built, folder) as trie:
             del built
-            trie = Trie.open(path, layout)
             at, n = trie.lookup(every)
-            tops = trie.log(at[owner], pairs & np.uint64(0xFFFFFFFF), alone[owner])
+            pair = trie.pairs.find(at[owner], left)
+            tops = trie.tops.get(pair, np.log10(g * single(n)[owner]))
+            downs = trie.downs.get(pair, np.log10(own * (n + prior))[owner])
+            logs = trie.thirds.get(trie.triples.find(pair[under], left3), tops[under])
             del trie
-        # a word is also the context of what follows it; the end is of nothing
-        below = np.where(every == END, 0.0, np.log10(n + prior))
+        # a pair is also the context of what follows it; nothing follows the end
+        downs[every[owner] == END] = 0.0
         base += np.bincount(doc, np.log10(n + 1.0)[word], len(base))
-        score += np.bincount(doc, tops[of] - below[word], len(base))
+        score += np.bincount(doc, logs[of3] - downs[of], len(base))
         knew += np.bincount(doc, (n > 0)[word], len(base)).astype(np.int32)
 
     return run
@@ -237,7 +296,7 @@ def _sum_up(group: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys, mask=nulls.astype(bool)), "train": train.astype(bool), "n_tokens": sizes, "n_known": known, "base": base, "score": score})
 
 
-def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text", prior: float = PRIOR, shard_tokens: int = SHARD_TOKENS, least_shards: int = LEAST_SHARDS) -> DataFrame:
+def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text", prior: float = PRIOR, pair_prior: float = PAIR_PRIOR, shard_tokens: int = SHARD_TOKENS, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score, score of every whole text, learning from rows where column `train` is true.
 
     Tokens are lower-cased (A-Z) words between ASCII white space, and one end; a null or empty text has its end only. n_known: tokens that training texts
@@ -248,12 +307,13 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text",
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(least_shards, int(size // 6 // shard_tokens) + 1)
     tokens, kinds, texts, top = corpus_counts(docs, key, text, train, shards)
-    frequent = {k % 2**64: n for k, n in top.items() if 2 * shards * n > tokens}
-    asks = _frame(docs, key, text, train).mapInArrow(tidy(_ask(shards, np.array(sorted(frequent), np.uint64))), _ddl(_ASK))
-    sums = asks.groupBy("shard").applyInArrow(_answer(tokens, kinds, prior, frequent), _ddl(_SUMS))
+    frequent = {k % 2**64: n for k, n in top.items()}
+    split = np.array(sorted(k for k, n in frequent.items() if 2 * shards * n > tokens), np.uint64)
+    asks = _frame(docs, key, text, train).mapInArrow(tidy(_ask(shards, split)), _ddl(_ASK))
+    sums = asks.groupBy("shard").applyInArrow(_answer(tokens, kinds, texts, prior, pair_prior, frequent, split, fresh_dir(docs.sparkSession, "lm-tries")), _ddl(_SUMS))
     rows = sums.groupBy("chunk").applyInArrow(_sum_up, "key long, train boolean, n_tokens long, n_known long, base double, score double")
     return rows.select(
         F.col("key").alias(key), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(tokens + kinds + 1)))).alias("base_score"),
-        (F.col("score") - F.log10(F.lit(texts + prior))).alias("score"),
+        (F.col("score") - F.log10(F.lit(texts + pair_prior))).alias("score"),
     )

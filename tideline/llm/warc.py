@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, hash_share, materialise, small_batches, tidy
+from .common import filesystem, fresh_dir, hash_share, materialise, small_batches, tidy
 
 #: Magic number of the skippable frame for dictionaries in WARC files.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -86,12 +86,6 @@ def dictionary_frame(body: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_FRAME, len(body)) + body
 
 
-def filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def marked(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, html, digest, refers_to: of equal payloads from revisit_bytes on, the largest page_id is the one that others refer to.
 
