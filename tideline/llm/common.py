@@ -15,7 +15,7 @@ from ..operators.staging import drop_folder as drop_dir
 from ..operators.staging import fresh_folder as fresh_dir
 from ..operators.staging import staged as materialise
 
-__all__ = ["BATCH_ROWS", "SLICE_BYTES", "SPACES", "drop_dir", "filesystem", "fitted_sample", "fresh_dir", "hash_share", "materialise", "numbered", "small_batches", "table", "tidy", "views"]
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "SPACES", "drop_dir", "filesystem", "fitted_sample", "fresh_dir", "hash_share", "materialise", "numbered", "small_batches", "table", "tidy", "tidy_group", "views"]
 
 #: Bytes of text that a kernel handles at once; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
@@ -74,14 +74,29 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """A mapInArrow function that gives its freed memory back when its partition is done: Python workers live on, idle, beside what runs next."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        _release()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """The same for an applyInArrow function, when each group is done."""
+
+    def wrapped(group: pa.Table) -> pa.Table:
+        out = run(group)
+        _release()
+        return out
 
     return wrapped
 

@@ -22,16 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, materialise, small_batches, tidy, views
+from .common import filesystem, fresh_dir, materialise, small_batches, tidy, tidy_group, views
 from .eliasfano import Trie
 from .words import LOWER, SPACED, mix, word_hashes, word_ranges
 
 #: The weights in tokens of single words in pairs, and of pairs in triples.
 PRIOR, PAIR_PRIOR = 500.0, 5.0
 #: Text bytes that one message is made from, tokens in a shard (about), and shards at least.
-CHUNK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 4 << 20, 8_000_000, 32
+CHUNK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 4 << 20, 4_000_000, 48
 #: Tokens of a shard that are worked on at once: a run of its words, with a trie of its own.
-PART_TOKENS = 1_000_000
+PART_TOKENS = 500_000
 #: Rows in a message at most: their numbers take 16 bits.
 ROWS = 1 << 16
 #: Hashes of the marks at a text's end and start.
@@ -108,7 +108,7 @@ def corpus_counts(docs: DataFrame, key: str, text: str, train: str, shards: int)
         return pa.table({"n": [int(n.sum())], "kinds": [len(n)], "top": pa.array([token[at[top]].view(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([n[top].tolist()], pa.list_(pa.int64()))})
 
     frame = _frame(docs, key, text, train)
-    found = materialise(frame.mapInArrow(tidy(count), "shard int, tokens binary, n binary").groupBy("shard").applyInArrow(total, "n long, kinds long, top array<long>, top_n array<long>"), "lm-counts")
+    found = materialise(frame.mapInArrow(tidy(count), "shard int, tokens binary, n binary").groupBy("shard").applyInArrow(tidy_group(total), "n long, kinds long, top array<long>, top_n array<long>"), "lm-counts")
     sums = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     tops = found.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).select("x.top", "x.top_n").where(F.col("top_n") * share > F.lit(sums[0])).toArrow()
     return sums[0], sums[1], docs.where(train).count(), dict(zip(tops.column(0).to_pylist(), tops.column(1).to_pylist(), strict=True))
@@ -209,8 +209,9 @@ def _answer(tokens: int, kinds: int, texts: int, prior: float, pair_prior: float
             rows = group.to_pylist()
             heads = [b"".join(x[k] for k in ("words", "sizes", "firsts", "contexts")) for x in rows]
             return pa.Table.from_arrays([pa.array([x["chunk"] for x in rows], pa.int64()), *(pa.array([None] * len(rows), pa.binary()) for _ in range(4)), pa.array(heads, pa.binary())], _SUMS.names)
-        read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in group.column(name)]
+        read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in group.column(name)]
         asked, sizes, docs, train = read("words", np.uint64), read("sizes", np.uint32), read("docs", np.uint16), read("train", np.int8)
+        # views of the group's own memory; only the contexts are spread to their tokens
         befores, rows = read("befores", np.uint32), read("rows", np.uint16)
         contexts = [c[np.cumsum(np.unpackbits(f, count=len(r))) - 1] for c, f, r in zip(read("contexts", np.uint32), read("firsts", np.uint8), rows, strict=True)]
         first = np.cumsum([0, *map(len, docs)])
@@ -310,7 +311,7 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text",
     frequent = {k % 2**64: n for k, n in top.items()}
     split = np.array(sorted(k for k, n in frequent.items() if 2 * shards * n > tokens), np.uint64)
     asks = _frame(docs, key, text, train).mapInArrow(tidy(_ask(shards, split)), _ddl(_ASK))
-    sums = asks.groupBy("shard").applyInArrow(_answer(tokens, kinds, texts, prior, pair_prior, frequent, split, fresh_dir(docs.sparkSession, "lm-tries")), _ddl(_SUMS))
+    sums = asks.groupBy("shard").applyInArrow(tidy_group(_answer(tokens, kinds, texts, prior, pair_prior, frequent, split, fresh_dir(docs.sparkSession, "lm-tries"))), _ddl(_SUMS))
     rows = sums.groupBy("chunk").applyInArrow(_sum_up, "key long, train boolean, n_tokens long, n_known long, base double, score double")
     return rows.select(
         F.col("key").alias(key), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
