@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counting, decontaminate, lm, ppm, quality, sharding, simhash, suffix, warc
+from . import bpe, codes, counting, decontaminate, lm, ppm, quality, sharding, simhash, suffix, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401  SQL by name of the query
 
@@ -73,4 +73,9 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op4_elias_fano_lm, op5_suffix_repeats, op6_simhash, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op4_elias_fano_lm, op5_suffix_repeats, op6_simhash, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp, op13_vector_codes)}
