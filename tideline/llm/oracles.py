@@ -64,4 +64,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_suffix_repeats": OP5_SQL, "op8_quality_divergence": OP8_SQL, "op9_decontaminate": OP9_SQL}
+_ROUND = """,
+     a{n} AS MATERIALIZED (SELECT r, p, min(CAST(xx - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m FROM x JOIN b{n} USING (p) GROUP BY r, p)"""
+_MOVE = """,
+     f{n} AS MATERIALIZED (SELECT p, m % 256 AS e, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, m, v, unnest(range(1, len(v) + 1)) AS i FROM a{n} JOIN x USING (r, p)) GROUP BY ALL),
+     b{m} AS MATERIALIZED (SELECT p, e, coalesce(k, c) AS c FROM b{n} LEFT JOIN (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS k FROM f{n} GROUP BY p, e) USING (p, e))"""
+
+#: Distances are whole numbers below 2**53, so products of lists of doubles are exact; the smallest of distance * 256 + index is the nearest entry.
+OP13_SQL = (
+    """
+WITH q AS (SELECT vec_id, label, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, q) AS r FROM q),
+     x AS MATERIALIZED (SELECT r, p, v, list_inner_product(v, v) AS xx FROM (SELECT r, p, list_slice(q, (p * len(q)) // 4 + 1, ((p + 1) * len(q)) // 4) AS v FROM k, range(4) t(p))),
+     b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v AS c FROM x WHERE r <= 256)"""
+    + "".join(_ROUND.format(n=n) + _MOVE.format(n=n, m=n + 1) for n in range(4))
+    + _ROUND.format(n=4)
+    + """,
+     c AS (SELECT r, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a4 GROUP BY r),
+     h AS (SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string([y::BIGINT FOR y IN c], ',') AS t FROM b4))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h
+"""
+)
+
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_suffix_repeats": OP5_SQL, "op8_quality_divergence": OP8_SQL, "op9_decontaminate": OP9_SQL, "op13_vector_codes": OP13_SQL}
