@@ -64,6 +64,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)
 """
 
+#: Hashes of words are the first 64 bits of MD5; sums of products with powers of the factor modulo 2**64 (its own powers are written out). A sketch is a sorted list of hashes.
+_FACTORS = [pow(0x9E3779B97F4A7C15, j, 2**64) for j in range(5)]
+OP12_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, encode(coalesce(text, ''))) AS r, doc_id, coalesce(text, '') AS t FROM documents),
+     e AS MATERIALIZED (SELECT *, coalesce(lead(r) OVER (ORDER BY r), 1) AS s, coalesce(lead(t) OVER (ORDER BY r), first_value(t) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS u FROM d),
+     x AS MATERIALIZED (SELECT r, false AS new, t FROM e UNION ALL SELECT r, true, substr(t, 1, length(t) - length(t) // 3) || substr(u, 1, length(t) // 3) FROM e),
+     w AS (SELECT r, new, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM x),
+     n AS (SELECT r, new, len(w) AS n, [('0x' || md5(v)[:16])::UBIGINT::UHUGEINT FOR v IN w] AS h FROM w),
+     k AS (SELECT *, unnest(range(1, greatest(n - 4, 1) + 1)) AS k FROM n WHERE n > 0),
+     g AS (SELECT DISTINCT r, new, ({' + '.join(f"coalesce(h[k + {j}], 0) * {f}::UHUGEINT % 18446744073709551616::UHUGEINT" for j, f in enumerate(_FACTORS))}) % 18446744073709551616::UHUGEINT AS g FROM k),
+     f AS (SELECT r, new, g FROM (SELECT *, min(g) OVER (PARTITION BY r, new) AS least FROM g) WHERE g < 2305843009213693952::UHUGEINT OR g = least AND least >= 2305843009213693952::UHUGEINT),
+     l AS MATERIALIZED (SELECT r, new, list(g ORDER BY g) AS l, string_agg(printf('%016x', g::UBIGINT), '' ORDER BY g) AS f FROM f GROUP BY r, new),
+     p AS (SELECT e.r, e.doc_id, length(e.t) AS n_chars, sha256(x.t) AS edited_sha256, coalesce(a.f, '') AS fingerprint, coalesce(b.f, '') AS edited_fingerprint, coalesce(a.l, []) AS a, coalesce(b.l, []) AS b, coalesce(c.l, []) AS c
+           FROM e JOIN x ON x.r = e.r AND x.new LEFT JOIN l a ON a.r = e.r AND NOT a.new LEFT JOIN l b ON b.r = e.r AND b.new LEFT JOIN l c ON c.r = e.s AND NOT c.new),
+     i AS (SELECT *, len(list_intersect(a, b)) AS ab, len(list_intersect(a, c)) AS ac FROM p)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE ab::DOUBLE / (len(a) + len(b) - ab) END::DOUBLE AS near_edited, CASE WHEN len(a) + len(c) = 0 THEN 1.0 ELSE ac::DOUBLE / (len(a) + len(c) - ac) END::DOUBLE AS near_next,
+       CASE WHEN len(a) > 0 THEN ab::DOUBLE / len(a) WHEN len(b) > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS held_edited, CASE WHEN len(a) > 0 THEN ac::DOUBLE / len(a) WHEN len(c) > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS held_next
+FROM i
+"""
+
 _ROUND = """,
      a{n} AS MATERIALIZED (SELECT r, p, min(CAST(xx - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m FROM x JOIN b{n} USING (p) GROUP BY r, p)"""
 _MOVE = """,
@@ -86,4 +106,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 )
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_suffix_repeats": OP5_SQL, "op8_quality_divergence": OP8_SQL, "op9_decontaminate": OP9_SQL, "op13_vector_codes": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_suffix_repeats": OP5_SQL, "op8_quality_divergence": OP8_SQL, "op9_decontaminate": OP9_SQL, "op12_scaled_sketch": OP12_SQL, "op13_vector_codes": OP13_SQL}
