@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, counting, decontaminate, lm, ppm, quality, sharding, simhash, sketch, suffix, warc
+from . import align, bpe, codes, counting, decontaminate, lm, ppm, quality, sharding, simhash, sketch, suffix, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401  SQL by name of the query
 
@@ -73,6 +73,11 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specified = align.specification(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), specified)[0]
+
+
 def op12_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -82,4 +87,4 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op4_elias_fano_lm, op5_suffix_repeats, op6_simhash, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp, op12_scaled_sketch, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_language_ppm, op2_warc, op3_byte_bpe, op4_elias_fano_lm, op5_suffix_repeats, op6_simhash, op7_prefix_counts, op8_quality_divergence, op9_decontaminate, op10_karmarkar_karp, op11_pair_counts, op12_scaled_sketch, op13_vector_codes)}
