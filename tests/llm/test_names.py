@@ -110,6 +110,9 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
 
 def test_counts_beyond_32_bits():
     words = np.array([5, 9], np.uint64)
-    trie = eliasfano.Trie.build(words, np.array([2**33 + 7, 3], np.int64), np.array([0]), np.array([4], np.uint64), np.array([-1.0]))
+    pairs, triples = (np.array([0]), np.array([4], np.uint32)), (np.array([0]), np.array([6], np.uint32))
+    trie = eliasfano.Trie.build(words, np.array([2**33 + 7, 3], np.int64), pairs, np.array([-1.0]), np.array([-2.0]), triples, np.array([-0.5]))
     at, n = trie.lookup(np.array([5, 9, 11], np.uint64))
     assert at.tolist() == [0, 1, -1] and n.tolist() == [2**33 + 7, 3, 0]
+    pair = trie.pairs.find(at, np.array([4, 4, 4], np.uint32))
+    assert pair.tolist() == [0, -1, -1] and trie.triples.find(pair[:1], np.array([6], np.uint32)).tolist() == [0]
