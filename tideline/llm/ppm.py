@@ -2,7 +2,8 @@
 
 Each language has a variable-order tree of byte contexts with frozen counts. A byte's code length is taken in the
 longest context that the tree holds; a byte that the context has not seen costs an escape and is looked up in the next
-shorter one (escapes as many as distinct bytes, method C), down to a uniform code of all bytes. The language with the shortest
+shorter one (escapes as many as distinct bytes, method C), down to a uniform code of all bytes. Bytes that the context has seen
+are excluded below its escape, so that the code of every node is complete: its probabilities sum up to one. The language with the shortest
 code of the whole text wins. The trees of all languages share their nodes, and each node holds finished code lengths, so
 that scoring is a walk over preceding bytes and one lookup, in numpy.
 """
@@ -15,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fitted_sample, small_batches, tidy, views
+from .common import fitted_sample, numbered, small_batches, tidy, views
 from .words import LOWER
 
 #: Longest context in bytes.
@@ -94,6 +96,8 @@ class Trees:
         self.child = np.zeros((total, width), np.int32)
         bits = np.zeros((total, width, len(labels)), np.float32)
         uniform = np.full((1, width), 1 / 256)
+        #: Bytes that a symbol stands for.
+        self.bytes_of = np.append(256 - len(seen), np.ones(len(seen)))
         for k, name in enumerate(labels):
             shorter = uniform
             for o in range(order + 1):
@@ -111,7 +115,11 @@ class Trees:
                         self.child[first[o - 1] + parent, self.symbol[nodes[o] >> (8 * (o - 1))]] = first[o] + np.arange(len(nodes[o]))
                 seen_here, distinct = hits.sum(1, keepdims=True), (hits > 0).sum(1, keepdims=True)
                 all_of = np.maximum(seen_here + distinct, 1)
-                p = np.where(hits > 0, hits / all_of, np.where(seen_here > 0, distinct / all_of, 1.0) * below)
+                # what an escape leads to: the shorter context's bytes less those seen here; without any left there is no escape
+                rest = (below * self.bytes_of * (hits == 0)).sum(1, keepdims=True)
+                open_ = rest > 0
+                all_of = np.where(open_, all_of, np.maximum(seen_here, 1))
+                p = np.where(hits > 0, hits / all_of, np.where(seen_here > 0, distinct / all_of / np.where(open_, rest, 1), 1.0) * below)
                 bits[first[o] : first[o] + len(nodes[o]), :, k] = -np.log2(p)
                 shorter = p
         self.bits = bits.reshape(total * width, len(labels))
@@ -160,7 +168,6 @@ def identify(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFr
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     own, at = docs.columns, docs.columns.index(text)
     shipped = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the training sample
-    mark = "has letters ?"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shipped.value
@@ -176,7 +183,7 @@ def identify(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFr
                 scores.append(np.where(known, share, 0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*own, "lang_pred", "score"])
 
-    marked = small_batches(docs).withColumn(mark, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    from pyspark.sql import types as T
-
+    # by numbers, so that no column of the caller's can clash with the mark
+    frame, names_of = numbered(docs)
+    marked = small_batches(frame).withColumn("letters", F.coalesce(F.col(names_of[text]).rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
