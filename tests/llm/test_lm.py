@@ -8,7 +8,6 @@ import pytest
 
 from tideline.llm import lm, queries
 from tideline.llm.eliasfano import EliasFano, Level, Trie
-from tideline.llm.words import word_hashes
 
 
 def test_elias_fano_against_a_sorted_array(tmp_path):
@@ -64,13 +63,7 @@ def test_tokens_that_share_their_upper_half_keep_their_order():
     assert list(zip(token[order].tolist(), context[order].tolist())) == sorted(zip(token.tolist(), context.tolist()))
 
 
-def hashed(word):
-    """The hash that stands for a word where it is a context: a word that shares it with a frequent one has that one's weight."""
-    raw = np.frombuffer(word or b"", np.uint8)
-    return int(lm._context(word_hashes(raw, np.array([0]), np.array([len(raw)])) if word else np.array([lm.END]))[0])
-
-
-def brute(rows, prior, pair_prior=lm.PAIR_PRIOR, share=lm.FREQUENT):
+def brute(rows, prior, weight=lm.PAIR_WEIGHT):
     """rows: (text, train). By row: (tokens, known, N, base, score)."""
     split = [("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split() + [None]) for t, _ in rows]
     one, two, three = Counter(), Counter(), Counter()
@@ -81,8 +74,6 @@ def brute(rows, prior, pair_prior=lm.PAIR_PRIOR, share=lm.FREQUENT):
             three.update(zip(["<s>", "<s>", *w], ["<s>", *w], w))
     total, kinds, texts = sum(one.values()), len(one), sum(bool(t) for _, t in rows)
     first = {**one, "<s>": texts}
-    frequent = {hashed(x): n for x, n in sorted(one.items(), key=lambda i: i[1]) if n * share > total}
-    number = {x: hashed(x) for w in split for x in w}
     second = {**two, ("<s>", "<s>"): texts}
     out = []
     for w in split:
@@ -90,9 +81,8 @@ def brute(rows, prior, pair_prior=lm.PAIR_PRIOR, share=lm.FREQUENT):
         score = 0.0
         for v, u, x in zip(["<s>", "<s>", *w], ["<s>", *w], w):
             n = first.get(u, 0)
-            g = pair_prior / ((texts if u == "<s>" else frequent.get(number[u], prior)) + prior)
-            above = three[v, u, x] + g * (two[u, x] + prior * (one[x] + 1) / (total + kinds + 1))
-            score += math.log10(above / (second.get((v, u), 0) + g * (n + prior)))
+            above = three[v, u, x] + weight * (two[u, x] + prior * (one[x] + 1) / (total + kinds + 1))
+            score += math.log10(above / (second.get((v, u), 0) + weight * (n + prior)))
         out.append((len(w), sum(one[x] > 0 for x in w), total, base, score))
     return out
 
@@ -133,19 +123,19 @@ def test_words_in_parts_sum_to_the_same(spark, monkeypatch, tmp_path):
     rng = random.Random(4)
     rows = [(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40))), rng.random() < 0.6) for _ in range(30)]
     batch = pa.RecordBatch.from_pydict({"key": list(range(30)), "text": [t for t, _ in rows], "train": [k for _, k in rows]})
-    want = brute(rows, 9.0, 4.0, share=0)
+    want = brute(rows, 9.0, 0.25)
     texts = sum(k for _, k in rows)
     kinds = len({w for t, k in rows if k for w in t.split()} | {None})
     asks = pa.Table.from_batches(list(lm._ask(1, np.zeros(0, np.uint64))(iter([batch]))))
     shard = asks.filter(pa.array([x >= 0 for x in asks.column("shard").to_pylist()]))
     for part in (1, 7, 10**6):
         monkeypatch.setattr(lm, "PART_TOKENS", part)
-        sums = lm._answer(want[0][2], kinds, texts, 9.0, 4.0, {}, np.zeros(0, np.uint64), f"file://{tmp_path}")(shard)
+        sums = lm._answer(want[0][2], kinds, 9.0, 0.25, np.zeros(0, np.uint64), np.zeros(0, np.int64), f"file://{tmp_path}")(shard)
         score = np.frombuffer(sums.column("score")[0].as_py())
         assert len(score) == 30
         known = np.frombuffer(sums.column("known")[0].as_py(), np.int32)
         for s, k, w in zip(score, known, want):
-            assert k == w[1] and s - math.log10(texts + 4.0) == pytest.approx(w[4], abs=1e-3)
+            assert k == w[1] and s - math.log10(texts + 0.25 * (texts + 9.0)) == pytest.approx(w[4], abs=1e-3)
 
 
 def test_no_rows_and_nothing_to_learn(spark):
@@ -171,14 +161,13 @@ def test_op4_against_brute_force_and_held_out_likelihood(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.5 * sum(r.n_tokens for r in out)
 
 
-def test_rare_and_frequent_contexts(spark, monkeypatch):
-    """A list of frequent words that leaves most out, and two words split over shards."""
-    monkeypatch.setattr(lm, "FREQUENT", 30)
+def test_words_split_over_shards(spark):
+    """Two words that are more than half a shard: scores are those of any number of shards."""
     rng = random.Random(2)
     rows = [(" ".join(rng.choice("aaaabbbcc" + "defghijklmnopqrstuvwxyz" * 2) for _ in range(rng.randrange(60))), rng.random() < 0.8) for _ in range(120)]
     docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, learn boolean")
-    want = brute(rows, 20.0, 3.0, 30)
-    got = lm.score(docs, "learn", prior=20.0, pair_prior=3.0, least_shards=12).collect()
+    want = brute(rows, 20.0, 0.1)
+    got = lm.score(docs, "learn", prior=20.0, pair_weight=0.1, least_shards=12).collect()
     assert len(got) == len(want)
     for r in got:
         same((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), want[r.doc_id])
@@ -188,7 +177,7 @@ def test_short_texts_after_known_and_unknown_beginnings(spark):
     texts, words = ["a b c", "a b d", "b c a b", "d a"], ["a", "b", "c", "d", "zz"]
     heads = ["a b", "b c", "d", "q q"]
     rows = [(i, t, True) for i, t in enumerate(texts)] + [(100 * (k + 1) + j, f"{h} {w}" if w else h, False) for k, h in enumerate(heads) for j, w in enumerate([*words, ""])]
-    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), "learn", prior=2.0, pair_prior=1.0, least_shards=1).collect()}
-    want = brute([(t, k) for _, t, k in rows], 2.0, 1.0)
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), "learn", prior=2.0, pair_weight=0.5, least_shards=1).collect()}
+    want = brute([(t, k) for _, t, k in rows], 2.0, 0.5)
     for (i, *_), w in zip(rows, want, strict=True):
         assert got[i] == pytest.approx(w[4], abs=1e-3)

@@ -1,11 +1,9 @@
 """Language-model scores from a trigram trie in Elias-Fano code, learnt and queried in shards.
 
-p(w | v u) = (c(v u w) + g(u) (c(u w) + B p0(w))) / (c(v u) + g(u) (c(u) + B)), p0(w) = (c(w) + 1) / (N + V + 1), g(u) = T / (f(u) + B)
+p(w | v u) = (c(v u w) + G (c(u w) + B p0(w))) / (c(v u) + G (c(u) + B)), p0(w) = (c(w) + 1) / (N + V + 1)
 
-interpolates triples, pairs and smoothed single words; over all w it sums up to what p0 does. f(u) is the exact count of a frequent word, so that g(u) (c(u) + B)
-is T there (a prior of T tokens from pairs, itself with a prior of B tokens from single words), and B for all others, which lets pairs weigh more.
-The list of frequent words is bounded and known to all tasks. So the logarithm of a text falls into parts that each need the counts of one word only:
-numerators of w, and denominators of u with the word before it, which is a pair of the same text. A shard that owns some words learns their contexts,
+interpolates triples, pairs and smoothed single words; over all w it sums up to what p0 does. G and B are constants: what a pair's count weighs against a triple's, and
+how many tokens of single words are added to a pair's. So the logarithm of a text falls into parts that each need the counts of one word only: numerators of w, and denominators of u with the word before it, which is a pair of the same text. A shard that owns some words learns their contexts,
 writes its trie, maps it to memory, answers all that documents ask about these words, and returns sums by document. No model has to fit on a
 machine, and no token is sent twice.
 """
@@ -26,8 +24,8 @@ from .common import filesystem, fresh_dir, materialise, small_batches, tidy, tid
 from .eliasfano import Trie
 from .words import LOWER, SPACED, mix, word_hashes, word_ranges
 
-#: The weights in tokens of single words in pairs, and of pairs in triples.
-PRIOR, PAIR_PRIOR = 500.0, 5.0
+#: B, the weight in tokens of single words in pairs, and G, that of a pair's count against a triple's.
+PRIOR, PAIR_WEIGHT = 500.0, 0.005
 #: Text bytes that one message is made from, tokens in a shard (about), and shards at least.
 CHUNK_BYTES, SHARD_TOKENS, LEAST_SHARDS = 4 << 20, 4_000_000, 48
 #: Tokens of a shard that are worked on at once: a run of its words, with a trie of its own.
@@ -36,8 +34,6 @@ PART_TOKENS = 500_000
 ROWS = 1 << 16
 #: Hashes of the marks at a text's end and start.
 END, START = mix(np.array([0xE0F, 0x5A7], np.uint64))
-#: Words are frequent if they are more than one token in so many, or in twice as many as there are shards: 16 bytes for each go to all tasks.
-FREQUENT = 100_000
 
 
 def _tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +84,8 @@ def _by_shard(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 
 
 def corpus_counts(docs: DataFrame, key: str, text: str, train: str, shards: int) -> tuple[int, int, int, dict[int, int]]:
-    """(tokens, distinct tokens, texts, counts of the frequent tokens) of the training texts. Exact; only these numbers come to the driver, FREQUENT counts or twice the shards at most."""
-    share = max(FREQUENT, 2 * shards)
+    """(tokens, distinct tokens, texts, counts of the tokens that are more than half a shard) of the training texts. Exact; only these numbers come to the driver, twice as many counts as shards at most."""
+    share = 2 * shards
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, known, token, _, row in _chunks(batches, CHUNK_BYTES):
@@ -190,19 +186,8 @@ def _mapped(trie: Trie, folder: str) -> Iterator[list[Trie]]:
         files.delete_file(path)
 
 
-def _answer(tokens: int, kinds: int, texts: int, prior: float, pair_prior: float, frequent: dict[int, int], split: np.ndarray, folder: str):
-    """A shard: counts its training pairs and triples, writes and maps the trie, and sums up what each document asked. frequent: counts by unsigned hash; split: those of its words that several shards have."""
-    hot_n = np.array([frequent[k] for k in split.tolist()], np.int64)
-    hashes = np.append(_context(np.fromiter(frequent, np.uint64, len(frequent))), _context(np.array([START])))
-    counted = np.append(np.fromiter(frequent.values(), np.int64, len(frequent)), texts)
-    order = np.lexsort((-counted, hashes))
-    order = order[np.append(True, np.diff(hashes[order]) != 0)]
-    hashes, counted = hashes[order], counted[order]
-
-    def weight(context: np.ndarray) -> np.ndarray:
-        """g: the weight of pairs by the hash of their context."""
-        at = np.minimum(np.searchsorted(hashes, context), len(hashes) - 1)
-        return pair_prior / (np.where(hashes[at] == context, counted[at], prior) + prior)
+def _answer(tokens: int, kinds: int, prior: float, weight: float, split: np.ndarray, hot_n: np.ndarray, folder: str):
+    """A shard: counts its training pairs and triples, writes and maps the trie, and sums up what each document asked. split: words that several shards have, by unsigned hash, hot_n their counts."""
 
     def run(group: pa.Table) -> pa.Table:
         if group.column("shard")[0].as_py() < 0:
@@ -255,21 +240,20 @@ def _answer(tokens: int, kinds: int, texts: int, prior: float, pair_prior: float
         under, left3 = (triples >> half).astype(np.int64), (triples & mask).astype(np.uint32)
         seen = np.bincount(of[learn], minlength=len(pairs))
         seen3 = np.bincount(of3[learn], minlength=len(triples))
-        g, own = weight(left), weight(_context(every))
         single = lambda n: prior * (n + 1) / (tokens + kinds + 1)
-        both = g * (seen + single(counts)[owner])
+        both = weight * (seen + single(counts)[owner])
         some, some3 = np.flatnonzero(seen), np.flatnonzero(seen3)
         built = Trie.build(
             every[counts > 0], counts[counts > 0],
-            ((np.cumsum(counts > 0) - 1)[owner[some]], left[some]), np.log10(both[some]), np.log10(seen[some] + (own * (counts + prior))[owner[some]]),
+            ((np.cumsum(counts > 0) - 1)[owner[some]], left[some]), np.log10(both[some]), np.log10(seen[some] + (weight * (counts + prior))[owner[some]]),
             ((np.cumsum(seen > 0) - 1)[under[some3]], left3[some3]), np.log10(seen3[some3] + both[under[some3]]),
         )
         with _mapped(built, folder) as trie:
             del built
             at, n = trie.lookup(every)
             pair = trie.pairs.find(at[owner], left)
-            tops = trie.tops.get(pair, np.log10(g * single(n)[owner]))
-            downs = trie.downs.get(pair, np.log10(own * (n + prior))[owner])
+            tops = trie.tops.get(pair, np.log10(weight * single(n)[owner]))
+            downs = trie.downs.get(pair, np.log10(weight * (n + prior))[owner])
             logs = trie.thirds.get(trie.triples.find(pair[under], left3), tops[under])
             del trie
         # a pair is also the context of what follows it; nothing follows the end
@@ -297,7 +281,7 @@ def _sum_up(group: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys, mask=nulls.astype(bool)), "train": train.astype(bool), "n_tokens": sizes, "n_known": known, "base": base, "score": score})
 
 
-def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text", prior: float = PRIOR, pair_prior: float = PAIR_PRIOR, shard_tokens: int = SHARD_TOKENS, least_shards: int = LEAST_SHARDS) -> DataFrame:
+def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text", prior: float = PRIOR, pair_weight: float = PAIR_WEIGHT, shard_tokens: int = SHARD_TOKENS, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score, score of every whole text, learning from rows where column `train` is true.
 
     Tokens are lower-cased (A-Z) words between ASCII white space, and one end; a null or empty text has its end only. n_known: tokens that training texts
@@ -308,13 +292,14 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text",
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(least_shards, int(size // 6 // shard_tokens) + 1)
     tokens, kinds, texts, top = corpus_counts(docs, key, text, train, shards)
-    frequent = {k % 2**64: n for k, n in top.items()}
-    split = np.array(sorted(k for k, n in frequent.items() if 2 * shards * n > tokens), np.uint64)
+    frequent = {k % 2**64: n for k, n in top.items()}  # words of more than half a shard are dealt by their contexts too; scores are the same
+    split = np.array(sorted(frequent), np.uint64)
+    hot_n = np.array([frequent[k] for k in split.tolist()], np.int64)
     asks = _frame(docs, key, text, train).mapInArrow(tidy(_ask(shards, split)), _ddl(_ASK))
-    sums = asks.groupBy("shard").applyInArrow(tidy_group(_answer(tokens, kinds, texts, prior, pair_prior, frequent, split, fresh_dir(docs.sparkSession, "lm-tries"))), _ddl(_SUMS))
+    sums = asks.groupBy("shard").applyInArrow(tidy_group(_answer(tokens, kinds, prior, pair_weight, split, hot_n, fresh_dir(docs.sparkSession, "lm-tries"))), _ddl(_SUMS))
     rows = sums.groupBy("chunk").applyInArrow(_sum_up, "key long, train boolean, n_tokens long, n_known long, base double, score double")
     return rows.select(
         F.col("key").alias(key), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(tokens + kinds + 1)))).alias("base_score"),
-        (F.col("score") - F.log10(F.lit(texts + pair_prior))).alias("score"),
+        (F.col("score") - F.log10(F.lit(texts + pair_weight * (texts + prior)))).alias("score"),
     )
