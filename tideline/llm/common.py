@@ -15,7 +15,7 @@ from ..operators.staging import drop_folder as drop_dir
 from ..operators.staging import fresh_folder as fresh_dir
 from ..operators.staging import staged as materialise
 
-__all__ = ["BATCH_ROWS", "SLICE_BYTES", "SPACES", "drop_dir", "filesystem", "fitted_sample", "fresh_dir", "hash_share", "materialise", "numbered", "small_batches", "table", "tidy", "tidy_group", "views"]
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "SPACES", "drop_dir", "filesystem", "fitted_sample", "fresh_dir", "hash_share", "materialise", "numbered", "small_batches", "sorted_groups", "table", "tidy", "tidy_group", "views", "whole_groups"]
 
 #: Bytes of text that a kernel handles at once; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
@@ -101,6 +101,37 @@ def tidy_group(run):
     return wrapped
 
 
+def sorted_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys and sorted by them within partitions, keys in front: for whole_groups()."""
+    return df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of the groups that are complete, as sorted rows come by: the first `keys` columns name a group.
+
+    No more than a batch and the group that runs over its end is held, however large the partition.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        # where the last group of this batch begins
+        same = np.ones(batch.num_rows, bool)
+        for c in columns:
+            same &= c == c[-1]
+        first = int(np.flatnonzero(same)[0])
+        runs_on = held and first == 0 and all(held[-1].column(k)[held[-1].num_rows - 1].as_py() == batch.column(k)[0].as_py() for k in range(keys))
+        if not runs_on:
+            done = [*held, batch.slice(0, first)] if first else held
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks()
+            held = []
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def views(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows with about limit bytes together; a null is empty.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, numbered, small_batches, tidy, views
+from .common import materialise, numbered, small_batches, sorted_groups, tidy, views, whole_groups
 from .components import components
 from .hamming import PAIRS, Forest, TopTree, link
 from .words import mix
@@ -192,16 +192,14 @@ SMALL = 12
 
 
 def _meet(wide: int, radius: int):
-    """Links among the fingerprints under each meeting key of a partition: a star for each set that hangs together, not its pairs."""
+    """Links among the fingerprints under each meeting key, as the sorted keys come by: a star for each set that hangs together, not its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not kept or not sum(len(x[0]) for x in kept):
-            return
-        band, low, high, part, node, *words = (np.concatenate(x) for x in zip(*kept, strict=True))
-        order = np.lexsort((node, high, low, band))
-        band, low, high, part, node = (x[order] for x in (band, low, high, part, node))
-        points = np.stack([w[order] for w in words], 1).view(np.uint64)
+        for kept in whole_groups(batches, 3):
+            yield joined(*(c.to_numpy() for c in kept.columns))
+
+    def joined(band, low, high, part, node, *words) -> pa.RecordBatch:
+        points = np.stack(words, 1).view(np.uint64)
         names, index = np.unique(node, return_inverse=True)
         forest = Forest(len(names))
         new = np.append(True, (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
@@ -224,7 +222,7 @@ def _meet(wide: int, radius: int):
             forest.join(index[rows], index[rows[own.of]])
         forest.flatten()
         at = np.flatnonzero(forest.of != np.arange(len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[forest.of[at]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[forest.of[at]])], ["a", "b"])
 
     return run
 
@@ -243,9 +241,10 @@ def _sets(size: int):
     return run
 
 
-def link_similar(sets: list[np.ndarray], points: np.ndarray, part: np.ndarray, radius: int, least: float) -> Forest:
-    """Joins all pairs of sorted sets with a Jaccard similarity of `least` or more whose points are within radius; of parts that differ, if there are any.
+def link_similar(sets: list[np.ndarray], points: np.ndarray, part: np.ndarray, bands: np.ndarray, radius: int, least: float) -> Forest:
+    """Joins all pairs of sorted sets with a Jaccard similarity of `least` or more that share a meeting key and whose points are within radius; of parts that differ, if there are any.
 
+    So the size of the group that two sets are met in doesn't matter: a pair is linked wherever its meeting key is.
     Sets that hang together already are not measured again.
     """
     n = len(sets)
@@ -256,6 +255,7 @@ def link_similar(sets: list[np.ndarray], points: np.ndarray, part: np.ndarray, r
         if across:
             fits &= part[rest] != part[i]
         rest = rest[fits]
+        rest = rest[(bands[rest] == bands[i]).any(1)]
         rest = rest[np.bitwise_count(points[rest] ^ points[i]).sum(1, dtype=np.int32) <= radius]
         if not len(rest) or not size[i]:
             continue
@@ -269,22 +269,21 @@ def link_similar(sets: list[np.ndarray], points: np.ndarray, part: np.ndarray, r
 
 
 def _measure(wide: int, radius: int, least: float):
-    """Links among the sets of each group of a partition: a star for each set that hangs together, not its pairs."""
+    """Links among the sets of each group, as the sorted groups come by: a star for each set that hangs together, not its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if kept is None or not len(kept):
-            return
-        root, band, low, high, part, node, *words = (kept.column(k).to_numpy() for k in ("root", "band", "low", "high", "part", "node", *(f"f{w}" for w in range(wide))))
-        sets = [np.frombuffer(x, np.uint64) for x in kept.column("shingles").to_pylist()]
-        order = np.lexsort((node, high, low, band, root))
-        new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (root, band, low, high)], axis=0))
-        points = np.stack(words, 1).view(np.uint64)
-        for rows in np.split(order, np.flatnonzero(new)[1:]):
-            forest = link_similar([sets[k] for k in rows], points[rows], part[rows], radius, least)
-            at = np.flatnonzero(forest.of != np.arange(len(rows)))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(node[rows[at]]), pa.array(node[rows[forest.of[at]]])], ["a", "b"])
+        for kept in whole_groups(batches, 4):
+            root, band, low, high, part, node, *words = (kept.column(k).to_numpy() for k in ("root", "band", "low", "high", "part", "node", *(f"f{w}" for w in range(wide))))
+            new = np.append(True, np.any([x[1:] != x[:-1] for x in (root, band, low, high)], axis=0))
+            points = np.stack(words, 1).view(np.uint64)
+            bands, shingles = kept.column("bands"), kept.column("shingles")
+            for a, b in zip(np.flatnonzero(new).tolist(), [*np.flatnonzero(new)[1:].tolist(), len(kept)], strict=True):
+                own = np.array(bands.slice(a, b - a).to_pylist(), np.int64)
+                sets = [np.frombuffer(x, np.uint64) for x in shingles.slice(a, b - a).to_pylist()]
+                forest = link_similar(sets, points[a:b], part[a:b], own, radius, least)
+                at = np.flatnonzero(forest.of != np.arange(b - a))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a + at]), pa.array(node[a + forest.of[at]])], ["a", "b"])
 
     return run
 
@@ -296,7 +295,7 @@ def _proposed(points: DataFrame, f: list[str], radius: int, meeting: int) -> Dat
     dealt = meet.join(met, "band").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", *f)
-    links = dealt.repartition("band", "low", "high").mapInArrow(tidy(_meet(len(f), radius)), "a long, b long")
+    links = sorted_groups(dealt, "band", "low", "high").mapInArrow(tidy(_meet(len(f), radius)), "a long, b long")
     return components(links)
 
 
@@ -306,7 +305,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = NEAR_WORDS, wide: int = N
     Two texts are linked if the Jaccard similarity of their sets of shingles is `least` or more, measured on the sets. Pairs are proposed by a meeting key,
     which is made of three of 63 minima of the shingles, and by SimHash fingerprints of 64 * wide bits that differ in at most `share` of the bits: at a similarity
     of 0.8, one key of 21 fails to be shared with all others less than once in a million for sets of some hundred shingles. Texts with the same shingles are one node.
-    What proposals join is measured all against all, each set sent once; groups of more than `held` shingles are measured by meeting key.
+    What proposals join is measured pair by pair where a meeting key is shared: in one place, to which each set is sent once, or, beyond `held` shingles, by meeting key. The links are the same either way.
     """
     prints = materialise(fingerprints(docs, size, wide, True, key, text), "sketches")
     f, radius = [f"f{w}" for w in range(wide)], int(share * 64 * wide)
@@ -317,15 +316,15 @@ def near_duplicate_groups(docs: DataFrame, size: int = NEAR_WORDS, wide: int = N
     keyed = points.join(whole, "root").withColumn("band", F.explode(F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct("bands"))))
     parts = F.greatest(F.ceil(F.col("n") / meeting), F.ceil(F.col("total") / held)).cast("int")
     met = keyed.groupBy("root", "band").agg(*total).where("n > 1").select("root", "band", parts.alias("parts"))
-    places = keyed.join(met, ["root", "band"]).groupBy("node", "digest", "root", *f).agg(F.collect_list(F.struct("band", "parts")).alias("places"))
+    places = keyed.join(met, ["root", "band"]).groupBy("node", "digest", "root", "bands", *f).agg(F.collect_list(F.struct("band", "parts")).alias("places"))
     # one text for each digest before the join: copies of one text never meet in a task
     texts = small_batches(docs).select(F.coalesce(F.col(text), F.lit("")).alias("body"), _digest(text).alias("digest")).groupBy("digest").agg(F.first("body").alias("body"))
-    chosen = texts.join(places, "digest").select("body", "node", "root", *f, "places")
+    chosen = texts.join(places, "digest").select("body", "node", "root", "bands", *f, "places")
     schema = T.StructType([T.StructField("shingles", T.BinaryType()), *chosen.schema[1:]])
     dealt = chosen.mapInArrow(tidy(_sets(size)), schema).select("*", F.inline("places")).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("root", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", *f, "shingles")
-    links = dealt.repartition("root", "band", "low", "high").mapInArrow(tidy(_measure(wide, radius, least)), "a long, b long")
+    dealt = dealt.select("root", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "bands", *f, "shingles")
+    links = sorted_groups(dealt, "root", "band", "low", "high").mapInArrow(tidy(_measure(wide, radius, least)), "a long, b long")
     roots = components(links)
     return prints.select("key", "digest", "node").join(roots, "node", "left").select(F.col("key").alias(key), "digest", "node", F.coalesce("root", "node").alias("root"))
 

@@ -430,7 +430,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         "piece", "row", "start", "windows", "kind", "body",
         "parts",
         F.coalesce(F.when(F.col("parts").isNotNull(), F.col("piece")), F.pmod("piece", F.lit(shards))).alias("shard"),
-        F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(F.lit(-1)).alias("salt"),
+        F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("row", "start"), F.col("parts"))).otherwise(F.lit(-1)).alias("salt"),
     )
     sorted_ = materialise(dealt.groupBy("shard", "salt").applyInArrow(_shard(length), _SHARD_DDL), "shards")
     inner = sorted_.where("piece is null").select("row", "a", "b")
