@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -107,6 +108,20 @@ def test_odd_rows(spark, specified):
     assert none.count() == 0 and counts.shards == [] and counts.frame(spark, 32_000).count() == 0
 
 
+def test_ranks_give_the_ids_of_the_library(specified):
+    """On random strings of all sorts of characters, and between letters, digits and spaces for code points of every block."""
+    both, plain = align.Tokenizers(*specified), align.Tokenizers(*specified)
+    assert both.fast
+    plain.fast = None
+    rng = random.Random(8)
+    marks = [" ", "  ", "\n", "\t", "\u00a0", "\u2581", "\u200b", "\x1c", "\x85", "\u3000", "'", "'s", ".", ",", "¿", "1", "é", "e\u0301", "日", "😀", "<s>", "<|endoftext|>", "<0x41>", "x", "Word", "d'un", "ǅ", "\u0378", "ⅷ"]
+    texts = ["".join(rng.choices(marks, weights=[12] + [1] * (len(marks) - 1), k=rng.randrange(1, 30))) for _ in range(3000)]
+    texts += [f"a{c}b 1{c}2 {c} .{c}. '{c}s{c} \t{c}{c} " for c in map(chr, range(0, 0x110000, 97)) if not "\ud800" <= c <= "\udfff"]
+    assert both.ids(texts) == plain.ids(texts)
+    spec = json.loads(specified[0])
+    assert align.ranked(spec | {"normalizer": {"type": "Lowercase"}}) is None
+
+
 def test_groups_join_to_the_text(spark, specified):
     both = align.Tokenizers(*specified)
     text = "Grüße aus <Köln>, tokenization  misalignments 😀!"

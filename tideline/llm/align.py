@@ -7,6 +7,7 @@ shards in shared storage, which tasks map into memory and search. Distinct pairs
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -27,6 +28,23 @@ TEXT_BYTES, SLICE_TOKENS, HELD_PAIRS = 1 << 19, 1 << 18, 1 << 21
 #: Pairs of a count shard, and shards that a task keeps open where they can only be read into memory.
 SHARD_PAIRS, OPEN_SHARDS = 1 << 20, 4
 _loaded: dict[int, tuple] = {}
+#: Fixed value: how byte-level BPE of the tokenizers library splits a text before it merges.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def ranked(spec: dict):
+    """The encoder of a byte-level BPE (its JSON) by ranks, which gives the same ids several times as fast; None where merges and ids aren't in one order, or more is done than splitting and merging."""
+    import tiktoken
+
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain &= split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and spec.get("normalizer") is None and all(t["special"] for t in spec.get("added_tokens", []))
+    vocabulary, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if not plain or any(vocabulary.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    of = {c: b for b, c in enumerate(byte_characters())}
+    ranks = {bytes(map(of.__getitem__, t)): i for t, i in vocabulary.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 class Tokenizers:
@@ -39,6 +57,7 @@ class Tokenizers:
 
         self.a = Tokenizer.from_str(a_json)
         self.a.encode_special_tokens = True
+        self.fast = ranked(json.loads(a_json))
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         of = {c: b for b, c in enumerate(byte_characters())}
         special = self.a.get_added_tokens_decoder()
@@ -53,10 +72,10 @@ class Tokenizers:
     def ids(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """The ids of each text by both; none where the text is empty, or the tokens' bytes are not the space and the text."""
         whole = [" " + t for t in texts]
-        first = self.a.encode_batch_fast(whole, add_special_tokens=False)
+        first = map(self.fast.encode_ordinary, whole) if self.fast else (x.ids for x in self.a.encode_batch_fast(whole, add_special_tokens=False))
         out = []
-        for text, body, x, b in zip(texts, whole, first, self.b.encode(texts, num_threads=1), strict=True):
-            a, raw = x.ids, body.encode()
+        for text, body, a, b in zip(texts, whole, first, self.b.encode(texts, num_threads=1), strict=True):
+            raw = body.encode()
             sound = text and b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
             out.append((a, b) if sound else ([], []))
         return out
