@@ -118,3 +118,41 @@ def test_ratio_of_complete_quarters(spark):
     got = ratios.empirical_ratio(p, ceiling=1.5)
     assert got.agg(F.max("period")).first()[0] == dt.date(2021, 4, 1)
     assert {r.category: r.pi_hat for r in got.collect()} == {"student": 0.9, "skilled": 1.5}
+
+
+def test_total_in_fallback_and_nowcast(spark):
+    """Only the total has figures: its ratio stands for categories and total, and the total's own nowcast is the headline."""
+    rows = [(dt.date(2015 + k // 4, 1 + 3 * (k % 4), 1), c, a, n, f) for k in range(32) for c, a, n, f in (("student", 100.0, 60.0, None), ("skilled", 50.0, 40.0, None), ("total", 150.0, 100.0, 80.0))]
+    p = spark.createDataFrame(rows, "period date, category string, oad_lt_arrivals double, oad_lt_net double, nom_final double")
+    got = ratios.empirical_ratio(p)
+    assert {(r.category, r.pi_hat, r.n_arrivals) for r in got.collect()} == {("student", 0.8, 150.0), ("skilled", 0.8, 150.0), ("total", 0.8, 150.0)}
+    assert {r.category for r in ratios.empirical_ratio(p, levels=["student", "other"]).collect()} == {"student", "other", "total"}
+    smoothed = got.select("period", "category", F.col("pi_hat").alias("pi_smoothed"), F.lit(0.1).alias("pi_se"))
+    day = D("2024-01-01")
+    flows = [("student", "arrival", 100.0), ("student", "departure", 40.0), ("skilled", "arrival", 50.0), ("total", "departure", 60.0)]
+    forecasts = spark.createDataFrame([(day, *r, 0.1) for r in flows], "period date, category string, direction string, mean_level double, se_log double")
+    single = forecasts.unionByName(spark.createDataFrame([(day, "total", "arrival", 150.0, 0.1)], forecasts.schema))
+    joint = spark.createDataFrame([(day, "total", "arrival", 200.0, 0.05)], forecasts.schema)
+    heads = {}
+    for name, f in (("v1", single), ("pi", ratios.combined_forecasts(single, joint)), ("none", forecasts)):
+        by_category = ratios.nowcast_by_category(f, smoothed, ratios.projected(smoothed, ["category"]))
+        each = {r.category: r for r in by_category.collect()}
+        assert each["student"].nom_mean == pytest.approx(48) and each["skilled"].nom_mean is None and each["skilled"].nom_se == 0
+        assert each["student"].nom_se == pytest.approx((0.64 * (10.0**2 + 4.0**2) + 0.01 * 60**2) ** 0.5)
+        heads[name] = ratios.headline(by_category).collect()
+    # the swap of the total's arrivals moves the headline; without the total's arrivals the categories that have a mean are summed
+    assert [round(heads[k][0].nom_mean, 6) for k in ("v1", "pi", "none")] == [72.0, 112.0, 48.0]
+
+
+def test_headline_by_origin(spark):
+    """An origin with a total has only the total's periods, another one sums its categories."""
+    rows = [(1, D("2024-01-01"), "a", 5.0), (1, D("2024-01-01"), "total", 9.0), (1, D("2024-04-01"), "a", 6.0), (1, D("2024-04-01"), "total", None), (2, D("2024-01-01"), "a", 3.0), (2, D("2024-01-01"), "b", None), (2, D("2024-01-01"), "total", None)]
+    frame = spark.createDataFrame([(*r, 1.0) for r in rows], "origin int, period date, category string, nom_mean double, nom_se double")
+    got = sorted((r.origin, str(r.period), r.nom_mean, round(r.nom_se, 6)) for r in ratios.headline(frame, ["origin"]).collect())
+    assert got == [(1, "2024-01-01", 9.0, 1.0), (2, "2024-01-01", 3.0, round(2**0.5, 6))]
+
+
+def test_last_values_of_two_columns(spark):
+    rows = [("x", D(f"2020-0{k}-01"), v, w) for k, (v, w) in enumerate([(1.0, None), (2.0, 5.0), (None, 7.0), (4.0, None)], 1)]
+    got = ratios.last_value(spark.createDataFrame(rows, "k string, period date, v double, w double"), ["k"], ["v", "w"], n=2).first()
+    assert (got.v, got.w) == (3.0, 6.0)

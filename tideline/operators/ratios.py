@@ -14,10 +14,11 @@ from ..functions.nulls import clip
 Z80, Z95 = NormalDist().inv_cdf(0.90), NormalDist().inv_cdf(0.975)
 
 
-def empirical_ratio(panel: DataFrame, completion_quarters: int = 6, floor: float = 0.0, ceiling: float = 1.2, keys: list[str] | None = None) -> DataFrame:
+def empirical_ratio(panel: DataFrame, completion_quarters: int = 6, floor: float = 0.0, ceiling: float = 1.2, keys: list[str] | None = None, levels: list[str] | None = None) -> DataFrame:
     """period, category, n_arrivals, nom_final, pi_hat of quarters that are complete: published over arrivals, clipped.
 
-    Where no category has a figure of its own, the total's ratio of published to net flow stands for all of them. keys: columns by which it is done separately, in front of the others.
+    Where no category has a figure of its own, the total's ratio of published to net flow stands for all levels (by default the categories of the panel) and for the total itself.
+    keys: columns by which it is done separately, in front of the others.
     """
     keys = keys or []
     cut = panel.groupBy(*keys).agg(F.add_months(F.max("period"), -3 * completion_quarters).alias("_cut"))
@@ -25,9 +26,12 @@ def empirical_ratio(panel: DataFrame, completion_quarters: int = 6, floor: float
     own = ripe.where((F.col("category") != "total") & (F.col("oad_lt_arrivals") > 0) & F.col("nom_final").isNotNull())
     own = own.select(*keys, "period", "category", F.col("oad_lt_arrivals").alias("n_arrivals"), "nom_final", clip(F.col("nom_final") / F.col("oad_lt_arrivals"), floor, ceiling).alias("pi_hat"))
     total = ripe.where((F.col("category") == "total") & (F.col("oad_lt_net") > 0) & F.col("nom_final").isNotNull())
-    shared = total.select(*keys, "period", F.col("oad_lt_net").alias("n_arrivals"), "nom_final", clip(F.col("nom_final") / F.col("oad_lt_net"), floor, ceiling).alias("pi_hat"))
-    levels = panel.where("category <> 'total'").select("category").distinct()
-    spread = shared.crossJoin(F.broadcast(levels))
+    shared = total.select(*keys, "period", F.col("oad_lt_arrivals").alias("n_arrivals"), "nom_final", clip(F.col("nom_final") / F.col("oad_lt_net"), floor, ceiling).alias("pi_hat"))
+    if levels is None:
+        every = panel.select("category").union(panel.limit(1).select(F.lit("total"))).distinct()
+        spread = shared.crossJoin(F.broadcast(every))
+    else:
+        spread = shared.withColumn("category", F.explode(F.lit(sorted({*levels, "total"}))))
     if keys:
         spread = spread.join(own.select(*keys).distinct(), keys, "left_anti")
     else:
@@ -35,12 +39,20 @@ def empirical_ratio(panel: DataFrame, completion_quarters: int = 6, floor: float
     return own.unionByName(spread.select(*own.columns))
 
 
-def last_value(df: DataFrame, keys: list[str], value: str, method: str = "median_n", n: int = 8, period: str = "period") -> DataFrame:
-    """keys and value summarised over the last n known values: latest, mean_n or median_n."""
-    known = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(period))))
-    how = {"latest": (1, F.max(value)), "mean_n": (n, F.avg(value)), "median_n": (n, F.median(value))}
-    rows, agg = how[method]
-    return known.where(F.col("_r") <= rows).groupBy(*keys).agg(agg.alias(value))
+def last_value(df: DataFrame, keys: list[str], value: str | list[str], method: str = "median_n", n: int = 8, period: str = "period") -> DataFrame:
+    """keys and each value summarised over its last n known values: latest, mean_n or median_n; null where none is known."""
+    values = [value] if isinstance(value, str) else value
+    rows, how = {"latest": (1, F.max), "mean_n": (n, F.avg), "median_n": (n, F.median)}[method]
+    # how many known values follow, so that each value has its own last n
+    later = Window.partitionBy(*keys).orderBy(F.desc(period)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = df.withColumns({f"_r{i}": F.count(v).over(later) for i, v in enumerate(values)})
+    known = ranked if len(values) > 1 else ranked.where(F.col(values[0]).isNotNull())
+    return known.groupBy(*keys).agg(*(how(F.when(F.col(f"_r{i}") <= rows, F.col(v))).alias(v) for i, v in enumerate(values)))
+
+
+def projected(smoothed: DataFrame, keys: list[str], method: str = "median_n", n: int = 8) -> DataFrame:
+    """keys, pi_smoothed, pi_se: the ratio and its error that hold for periods without their own."""
+    return last_value(smoothed, keys, ["pi_smoothed", "pi_se"], method, n)
 
 
 def with_intervals(df: DataFrame, mean: str = "nom_mean", se: str = "nom_se") -> DataFrame:
@@ -48,32 +60,42 @@ def with_intervals(df: DataFrame, mean: str = "nom_mean", se: str = "nom_se") ->
     return df.withColumns({"lower_80": m - Z80 * s, "upper_80": m + Z80 * s, "lower_95": m - Z95 * s, "upper_95": m + Z95 * s})
 
 
-def nowcast_by_category(forecasts: DataFrame, smoothed: DataFrame, projected: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """period, category, nom_mean, nom_se and intervals: ratio times net flow, its variance by the delta method (unknown parts count as 0).
+def nowcast_by_category(forecasts: DataFrame, smoothed: DataFrame, later: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """period, category (the total among them, if it was forecast), nom_mean, nom_se and intervals: ratio times net flow, its variance by the delta method.
 
-    forecasts: period, category, direction, mean_level, se_log; smoothed: period, category, pi_smoothed, pi_se; projected: category, pi_smoothed; all with keys in front, if there are any.
+    forecasts: period, category, direction, mean_level, se_log; smoothed: period, category, pi_smoothed, pi_se; later: category, pi_smoothed, pi_se where smoothed has none;
+    all with keys in front, if there are any. A category without a forecast of both directions, or without a ratio, has a null mean. A variance of which a part is unknown counts as 0 as a whole.
+    Numbers that are not finite count as unknown.
     """
     keys = keys or []
-    wide = forecasts.where("category <> 'total'").groupBy(*keys, "period", "category").pivot("direction", ["arrival", "departure"]).agg(F.first("mean_level").alias("level"), F.first("se_log").alias("se"))
-    later = projected.select(*keys, "category", F.col("pi_smoothed").alias("_later"))
-    rows = wide.join(smoothed.select(*keys, "period", "category", "pi_smoothed", "pi_se"), [*keys, "period", "category"], "left").join(later, [*keys, "category"], "left")
-    ratio = F.coalesce("pi_smoothed", "_later")
-    net = F.coalesce("arrival_level", F.lit(0.0)) - F.coalesce("departure_level", F.lit(0.0))
-    square = lambda x: F.coalesce(x * x, F.lit(0.0))
+    known = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))  # noqa: E731  null for NaN too, which is the largest
+    sides = forecasts.select(*keys, "period", "category", "direction", known("mean_level").alias("mean_level"), known("se_log").alias("se_log"))
+    wide = sides.groupBy(*keys, "period", "category").pivot("direction", ["arrival", "departure"]).agg(F.first("mean_level").alias("level"), F.first("se_log").alias("se"))
+    rest = later.select(*keys, "category", F.col("pi_smoothed").alias("_later"), F.col("pi_se").alias("_later_se"))
+    rows = wide.join(smoothed.select(*keys, "period", "category", "pi_smoothed", "pi_se"), [*keys, "period", "category"], "left").join(rest, [*keys, "category"], "left")
+    rows = rows.withColumns({"_pi": F.coalesce("pi_smoothed", "_later"), "_se": F.coalesce("pi_se", "_later_se"), "_net": F.col("arrival_level") - F.col("departure_level")})
+    square = lambda x: x * x
     spread = square(F.col("arrival_level") * F.col("arrival_se")) + square(F.col("departure_level") * F.col("departure_se"))
-    rows = rows.select(*keys, "period", "category", (ratio * net).alias("nom_mean"), F.sqrt(ratio * ratio * spread + square(net * F.col("pi_se"))).alias("nom_se"))
-    return with_intervals(rows.withColumn("nom_se", F.coalesce("nom_se", F.lit(0.0))))
+    rows = rows.withColumn("_variance", square(F.col("_pi")) * spread + square(known("_se") * F.col("_net")))
+    return with_intervals(rows.select(*keys, "period", "category", (F.col("_pi") * F.col("_net")).alias("nom_mean"), F.sqrt(F.coalesce(known("_variance"), F.lit(0.0))).alias("nom_se")))
 
 
 def headline(by_category: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """period, nom_mean, nom_se and intervals: the row of the total where there is one, else the sum of the categories with independent errors."""
+    """period, nom_mean, nom_se and intervals: the rows of the total where there are any with a mean (by keys), else the sums of the categories with independent errors.
+
+    Categories without a mean are left out of the sum; without any it is 0.
+    """
     keys = keys or []
     total = F.col("category") == "total"
     rows = by_category.groupBy(*keys, "period").agg(
-        F.max(F.when(total, F.col("nom_mean"))).alias("_m"), F.max(F.when(total, F.col("nom_se"))).alias("_s"),
-        F.sum(F.when(~total, F.col("nom_mean"))).alias("_sum"), F.sqrt(F.coalesce(F.sum(F.when(~total, F.col("nom_se") * F.col("nom_se"))), F.lit(0.0))).alias("_root"),
+        F.max(F.when(total, F.col("nom_mean"))).alias("_m"), F.max(F.when(total & F.col("nom_mean").isNotNull(), F.col("nom_se"))).alias("_s"), F.count(F.when(~total, 1)).alias("_n"),
+        F.coalesce(F.sum(F.when(~total, F.col("nom_mean"))), F.lit(0.0)).alias("_sum"), F.sqrt(F.coalesce(F.sum(F.when(~total, F.col("nom_se") * F.col("nom_se"))), F.lit(0.0))).alias("_root"),
     )
-    return with_intervals(rows.select(*keys, "period", F.coalesce("_m", "_sum").alias("nom_mean"), F.when(F.col("_m").isNotNull(), F.col("_s")).otherwise(F.col("_root")).alias("nom_se")))
+    has = rows.groupBy(*keys).agg(F.count("_m").alias("_totals"))
+    rows = rows.join(has, keys) if keys else rows.crossJoin(F.broadcast(has))
+    by_total = F.col("_totals") > 0
+    rows = rows.where((by_total & F.col("_m").isNotNull()) | (~by_total & (F.col("_n") > 0)))
+    return with_intervals(rows.select(*keys, "period", F.when(by_total, F.col("_m")).otherwise(F.col("_sum")).alias("nom_mean"), F.when(by_total, F.col("_s")).otherwise(F.col("_root")).alias("nom_se")))
 
 
 def lognormal_headline(forecasts: DataFrame, level: str = "nom_level", se_log: str = "nom_se_log") -> DataFrame:

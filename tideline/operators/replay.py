@@ -20,7 +20,7 @@ DAY = "asof_date"
 # Names of the model streams, regimes that scores are split by, and how the Bayesian variants differ.
 HORIZONS = (-2, -1, 0, 1)
 REGIMES = [("pre_covid", "1900-01-01", "2019-12-31"), ("covid", "2020-01-01", "2021-12-31"), ("post_covid", "2022-01-01", "2099-12-31")]
-BAYES = {"bayes_headline": {"lead": 1}, "bayes_gamma": {}, "bayes_gamma_learned": {"learned": True}, "bayes_kalman": {}, "bayes_kalman_seasonal": {"seasonal_": True}}
+BAYES = {"bayes_headline": {"lead": 1}, "bayes_gamma_learned": {"learned": True}, "bayes_kalman": {}, "bayes_kalman_seasonal": {"seasonal_": True}}
 PLAIN = ("kalman_multi_v2", "kalman_multi_pi", "kalman_v1", "bridge", "ar1", "random_walk", "abs_preliminary")
 #: Latest origins that the Bayesian variants are fitted at.
 BAYES_WINDOW = 12
@@ -71,7 +71,7 @@ def _ratio_nowcasts(panels: DataFrame, forecasts: DataFrame, smoother: str, ceil
     """Nowcasts by category of each origin: ratio times net flow."""
     empirical = ratios.empirical_ratio(panels, ceiling=ceiling, keys=[DAY])
     smoothed = staged(fits.smoothed_ratios(empirical, smoother, breaks=breaks, keys=[DAY]).where("status = 'ok'"), "ratios")
-    return ratios.nowcast_by_category(forecasts, smoothed, ratios.last_value(smoothed, [DAY, "category"], "pi_smoothed"), [DAY])
+    return ratios.nowcast_by_category(forecasts, smoothed, ratios.projected(smoothed, [DAY, "category"]), [DAY])
 
 
 def replay(panels: DataFrame, horizons: tuple[int, ...] = HORIZONS, models: tuple[str, ...] = (*PLAIN, *BAYES), bayes_window: int = BAYES_WINDOW, smoother: str = "loess", ceiling: float = 1.2, breaks: list[str] | None = None, lags: int = 4, sampling: dict = SAMPLING) -> DataFrame:

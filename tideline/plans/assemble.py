@@ -19,10 +19,10 @@ OUT = "round(nom_mean, 4) AS nom_mean, round(nom_se, 4) AS nom_se, " + ", ".join
 #: Forecasts made of what is there: the level of each cell, with an error that grows with its horizon.
 FORECAST_SQL = f"""{RATIO_SQL}, fc AS (SELECT quarter AS period, category, direction, value AS mean_level, 0.05::DOUBLE + 0.01::DOUBLE * month(quarter) AS se_log FROM scaled WHERE value IS NOT NULL),
 fw AS (SELECT period, category, max(mean_level) FILTER (direction = 'arrival') AS la, max(mean_level) FILTER (direction = 'departure') AS ld, max(se_log) FILTER (direction = 'arrival') AS sa, max(se_log) FILTER (direction = 'departure') AS sd FROM fc GROUP BY 1, 2),
-later AS (SELECT category, median(pi_hat) AS p FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY period DESC) AS r FROM ratio) WHERE r <= 8 GROUP BY 1),
-nc AS (SELECT period, category, coalesce(pi_hat, p) AS pi, coalesce(la, 0) - coalesce(ld, 0) AS net, coalesce((la * sa) ^ 2, 0) + coalesce((ld * sd) ^ 2, 0) AS v, coalesce(((coalesce(la, 0) - coalesce(ld, 0)) * CASE WHEN pi_hat IS NOT NULL THEN 0.02::DOUBLE END) ^ 2, 0) AS w
-FROM fw LEFT JOIN (SELECT period, category, pi_hat FROM ratio) USING (period, category) LEFT JOIN later USING (category)),
-ns AS (SELECT period, category, pi * net AS m, coalesce(sqrt(pi * pi * v + w), 0) AS s FROM nc),
+sm AS (SELECT period, category, pi_hat, 0.02::DOUBLE + 0.001::DOUBLE * month(period) AS se FROM ratio),
+later AS (SELECT category, median(pi_hat) AS p, median(se) AS q FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY period DESC) AS r FROM sm) WHERE r <= 8 GROUP BY 1),
+nc AS (SELECT period, category, coalesce(pi_hat, p) AS pi, coalesce(se, q) AS se, la - ld AS net, (la * sa) ^ 2 + (ld * sd) ^ 2 AS v FROM fw LEFT JOIN sm USING (period, category) LEFT JOIN later USING (category)),
+ns AS (SELECT period, category, pi * net AS m, coalesce(sqrt(pi ^ 2 * v + (se * net) ^ 2), 0) AS s FROM nc),
 nowcast AS (SELECT period, category, m AS nom_mean, s AS nom_se, {BAND} FROM ns)"""
 
 
@@ -32,8 +32,8 @@ def _forecasts(spark, sf_dir):
 
 
 def _nowcast(spark, sf_dir):
-    pi = staged(ratios.empirical_ratio(_panel(spark, sf_dir), ceiling=12000.0).select("period", "category", F.col("pi_hat").alias("pi_smoothed"), F.lit(0.02).alias("pi_se")), "ratio")
-    return ratios.nowcast_by_category(_forecasts(spark, sf_dir), pi, ratios.last_value(pi, ["category"], "pi_smoothed"))
+    pi = staged(ratios.empirical_ratio(_panel(spark, sf_dir), ceiling=12000.0).select("period", "category", F.col("pi_hat").alias("pi_smoothed"), (F.lit(0.02) + F.lit(0.001) * F.month("period")).alias("pi_se")), "ratio")
+    return ratios.nowcast_by_category(_forecasts(spark, sf_dir), pi, ratios.projected(pi, ["category"]))
 
 
 @query(f"{FORECAST_SQL} SELECT period, category, {OUT} FROM nowcast")
@@ -41,7 +41,7 @@ def nowcast_category(spark, sf_dir):
     return rounded(_nowcast(spark, sf_dir), "nom_mean", "nom_se", *ENDS, places=4)
 
 
-HEADLINE_SQL = f"{FORECAST_SQL}, hs AS (SELECT period, sum(nom_mean) AS m, sqrt(sum(nom_se ^ 2)) AS s FROM nowcast GROUP BY 1), head AS (SELECT period, m AS nom_mean, s AS nom_se, {BAND} FROM hs)"
+HEADLINE_SQL = f"{FORECAST_SQL}, hs AS (SELECT period, coalesce(sum(nom_mean), 0) AS m, sqrt(sum(nom_se ^ 2)) AS s FROM nowcast GROUP BY 1), head AS (SELECT period, m AS nom_mean, s AS nom_se, {BAND} FROM hs)"
 
 
 @query(f"{HEADLINE_SQL} SELECT period, {OUT} FROM head")
@@ -49,6 +49,41 @@ def nowcast_headline(spark, sf_dir):
     return rounded(ratios.headline(_nowcast(spark, sf_dir)), "nom_mean", "nom_se", *ENDS, places=4)
 
 
+#: The same with a total: its ratio stands for all, its flows are those of the categories, and one category has arrivals only.
+TOTAL_SQL = f"""{RATIO_SQL}, t AS (SELECT period, sum(oad_lt_arrivals) * 0.8::DOUBLE AS n, sum(nom_final) AS f FROM panel WHERE category <> 'total' GROUP BY 1),
+sm AS (SELECT period, least(greatest(f / n, 0), 12000) AS pi_hat, 0.02::DOUBLE AS se FROM t WHERE period <= (SELECT max(period) - INTERVAL 18 MONTH FROM panel) AND n > 0 AND f IS NOT NULL),
+later AS (SELECT median(pi_hat) AS p, median(se) AS q FROM (SELECT *, row_number() OVER (ORDER BY period DESC) AS r FROM sm) WHERE r <= 8),
+fc AS (SELECT quarter AS period, category, direction, value AS mean_level, 0.05::DOUBLE AS se_log FROM scaled WHERE value IS NOT NULL AND NOT (category = '5-LOW' AND direction = 'departure')),
+ft AS (SELECT * FROM fc UNION ALL SELECT period, 'total', direction, sum(mean_level), 0.03::DOUBLE FROM fc GROUP BY 1, 3),
+fw AS (SELECT period, category, max(mean_level) FILTER (direction = 'arrival') AS la, max(mean_level) FILTER (direction = 'departure') AS ld, max(se_log) FILTER (direction = 'arrival') AS sa, max(se_log) FILTER (direction = 'departure') AS sd FROM ft GROUP BY 1, 2),
+nc AS (SELECT period, category, coalesce(pi_hat, p) AS pi, coalesce(se, q) AS se, la - ld AS net, (la * sa) ^ 2 + (ld * sd) ^ 2 AS v FROM fw LEFT JOIN sm USING (period) CROSS JOIN later),
+ns AS (SELECT period, category, pi * net AS m, coalesce(sqrt(pi ^ 2 * v + (se * net) ^ 2), 0) AS s FROM nc),
+nowcast AS (SELECT period, category, m AS nom_mean, s AS nom_se, {BAND} FROM ns)"""
+
+
+def _nowcast_by_total(spark, sf_dir):
+    p = _panel(spark, sf_dir)
+    arrivals = F.sum("oad_lt_arrivals")
+    total = p.where("category <> 'total'").groupBy("period").agg(arrivals.alias("oad_lt_arrivals"), (arrivals * 0.8).alias("oad_lt_net"), F.sum("nom_final").alias("nom_final")).withColumn("category", F.lit("total"))
+    bare = p.where("category <> 'total'").withColumn("nom_final", F.lit(None).cast("double"))
+    ratio = ratios.empirical_ratio(bare.unionByName(total, allowMissingColumns=True), ceiling=12000.0)
+    pi = staged(ratio.select("period", "category", F.col("pi_hat").alias("pi_smoothed"), F.lit(0.02).alias("pi_se")), "ratio")
+    each = _forecasts(spark, sf_dir).where("not (category = '5-LOW' and direction = 'departure')").withColumn("se_log", F.lit(0.05))
+    joint = each.groupBy("period", "direction").agg(F.sum("mean_level").alias("mean_level")).withColumns({"category": F.lit("total"), "se_log": F.lit(0.03)})
+    return ratios.nowcast_by_category(each.unionByName(joint), pi, ratios.projected(pi, ["category"]))
+
+
+@query(f"{TOTAL_SQL} SELECT period, category, {OUT} FROM nowcast")
+def nowcast_category_total(spark, sf_dir):
+    return rounded(_nowcast_by_total(spark, sf_dir), "nom_mean", "nom_se", *ENDS, places=4)
+
+
+@query(f"{TOTAL_SQL} SELECT period, {OUT} FROM nowcast WHERE category = 'total' AND nom_mean IS NOT NULL")
+def nowcast_headline_total(spark, sf_dir):
+    """The total's own rows make the headline, and only they."""
+    return rounded(ratios.headline(_nowcast_by_total(spark, sf_dir)), "nom_mean", "nom_se", *ENDS, places=4)
+
+
 @query(f"""{SCALED}, lg AS (SELECT quarter AS period, sum(value) AS m, sum(value) * sqrt(exp(0.09::DOUBLE) - 1) AS s FROM scaled WHERE direction = 'arrival' GROUP BY 1),
 head AS (SELECT period, m AS nom_mean, s AS nom_se, greatest(m - {Z80!r} * s, 0) AS lower_80, m + {Z80!r} * s AS upper_80, greatest(m - {Z95!r} * s, 0) AS lower_95, m + {Z95!r} * s AS upper_95 FROM lg) SELECT period, {OUT} FROM head""")
 def headline_lognormal(spark, sf_dir):

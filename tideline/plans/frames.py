@@ -160,13 +160,14 @@ def ratio_empirical(spark, sf_dir):
     return rounded(rounded(ratios.empirical_ratio(_panel(spark, sf_dir), ceiling=12000.0), "n_arrivals"), "nom_final", "pi_hat", places=4)
 
 
-@query(f"""{PANEL_SQL}, t AS (SELECT period, sum(oad_lt_arrivals) AS n, sum(nom_final) AS f FROM panel WHERE category <> 'total' GROUP BY 1)
-SELECT period, category, round(n, 4) AS n_arrivals, round(f, 4) AS nom_final, round(least(greatest(f / n, 0), 12000), 4) AS pi_hat FROM t CROSS JOIN levels
-WHERE period <= (SELECT max(period) - INTERVAL 18 MONTH FROM panel) AND n > 0 AND f IS NOT NULL AND category <> 'total'""")
+@query(f"""{PANEL_SQL}, t AS (SELECT period, sum(oad_lt_arrivals) AS a, sum(oad_lt_arrivals) * 0.8::DOUBLE AS n, sum(nom_final) AS f FROM panel WHERE category <> 'total' GROUP BY 1)
+SELECT period, category, round(a, 4) AS n_arrivals, round(f, 4) AS nom_final, round(least(greatest(f / n, 0), 12000), 4) AS pi_hat FROM t CROSS JOIN levels
+WHERE period <= (SELECT max(period) - INTERVAL 18 MONTH FROM panel) AND n > 0 AND f IS NOT NULL""")
 def ratio_fallback_broadcast(spark, sf_dir):
-    """Only the total has published figures."""
+    """Only the total has published figures: its ratio to net flow stands for every category, and for the total."""
     p = _panel(spark, sf_dir)
-    total = p.where("category <> 'total'").groupBy("period").agg(F.sum("oad_lt_arrivals").alias("oad_lt_net"), F.sum("nom_final").alias("nom_final")).withColumn("category", F.lit("total"))
+    arrivals = F.sum("oad_lt_arrivals")
+    total = p.where("category <> 'total'").groupBy("period").agg(arrivals.alias("oad_lt_arrivals"), (arrivals * 0.8).alias("oad_lt_net"), F.sum("nom_final").alias("nom_final")).withColumn("category", F.lit("total"))
     bare = p.where("category <> 'total'").withColumn("nom_final", F.lit(None).cast("double"))
     return rounded(ratios.empirical_ratio(bare.unionByName(total, allowMissingColumns=True), ceiling=12000.0), "n_arrivals", "nom_final", "pi_hat", places=4)
 
