@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import panel, ratios, scoring, vintages
+from tideline.operators.store import VintageStore
 
 D = dt.date.fromisoformat
 FLOW = "period date, category string, direction string, value double"
@@ -71,7 +72,7 @@ def test_publication_lag(spark):
 
 
 def test_vintage_store(spark, tmp_path):
-    store = vintages.VintageStore(spark, str(tmp_path / "store"))
+    store = VintageStore(spark, str(tmp_path / "store"))
     obs = lambda v: spark.createDataFrame([("x", D("2023-01-01"), "quarter", v)], "series_id string, period date, period_unit string, value double")
     assert store.write("nom", obs(100.0), "2023-04-01") == 1 and store.write("nom", obs(110.0), "2023-10-01") == 1
     assert store.read_as_of("nom", "2023-05-01").first().value == 100 and store.read_as_of("nom", "2023-12-01").first().value == 110

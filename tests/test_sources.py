@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import vintages
+from tideline.operators.store import VintageStore
 from tideline.sources import grids, parsers, web
 from tideline.streaming import capture
 
@@ -139,7 +140,7 @@ def test_parsers_of_odd_sheets(spark):
 
 def test_history_from_csv_in_one_write(spark, tmp_path):
     (tmp_path / "h.csv").write_text("source,series_id,period,period_unit,vintage_date,value\nnom,nom:total,2024-01-01,quarter,2024-05-01,5\nnom,nom:total,2024-01-01,quarter,2024-06-01,6\noad,oad:student:arrival,2024-01-01,month,2024-06-01,7\nnom,nom:total,2023-01-01,quarter,2019-06-01,1\n")
-    store = vintages.VintageStore(spark, str(tmp_path / "store"))
+    store = VintageStore(spark, str(tmp_path / "store"))
     assert store.load_history(vintages.read_history(spark, str(tmp_path / "h.csv"), "2020-01-01")) == 3
     assert [(r.value, r.metadata) for r in store.read_as_of("nom", "2024-05-15").collect()] == [(5.0, None)] and [r.value for r in store.read_as_of("nom").collect()] == [6.0]
     assert store.write("nom", spark.createDataFrame([("nom:total", "2024-01-01", "quarter", 9.0)], "series_id string, period string, period_unit string, value double"), "2024-06-01") == 1

@@ -1,7 +1,4 @@
-"""A bitemporal store: observations by source, series and period, each as known at a vintage date.
-
-The store is Parquet, partitioned by source and vintage date, so that a read of one source as of a day opens only the partitions that it may use.
-"""
+"""Observations by source, series and period, each as known at a vintage date: reads as of days, revisions, histories."""
 
 from __future__ import annotations
 
@@ -11,8 +8,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import labels
-from .staging import staged
+from ..functions.search import instant, rank_below
 
+#: What a store holds of an observation.
 STORE = T.StructType(
     [
         T.StructField("source", T.StringType(), False),
@@ -25,7 +23,6 @@ STORE = T.StructType(
         T.StructField("metadata", T.StringType()),
     ]
 )
-REQUIRED = ("series_id", "period", "period_unit", "value")
 
 
 def as_of(observations: DataFrame, day, keys: list[str], vintage: str = "vintage_date") -> DataFrame:
@@ -42,26 +39,32 @@ def _latest(rows: DataFrame, keys: list[str], vintage: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(vintage).alias(vintage), *(F.max_by(c, vintage).alias(c) for c in rest))
 
 
-def as_of_many(observations: DataFrame, days: DataFrame, keys: list[str], vintage: str = "vintage_date", day: str = "asof_date") -> DataFrame:
-    """as_of for each row of days, in one job: with the column `day` in front.
-
-    A vintage is known from its day to the day before the next one of its key: one window over the observations, dealt by key. An observation
-    then meets only the origins within that span, so the result is never larger than what it has to hold.
-    """
-    following = F.lead(vintage).over(Window.partitionBy(*keys).orderBy(vintage))
-    spans = observations.where(F.col(vintage).isNotNull()).withColumn("_until", following)
-    at = F.col(day)
-    return spans.join(_few(days.select(day).distinct()), (F.col(vintage) <= at) & (F.col("_until").isNull() | (F.col("_until") > at))).select(day, *observations.columns)
-
+#: Days up to which each span is held against all of them; beyond that they are met by buckets: of so many days, about, and so many buckets at most.
+FEW_DAYS, BUCKET_DAYS, DAY_BUCKETS = 64, 16, 4096
 
-#: Origins that are sent to every task; with more of them Spark joins as it likes.
-MOST_ORIGINS = 10_000
 
+def as_of_many(observations: DataFrame, days: DataFrame, keys: list[str], vintage: str = "vintage_date", day: str = "asof_date", few: int = FEW_DAYS) -> DataFrame:
+    """as_of for each row of days, in one job: with the column `day` in front. Days have the type of the vintages.
 
-def _few(days: DataFrame) -> DataFrame:
-    """days, to be broadcast if they are few: a checked size."""
-    found = days.limit(MOST_ORIGINS + 1).collect()
-    return F.broadcast(days.sparkSession.createDataFrame(found, days.schema)) if len(found) <= MOST_ORIGINS else days
+    A vintage is known from its day to the day before the next one of its key: one window over the observations, dealt by key. Of equal vintages of a key the row that is largest by its other
+    columns in order counts. A few days are held against all spans. More are cut into buckets of neighbours: a span goes to the buckets that it touches, meets their days by an
+    equality, and then its ends decide. So what meets is in proportion to what comes out, however many days and spans there are.
+    """
+    rest = [c for c in observations.columns if c not in keys and c != vintage]
+    following = F.lead(vintage).over(Window.partitionBy(*keys).orderBy(vintage, *rest))
+    spans = observations.where(F.col(vintage).isNotNull()).withColumn("_until", following)
+    dates = days.select(day).where(F.col(day).isNotNull()).distinct()
+    at, fits = F.col(day), (F.col(vintage) <= F.col(day)) & (F.col("_until").isNull() | (F.col("_until") > F.col(day)))
+    if (n := dates.limit(few + 1).count()) <= few:
+        return spans.join(F.broadcast(dates.limit(few)), fits).select(day, *observations.columns)
+    n, kind = dates.count(), observations.schema[vintage].dataType
+    parts = min(DAY_BUCKETS, -(-n // BUCKET_DAYS))
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(dates.agg(F.percentile_approx(instant(at, kind), shares, 10_000)).first()[0])) if shares else []
+    first, last = rank_below(instant(F.col(vintage), kind), bounds), rank_below(instant(F.col("_until"), kind), bounds)
+    cut = spans.withColumn("_bucket", F.explode(F.sequence(first, F.coalesce(last, F.lit(len(bounds))))))
+    met = cut.join(dates.withColumn("_bucket", rank_below(instant(at, kind), bounds)), "_bucket")
+    return met.where(fits).select(day, *observations.columns)
 
 
 def history(observations: DataFrame, vintage: str = "vintage_date", period: str = "period") -> DataFrame:
@@ -120,51 +123,3 @@ def reenriched_grants(rows: DataFrame) -> DataFrame:
     if "category" in rows.columns:
         return rows
     return reenriched(rows, ["", "category"], {}).withColumn("category", labels.subclass("category"))
-
-
-class VintageStore:
-    """The store at a path of shared storage."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def write(self, source: str, observations: DataFrame, day) -> int:
-        """Writes a whole snapshot of a source as known at day, and returns its rows. The same source and day replace what was there, others stay.
-
-        Missing units and metadata are null. No rows: nothing is written. A missing column raises ValueError.
-        """
-        missing = [c for c in REQUIRED if c not in observations.columns]
-        if missing:
-            raise ValueError(f"missing columns: {', '.join(missing)}")
-        extra = {c: F.lit(None).cast("string") for c in ("unit", "metadata") if c not in observations.columns}
-        rows = observations.withColumns(extra | {"source": F.lit(source), "vintage_date": F.lit(day).cast("date")}).select(*(F.col(f.name).cast(f.dataType) for f in STORE))
-        once = rows.groupBy("source", "series_id", "period", "vintage_date").agg(F.max(F.struct("value", "period_unit", "unit", "metadata")).alias("r")).select("source", "series_id", "period", "r.*", "vintage_date")
-        count = once.count()
-        if count:
-            (once.select(*STORE.fieldNames()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "vintage_date").parquet(self.path))
-        return count
-
-    def load_history(self, rows: DataFrame) -> int:
-        """Writes a history of many sources and days (all columns of the store but unit and metadata, which may lack) in one job, and returns its rows; what is there of the same sources and days is replaced."""
-        missing = [c for c in (*REQUIRED, "source", "vintage_date") if c not in rows.columns]
-        if missing:
-            raise ValueError(f"missing columns: {', '.join(missing)}")
-        full = rows.withColumns({c: F.lit(None).cast("string") for c in ("unit", "metadata") if c not in rows.columns})
-        typed = full.select(*(F.col(f.name).cast(f.dataType) for f in STORE)).where("source is not null and series_id is not null and period is not null and vintage_date is not null")
-        once = staged(typed.groupBy("source", "series_id", "period", "vintage_date").agg(F.max(F.struct("value", "period_unit", "unit", "metadata")).alias("r")).select("source", "series_id", "period", "r.*", "vintage_date"), "history")
-        count = once.count()
-        if count:
-            days = once.repartition("source", "vintage_date").select(*STORE.fieldNames())
-            days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "vintage_date").parquet(self.path)
-        return count
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(STORE).parquet(self.path)
-
-    def read_as_of(self, source: str, day=None) -> DataFrame:
-        """The latest vintage of each series and period of a source; without a day, of all vintages."""
-        rows = self.read().where(F.col("source") == source)
-        return as_of(rows, day or "9999-12-31", ["source", "series_id", "period"])
-
-    def history(self, source: str, series_id: str) -> DataFrame:
-        return history(self.read().where((F.col("source") == source) & (F.col("series_id") == series_id)))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import labels
 from ..operators import panel, vintages
+from ..operators.staging import fresh_folder
+from ..operators.store import VintageStore
 from .registry import registry
 from .sources import FLOW_SQL, VINTAGE_SQL, flow, read
 from .sources import vintages as events
@@ -30,6 +32,49 @@ def vintage_asof_many(spark, sf_dir):
     return vintages.as_of_many(events(spark, sf_dir), days, KEYS, "vintage_ts")
 
 
+@query(f"""WITH {VINTAGE_SQL}, g AS (SELECT unnest(generate_series(min(vintage_ts), max(vintage_ts) + INTERVAL 10 MINUTE, INTERVAL 10 MINUTE)) AS asof_date FROM vintages),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, vintage_ts ORDER BY period_key DESC, value DESC) AS r FROM vintages) WHERE r = 1)
+SELECT g.asof_date, v.series_id, v.period_key, v.vintage_ts, v.value FROM g CROSS JOIN (SELECT DISTINCT series_id FROM vintages) AS k ASOF JOIN v ON k.series_id = v.series_id AND g.asof_date >= v.vintage_ts""")
+def vintage_asof_grid(spark, sf_dir):
+    """The latest event of each type at thousands of times: spans and times meet by buckets."""
+    e = events(spark, sf_dir)
+    ends = e.agg(F.min("vintage_ts").alias("a"), F.max("vintage_ts").alias("b"))
+    grid = ends.select(F.explode(F.expr("sequence(a, b + interval 10 minutes, interval 10 minutes)")).alias("asof_date"))
+    return vintages.as_of_many(e, grid, ["series_id"], "vintage_ts")
+
+
+DAILY_SQL = "d AS (SELECT event_type AS series_id, ts::DATE AS period, sum(value) AS value FROM events GROUP BY 1, 2)"
+
+
+def _daily(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), F.col("ts").cast("date").alias("period")).agg(F.sum("value").alias("value")).withColumn("period_unit", F.lit("day"))
+
+
+@query(f"""WITH {DAILY_SQL}, w AS (SELECT 1 AS n, * FROM d WHERE series_id <= 'click' UNION ALL SELECT 2, * FROM d WHERE series_id > 'click' UNION ALL SELECT 3, series_id, period, value * 2 FROM d WHERE day(period) % 3 = 0)
+SELECT 'events' AS source, series_id, period, DATE '2024-02-01' AS vintage_date, round(arg_max(value, n), 6) AS value FROM w GROUP BY series_id, period UNION ALL SELECT 'events', series_id, period, DATE '2024-02-02', round(value + 1, 6) FROM d WHERE day(period) = 5""")
+def vintage_store_upsert(spark, sf_dir):
+    """Two series written for one day one after the other, some of their rows again, and a second day: all rows that the store has then."""
+    daily, store = _daily(spark, sf_dir), VintageStore(spark, fresh_folder(spark, "store"))
+    store.write("events", daily.where("series_id <= 'click'"), "2024-02-01")
+    store.write("events", daily.where("series_id > 'click'"), "2024-02-01")
+    store.write("events", daily.where("day(period) % 3 = 0").withColumn("value", F.col("value") * 2), "2024-02-01")
+    store.write("events", daily.where("day(period) = 5").withColumn("value", F.col("value") + 1), "2024-02-02")
+    return store.read().select("source", "series_id", "period", "vintage_date", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {DAILY_SQL}, h AS (SELECT series_id, period, period + k AS vintage_date, value + k AS value FROM d, (VALUES (1), (7), (20)) t(k))
+SELECT series_id, period, vintage_date, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series_id, period ORDER BY vintage_date DESC) AS r FROM h WHERE vintage_date <= DATE '2024-01-20') WHERE r = 1""")
+def vintage_store_asof(spark, sf_dir):
+    """A history loaded in one job, put together by year, and read as of a day."""
+    store = VintageStore(spark, fresh_folder(spark, "store"))
+    delays = F.explode(F.array(*map(F.lit, (1, 7, 20))))
+    late = _daily(spark, sf_dir).withColumn("k", delays).select("series_id", "period", "period_unit", F.lit("events").alias("source"), F.date_add("period", F.col("k")).alias("vintage_date"), (F.col("value") + F.col("k")).alias("value"))
+    store.load_history(late.where("k < 20"))
+    store.load_history(late.where("k = 20"))
+    store.compact("events")
+    return store.read_as_of("events", "2024-01-20").select("series_id", "period", "vintage_date", F.round("value", 6).alias("value"))
+
+
 @query(f"WITH {VINTAGE_SQL} SELECT period_key, vintage_ts, value FROM vintages WHERE series_id = 'click'")
 def vintage_history(spark, sf_dir):
     return vintages.history(events(spark, sf_dir).where("series_id = 'click'"), "vintage_ts", "period_key").select("period_key", "vintage_ts", "value")
