@@ -16,8 +16,10 @@ from pyspark.sql.window import Window
 
 from ..functions.labels import regime_by_breaks
 from . import statespace as ss
+from .leastsquares import predicted, regressions
 from .ratios import gamma_weights
 from .scoring import lags
+from .staging import staged
 
 #: Observations that a structural model needs, steps ahead, and the largest standard error on the log scale.
 LEAST, STEPS, SE_CAP = 12, 4, 1.0
@@ -199,28 +201,19 @@ def smoothed_ratios(ratios: DataFrame, smoother: str = "loess", span: float = 0.
 def bridge_forecasts(panel: DataFrame, last: int = 4, keys: list[str] | None = None) -> DataFrame:
     """keys, category, period, nom_mean, status: least squares of the published figure on arrivals and grants of this and the last quarters; null where a regressor is.
 
-    The total's grants are those of all categories, where nothing counts as 0. Categories without enough figures have no rows.
+    The total's grants are those of all categories, where nothing counts as 0. Categories without enough figures (last + 4) have no rows. Sums of products by category make the
+    fit, so no category is gathered. Lags are rows before: a missing quarter shifts them, so give a dense panel.
     """
     keys = keys or []
     w = Window.partitionBy(*keys, "period")
     of_all = F.coalesce(F.sum(F.when(F.col("category") != "total", F.col("visa_grants"))).over(w), F.lit(0.0))
     rows = panel.withColumn("visa_grants", F.when(F.col("category") == "total", of_all).otherwise(F.col("visa_grants")))
-    features = lags(rows, ["oad_lt_arrivals", "visa_grants"], last, [*keys, "category"])
     names = [f"{c}_l{k}" for c in ("oad_lt_arrivals", "visa_grants") for k in range(last + 1)]
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("period", ignore_index=True)
-        X = np.column_stack([np.ones(len(group)), group[names].to_numpy(float)])
-        y = group["nom_final"].to_numpy(float)
-        if np.isfinite(y).sum() < last + 4:
-            return pd.DataFrame({"period": [], "nom_mean": [], "status": []})
-        whole = np.isfinite(X).all(1)
-        ok = whole & np.isfinite(y)
-        scale = np.maximum(np.abs(X[ok]).max(0), 1e-12)
-        b = np.linalg.lstsq(X[ok] / scale, y[ok], rcond=None)[0] / scale
-        return pd.DataFrame({"period": group["period"], "nom_mean": np.where(whole, np.where(np.isfinite(X), X, 0) @ b, np.nan), "status": "ok"})
-
-    return _grouped(features.select(*keys, "category", "period", "nom_final", *names), [*keys, "category"], fit, "period date, nom_mean double, status string")
+    each = [*keys, "category"]
+    features = staged(lags(rows, ["oad_lt_arrivals", "visa_grants"], last, each).select(*each, "period", "nom_final", *names), "bridge")
+    enough = features.groupBy(*each).agg(F.count("nom_final").alias("_n")).where(F.col("_n") >= last + 4).select(*each)
+    fit = regressions(features.join(enough, each, "left_semi"), each, "nom_final", names)
+    return features.join(enough, each, "left_semi").join(fit, each, "left").select(*each, "period", predicted(names).alias("nom_mean"), F.lit("ok").alias("status"))
 
 
 #: Priors of the Bayesian model on log figures, and how it is sampled.

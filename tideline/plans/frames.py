@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.calendar import fy_start
 from ..functions.nulls import sum_strict
-from ..operators import panel, ratios, scoring
+from ..operators import fits, panel, ratios, scoring
 from ..operators.staging import staged
 from .registry import registry, rounded
 from .sources import ANNUAL_SQL, FLOW_SQL, PUBLISHED_SQL, annual, flow, published, read
@@ -203,9 +204,46 @@ l AS (SELECT *, lag(g) OVER (PARTITION BY category, direction ORDER BY period) A
 f AS (SELECT category, direction, regr_slope(g, pg) AS s, regr_intercept(g, pg) AS i, count(g) AS n FROM l GROUP BY 1, 2)
 SELECT category, direction, period, round(b * (1 + i + s * pg), 4) AS nom_mean FROM l JOIN f USING (category, direction) WHERE n >= 6""")
 def ar1_cls(spark, sf_dir):
+    return rounded(scoring.autoregression_ls(flow(spark, sf_dir), ["category", "direction"], "value"), "nom_mean", places=4)
+
+
+#: The exact likelihood: mean and coefficient in turn, the latter as the middle root of a cubic.
+AR1_SQL = f"""WITH RECURSIVE {FLOW_SQL}, y AS (SELECT *, lag(value) OVER w AS b, count(*) OVER (PARTITION BY category, direction) AS ny FROM flow WINDOW w AS (PARTITION BY category, direction ORDER BY period)),
+g AS (SELECT *, (value - b) / nullif(b, 0) AS g FROM y WHERE ny >= 6), k AS (SELECT *, lag(g) OVER (PARTITION BY category, direction ORDER BY period) AS pg FROM g WHERE g IS NOT NULL),
+s AS (SELECT category, direction, count(*)::DOUBLE AS n, sum(g) AS s, sum(g * g) AS q, sum(g * pg) AS p, arg_min(g, period) AS x1, arg_max(g, period) AS xn FROM k GROUP BY 1, 2),
+it AS (SELECT category, direction, 0 AS step, 0.0::DOUBLE AS phi, s / n AS m FROM s UNION ALL
+SELECT category, direction, step + 1, f, ((1 + f) * x1 + (s - x1) - f * (s - xn)) / ((1 + f) + (n - 1) * (1 - f)) FROM (SELECT *, -2 * sqrt(big) * cos((acos(greatest(least((2 * a2 * a2 * a2 - 9 * a2 * a1 + 27 * a0) / (54 * big * sqrt(big)), 1), -1)) - 2 * pi()) / 3) - a2 / 3 AS f FROM (SELECT *, (a2 * a2 - 3 * a1) / 9 AS big FROM (
+SELECT *, -(n - 2) * c / ((n - 1) * i) AS a2, -(n * i + a) / ((n - 1) * i) AS a1, n * c / ((n - 1) * i) AS a0 FROM (SELECT *, a - (x1 - m) ^ 2 - (xn - m) ^ 2 AS i FROM (
+SELECT it.*, n, s, x1, xn, q - 2 * m * s + n * m * m AS a, p - m * (2 * s - x1 - xn) + (n - 1) * m * m AS c FROM it JOIN s USING (category, direction) WHERE step < 100))))))"""
+
+
+@query(f"""{AR1_SQL} SELECT category, direction, s.n::BIGINT AS n, round(m, 6) AS mean, round(phi, 6) AS phi FROM it JOIN s USING (category, direction) WHERE step = 100""")
+def ar1_likelihood(spark, sf_dir):
+    """The stationary autoregression of each series' growth with the largest exact likelihood."""
+    keys, w = ["category", "direction"], Window.partitionBy("category", "direction")
+    long = flow(spark, sf_dir).withColumn("_n", F.count(F.lit(1)).over(w)).where("_n >= 6")
+    return rounded(scoring.likelihood_ar1(scoring.growth(long, keys, "value"), keys, "growth"), "mean", "phi")
+
+
+@query(f"""{AR1_SQL} SELECT category, direction, period, round(b * (1 + m + coalesce(phi * (pg - m), 0)), 4) AS nom_mean
+FROM (SELECT g.*, lag(g) OVER (PARTITION BY category, direction ORDER BY period) AS pg FROM g) JOIN it USING (category, direction) WHERE step = 100 AND b IS NOT NULL""")
+def ar1_ml(spark, sf_dir):
     return rounded(scoring.autoregression(flow(spark, sf_dir), ["category", "direction"], "value"), "nom_mean", places=4)
 
 
+@query(f"""{SCALED}, {WIDE}, v AS (SELECT category, period, oad_lt_arrivals AS x1, oad_lt_departures AS x2, 3 * oad_lt_arrivals - 2 * oad_lt_departures + 10 * sin(month(period) + year(period)) AS y FROM wide),
+k AS (SELECT * FROM v WHERE x1 IS NOT NULL AND x2 IS NOT NULL), n AS (SELECT category FROM v GROUP BY 1 HAVING count(y) >= 4),
+s AS (SELECT category, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS m, regr_sxx(y, x1) AS s11, regr_sxx(y, x2) AS s22, regr_sxy(x1, x2) AS s12, regr_sxy(y, x1) AS r1, regr_sxy(y, x2) AS r2 FROM k GROUP BY 1)
+SELECT category, period, round(m + (s22 * r1 - s12 * r2) / (s11 * s22 - s12 * s12) * (x1 - m1) + (s11 * r2 - s12 * r1) / (s11 * s22 - s12 * s12) * (x2 - m2), 4) AS nom_mean FROM v JOIN n USING (category) JOIN s USING (category)""")
+def bridge_gram(spark, sf_dir):
+    """Two regressors, by category: sums of products, merged and solved in columns."""
+    wide = panel.by_direction(panel.monthly_to_quarterly(flow(spark, sf_dir)))
+    a, d = F.col("oad_lt_arrivals"), F.col("oad_lt_departures")
+    y = 3 * a - 2 * d + 10 * F.sin(F.month("period") + F.year("period"))
+    fitted = fits.bridge_forecasts(wide.select("category", "period", "oad_lt_arrivals", d.alias("visa_grants"), y.alias("nom_final")), last=0)
+    return rounded(fitted.drop("status"), "nom_mean", places=4)
+
+
 @query(f"""{SCALED}, {WIDE} SELECT category, round(regr_slope(oad_lt_departures, oad_lt_arrivals), 6) AS slope, round(regr_intercept(oad_lt_departures, oad_lt_arrivals), 6) AS intercept, round(regr_r2(oad_lt_departures, oad_lt_arrivals), 6) AS r2 FROM wide GROUP BY 1""")
 def bridge_ols(spark, sf_dir):
     """One regressor, by category."""
