@@ -338,9 +338,11 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     frame, at = numbered(docs)
     groups = near_duplicate_groups(frame, key=at[key], text=at[text], **how)
     least = F.min(F.struct(F.col(at[key]).isNotNull().alias("has"), F.col(at[key]).alias("key"), "digest"))
-    keepers = groups.groupBy("root").agg(least.alias("k")).select(F.col("k.key").alias("keeper"), F.col("k.digest").alias("keeper_digest"))
-    named = frame.withColumn("same", _digest(at[text]))
+    # a name for each key, null as well: texts are dealt by it and their digest once, for the join and for the rows that are alike
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    keepers = groups.groupBy("root").agg(least.alias("k")).select(name(F.col("k.key")).alias("name"), F.col("k.digest").alias("same"))
+    named = frame.withColumns({"name": name(F.col(at[key])), "same": _digest(at[text])})
     # a text has one root, so a key and a text are those of one group
-    kept = named.join(keepers, F.col(at[key]).eqNullSafe(F.col("keeper")) & (F.col("same") == F.col("keeper_digest")), "left_semi")
-    again = Window.partitionBy(at[key], "same").orderBy(at[key])
+    kept = named.join(keepers, ["name", "same"], "left_semi")
+    again = Window.partitionBy("name", "same").orderBy(at[key])
     return kept.withColumn("nth", F.row_number().over(again)).where("nth = 1").select(*frame.columns).toDF(*docs.columns)
