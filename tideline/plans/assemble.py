@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import panel, ratios, scoring
+from ..operators import panel, quantiles, ratios, scoring
 from ..operators.ratios import Z80, Z95
 from ..operators.staging import staged
 from .frames import PANEL_SQL, RATIO_SQL, SCALED, WIDE, _panel
@@ -168,6 +168,14 @@ def adjust_calibrate(spark, sf_dir):
     return rounded(ratios.calibration(_runs(spark, sf_dir)), "factor", "k80", "k95")
 
 
+@query("""SELECT l_returnflag, share::DOUBLE AS share, count(*)::BIGINT AS n, round(CASE share WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) WHEN 0.8 THEN quantile_cont(l_extendedprice, 0.8) ELSE quantile_cont(l_extendedprice, 0.95) END, 6) AS quantile
+FROM lineitem, (VALUES (0.5), (0.8), (0.95)) t(share) GROUP BY l_returnflag, share""")
+def exact_quantiles(spark, sf_dir):
+    """Median and two upper quantiles of a few large groups, without gathering any."""
+    prices = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    return rounded(quantiles.quantiles(prices, ["l_returnflag"], "l_extendedprice", [0.5, 0.8, 0.95], sorted_rows=5000), "quantile")
+
+
 @query(f"""{SCALED}, {WIDE} SELECT category, count(*) FILTER (a IS NOT NULL AND d IS NOT NULL)::BIGINT AS n, round(CASE WHEN count(*) FILTER (a IS NOT NULL AND d IS NOT NULL) >= 8 THEN avg(d - a) ELSE 0 END, 8) AS shift
 FROM (SELECT category, CASE WHEN oad_lt_arrivals > 0 THEN ln(oad_lt_arrivals) END AS a, CASE WHEN oad_lt_departures > 0 THEN ln(oad_lt_departures) END AS d FROM wide) GROUP BY 1""")
 def offset_calibrate(spark, sf_dir):
