@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tideline import config
 from tideline.operators import fits, replay
 from tideline.operators import statespace as ss
+from tideline.operators.store import VintageStore
 
 
 def quarters(n):
@@ -154,6 +155,40 @@ def test_known_at_takes_real_vintages_first(spark):
     assert got == [("2020-06-01", "pseudo", 2.0), ("2021-06-01", "real", 9.0)]
 
 
+def test_sources_turn_real_at_days_of_their_own(spark, tmp_path):
+    """At the middle origin flows are recorded and figures aren't; at the last both are, grants never; what the store doesn't keep comes back."""
+    store = VintageStore(spark, str(tmp_path / "s"))
+    cols = "series_id string, period date, period_unit string, value double, unit string, metadata string"
+    d = dt.date.fromisoformat
+    meta = '{"series": "Students ; Arrivals"}'
+    flows = spark.createDataFrame([(f"oad:student:{side}", d(f"2020-{m:02d}-01"), "month", 10.0 * m, None, None) for m in range(1, 7) for side in ("arrival", "departure")], cols)
+    figures = spark.createDataFrame([("nom:total", d("2019-10-01"), "quarter", 5.0, None, None), ("nom:total", d("2020-01-01"), "quarter", 6.0, None, None)], cols)
+    grants = spark.createDataFrame([("visa_grants:500", d("2020-01-01"), "month", 3.0, None, meta)], cols)
+    store.write("oad", flows.where("period <= date '2020-02-01'").withColumn("value", F.lit(1.0)), "2020-04-15")
+    store.write("nom", figures.where("value = 5").withColumn("value", F.lit(50.0)), "2020-09-01")
+    origins = spark.createDataFrame([("2020-04-10",), ("2020-05-01",), ("2020-10-01",)], "d string").select(F.col("d").cast("date").alias("asof_date"))
+    known = replay.known_from_store(store, origins, {"oad": flows, "nom": figures, "visa_grants": grants})
+    kinds = {(str(r.asof_date), s): (r.vintage, r.n) for s, rows in known.items() for r in rows.groupBy("asof_date", "vintage").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds == {
+        ("2020-04-10", "oad"): ("pseudo", 4), ("2020-05-01", "oad"): ("real", 4), ("2020-10-01", "oad"): ("real", 4), ("2020-10-01", "nom"): ("real", 1),
+        ("2020-04-10", "visa_grants"): ("pseudo", 1), ("2020-05-01", "visa_grants"): ("pseudo", 1), ("2020-10-01", "visa_grants"): ("pseudo", 1),
+    }
+    panels = {(str(r.asof_date), str(r.period), r.category): r for r in replay.panels_from_store(known, partial="raw").collect()}
+    assert panels["2020-04-10", "2020-01-01", "student"].oad_lt_arrivals == 30 and panels["2020-05-01", "2020-01-01", "student"].oad_lt_arrivals == 2
+    assert panels["2020-10-01", "2019-10-01", "total"].nom_final == 50 and panels["2020-05-01", "2020-01-01", "student"].visa_grants == 3
+    assert known["oad"].where("asof_date < '2020-01-01'").count() == 0 and replay.known_from_store(store, origins, {})["visa_grants"].count() == 0
+
+
+def test_chains_that_have_not_converged_are_not_scored(spark):
+    rows = [("m", dt.date(2020, 1, 1), "total", 0, 5.0, 1.0, 1.5), ("m", dt.date(2020, 4, 1), "total", 0, 7.0, 1.0, 1.05), ("p", dt.date(2020, 1, 1), "total", 0, 4.0, 1.0, None)]
+    runs = spark.createDataFrame([(dt.date(2020, 7, 1), *r) for r in rows], "asof_date date, model string, period date, category string, horizon int, nom_mean double, nom_se double, rhat double")
+    runs = runs.withColumns({c: F.col("nom_mean") for c in ("lower_80", "upper_80", "lower_95", "upper_95")})
+    truth = spark.createDataFrame([(dt.date(2020, 1, 1), "total", 4.0), (dt.date(2020, 4, 1), "total", 4.0)], "period date, category string, nom_truth double")
+    got = {r.model: r for r in replay.scored(runs, truth, regimes=None).collect()}
+    assert (got["m"].n, got["m"].bias, got["m"].unconverged) == (1, 3.0, 1) and (got["p"].n, got["p"].unconverged) == (1, 0)
+    assert {r.model: r.n for r in replay.scored(runs, truth, regimes=None, most_rhat=None).collect()} == {"m": 2, "p": 1}
+
+
 def test_replay_has_every_stream_at_every_origin(spark):
     p = made_up_panel(spark, 36)
     days = spark.createDataFrame([("2021-07-01",), ("2022-01-01",)], "d string").select(F.col("d").cast("date").alias("asof_date"))

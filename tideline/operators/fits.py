@@ -21,6 +21,8 @@ from .ratios import gamma_weights
 from .scoring import lags
 from .staging import staged
 
+#: Tasks that groups are dealt to, for each core.
+TASKS_A_CORE = 4
 #: Observations that a structural model needs, steps ahead, and the largest standard error on the log scale.
 LEAST, STEPS, SE_CAP = 12, 4, 1.0
 FORECAST = "period date, mean_log double, se_log double, mean_level double, forecast_horizon int, status string"
@@ -44,7 +46,9 @@ def _grouped(df: DataFrame, keys: list[str], fit, rest: str) -> DataFrame:
             out[k] = v
         return out[keys + columns] if len(out) else out.reindex(columns=keys + columns).astype(object)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    # a fit is slow and its rows are few: dealt by number, groups are not put together again in a few tasks because they are small
+    parts = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _future(periods: pd.Series, steps: int) -> list:
@@ -334,18 +338,25 @@ class _Posterior:
 DRAWS = "chain int, draw int, period date, signal double, sd double, shift double, obs_sd double, rhat double, ess double, acceptance double, status string"
 
 
-def bayes_draws(panel: DataFrame, seasonal_: bool = False, alpha: float = 2.0, beta: float = 1.0, lag: int = 4, steps: int = STEPS, warm_quarters: int = 8, sampling: dict = SAMPLING, lead: int | None = None, learned: bool = False, keys: list[str] | None = None) -> DataFrame:
-    """keys, chain, draw, period, signal, sd, shift, obs_sd: what each draw says of the published figure's logarithm; rhat (the worst of all parameters), ess (the least effective number of draws) and acceptance of the chains.
+def bayes_draws(panel: DataFrame, seasonal_: bool = False, alpha: float = 2.0, beta: float = 1.0, lag: int = 4, steps: int = STEPS, warm_quarters: int = 8, sampling: dict = SAMPLING, lead: int | None = None, learned: bool = False, keys: list[str] | None = None, variants: dict[str, dict] | None = None) -> DataFrame:
+    """keys (and model), chain, draw, period, signal, sd, shift, obs_sd: what each draw says of the published figure's logarithm; rhat (the worst of all parameters), ess (the least effective number of draws) and acceptance of the chains.
 
     A group of keys (a backtest origin) is a task, whose chains walk side by side. lead: grants stand for the level so many quarters later, instead of a spread over lags; learned: the spread's shape is sampled too.
+    variants: by the name of a model its seasonal_, lead and learned; each origin and model is then a group of its own, and all of them are fitted in one stage.
     """
-    weights = [1.0] if lead is not None else gamma_weights(alpha, beta, lag)
-    first_grants, shape = (lead if lead is not None else lag), (alpha, beta) if learned and lead is None else None
+    options = variants or {"": {"seasonal_": seasonal_, "lead": lead, "learned": learned}}
     series = _joint_series(panel, keys)
+    groups = [*(keys or ["_one"]), *(["model"] if variants else [])]
     if not keys:
         series = series.withColumn("_one", F.lit(1))
+    if variants:
+        series = series.withColumn("model", F.explode(F.array(*map(F.lit, variants))))
 
     def sample(group: pd.DataFrame) -> pd.DataFrame:
+        own = options[group["model"].iloc[0] if variants else ""]
+        seasonal_, lead, learned = own.get("seasonal_", False), own.get("lead"), own.get("learned", False)
+        weights = [1.0] if lead is not None else gamma_weights(alpha, beta, lag)
+        first_grants, shape = (lead if lead is not None else lag), (alpha, beta) if learned and lead is None else None
         group = group.sort_values("period", ignore_index=True)
         seen = np.flatnonzero(group["target"].notna())
         group = group.iloc[max(0, int(seen[0]) - warm_quarters) if len(seen) else 0 :].reset_index(drop=True)
@@ -375,7 +386,7 @@ def bayes_draws(panel: DataFrame, seasonal_: bool = False, alpha: float = 2.0, b
             "rhat": rhat, "ess": ess, "acceptance": float(accepted.mean()), "status": "ok",
         })
 
-    return _grouped(series, keys or ["_one"], sample, DRAWS).drop("_one")
+    return _grouped(series, groups, sample, DRAWS).drop("_one")
 
 
 def bayes_headline(draws: DataFrame, seed: int = SAMPLING["seed"], keys: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ from ..functions.calendar import first_observable, horizon, quarter_start, vinta
 from ..functions.labels import regime_by_ranges
 from . import fits, panel, ratios, scoring
 from .staging import staged
-from .vintages import as_of_many
+from .store import VintageStore
+from .vintages import as_of_many, reenriched_figures, reenriched_flows, reenriched_grants
 
 DAY = "asof_date"
 # Names of the model streams, regimes that scores are split by, and how the Bayesian variants differ.
@@ -26,20 +27,52 @@ PLAIN = ("kalman_multi_v2", "kalman_multi_pi", "kalman_v1", "bridge", "ar1", "ra
 BAYES_WINDOW = 12
 #: Their walks are half as long as a single fit's.
 SAMPLING = fits.SAMPLING | {"warmup": 250, "draws": 250, "thin": 5}
-COLUMNS = [DAY, "model", "category", "period", "horizon", "nom_mean", "nom_se", "lower_80", "upper_80", "lower_95", "upper_95"]
+COLUMNS = [DAY, "model", "category", "period", "horizon", "nom_mean", "nom_se", "lower_80", "upper_80", "lower_95", "upper_95", "rhat", "ess"]
+#: Chains with a larger rhat have not converged: what they say is not scored.
+MOST_RHAT = 1.1
+#: The sources of a store, and the days after a period's end when its figures are out.
+LAGS = {"oad": 35, "nom": 183, "visa_grants": 45}
+OBSERVED = ["series_id", "period", "period_unit", "value", "unit", "metadata"]
 
 
-def known_at(origins: DataFrame, recorded: DataFrame, current: DataFrame, keys: list[str], lag_days: int, unit: str = "period_unit") -> DataFrame:
-    """The rows of current's columns (keys and value among them) known at each origin, and nom_vintage: real or pseudo.
+def known_at(origins: DataFrame, recorded: DataFrame, current: DataFrame, keys: list[str], lag_days: int, unit: str = "period_unit", label: str = "nom_vintage") -> DataFrame:
+    """The rows of current's columns (keys and value among them) known at each origin, and a label: real or pseudo.
 
-    recorded: the same columns and vintage_date; current: today's figures, of which those are taken at an origin without any recorded vintage
-    that were out by then.
+    recorded: the same columns and vintage_date; current: today's figures, of which those are taken at an origin before the first recorded vintage
+    that were out by then. A recorded vintage is what was out: no lag applies to it.
     """
-    real = as_of_many(recorded, origins, keys, "vintage_date", DAY).select(DAY, *current.columns, F.lit("real").alias("nom_vintage"))
-    bare = origins.select(DAY).distinct().join(real.select(DAY).distinct(), DAY, "left_anti")
-    period_unit = F.col(unit) if unit in current.columns else F.lit("month")
-    pseudo = current.crossJoin(F.broadcast(bare)).where(first_observable("period", period_unit, lag_days) <= F.col(DAY))
-    return real.unionByName(pseudo.select(DAY, *current.columns, F.lit("pseudo").alias("nom_vintage")))
+    first = F.broadcast(recorded.agg(F.min("vintage_date").alias("_first")))
+    days = origins.select(DAY).distinct().crossJoin(first).withColumn("_real", F.coalesce(F.col(DAY) >= F.col("_first"), F.lit(False)))
+    real = as_of_many(recorded, days.where("_real"), keys, "vintage_date", DAY).select(DAY, *current.columns, F.lit("real").alias(label))
+    period_unit = F.coalesce(F.col(unit), F.lit("month")) if unit in current.columns else F.lit("month")
+    pseudo = current.crossJoin(F.broadcast(days.where("not _real").select(DAY))).where(first_observable("period", period_unit, lag_days) <= F.col(DAY))
+    return real.unionByName(pseudo.select(DAY, *current.columns, F.lit("pseudo").alias(label)))
+
+
+def known_from_store(store: VintageStore, origins: DataFrame, current: dict[str, DataFrame], lags: dict[str, int] = LAGS) -> dict[str, DataFrame]:
+    """By source what was known at each origin: asof_date, series_id, period, period_unit, value, unit, metadata and vintage (real or pseudo).
+
+    Each source decides by its own first vintage: at one origin one can be real and another pseudo. current: by source today's observations with the columns of OBSERVED; a source
+    without any has only what the store recorded.
+    """
+    out = {}
+    for source, lag in lags.items():
+        recorded = store.read(source).select(*OBSERVED, "vintage_date")
+        today = current[source].select(*OBSERVED) if source in current else recorded.limit(0).select(*OBSERVED)
+        out[source] = known_at(origins, recorded, today, ["series_id", "period"], lag, label="vintage")
+    return out
+
+
+def panels_from_store(known: dict[str, DataFrame], partial: str = "scale", share_years: int = 5) -> DataFrame:
+    """panels_at() of what known_from_store() gives: what the store doesn't keep is found again in the ids and the metadata, and series of one category are added up.
+
+    Flows are by month, figures by quarter, grants by month or quarter; rows of other units, or of no category, are left out.
+    """
+    summed = lambda df, *more: df.where("category is not null").groupBy(DAY, "period", "category", *more).agg(F.sum("value").alias("value"))
+    flows = summed(reenriched_flows(known["oad"].where("period_unit = 'month'")).where("direction in ('arrival', 'departure')"), "direction")
+    figures = summed(reenriched_figures(known["nom"].where("period_unit = 'quarter'")))
+    grants = summed(reenriched_grants(known["visa_grants"].where("period_unit in ('month', 'quarter')")))
+    return panels_at(flows, figures, grants, partial, share_years)
 
 
 def panels_at(flows: DataFrame, published: DataFrame, grants: DataFrame | None = None, partial: str = "scale", share_years: int = 5) -> DataFrame:
@@ -75,10 +108,10 @@ def _ratio_nowcasts(panels: DataFrame, forecasts: DataFrame, smoother: str, ceil
 
 
 def replay(panels: DataFrame, horizons: tuple[int, ...] = HORIZONS, models: tuple[str, ...] = (*PLAIN, *BAYES), bayes_window: int = BAYES_WINDOW, smoother: str = "loess", ceiling: float = 1.2, breaks: list[str] | None = None, lags: int = 4, sampling: dict = SAMPLING) -> DataFrame:
-    """asof_date, model, category, period, horizon, nom_mean, nom_se and intervals of each origin's models at the evaluated horizons.
+    """asof_date, model, category, period, horizon, nom_mean, nom_se and intervals of each origin's models at the evaluated horizons; rhat and ess of sampled ones.
 
     Horizon 0 is the quarter that was just complete on the origin's day. Each model is one grouped map over all origins together, so a backtest is a plan whose tasks are fits.
-    The Bayesian variants are fitted at the last bayes_window origins. A fit that fails at an origin leaves no rows there. panels is read many times: hand it over written.
+    The Bayesian variants are fitted at the last bayes_window origins, all of them in one stage. A fit that fails at an origin leaves no rows there. panels is read many times: hand it over written.
     """
     streams: list[DataFrame] = []
     add = lambda df, name: streams.append(df.withColumn("model", F.lit(name)))
@@ -119,21 +152,20 @@ def replay(panels: DataFrame, horizons: tuple[int, ...] = HORIZONS, models: tupl
     if variants := [m for m in BAYES if m in models]:
         nth = F.dense_rank().over(Window.orderBy(F.desc(DAY)))  # a row for each origin
         recent = staged(panels.join(panels.select(DAY).distinct().withColumn("_n", nth).where(F.col("_n") <= bayes_window).select(DAY), DAY, "left_semi"), "recent")
-        for name in variants:
-            draws = fits.bayes_draws(recent, **BAYES[name], keys=[DAY], sampling=sampling)
-            add(total(fits.bayes_headline(draws, keys=[DAY])), name)
+        draws = fits.bayes_draws(recent, keys=[DAY], sampling=sampling, variants={name: BAYES[name] for name in variants})
+        streams.append(total(fits.bayes_headline(draws, keys=[DAY, "model"])))
     out = streams[0]
     for s in streams[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
-    for c in ("nom_se", "lower_80", "upper_80", "lower_95", "upper_95"):
+    for c in ("nom_se", "lower_80", "upper_80", "lower_95", "upper_95", "rhat", "ess"):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("double"))
     out = out.withColumn("horizon", horizon("period", quarter_start(F.date_sub(DAY, 1))))
     return out.where(F.col("horizon").isin(list(horizons)) & F.col("nom_mean").isNotNull()).select(*COLUMNS)
 
 
-def scored(runs: DataFrame, truth: DataFrame, first: DataFrame | None = None, regimes: list[tuple[str, str, str]] | None = REGIMES) -> DataFrame:
-    """Scores by model, horizon, regime and category; truth: period, category, nom_truth.
+def scored(runs: DataFrame, truth: DataFrame, first: DataFrame | None = None, regimes: list[tuple[str, str, str]] | None = REGIMES, most_rhat: float | None = MOST_RHAT) -> DataFrame:
+    """Scores by model, horizon, regime and category; truth: period, category, nom_truth. Forecasts of chains whose rhat is above most_rhat are counted in unconverged and not scored; None scores all.
 
     first: asof_date, period, category, nom_prelim as known at each origin; without any the truth stands in. Without regimes all periods are `all`; a period in none has a null regime.
     """
@@ -141,5 +173,8 @@ def scored(runs: DataFrame, truth: DataFrame, first: DataFrame | None = None, re
     none = truth.sparkSession.createDataFrame([], f"{DAY} date, period date, category string, nom_prelim double")
     both = scoring.with_preliminary(truth, none if first is None else first, origins, ["period", "category"], DAY)
     rows = runs.join(both, [DAY, "period", "category"], "left")
+    rhat = F.col("rhat") if "rhat" in runs.columns else F.lit(None).cast("double")
+    loose = F.coalesce(rhat > F.lit(most_rhat).cast("double"), F.lit(False))
+    rows = rows.withColumns({"_loose": loose, "nom_mean": F.when(~loose, F.col("nom_mean")), **{c: F.when(~loose, F.col(c)) for c in ("nom_se", "lower_80", "upper_80", "lower_95", "upper_95")}})
     regime = regime_by_ranges("period", regimes) if regimes else F.lit("all")
-    return scoring.score(rows.withColumn("regime", regime), ["model", "horizon", "regime", "category"], prelim="nom_prelim")
+    return scoring.score(rows.withColumn("regime", regime), ["model", "horizon", "regime", "category"], prelim="nom_prelim", also=[F.count_if("_loose").alias("unconverged")])

@@ -23,8 +23,8 @@ def log_score(mean: str, sd: str, y: str) -> Column:
     return F.avg(F.when(F.col(sd) > 0, F.lit(-0.5 * math.log(2 * math.pi)) - F.ln(sd) - 0.5 * z * z))
 
 
-def score(runs: DataFrame, keys: list[str], truth: str = "nom_truth", period: str = "period", prelim: str | None = None) -> DataFrame:
-    """keys, n, rmse, mae, bias, hit_rate, log_score, cov80, cov95 (and rmse_vs_prelim) in one aggregation after one window.
+def score(runs: DataFrame, keys: list[str], truth: str = "nom_truth", period: str = "period", prelim: str | None = None, also: list[Column] | None = None) -> DataFrame:
+    """keys, n, rmse, mae, bias, hit_rate, log_score, cov80, cov95 (and rmse_vs_prelim, and what also adds up) in one aggregation after one window. Rows without a mean count nowhere.
 
     hit_rate: how often forecast and truth moved the same way since the period before.
     """
@@ -34,7 +34,7 @@ def score(runs: DataFrame, keys: list[str], truth: str = "nom_truth", period: st
     more = [F.sqrt(F.avg(F.pow(F.col("nom_mean") - F.col(prelim), 2))).alias("rmse_vs_prelim")] if prelim else []
     return rows.groupBy(*keys).agg(
         F.count("_e").alias("n"), F.sqrt(F.avg(F.pow("_e", F.lit(2)))).alias("rmse"), F.avg(F.abs("_e")).alias("mae"), F.avg("_e").alias("bias"), F.avg("_hit").alias("hit_rate"),
-        log_score("nom_mean", "nom_se", truth).alias("log_score"), coverage("lower_80", "upper_80", truth).alias("cov80"), coverage("lower_95", "upper_95", truth).alias("cov95"), *more,
+        log_score("nom_mean", "nom_se", truth).alias("log_score"), coverage("lower_80", "upper_80", truth).alias("cov80"), coverage("lower_95", "upper_95", truth).alias("cov95"), *more, *(also or []),
     )
 
 
