@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions.calendar import fy_start, month_start
 from ..operators import scoring, vintages
-from ..operators.staging import staged
-from ..sources import parsers, web
+from ..operators.staging import fresh_folder, staged
+from ..sources import parsers, web, workbooks
 from .registry import registry
 from .sources import read
 
@@ -23,7 +23,7 @@ SIDES = {"A": "Arrivals", "N": "Departures", "R": "Net"}
 
 def _cells(*frames: DataFrame) -> DataFrame:
     """All cells, written once: parsers read them in several branches."""
-    return staged(reduce(DataFrame.unionByName, frames).where("text is not null").coalesce(1), "cells")
+    return staged(reduce(DataFrame.unionByName, frames).where("text is not null"), "cells")
 
 
 def _place(df: DataFrame, row, col, text, sheet="S", path="/in/m.xlsx") -> DataFrame:
@@ -164,3 +164,14 @@ def latest_figures(spark, sf_dir):
 a AS (SELECT CASE WHEN link LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || link ELSE link END AS link FROM l) SELECT DISTINCT link FROM a WHERE regexp_matches(link, '(?i)(the|to)(/|$)')""")
 def sub_pages(spark, sf_dir):
     return web.sub_pages(web.links(read(spark, sf_dir, "pages")), ["the", "to"])
+
+
+@query("""SELECT o_orderstatus AS status, o_orderpriority AS sheet, ((year(o_orderdate) - 1990) * 12 + month(o_orderdate))::INT AS row, 2 AS col, count(*)::VARCHAR AS text
+FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL""")
+def workbook_source(spark, sf_dir):
+    """A workbook of months for each order status, a sheet for each priority; of all sheets two are read, and no other is unpacked."""
+    o = read(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority", ((F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate")).cast("int").alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    folder = fresh_folder(spark, "workbooks")
+    workbooks.write(o.select(F.concat(F.lit("status-"), "o_orderstatus", F.lit(".xlsx")).alias("path"), F.col("o_orderpriority").alias("sheet"), "row", F.lit(2).alias("col"), F.col("n").cast("string").alias("text")), folder)
+    cells = workbooks.read(spark, folder).where("sheet in ('1-URGENT', '5-LOW')")
+    return cells.select(F.regexp_extract("path", r"status-(.)\.xlsx$", 1).alias("status"), "sheet", "row", "col", "text")

@@ -18,28 +18,37 @@ from ..operators.staging import staged
 CELLS = "path string, sheet string, row int, col int, text string"
 
 
-def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """(sheet, row, column, text) of each filled cell of an .xlsx workbook; rows and columns count from 1."""
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def workbook_sheets(book) -> dict[str, str]:
+    """The part of each sheet of an open zip file, by the sheet's name, in order."""
+    from xml.etree import ElementTree
+
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    targets = {r.get("Id"): r.get("Target").lstrip("/") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    parts = {sheet.get("name"): targets[sheet.get(link)] for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet")}
+    return {name: part if part.startswith("xl/") else f"xl/{part}" for name, part in parts.items()}
+
+
+def workbook_cells(content, only: str | None = None) -> Iterator[tuple[str, int, int, str]]:
+    """(sheet, row, column, text) of each filled cell of an .xlsx workbook (bytes, or a file to seek in), or of one sheet, whose part alone is read; rows and columns count from 1."""
     import io
     import re
     import zipfile
     from xml.etree import ElementTree
 
-    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = set(book.namelist())
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as book:
         words = []
-        if "xl/sharedStrings.xml" in names:
-            words = ["".join(t.text or "" for t in item.iter(f"{main}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{main}sheet"):
-            target = targets[sheet.get(link)].lstrip("/")
-            body = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for cell in body.iter(f"{main}c"):
-                value, kind = cell.find(f"{main}v"), cell.get("t")
+        if "xl/sharedStrings.xml" in set(book.namelist()):
+            words = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+        for sheet, part in workbook_sheets(book).items():
+            if only is not None and sheet != only:
+                continue
+            for cell in ElementTree.fromstring(book.read(part)).iter(f"{MAIN}c"):
+                value, kind = cell.find(f"{MAIN}v"), cell.get("t")
                 if kind == "inlineStr":
-                    text = "".join(t.text or "" for t in cell.iter(f"{main}t"))
+                    text = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
                 elif value is None or value.text is None:
                     continue
                 else:
@@ -48,7 +57,7 @@ def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                 col = 0
                 for c in letters:
                     col = col * 26 + ord(c) - 64
-                yield sheet.get("name"), int(number), col, text
+                yield sheet, int(number), col, text
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
