@@ -405,8 +405,10 @@ def bayes_headline(draws: DataFrame, seed: int = SAMPLING["seed"], keys: list[st
     u = lambda tag: (F.pmod(F.xxhash64("chain", "draw", "period", "k", F.lit(seed), F.lit(tag)), F.lit(10**12)) + 0.5) / 1e12
     z = F.sqrt(-2 * F.ln(u("r"))) * F.cos(2 * F.pi() * u("a"))
     sims = sims.withColumn("figure", F.exp(F.col("m") + F.col("s") * z))
-    p = lambda q: F.percentile("figure", F.lit(q))
-    return sims.groupBy(*keys, "period").agg(
-        F.avg("mean").alias("nom_mean"), F.stddev_samp("mean").alias("nom_se"), p(0.10).alias("lower_80"), p(0.90).alias("upper_80"), p(0.025).alias("lower_95"), p(0.975).alias("upper_95"),
+    ends = {"lower_80": 0.10, "upper_80": 0.90, "lower_95": 0.025, "upper_95": 0.975}
+    # one list of figures for all four ends
+    out = sims.groupBy(*keys, "period").agg(
+        F.avg("mean").alias("nom_mean"), F.stddev_samp("mean").alias("nom_se"), F.percentile("figure", F.array(*map(F.lit, ends.values()))).alias("_ends"),
         (F.max("chain") + 1).alias("chains"), *(F.max(c).alias(c) for c in chain),
     )
+    return out.select(*keys, "period", "nom_mean", "nom_se", *(F.get("_ends", F.lit(i)).alias(c) for i, c in enumerate(ends)), "chains", *chain)
