@@ -177,12 +177,33 @@ def forecast(model: Model, y: np.ndarray, row: int, steps: int) -> tuple[np.ndar
 
 
 def hodrick_prescott(y: np.ndarray, weight: float = 1600.0) -> np.ndarray:
-    """The trend whose second differences are penalised; below four points y itself."""
+    """The trend whose second differences are penalised; below four points y itself. The system has five bands: it is factored in them, in time and memory that grow with the points."""
     n = len(y)
     if n < 4:
         return y.copy()
-    D = np.diff(np.eye(n), 2, axis=0)
-    return np.linalg.solve(np.eye(n) + weight * D.T @ D, y)
+    middle, beside = np.full(n, 1 + 6 * weight), np.full(n - 1, -4 * weight)
+    middle[[0, -1]], middle[[1, -2]] = 1 + weight, 1 + 5 * weight
+    beside[[0, -1]] = -2 * weight
+    return five_bands(middle.tolist(), beside.tolist(), [float(weight)] * (n - 2), y)
+
+
+def five_bands(middle: list[float], beside: list[float], outer: list[float], y: np.ndarray) -> np.ndarray:
+    """The solution of a symmetric positive system whose rows reach two places to either side, by its factors in the bands."""
+    n = len(middle)
+    d, one, two, z = [0.0] * n, [0.0] * n, [0.0] * n, [float(v) for v in y]
+    for i in range(n):
+        a, b, at = middle[i], beside[i] if i < n - 1 else 0.0, z[i]
+        if i:
+            a -= one[i - 1] ** 2 * d[i - 1]
+            b -= two[i - 1] * one[i - 1] * d[i - 1]
+            at -= one[i - 1] * z[i - 1]
+        if i > 1:
+            a -= two[i - 2] ** 2 * d[i - 2]
+            at -= two[i - 2] * z[i - 2]
+        d[i], one[i], two[i], z[i] = a, b / a, outer[i] / a if i < n - 2 else 0.0, at
+    for i in reversed(range(n)):
+        z[i] = z[i] / d[i] - (one[i] * z[i + 1] if i < n - 1 else 0.0) - (two[i] * z[i + 2] if i < n - 2 else 0.0)
+    return np.array(z)
 
 
 def local_regression(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.5) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import quarters
 from ..config import load
-from ..operators import fits, nowcast, panel, replay
+from ..operators import fits, longseries, nowcast, panel, replay
 from ..operators.staging import fresh_folder, staged
 from ..operators.store import VintageStore
 from ..operators.vintages import reenriched_figures
@@ -90,6 +90,17 @@ def bayes_learned_lag(spark, sf_dir):
 PERIODS = [("early", "1992-01-01", "1995-12-31"), ("late", "1996-01-01", "2099-12-31")]
 
 
+@query("""WITH RECURSIVE s AS (SELECT event_type AS series_id, value AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) AS t FROM events WHERE value IS NOT NULL),
+kf AS (SELECT series_id, t, y AS level, 2.0::DOUBLE AS p FROM s WHERE t = 1
+UNION ALL SELECT s.series_id, s.t, kf.level + (kf.p + 0.5) / (kf.p + 0.5 + 2.0) * (s.y - kf.level), (kf.p + 0.5) * (1 - (kf.p + 0.5) / (kf.p + 0.5 + 2.0)) FROM kf JOIN s ON s.series_id = kf.series_id AND s.t = kf.t + 1)
+SELECT series_id, count(*)::BIGINT AS n, round(avg(level), 6) AS mean_level, round(max(level), 6) AS highest, round(min(variance_), 6) AS variance FROM (SELECT *, p AS variance_ FROM kf) GROUP BY 1""")
+def kalman_long_series(spark, sf_dir):
+    """Every event of a type as a step of one series: blocks of time are filtered side by side."""
+    steps = read(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("series_id"), F.col("ts").alias("period"), "value")
+    levels = longseries.filtered_levels(steps, ["series_id"], "value", 0.5, 2.0, block_steps=1000)
+    return levels.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("level"), 6).alias("mean_level"), F.round(F.max("level"), 6).alias("highest"), F.round(F.min("variance"), 6).alias("variance"))
+
+
 @query()
 def configured_nowcast(spark, sf_dir):
     """The headline from the store as of a configured day: flows recorded, figures and grants as they were out by then."""
