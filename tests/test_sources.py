@@ -152,3 +152,19 @@ def test_history_from_csv_in_one_write(spark, tmp_path):
     assert [r.category for r in vintages.reenriched_figures(store.read_as_of("nom")).collect()] == ["total"]
     grants = spark.createDataFrame([("dha:500 x", None, 1.0), ("dha:", None, 2.0)], "series_id string, metadata string, value double")
     assert [r.category for r in vintages.reenriched_grants(grants).orderBy("value").collect()] == ["student", None]
+
+
+def test_flow_and_figure_dispatchers(spark):
+    """Unreadable sources add nothing, what was cached stands in for all of them, and without any rows the job stops."""
+    none = spark.createDataFrame([], grids.CELLS)
+    missing = lambda: spark.read.parquet("/tmp/no-such-folder-of-cells")
+    cached = spark.createDataFrame([("oad:student:arrival", 1.0)], "series_id string, value double")
+    assert [r.value for r in parsers.flows({"arrival": missing, "departure": lambda: none}, missing, cached=lambda: cached).collect()] == [1.0]
+    with pytest.raises(ValueError):
+        parsers.flows({"arrival": lambda: none, "departure": missing})
+    with pytest.raises(ValueError):
+        parsers.figures(missing, "2024-01-01")
+    assert [r.value for r in parsers.figures(lambda: none, "2024-01-01", cached=lambda: cached).collect()] == [1.0]
+    rows = [("/a/q.xlsx", "data 2", 1, 2, "Net overseas migration"), ("/a/q.xlsx", "Data 1", 1, 3, "Net overseas migration ; x"), ("/a/q.xlsx", "Data 1", 11, 1, "45382"), ("/a/q.xlsx", "Data 1", 11, 3, "7.5"), ("/a/q.xlsx", "Data 1", 12, 3, "8")]
+    got = parsers.figures(lambda: spark.createDataFrame(rows, grids.CELLS), "2024-05-01").collect()
+    assert [(r.series_id, str(r.period), r.value, r.vintage_status) for r in got] == [("nom_col3", "2024-01-01", 8.0, "preliminary")]

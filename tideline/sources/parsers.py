@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import labels
-from ..functions.calendar import excel_date, label_unit, month_label, month_start, period_label, vintage_status
+from ..functions.calendar import excel_date, label_unit, month_label, month_start, period_label, quarter_start, vintage_status
 from .grids import header_row
 from .tables import stock_unit
 
@@ -81,6 +81,46 @@ def _filled(body: DataFrame, columns: dict[str, Column], keys: list[str]) -> Dat
     return wide.select(*keys, "row", *(F.last(c, True).over(w).alias(c) for c in columns))
 
 
+# Where quarterly figures stand.
+FIGURE_SHEET, FIGURE_LABEL, UNIT_ROW = "(?i)^data", r"(?i)net\s*overseas\s*migration", 2
+
+
+def quarterly_figures(cells: DataFrame, asof) -> DataFrame:
+    """Quarterly figures of time-series workbooks: series_id, period, period_unit, value, category (total), vintage_status, unit, metadata.
+
+    The first sheet by name that begins with Data, else the first of all; the columns (but the first) whose label in row 1 names the figure, with the id in row 10 (nom_col and the column's number where there is none) and
+    the unit in row 2: thousands are scaled and rounded half to even. Periods are serial numbers in column 1 from row 11 on; the status goes by their age on the day asof. Workbooks without such columns add no rows.
+    """
+    order = F.struct(F.when(F.col("sheet").rlike(FIGURE_SHEET), 0).otherwise(1), F.col("sheet"))
+    data = cells.join(cells.groupBy("path").agg(F.min_by("sheet", order).alias("sheet")), SHEET, "left_semi")
+    text = lambda row: F.first(F.when(F.col("row") == row, F.col("text")), True)
+    heads = data.where(F.col("row").isin(LABEL_ROW, UNIT_ROW, ID_ROW) & (F.col("col") > 1)).groupBy(*SHEET, "col").agg(text(LABEL_ROW).alias("label"), text(UNIT_ROW).alias("raw_unit"), text(ID_ROW).alias("id"))
+    columns = heads.where(F.col("label").rlike(FIGURE_LABEL))
+    days = data.where((F.col("col") == 1) & (F.col("row") >= FIRST_ROW)).select(*SHEET, "row", excel_date(_number()).alias("day"))
+    values = data.where(F.col("row") >= FIRST_ROW).select(*SHEET, "row", "col", _number().alias("v"))
+    out = values.join(columns, [*SHEET, "col"]).join(days, [*SHEET, "row"]).where("day is not null and v is not null")
+    value = F.bround(F.col("v") * F.when(F.contains("raw_unit", F.lit("000")), 1000.0).otherwise(1.0))
+    about = F.to_json(F.struct(_file().alias("file"), "sheet", F.col("label").alias("series"), "raw_unit"))
+    return out.select(F.coalesce("id", F.concat(F.lit("nom_col"), "col")).alias("series_id"), quarter_start("day").alias("period"), F.lit("quarter").alias("period_unit"), value.alias("value"), F.lit("total").alias("category"), vintage_status("day", F.lit(asof).cast("date")).alias("vintage_status"), F.lit("persons").alias("unit"), about.alias("metadata"))
+
+
+def figures(quarterly: Callable[[], DataFrame], asof, annual: Callable[[], DataFrame] | None = None, cached: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """Published figures: of the quarterly workbooks' cells and, if asked for, those of the yearly cubes; where neither has rows, what was cached. A source that can't be read adds nothing."""
+    readers = [lambda: quarterly_figures(quarterly(), asof)]
+    if annual is not None:
+        readers.append(lambda: annual_cubes(annual(), asof))
+    return together(*readers, otherwise=cached)
+
+
+def flows(cubes: dict[str, Callable[[], DataFrame]], totals: Callable[[], DataFrame] | None = None, specs: Sequence[tuple[str, str, str]] = (), cached: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """Movements: the cubes of each direction and the table of totals, together; where none has rows, what was cached, and else ValueError, so that no job goes on with nothing."""
+    readers = [lambda d=direction, cells=cells: movement_cubes(cells(), d) for direction, cells in cubes.items()]
+    if totals is not None:
+        readers.append(lambda: aggregate_tables(totals(), specs))
+    found = together(*readers, otherwise=cached)
+    return first_filled(lambda: found)
+
+
 def annual_cubes(cells: DataFrame, asof) -> DataFrame:
     """Yearly figures by visa group: series_id, period, period_unit, value, category, direction, vintage_status, unit, metadata.
 
