@@ -6,6 +6,7 @@ shards in shared storage, which tasks map into memory and search. Distinct pairs
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -24,7 +25,7 @@ from .bpe import byte_characters
 from .common import filesystem, fresh_dir, materialise, small_batches, tidy
 
 #: Text bytes that the tokenizers get at once, tokens that are aligned at once, and pairs that a task holds before it hands them on.
-TEXT_BYTES, SLICE_TOKENS, HELD_PAIRS = 1 << 19, 1 << 18, 1 << 21
+TEXT_BYTES, SLICE_TOKENS, HELD_PAIRS = 1 << 18, 1 << 17, 1 << 20
 #: Pairs of a count shard, and shards that a task keeps open where they can only be read into memory.
 SHARD_PAIRS, OPEN_SHARDS = 1 << 20, 4
 _loaded: dict[int, tuple] = {}
@@ -51,20 +52,30 @@ class Tokenizers:
     """A: a byte-level BPE of the tokenizers library (the JSON), given a space before the text. B: a sentencepiece model, which puts that space itself."""
 
     def __init__(self, a_json: str, b_model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a_json)
-        self.a.encode_special_tokens = True
-        self.fast = ranked(json.loads(a_json))
+        spec = json.loads(a_json)
+        self.a_json, self.fast = a_json, ranked(spec)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         of = {c: b for b, c in enumerate(byte_characters())}
-        special = self.a.get_added_tokens_decoder()
-        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
-        self.a_bytes = [b"" if i in special else bytes(map(of.__getitem__, t)) for i, t in enumerate(names)]
+        special = {t["id"] for t in spec.get("added_tokens", [])}
+        vocabulary = spec["model"]["vocab"]
+        self.a_bytes = [b""] * (1 + max([*vocabulary.values(), *special]))
+        for token, i in vocabulary.items():
+            if i not in special:
+                self.a_bytes[i] = bytes(map(of.__getitem__, token))
         self.b_bytes = [self._piece(i) for i in range(self.b.vocab_size())]
 
+    @functools.cached_property
+    def a(self):
+        """The library's own encoder, made only where ranks won't do."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.a_json)
+        out.encode_special_tokens = True
+        return out
+
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) and re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("▁", " ").encode()
