@@ -214,10 +214,10 @@ def bridge_forecasts(panel: DataFrame, last: int = 4, keys: list[str] | None = N
     rows = panel.withColumn("visa_grants", F.when(F.col("category") == "total", of_all).otherwise(F.col("visa_grants")))
     names = [f"{c}_l{k}" for c in ("oad_lt_arrivals", "visa_grants") for k in range(last + 1)]
     each = [*keys, "category"]
-    features = staged(lags(rows, ["oad_lt_arrivals", "visa_grants"], last, each).select(*each, "period", "nom_final", *names), "bridge")
-    enough = features.groupBy(*each).agg(F.count("nom_final").alias("_n")).where(F.col("_n") >= last + 4).select(*each)
-    fit = regressions(features.join(enough, each, "left_semi"), each, "nom_final", names)
-    return features.join(enough, each, "left_semi").join(fit, each, "left").select(*each, "period", predicted(names).alias("nom_mean"), F.lit("ok").alias("status"))
+    enough = F.count("nom_final").over(Window.partitionBy(*each)) >= last + 4
+    features = staged(lags(rows.withColumn("_enough", enough), ["oad_lt_arrivals", "visa_grants"], last, each).where("_enough").select(*each, "period", "nom_final", *names), "bridge")
+    fit = regressions(features, each, "nom_final", names)
+    return features.join(fit, each, "left").select(*each, "period", predicted(names).alias("nom_mean"), F.lit("ok").alias("status"))
 
 
 #: Priors of the Bayesian model on log figures, and how it is sampled.
